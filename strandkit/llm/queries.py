@@ -5,13 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm import token_counts
+from strandkit.llm import decontaminate, language_id, mixing, shards, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~held_out()), "doc_id", "text", "lang")
+    return language_id.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: Sources are to have equal shares, but for two that count double and half.
+WEIGHTS = {"src1": 2.0, "src2": 0.5}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=3)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shards.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=24)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharded.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", token_counts.tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
