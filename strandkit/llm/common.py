@@ -93,3 +93,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(current.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()
+
+
+def consecutive_groups(batches: Iterator[pa.RecordBatch], key_columns: int = 1) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first columns, from batches sorted by them."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        new = np.zeros(rest.num_rows, bool)
+        for i in range(key_columns):
+            column = rest.column(i).combine_chunks().to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for start, end in zip(cuts, cuts[1:]):
+            yield rest.slice(start, end - start)
+        rest = rest.slice(cuts[-1])
+    if rest is not None:
+        yield rest
