@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm import decontaminate, embeddings, language_id, mixing, shards, simhash, token_counts, warc
+from strandkit.llm import decontaminate, embeddings, language_id, mixing, shards, simhash, substring_dedup, token_counts, warc
 from strandkit.llm.common import scratch_path
 
 
@@ -23,6 +23,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return done.select("doc_id", n_bytes.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Sources are to have equal shares, but for two that count double and half.
 WEIGHTS = {"src1": 2.0, "src2": 0.5}
 
@@ -66,6 +73,22 @@ def queries():
 
 
 ORACLES = {
+    "op2_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT doc_id, b, substr(x, 2 * b + 1, 1200) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99, 500)) AS b FROM d WHERE length(x) >= 200)),
+        w AS (SELECT doc_id, b + q AS p, md5(substr(x, 2 * q + 1, 200)) AS k FROM (SELECT doc_id, b, x, unnest(range(0, least(500, length(x) // 2 - 99))) AS q FROM c)),
+        f AS (SELECT k, min(doc_id) AS d0, arg_min(p, (doc_id, p)) AS p0 FROM w GROUP BY k HAVING count(*) > 1),
+        r AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE doc_id <> d0 OR p <> p0),
+        g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM r),
+        s AS (SELECT doc_id, p, sum(CASE WHEN step IS NULL OR step > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+        t AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM s GROUP BY doc_id, run),
+        o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM t),
+        kept AS (SELECT o.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+                        string_agg(substr(x, 2 * before + 1, 2 * (a - before)) || CASE WHEN after IS NULL THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS y
+                 FROM o JOIN d USING (doc_id) GROUP BY o.doc_id)
+        SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
              f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
