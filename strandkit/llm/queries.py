@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm import decontaminate, embeddings, language_id, mixing, shards, simhash, substring_dedup, token_counts, warc
+from strandkit.llm import decontaminate, embeddings, language_id, mixing, quality, shards, simhash, substring_dedup, token_counts, warc
 from strandkit.llm.common import scratch_path
 
 
@@ -64,6 +64,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", token_counts.tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
