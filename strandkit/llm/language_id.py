@@ -70,51 +70,84 @@ def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Li
 class Model:
     """Log frequencies per language of words and n-grams, relative to the mean over languages."""
 
-    def __init__(self, rows: list, limits: Limits):
-        self.limits = limits
+    def __init__(self, rows: list, limits: Limits, max_kept: int = 400_000):
+        self.limits, self.max_kept = limits, max_kept
         self.langs = sorted({r.lang for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(limits.longest + 1)]
+        self.place: list[dict[str, int]] = [{} for _ in range(limits.longest + 1)]  # of a feature in the matrix
         for r in rows:
-            self.tables[r.length].setdefault(r.feature, np.zeros(len(self.langs)))[at[r.lang]] += r.n
-        for table in self.tables:
-            total = np.sum(list(table.values()), axis=0) + limits.smoothing * (len(table) + 1) if table else 1.0
-            for feature, n in table.items():
-                log = np.log((n + limits.smoothing) / total)
-                table[feature] = log - log.mean()
+            self.place[r.length].setdefault(r.feature, 0)
+        self.logs = np.zeros((sum(map(len, self.place)), len(self.langs)))
+        begin = 0
+        for place in self.place:
+            place.update(zip(place, range(begin, begin + len(place))))
+            begin += len(place)
+        for r in rows:
+            self.logs[self.place[r.length][r.feature], at[r.lang]] = r.n
+        for place in self.place:
+            if own := list(place.values()):
+                counts = self.logs[own] + limits.smoothing
+                logs = np.log(counts / (counts.sum(0) + limits.smoothing))
+                self.logs[own] = logs - logs.mean(1, keepdims=True)
         self.kept: dict[str, int] = {}
-        self.rows = np.zeros((200_000, len(self.langs)), np.float32)
-
-    def of_word(self, word: str) -> np.ndarray:
-        """Scores of a known word; else the mean of its longest n-grams of which any is known; else zeros."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+        self.rows = np.zeros((0, len(self.langs)), np.float32)
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Scores of words: of a known one its own; else the mean of its longest n-grams of which any is known; else zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        known = self.place[0]
+        at = [i for i, w in enumerate(words) if w in known]
+        out[at] = self.logs[[known[words[i]] for i in at]]
+        left = [i for i, w in enumerate(words) if w not in known]
         for n in range(self.limits.longest, 0, -1):
-            table = self.tables[n]
-            if found := [table[x] for x in _grams(word, n) if x in table]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
-    def row_of(self, word: str) -> int:
-        row = len(self.kept)
-        self.rows[row] = self.of_word(word)
-        self.kept[word] = row
-        return row
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The best language, the first of equals, and its share of the probability under even priors."""
-        words = WORD(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(self.kept) + len(part) > len(self.rows):
-                self.kept.clear()
-            kept, row_of = self.kept, self.row_of
-            total += self.rows[[kept[w] if w in kept else row_of(w) for w in part]].sum(0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+            place, flat, sizes, at, unknown = self.place[n], [], [], [], []
+            for i in left:
+                word = f"<{words[i]}>"
+                if found := [place[g] for j in range(len(word) - n + 1) if (g := word[j : j + n]) in place]:
+                    flat += found
+                    sizes.append(len(found))
+                    at.append(i)
+                else:
+                    unknown.append(i)
+            if at:
+                sizes = np.array(sizes)
+                out[at] = np.add.reduceat(self.logs[flat], np.r_[0, sizes.cumsum()[:-1]]) / sizes[:, None]
+            left = unknown
+        return out
+
+    def _rows_of(self, words: list[str]) -> np.ndarray:
+        """Scores of words one by one; those of max_kept words are kept for the next time."""
+        kept = self.kept
+        new = list({w for w in words if w not in kept})
+        if len(kept) + len(new) > self.max_kept:
+            kept.clear()
+            self.rows = self.rows[:0]
+            new = list(set(words))
+        if new:
+            kept.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, self._score(new).astype(np.float32)])
+        return self.rows[[kept[w] for w in words]]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the best language, the first of equals, and its share of the probability under even priors."""
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(texts), 64):
+            lists = [WORD(t.lower()) if t else [] for t in texts[at : at + 64]]
+            words = [w for own in lists for w in own]
+            total = np.zeros((len(lists), len(self.langs)))
+            ends = np.cumsum([len(own) for own in lists])
+            for start in range(0, len(words), 100_000):
+                scores = self._rows_of(words[start : start + 100_000])
+                doc = np.searchsorted(ends, np.arange(start, start + len(scores)), "right")
+                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                total[doc[first]] += np.add.reduceat(scores, first, dtype=np.float64)
+            for own, score in zip(lists, total):
+                if not own or not self.langs:
+                    out.append((UNDETERMINED, 0.0))
+                else:
+                    best = int(score.argmax())
+                    out.append((self.langs[best], float(1 / np.exp(np.clip(score - score[best], -700, 0)).sum())))
+        return out
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, limits: Limits = Limits()) -> Model:
@@ -137,7 +170,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         predict = shared.value.predict
         for batch in batches:
-            found = [predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            found = predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").alias("__text"))
