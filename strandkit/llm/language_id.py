@@ -42,6 +42,8 @@ def sampled(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int) -> D
     """About per_lang rows of each language, by a threshold on the hash of the id: no sort, no limit."""
     sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("rows_of_lang"))
     share = F.pmod(F.xxhash64(F.lit("learn"), F.col(id_col).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    if sizes.count() <= 10_000:  # languages; beyond that a shuffled join, which splits skewed ones
+        sizes = F.broadcast(sizes)
     return labelled.join(sizes, lang_col).where(share * F.col("rows_of_lang") < per_lang)
 
 
