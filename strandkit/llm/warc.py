@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import map_batches
+from strandkit.llm.common import checkpoint, map_batches
 
 VERSION = b"WARC/1.1"
 DATE = b"2024-01-01T00:00:00Z"
@@ -85,22 +85,21 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     least_bytes the one with the smallest id is a response; others are revisits of it without a payload; a page with a
     null id is a revisit if one with an id has the payload. Shorter ones are all responses. A response whose block exceeds
     segment_bytes is cut: the first segment is the response record, the others are continuation records with the origin's
-    identifier and their number, the last one with the total length. Records are dealt to the archives by a hash,
-    about file_bytes each, so the segments of a record lie in several archives.
+    identifier and their number, the last one with the total length. An archive has about file_bytes, and what follows
+    lies in the next one, so the segments of a record may be in several archives.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    total = base.agg(F.sum(F.length("payload") + 600)).first()[0] or 0
-    n_files = max(1, -(-total // file_bytes))
+    size = base.agg(F.sum(F.length("payload") + 600).alias("total"), F.count("*").alias("n")).first()
+    per_file = max(1, file_bytes * size.n // max(1, size.total or 0))
 
     def run(batch):
-        out, place = [], []
+        out = []
         for page, url, payload, digest, refers in zip(*(column.to_pylist() for column in batch.columns)):
             ident = record_id(page, digest)
             fields = [(b"WARC-Target-URI", url.encode() if url is not None else None), (b"X-Page-ID", str(page).encode() if page is not None else None), (b"WARC-Payload-Digest", b"sha256:" + digest.encode()), (b"Content-Type", b"application/http; msgtype=response")]
             if refers is not None:
                 first = record_id(refers, digest)
                 out.append(_record(b"revisit", ident, [*fields, (b"WARC-Profile", REVISIT), (b"WARC-Refers-To", first.encode())], b""))
-                place.append(zlib.crc32(ident.encode()))
                 continue
             block = HTTP_HEAD + chunked(payload, chunk_bytes)
             segments = [block[at : at + segment_bytes] for at in range(0, len(block), segment_bytes)]
@@ -117,12 +116,10 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
                     out.append(_record(b"response", ident, [*fields, *more], segment))
                 else:
                     out.append(_record(b"continuation", record_id(f"{page}#{number}", digest), more, segment))
-                place.append(zlib.crc32(b"%b %d" % (ident.encode(), number)))
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(place, pa.int64())], names=["record", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = map_batches(mark_revisits(base, least_bytes), run, "record binary, place long")
-    dealt = records.repartition(n_files, "place").select(F.col("record").cast("string").alias("value"))
-    dealt.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records = map_batches(mark_revisits(base, least_bytes), run, "record binary").select(F.col("record").cast("string").alias("value"))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _inflated(content: bytes) -> bytes:
@@ -219,7 +216,7 @@ def resolve_revisits(whole: DataFrame) -> DataFrame:
 
     The digests of responses are recomputed from the payload. A revisit without its response has nulls.
     """
-    measured = whole.select("record_id", "type", "url", "page_id", "refers_to", "problem", F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d"))
+    measured = checkpoint(whole.select("record_id", "type", "url", "page_id", "refers_to", "problem", F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d")))
     responses = measured.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("refers_to_page"), F.max("n").alias("first_n"), F.max("d").alias("first_d"))
     salted = responses.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     revisits = measured.where("type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to", "salt"], "left")
