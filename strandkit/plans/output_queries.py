@@ -1,0 +1,291 @@
+"""Queries of the model-output, chat and scoring operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from strandkit.functions import outputs as P
+from strandkit.functions import tokens as T
+from strandkit.operators import chat, genome, model_outputs, scoring, sequences
+from strandkit.plans import fixtures as X
+from strandkit.plans.registry import query
+
+
+def csv(values):
+    return F.array_join(values.cast("array<string>"), ",")
+
+
+SOFT = f"{X.LOGITS}, sm AS (SELECT row, truth, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM l), pr AS (SELECT row, truth, logits, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM sm)"
+
+
+@query("out1_softmax", f"WITH {SOFT} SELECT row, unnest(range(0, len(p))) AS id, round(unnest(p), 6) AS p FROM pr")
+def out1(spark, d):
+    return X.logits(spark, d).select("row", F.posexplode(P.softmax(F.col("logits"))).alias("id", "p")).select("row", F.col("id").cast("long").alias("id"), F.round("p", 6).alias("p"))
+
+
+@query("out2_positive_prob", f"WITH {X.LOGITS} SELECT row, round(exp(logits[2]) / (exp(logits[1]) + exp(logits[2])), 6) AS p FROM l")
+def out2(spark, d):
+    return X.logits(spark, d).select("row", F.round(P.positive_prob(F.slice("logits", 1, 2)), 6).alias("p"))
+
+
+@query("out3_strip_special", f"WITH {X.EMB} SELECT seq_id, pos FROM e WHERE pos >= 1 AND pos <= seq_id % 8")
+def out3(spark, d):
+    rows = X.embeddings(spark, d).withColumn("n", F.col("seq_id") % 8)
+    return model_outputs.strip_special(rows, "n").select("seq_id", "pos")
+
+
+@query("out4_zero_padded", f"WITH {X.EMB} SELECT seq_id, pos, i - 1 AS dim, round(CASE WHEN pos <= seq_id % 8 THEN CAST(v[i] AS DOUBLE) ELSE 0 END, 6) AS x FROM e, range(1, 65) t(i)")
+def out4(spark, d):
+    rows = X.embeddings(spark, d).select("seq_id", "pos", F.col("v").cast("array<double>").alias("v"), (F.col("pos") <= F.col("seq_id") % 8).alias("real"))
+    long = model_outputs.zero_padded(rows, "v", "real").select("seq_id", "pos", F.posexplode("v").alias("dim", "x"))
+    return long.select("seq_id", "pos", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("out5_masked_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean FROM e, range(1, 65) t(i) WHERE pos >= 1 AND pos <= seq_id % 8 GROUP BY seq_id, i")
+def out5(spark, d):
+    rows = model_outputs.strip_special(X.embeddings(spark, d).withColumn("n", F.col("seq_id") % 8), "n")
+    return model_outputs.mean_embedding(rows, "seq_id").select("seq_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
+
+
+@query("out6_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean FROM e, range(1, 65) t(i) GROUP BY seq_id, i")
+def out6(spark, d):
+    return model_outputs.mean_embedding(X.embeddings(spark, d), "seq_id").select("seq_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
+
+
+@query("out7_sum", f"WITH {X.EMB}, g AS (SELECT pos AS p, v AS gv FROM e WHERE seq_id = 0) SELECT seq_id, pos, i - 1 AS dim, round(CAST(v[i] AS DOUBLE) + CAST(gv[i] AS DOUBLE), 6) AS total FROM e JOIN g ON pos = p, range(1, 65) t(i)")
+def out7(spark, d):
+    e = X.embeddings(spark, d)
+    gene = e.select("seq_id", "pos").join(F.broadcast(e.where("seq_id = 0").select("pos", "v")), "pos")  # a table by position: eight rows
+    out = model_outputs.sum_embeddings([e.join(gene.select("seq_id", "pos"), ["seq_id", "pos"], "left_semi"), gene], ["seq_id", "pos"])
+    return out.select("seq_id", "pos", F.col("dim").cast("long").alias("dim"), F.round("total", 6).alias("total"))
+
+
+@query("out8_lookup", f"WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS token_id FROM r) SELECT seq_id, pos, token_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM p JOIN embeddings ON vec_id = token_id")
+def out8(spark, d):
+    vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v")).where("token_id < 16")
+    found = model_outputs.lookup_embedding(X.id_rows(spark, d), "seq_id", "ids", F.broadcast(vectors))
+    return found.select("seq_id", F.col("pos").cast("long").alias("pos"), "token_id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
+
+
+@query("out9_top_k", f"""WITH {SOFT}, x AS (SELECT row, unnest(range(0, len(p))) AS id, unnest(p) AS p FROM pr), k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY p DESC, id) AS rank FROM x)
+    SELECT row, rank - 1 AS rank, CAST(id AS INTEGER) AS id, round(p, 6) AS p FROM k WHERE rank <= 5""")
+def out9(spark, d):
+    best = X.logits(spark, d).select("row", F.posexplode(P.top_k(F.col("logits"), 5)).alias("rank", "x"))
+    return best.select("row", F.col("rank").cast("long").alias("rank"), "x.id", F.round("x.p", 6).alias("p"))
+
+
+@query("out10_argmax", f"WITH {X.LOGITS} SELECT row, CAST(list_position(logits[1:10], list_max(logits[1:10])) - 1 AS INTEGER) AS pred FROM l")
+def out10(spark, d):
+    return X.logits(spark, d).select("row", P.argmax(F.col("logits"), 10).alias("pred"))
+
+
+@query("out11_nucleotides", f"""WITH {X.EMB}, j AS (SELECT seq_id, pos, v, unnest(range(0, 24)) AS j FROM e WHERE pos >= 1)
+    SELECT seq_id, (pos - 1) * 6 + j // 4 AS pos, j % 4 AS feature, round(CAST(v[j * 2 + 1] AS DOUBLE), 6) AS a, round(CAST(v[j * 2 + 2] AS DOUBLE), 6) AS b FROM j""")
+def out11(spark, d):
+    rows = model_outputs.tokens_to_nucleotides(X.embeddings(spark, d), "seq_id", "v", 6, 4)
+    at = lambda i: F.round(F.get("logits", F.lit(i)).cast("double"), 6)
+    return rows.select("seq_id", "pos", F.col("feature").cast("long").alias("feature"), at(0).alias("a"), at(1).alias("b"))
+
+
+#: The genomic elements and their order.
+FEATURES = ["protein_coding_gene", "lncRNA", "exon", "intron", "splice_donor", "splice_acceptor", "5UTR", "3UTR", "CTCF-bound", "polyA_signal", "enhancer_Tissue_specific", "enhancer_Tissue_invariant", "promoter_Tissue_specific", "promoter_Tissue_invariant"]
+WANTED = ["intron", "exon", "gap", "3UTR"]
+
+
+@query("out12_features", f"""WITH {X.EMB}, f AS (SELECT unnest({FEATURES!r}) AS name, unnest(range(0, 14)) AS idx), w AS (SELECT unnest({WANTED!r}) AS name, unnest(range(0, 4)) AS rank)
+    SELECT seq_id, pos, w.name, CAST(rank AS INTEGER) AS rank, round(CAST(v[idx + 1] AS DOUBLE), 6) AS x FROM e, f JOIN w USING (name) UNION ALL SELECT -1, -1, name, -1, 0 FROM w WHERE name NOT IN (SELECT name FROM f)""")
+def out12(spark, d):
+    features = spark.createDataFrame(list(enumerate(FEATURES)), "idx int, name string").select("name", "idx")
+    wanted = spark.createDataFrame(list(enumerate(WANTED)), "rank int, name string").select("name", "rank")
+    long = X.embeddings(spark, d).select("seq_id", "pos", F.posexplode(F.slice("v", 1, 14)).alias("feature", "x"))
+    found, missing = model_outputs.select_features(long, features, wanted)
+    found = found.select("seq_id", "pos", "name", "rank", F.round(F.col("x").cast("double"), 6).alias("x"))
+    return found.unionByName(missing.select(F.lit(-1).cast("long").alias("seq_id"), F.lit(-1).alias("pos"), "name", F.lit(-1).alias("rank"), F.lit(0.0).alias("x")))
+
+
+@query("out13_tracks", f"""WITH {X.TRACKS}, w AS (SELECT r_name AS species, n_name AS track FROM nation, region WHERE n_nationkey < 12)
+    SELECT w.species, w.track, tr.track IS NOT NULL AS available FROM w LEFT JOIN tr ON w.species = tr.species AND w.track = tr.track""")
+def out13(spark, d):
+    have = X.species_tracks(spark, d)
+    wanted = X.table(spark, d, "region").select(F.col("r_name").alias("species"), F.explode(F.lit([1])).alias("one")).drop("one").join(F.broadcast(X.table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("track"))))
+    found, missing = genome.select_tracks(have, have, wanted)
+    return found.select("species", "track", F.lit(True).alias("available")).unionByName(missing.select("species", "track", F.lit(False).alias("available")))
+
+
+@query("out14_align", f"WITH {X.TRACKS}, n AS (SELECT species, string_agg(track, ',' ORDER BY track) AS names, count(*) AS n FROM tr GROUP BY species) SELECT species, names, CAST((SELECT max(n) FROM n) - n AS INTEGER) AS padding FROM n")
+def out14(spark, d):
+    return genome.align_tracks(X.species_tracks(spark, d)).select("species", F.array_join("names", ",").alias("names"), "padding")
+
+
+@query("out15_species", f"WITH {X.TRACKS}, s AS (SELECT DISTINCT species, token_id FROM tr) SELECT n_name, r_name AS species, token_id, row_number() OVER (ORDER BY r_name, n_name) - 1 AS place FROM nation JOIN region ON n_regionkey = r_regionkey JOIN s ON r_name = species")
+def out15(spark, d):
+    known = X.species_tracks(spark, d).select("species", "token_id").distinct()
+    rows = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("species"))
+    rows = rows.join(F.broadcast(genome.list_species(known)), "species")
+    return genome.encode_species(rows, known).withColumn("place", (F.row_number().over(Window.orderBy("species", "n_name")) - 1).cast("long"))
+
+
+@query("out16_species_head", "SELECT n_name, n_regionkey + 4 AS token_id, n_regionkey - 2 AS head FROM nation WHERE n_regionkey + 4 >= 6")
+def out16(spark, d):
+    rows = X.table(spark, d, "nation").select("n_name", (F.col("n_regionkey") + 4).alias("token_id"))
+    return genome.species_head(rows, on_error="filter")
+
+
+TRACK = f"{X.POINTS}, k AS (SELECT chrom, pos // 100 AS w, list(y ORDER BY pos) AS ys FROM p GROUP BY ALL)"
+
+
+def packed(spark, d):
+    return genome.pack_tracks(X.points(spark, d).withColumn("w", F.floor(F.col("pos") / 100)), ["chrom", "w"], ["pos"], "y")
+
+
+@query("out17_crop_center", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CAST(floor((1 - 0.375::DOUBLE) * len(ys)) AS BIGINT) // 2 AS h FROM k) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(list_sum(ys[h + 1 : len(ys) - h]), 4) AS total FROM c")
+def out17(spark, d):
+    c = packed(spark, d).withColumn("c", P.crop_center(F.col("values"), 0.375))
+    return c.select("chrom", "w", F.size("c").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("out18_crop_length", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CASE WHEN len(ys) = 40 THEN 0 ELSE (len(ys) - 40 + 1) // 2 END AS h FROM k WHERE len(ys) >= 40) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(coalesce(list_sum(ys[h + 1 : len(ys) - h]), 0), 4) AS total FROM c")
+def out18(spark, d):
+    c = packed(spark, d).where(F.size("values") >= 40).withColumn("c", P.crop_to_length(F.col("values"), 40))
+    return c.select("chrom", "w", F.size("c").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("out19_prediction_window", f"""WITH {X.WINDOWS} SELECT window_id, "start" + CAST(floor(96 * 0.625 / 2) AS BIGINT) AS pred_start, CAST(floor(96 * 0.375) AS BIGINT) AS pred_length FROM windows""")
+def out19(spark, d):
+    length = F.col("end") - F.col("start")
+    return X.windows(spark, d).select("window_id", P.prediction_start(F.col("start"), length, 0.375).alias("pred_start"), P.prediction_length(length, 0.375).alias("pred_length"))
+
+
+@query("out20_positions", f"WITH {TRACK}, x AS (SELECT chrom, w, len(ys) AS n, unnest(range(0, len(ys))) AS i FROM k) SELECT chrom, w, i, round(w * 1000 + CASE WHEN n > 1 THEN i * 1000.0 / (n - 1) ELSE 0 END, 6) AS place, (w * 1000 + i) // 128 AS bin FROM x")
+def out20(spark, d):
+    rows = packed(spark, d).withColumn("n", F.size("values")).select("chrom", "w", "n", F.posexplode("values").alias("i", "y")).withColumn("i", F.col("i").cast("long"))
+    start = F.col("w") * 1000
+    place = P.track_position(start, start + 1000, F.col("n"), F.col("i"))
+    return rows.select("chrom", "w", "i", F.round(place.cast("double"), 6).alias("place"), F.floor((start + F.col("i")) / 128).alias("bin"))
+
+
+@query("out21_upsample", f"""WITH {TRACK}, x AS (SELECT chrom, w, ys, unnest(range(1, 2 * len(ys) + 1)) AS j FROM k)
+    SELECT chrom, w, j - 1 AS i, round(ys[(j + 1) // 2], 6) AS nearest, round(CASE WHEN j % 2 = 1 THEN ys[(j + 1) // 2] ELSE ys[j // 2] + (coalesce(ys[j // 2 + 1], ys[j // 2]) - ys[j // 2]) / 2 END, 6) AS linear FROM x""")
+def out21(spark, d):
+    both = packed(spark, d).select("chrom", "w", F.arrays_zip(P.upsample_x2(F.col("values")).alias("a"), P.upsample_x2(F.col("values"), "linear").alias("b")).alias("x"))
+    return both.select("chrom", "w", F.posexplode("x").alias("i", "x")).select("chrom", "w", F.col("i").cast("long").alias("i"), F.round("x.a", 6).alias("nearest"), F.round("x.b", 6).alias("linear"))
+
+
+@query("out22_value_range", f"WITH {X.POINTS} SELECT chrom, round(quantile_cont(y, 0.05), 6) AS low, round(quantile_cont(y, 0.95), 6) AS high FROM p GROUP BY chrom")
+def out22(spark, d):
+    return genome.value_range(X.points(spark, d), "y", 0.05, 0.95, ["chrom"]).select("chrom", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+PAIRS = f"{X.LOGITS}, pairs AS (SELECT row, truth, CAST((list_position(logits, list_max(logits)) - 1) % 10 AS INTEGER) AS pred FROM l WHERE row % 3 = 0)"
+
+
+def pairs(spark, d):
+    rows = X.logits(spark, d)
+    pred = rows.select("row", (P.argmax(F.col("logits")) % 10).alias("pred"))
+    halves = [pred.where("row % 2 = 0"), pred.where("row % 2 = 1")]  # two batches of predictions
+    return model_outputs.masked_pairs(rows.select("row", "truth", (F.col("row") % 3 == 0).alias("masked")), halves[0].unionByName(halves[1]), ["row"])
+
+
+@query("out23_masked_pairs", f"WITH {PAIRS} SELECT row, truth, pred FROM pairs")
+def out23(spark, d):
+    return pairs(spark, d)
+
+
+@query("out24_mcc", f"""WITH {PAIRS}, t AS (SELECT truth AS k, count(*) AS t FROM pairs GROUP BY 1), q AS (SELECT pred AS k, count(*) AS p FROM pairs GROUP BY 1),
+    m AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM pairs) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM pairs WHERE truth = pred) AS c, (SELECT CAST(sum(t * p) AS DOUBLE) FROM t JOIN q USING (k)) AS pt, (SELECT CAST(sum(t * t) AS DOUBLE) FROM t) AS tt, (SELECT CAST(sum(p * p) AS DOUBLE) FROM q) AS pp)
+    SELECT round((c * s - pt) / sqrt((s * s - pp) * (s * s - tt)), 6) AS mcc FROM m""")
+def out24(spark, d):
+    return model_outputs.mcc(pairs(spark, d)).select(F.round("mcc", 6).alias("mcc"))
+
+
+@query("out25_mlm_metrics", f"""WITH {X.LOGITS} SELECT round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+    round(exp(-avg(logits[truth + 1] - ln(list_sum(list_transform(logits, lambda x: exp(x)))))), 6) AS perplexity FROM l""")
+def out25(spark, d):
+    return model_outputs.mlm_metrics(X.logits(spark, d), "logits", "truth").select(F.round("accuracy", 6).alias("accuracy"), F.round("perplexity", 6).alias("perplexity"))
+
+
+# ---- chat ----------------------------------------------------------------------------------------------------------
+
+PREAMBLE = "A chat between a curious user and an artificial intelligence assistant."
+
+
+@query("cht1_render", f"SELECT conv_id, '{PREAMBLE} ' || string_agg(upper(role) || ': ' || coalesce(text, ''), ' ' ORDER BY turn, role, text) || ' ASSISTANT:' AS prompt FROM conversations GROUP BY conv_id")
+def cht1(spark, d):
+    return chat.render_prompt(X.table(spark, d, "conversations"), PREAMBLE)
+
+
+def placeholders(spark, d):
+    rows = X.table(spark, d, "conversations").where("turn = 0")
+    return rows.select("conv_id", F.concat("role", F.lit(" <DNA>"), F.when(F.col("conv_id") % 3 == 0, " and <DNA>").otherwise("")).alias("text"), (1 + (F.col("conv_id") % 2)).cast("int").alias("n_seqs")).distinct()
+
+
+@query("cht2_placeholders", "SELECT DISTINCT conv_id, role || ' <DNA>' || CASE WHEN conv_id % 3 = 0 THEN ' and <DNA>' ELSE '' END AS text, CAST(1 + conv_id % 2 AS INTEGER) AS n_seqs, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS found FROM conversations WHERE turn = 0 AND 1 + conv_id % 2 <> CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END")
+def cht2(spark, d):
+    return chat.placeholder_violations(placeholders(spark, d), "text", "n_seqs")
+
+
+@query("cht3_stack", f"""WITH {X.SEQS}, v AS (SELECT 'ATCG' AS a), q AS (SELECT seq_id, i, CASE WHEN i = 0 THEN substr(seq, 1, 12) ELSE substr(seq, 1, 30) END AS seq FROM s, range(0, 2) t(i)),
+    w AS (SELECT seq_id, i, regexp_extract_all(seq, '[ACGT]{{6}}') AS k FROM q),
+    x AS (SELECT seq_id, i, list_transform(k, lambda t: 6 + list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT)))) AS ids FROM w)
+    SELECT seq_id, i, '3,' || array_to_string(list_transform(ids[1:3], lambda z: CAST(CAST(z AS BIGINT) AS VARCHAR)), ',') || CASE WHEN i = 0 THEN ',1' ELSE '' END AS ids FROM x""")
+def cht3(spark, d):
+    prompts = X.seqs(spark, d).select("seq_id", F.array(F.substring("seq", 1, 12), F.substring("seq", 1, 30)).alias("seqs"))
+    long = chat.stack_sequences(prompts, "seqs", 4).select("seq_id", F.posexplode("stacked").alias("i", "ids"))
+    return long.select("seq_id", F.col("i").cast("long").alias("i"), csv(F.col("ids")).alias("ids"))
+
+
+@query("cht4_expand", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(flatten(list_transform(ids, lambda x: CASE WHEN x = 8 THEN [x, x, x] ELSE [x] END))[1:32], lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM r")
+def cht4(spark, d):
+    return X.id_rows(spark, d).select("seq_id", csv(P.expand_placeholders(F.col("ids"), 8, 3)).alias("ids"))
+
+
+@query("cht5_compact", f"""WITH {X.IDS}, f AS (SELECT seq_id, list_position(ids, 8) - 1 AS p FROM r)
+    SELECT seq_id, i, CAST(CASE WHEN p IS NULL OR p < 0 THEN i WHEN i <= p THEN i WHEN i < 28 THEN i + 4 ELSE 0 END AS DOUBLE) AS x FROM f, range(0, 32) t(i)""")
+def cht5(spark, d):
+    rows = X.id_rows(spark, d)
+    first = F.transform("ids", lambda x, i: F.when((x == 8) & (i == F.array_position("ids", F.lit(8)) - 1), 8).otherwise(0))  # one placeholder each
+    values = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i.cast("double"))
+    done = rows.select("seq_id", F.posexplode(P.compact_outputs(values, first, 8, 4)).alias("i", "x"))
+    return done.select("seq_id", F.col("i").cast("long").alias("i"), "x")
+
+
+@query("cht6_first_pad", f"WITH {X.IDS} SELECT seq_id, CASE WHEN len(u) < 32 THEN CAST(len(u) AS INTEGER) END AS at FROM t")
+def cht6(spark, d):
+    return X.id_rows(spark, d).select("seq_id", P.first_pad(F.col("ids"), T.PAD).alias("at"))
+
+
+@query("cht7_answer", f"WITH {X.IDS} SELECT seq_id, coalesce(regexp_extract(substr(seq, 4, greatest(seq_id % 32 - 2, 0)) || repeat('p', CAST(31 - seq_id % 32 AS INTEGER)), '^[^Gp]*'), '') AS answer FROM s")
+def cht7(spark, d):
+    from strandkit.operators import vocab
+
+    answer = T.detokenize(P.answer_ids(F.filter("ids", lambda x: x != 1), F.lit(3), 9), [*vocab.SPECIALS, *vocab.LETTERS])
+    return X.id_rows(spark, d).select("seq_id", answer.alias("answer"))
+
+
+# ---- scoring -------------------------------------------------------------------------------------------------------
+
+
+def load_predictor():
+    """A small stand-in for a model: two outputs from the token ids."""
+
+    def predict(frame):
+        return {"n_real": [int(sum(x != 1 for x in ids)) for ids in frame["ids"]], "total": [float(sum(ids)) for ids in frame["ids"]], "unused": [None] * len(frame)}
+
+    return predict
+
+
+@query("udf1_score", f"WITH {X.IDS} SELECT seq_id, len(u) AS n_real, CAST(list_sum(ids) AS DOUBLE) AS total FROM t JOIN r USING (seq_id)")
+def udf1(spark, d):
+    return scoring.score_batches(X.id_rows(spark, d), load_predictor, ["seq_id", "ids"], {"n_real": "long", "total": "double"}, 64).drop("ids")
+
+
+@query("udf2_outputs", f"WITH {X.IDS} SELECT seq_id, CAST(list_sum(ids) AS DOUBLE) AS total FROM r")
+def udf2(spark, d):
+    return scoring.score_batches(X.id_rows(spark, d), load_predictor, ["seq_id", "ids"], {"total": "double"}, 128).select("seq_id", "total")
+
+
+@query("udf3_max_length", f"WITH {X.IDS} SELECT seq_id, CAST(len(u) AS INTEGER) AS n FROM t WHERE len(u) <= 20")
+def udf3(spark, d):
+    rows = X.id_rows(spark, d).select("seq_id", F.filter("ids", lambda x: x != 1).alias("ids"))
+    return sequences.check_max_length(rows, "ids", 20, on_error="filter").select("seq_id", F.size("ids").alias("n"))
