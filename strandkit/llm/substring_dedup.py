@@ -69,7 +69,11 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
 
 def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each position as one number that sorts like them."""
-    return text[at[:, None] + np.arange(8)].view(">u8")[:, 0].astype(np.uint64)
+    word = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        word <<= np.uint64(8)
+        word |= text[at + i]
+    return word
 
 
 def direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -233,7 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
-    n_shards = max(1, n_chunks // 2)
+    n_shards = 2 * n_chunks  # a shard sorts several bytes of suffixes for each of its own
     chunk = F.pmod(F.coalesce(F.xxhash64(F.lit(1), "id"), F.xxhash64("text")), F.lit(n_chunks))
     chunks = base.withColumn("chunk", chunk)
 
