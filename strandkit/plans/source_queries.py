@@ -1,0 +1,85 @@
+"""Queries of the readers and of streaming: files that Spark writes from the given tables are read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandkit.operators import genome
+from strandkit.plans import fixtures as X
+from strandkit.plans.registry import query
+from strandkit.sources import files
+from strandkit.streaming import prepare as ST
+
+
+def wrapped(c, width: int = 12):
+    """A sequence in lines."""
+    return F.regexp_replace(c, f"(.{{{width}}})", "$1\n")
+
+
+@query("src1_fasta", f"WITH {X.SEQS} SELECT 'seq' || CAST(seq_id AS VARCHAR) AS name, 'from documents' AS description, seq FROM s")
+def src1(spark, d):
+    path = X.scratch(spark, "fasta")
+    record = F.concat(F.lit(">seq"), F.col("seq_id").cast("string"), F.lit(" from documents\n"), wrapped(F.col("seq")))
+    X.seqs(spark, d).select(record.alias("value")).write.option("compression", "gzip").text(path)
+    return files.read_fasta(spark, path)
+
+
+@query("src1_fasta_tiles", f"WITH {X.SEQS} SELECT 'seq' || CAST(seq_id AS VARCHAR) AS chrom, i AS tile_no, substr(seq, i * 10 + 1, 10) AS seq FROM s, range(0, 4) t(i)")
+def src1_tiles(spark, d):
+    return genome.tile_genome(src1(spark, d), 10)
+
+
+@query("src2_expression_csv", """WITH g AS (SELECT o_custkey AS sample_id, l_partkey % 5 AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), x AS (SELECT sample_id, unnest(range(0, 5)) AS gene FROM (SELECT DISTINCT sample_id FROM g))
+    SELECT CAST(x.sample_id AS VARCHAR) AS sample_id, 'rna' AS omic, 'gene' || CAST(x.gene AS VARCHAR) AS gene, CAST(value AS DOUBLE) AS value FROM x LEFT JOIN g ON x.sample_id = g.sample_id AND x.gene = g.gene""")
+def src2(spark, d):
+    path = X.scratch(spark, "expression")
+    expr = X.table(spark, d, "lineitem").join(X.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("gene", F.concat(F.lit("gene"), (F.col("l_partkey") % 5).cast("string")))
+    wide = expr.groupBy(F.col("o_custkey").alias("sample_id")).pivot("gene", [f"gene{i}" for i in range(5)]).agg(F.sum("l_quantity"))
+    wide.write.csv(path, header=True)
+    return files.read_expression_csv(spark, path, ["sample_id"], "rna")
+
+
+@query("src3_counts", f"WITH {X.COUNTS} SELECT cell_id, CAST(counts.gene_idx AS INTEGER) AS gene_idx, value, p_name AS gene_id FROM counts JOIN part ON p_partkey = counts.gene_idx")
+def src3(spark, d):
+    counts, var = X.scratch(spark, "counts"), X.scratch(spark, "var")
+    X.counts(spark, d).write.parquet(counts)
+    X.table(spark, d, "part").select(F.col("p_partkey").alias("gene_idx"), F.col("p_name").alias("gene_id")).write.parquet(var)
+    tables = files.read_counts(spark, counts, var)
+    return tables["counts"].join(tables["var"], "gene_idx").select("cell_id", "gene_idx", "value", "gene_id")
+
+
+@query("src4_json_lookup", "SELECT 'g' || CAST(p_partkey AS VARCHAR) AS key, CAST(p_size AS INTEGER) AS value FROM part")
+def src4(spark, d):
+    path = X.scratch(spark, "lookup")
+    entry = F.struct(F.concat(F.lit("g"), F.col("p_partkey").cast("string")), "p_size")
+    objects = X.table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    objects.write.partitionBy("file").text(path)  # an object per file
+    return files.read_json_lookup(spark, path).select("key", "value")
+
+
+@query("src5_gene_list", "SELECT p_name || '-' || p_partkey AS gene, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS gene_pos FROM part")
+def src5(spark, d):
+    path = X.scratch(spark, "genes")
+    names = X.table(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_name", "p_partkey").alias("value"))
+    names.coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)  # an ordered list is one small file
+    return files.read_gene_list(spark, path)
+
+
+@query("src6_transcripts", f"WITH {X.SEQS} SELECT seq AS dna, replace(seq, 'T', 'U') AS rna, translate(seq, 'ACGT', 'MKLV') AS protein FROM s WHERE seq_id % 4 = 0 AND seq_id % 3 <> 0")
+def src6(spark, d):
+    path = X.scratch(spark, "transcripts")
+    rows = X.seqs(spark, d).select(F.when(F.col("seq_id") % 4 == 0, "test").otherwise("train").alias("split"), F.when(F.col("seq_id") % 3 == 0, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")).alias("dna"), F.regexp_replace("seq", "T", "U").alias("rna"), F.translate("seq", "ACGT", "MKLV").alias("protein"))
+    rows.write.partitionBy("split").parquet(path)
+    return files.read_transcripts(spark, path, "test", 32)
+
+
+@query("str1_prepare_stream", f"""WITH {X.TEXTS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 60), '[ACGT]{{6}}|[ACGTN]') AS w FROM s),
+    x AS (SELECT seq_id, list_transform(w, lambda t: CASE WHEN length(t) = 1 THEN 4101 + instr('ATCGN', t) ELSE 6 + CAST(list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT))) AS BIGINT) END)[1:31] AS ids FROM u)
+    SELECT seq_id, '3' || CASE WHEN len(ids) > 0 THEN ',' ELSE '' END || array_to_string(list_transform(ids, lambda z: CAST(z AS VARCHAR)), ',') || repeat(',1', CAST(31 - len(ids) AS INTEGER)) AS ids, CAST(len(ids) + 1 AS INTEGER) AS n_real FROM x""")
+def str1(spark, d):
+    source, out, state = (X.scratch(spark, x) for x in ("arriving", "prepared", "state"))
+    X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring("text", 1, 60).alias("seq")).write.parquet(source)
+    stream = spark.readStream.schema("seq_id long, seq string").parquet(source)
+    ST.write_prepared(ST.prepare(stream, "seq", 6, 32), out, state).awaitTermination()
+    done = spark.read.parquet(out)
+    return done.select("seq_id", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("ids"), F.size(F.filter("mask", lambda m: m)).alias("n_real"))

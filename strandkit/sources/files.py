@@ -40,7 +40,7 @@ def read_json_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     """(gene, gene_pos) of a file with a gene per line; blank lines are passed over."""
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda g: g != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda g: F.trim(g)), lambda g: g != "")
     return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("gene_pos", "gene")).select("gene", "gene_pos")
 
 
