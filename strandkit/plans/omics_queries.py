@@ -42,12 +42,12 @@ BINNED = KEPT + f""", ext AS (SELECT cell_id, min(value) AS lo, max(value) AS hi
     binned AS (SELECT kept.*, CAST({CELL_BIN} AS INTEGER) AS bin FROM kept JOIN ext USING (cell_id))"""
 
 
-@query("omx1_log_normalize", f"WITH {X.EXPRESSION} SELECT sample_id, gene, round(log10(1 + value), 6) AS x FROM expr WHERE omic = 'rna'")
+@query("omx1_log_normalize", f"WITH {X.EXPRESSION} SELECT sample_id, gene, round(log10(1 + value), 6) + 0.0 AS x FROM expr WHERE omic = 'rna'")
 def omx1(spark, d):
     return X.expression(spark, d).where("omic = 'rna'").select("sample_id", "gene", F.round(O.log_normalize(F.col("value")), 6).alias("x"))
 
 
-@query("omx2_max_normalize", f"WITH {X.EXPRESSION} SELECT sample_id, gene, round(value / 5.547176906585117, 6) AS x FROM expr WHERE omic = 'rna'")
+@query("omx2_max_normalize", f"WITH {X.EXPRESSION} SELECT sample_id, gene, round(value / 5.547176906585117, 6) + 0.0 AS x FROM expr WHERE omic = 'rna'")
 def omx2(spark, d):
     return X.expression(spark, d).where("omic = 'rna'").select("sample_id", "gene", F.round(O.max_normalize(F.col("value"), 5.547176906585117), 6).alias("x"))
 
@@ -165,7 +165,7 @@ def omx17(spark, d):
 
 @query("omx18_spatial", """WITH t AS (SELECT c_custkey AS cell_id, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y, s FROM customer, range(0, 4) r(s)),
     u AS (SELECT cell_id, s, x, y, 1.0::DOUBLE * power(10.0::DOUBLE, (1.0::DOUBLE + 9.0::DOUBLE * s / 3) / 3) AS c FROM t)
-    SELECT cell_id, s AS scale, round(cos(x / c), 6) AS cos_x, round(sin(y / c), 6) AS sin_y FROM u""")
+    SELECT cell_id, s AS scale, round(cos(x / c), 6) + 0.0 AS cos_x, round(sin(y / c), 6) + 0.0 AS sin_y FROM u""")
 def omx18(spark, d):
     rows = X.table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), spatial_features(F.col("c_acctbal"), F.col("c_custkey").cast("double"), 1.0, 10.0, 4).alias("f"))
     long = rows.select("cell_id", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("scale"))

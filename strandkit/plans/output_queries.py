@@ -35,25 +35,25 @@ def out3(spark, d):
     return model_outputs.strip_special(rows, "n").select("seq_id", "pos")
 
 
-@query("out4_zero_padded", f"WITH {X.EMB} SELECT seq_id, pos, i - 1 AS dim, round(CASE WHEN pos <= seq_id % 8 THEN CAST(v[i] AS DOUBLE) ELSE 0 END, 6) AS x FROM e, range(1, 65) t(i)")
+@query("out4_zero_padded", f"WITH {X.EMB} SELECT seq_id, pos, i - 1 AS dim, round(CASE WHEN pos <= seq_id % 8 THEN CAST(v[i] AS DOUBLE) ELSE 0 END, 6) + 0.0 AS x FROM e, range(1, 65) t(i)")
 def out4(spark, d):
     rows = X.embeddings(spark, d).select("seq_id", "pos", F.col("v").cast("array<double>").alias("v"), (F.col("pos") <= F.col("seq_id") % 8).alias("real"))
     long = model_outputs.zero_padded(rows, "v", "real").select("seq_id", "pos", F.posexplode("v").alias("dim", "x"))
     return long.select("seq_id", "pos", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
-@query("out5_masked_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean FROM e, range(1, 65) t(i) WHERE pos >= 1 AND pos <= seq_id % 8 GROUP BY seq_id, i")
+@query("out5_masked_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) + 0.0 AS mean FROM e, range(1, 65) t(i) WHERE pos >= 1 AND pos <= seq_id % 8 GROUP BY seq_id, i")
 def out5(spark, d):
     rows = model_outputs.strip_special(X.embeddings(spark, d).withColumn("n", F.col("seq_id") % 8), "n")
     return model_outputs.mean_embedding(rows, "seq_id").select("seq_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
-@query("out6_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean FROM e, range(1, 65) t(i) GROUP BY seq_id, i")
+@query("out6_mean", f"WITH {X.EMB} SELECT seq_id, i - 1 AS dim, round(avg(CAST(v[i] AS DOUBLE)), 6) + 0.0 AS mean FROM e, range(1, 65) t(i) GROUP BY seq_id, i")
 def out6(spark, d):
     return model_outputs.mean_embedding(X.embeddings(spark, d), "seq_id").select("seq_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
-@query("out7_sum", f"WITH {X.EMB}, g AS (SELECT pos AS p, v AS gv FROM e WHERE seq_id = 0) SELECT seq_id, pos, i - 1 AS dim, round(CAST(v[i] AS DOUBLE) + CAST(gv[i] AS DOUBLE), 6) AS total FROM e JOIN g ON pos = p, range(1, 65) t(i)")
+@query("out7_sum", f"WITH {X.EMB}, g AS (SELECT pos AS p, v AS gv FROM e WHERE seq_id = 0) SELECT seq_id, pos, i - 1 AS dim, round(CAST(v[i] AS DOUBLE) + CAST(gv[i] AS DOUBLE), 6) + 0.0 AS total FROM e JOIN g ON pos = p, range(1, 65) t(i)")
 def out7(spark, d):
     e = X.embeddings(spark, d)
     gene = e.select("seq_id", "pos").join(F.broadcast(e.where("seq_id = 0").select("pos", "v")), "pos")  # a table by position: eight rows
@@ -61,7 +61,7 @@ def out7(spark, d):
     return out.select("seq_id", "pos", F.col("dim").cast("long").alias("dim"), F.round("total", 6).alias("total"))
 
 
-@query("out8_lookup", f"WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS token_id FROM r) SELECT seq_id, pos, token_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM p JOIN embeddings ON vec_id = token_id")
+@query("out8_lookup", f"WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS token_id FROM r) SELECT seq_id, pos, token_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM p JOIN embeddings ON vec_id = token_id")
 def out8(spark, d):
     vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v")).where("token_id < 16")
     found = model_outputs.lookup_embedding(X.id_rows(spark, d), "seq_id", "ids", F.broadcast(vectors))
@@ -81,7 +81,7 @@ def out10(spark, d):
 
 
 @query("out11_nucleotides", f"""WITH {X.EMB}, j AS (SELECT seq_id, pos, v, unnest(range(0, 24)) AS j FROM e WHERE pos >= 1)
-    SELECT seq_id, (pos - 1) * 6 + j // 4 AS pos, j % 4 AS feature, round(CAST(v[j * 2 + 1] AS DOUBLE), 6) AS a, round(CAST(v[j * 2 + 2] AS DOUBLE), 6) AS b FROM j""")
+    SELECT seq_id, (pos - 1) * 6 + j // 4 AS pos, j % 4 AS feature, round(CAST(v[j * 2 + 1] AS DOUBLE), 6) + 0.0 AS a, round(CAST(v[j * 2 + 2] AS DOUBLE), 6) + 0.0 AS b FROM j""")
 def out11(spark, d):
     rows = model_outputs.tokens_to_nucleotides(X.embeddings(spark, d), "seq_id", "v", 6, 4)
     at = lambda i: F.round(F.get("logits", F.lit(i)).cast("double"), 6)
@@ -94,7 +94,7 @@ WANTED = ["intron", "exon", "gap", "3UTR"]
 
 
 @query("out12_features", f"""WITH {X.EMB}, f AS (SELECT unnest({FEATURES!r}) AS name, unnest(range(0, 14)) AS idx), w AS (SELECT unnest({WANTED!r}) AS name, unnest(range(0, 4)) AS rank)
-    SELECT seq_id, pos, w.name, CAST(rank AS INTEGER) AS rank, round(CAST(v[idx + 1] AS DOUBLE), 6) AS x FROM e, f JOIN w USING (name) UNION ALL SELECT -1, -1, name, -1, 0 FROM w WHERE name NOT IN (SELECT name FROM f)""")
+    SELECT seq_id, pos, w.name, CAST(rank AS INTEGER) AS rank, round(CAST(v[idx + 1] AS DOUBLE), 6) + 0.0 AS x FROM e, f JOIN w USING (name) UNION ALL SELECT -1, -1, name, -1, 0 FROM w WHERE name NOT IN (SELECT name FROM f)""")
 def out12(spark, d):
     features = spark.createDataFrame(list(enumerate(FEATURES)), "idx int, name string").select("name", "idx")
     wanted = spark.createDataFrame(list(enumerate(WANTED)), "rank int, name string").select("name", "rank")
@@ -139,13 +139,13 @@ def packed(spark, d):
     return genome.pack_tracks(X.points(spark, d).withColumn("w", F.floor(F.col("pos") / 100)), ["chrom", "w"], ["pos"], "y")
 
 
-@query("out17_crop_center", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CAST(floor((1 - 0.375::DOUBLE) * len(ys)) AS BIGINT) // 2 AS h FROM k) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(list_sum(ys[h + 1 : len(ys) - h]), 4) AS total FROM c")
+@query("out17_crop_center", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CAST(floor((1 - 0.375::DOUBLE) * len(ys)) AS BIGINT) // 2 AS h FROM k) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(list_sum(ys[h + 1 : len(ys) - h]), 4) + 0.0 AS total FROM c")
 def out17(spark, d):
     c = packed(spark, d).withColumn("c", P.crop_center(F.col("values"), 0.375))
     return c.select("chrom", "w", F.size("c").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("out18_crop_length", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CASE WHEN len(ys) = 40 THEN 0 ELSE (len(ys) - 40 + 1) // 2 END AS h FROM k WHERE len(ys) >= 40) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(coalesce(list_sum(ys[h + 1 : len(ys) - h]), 0), 4) AS total FROM c")
+@query("out18_crop_length", f"WITH {TRACK}, c AS (SELECT chrom, w, ys, CASE WHEN len(ys) = 40 THEN 0 ELSE (len(ys) - 40 + 1) // 2 END AS h FROM k WHERE len(ys) >= 40) SELECT chrom, w, CAST(len(ys) - 2 * h AS INTEGER) AS n, round(coalesce(list_sum(ys[h + 1 : len(ys) - h]), 0), 4) + 0.0 AS total FROM c")
 def out18(spark, d):
     c = packed(spark, d).where(F.size("values") >= 40).withColumn("c", P.crop_to_length(F.col("values"), 40))
     return c.select("chrom", "w", F.size("c").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
@@ -166,7 +166,7 @@ def out20(spark, d):
 
 
 @query("out21_upsample", f"""WITH {TRACK}, x AS (SELECT chrom, w, ys, unnest(range(1, 2 * len(ys) + 1)) AS j FROM k)
-    SELECT chrom, w, j - 1 AS i, round(ys[(j + 1) // 2], 6) AS nearest, round(CASE WHEN j % 2 = 1 THEN ys[(j + 1) // 2] ELSE ys[j // 2] + (coalesce(ys[j // 2 + 1], ys[j // 2]) - ys[j // 2]) / 2 END, 6) AS linear FROM x""")
+    SELECT chrom, w, j - 1 AS i, round(ys[(j + 1) // 2], 6) + 0.0 AS nearest, round(CASE WHEN j % 2 = 1 THEN ys[(j + 1) // 2] ELSE ys[j // 2] + (coalesce(ys[j // 2 + 1], ys[j // 2]) - ys[j // 2]) / 2 END, 6) + 0.0 AS linear FROM x""")
 def out21(spark, d):
     both = packed(spark, d).select("chrom", "w", F.arrays_zip(P.upsample_x2(F.col("values")).alias("a"), P.upsample_x2(F.col("values"), "linear").alias("b")).alias("x"))
     return both.select("chrom", "w", F.posexplode("x").alias("i", "x")).select("chrom", "w", F.col("i").cast("long").alias("i"), F.round("x.a", 6).alias("nearest"), F.round("x.b", 6).alias("linear"))
@@ -194,7 +194,7 @@ def out23(spark, d):
 
 @query("out24_mcc", f"""WITH {PAIRS}, t AS (SELECT truth AS k, count(*) AS t FROM pairs GROUP BY 1), q AS (SELECT pred AS k, count(*) AS p FROM pairs GROUP BY 1),
     m AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM pairs) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM pairs WHERE truth = pred) AS c, (SELECT CAST(sum(t * p) AS DOUBLE) FROM t JOIN q USING (k)) AS pt, (SELECT CAST(sum(t * t) AS DOUBLE) FROM t) AS tt, (SELECT CAST(sum(p * p) AS DOUBLE) FROM q) AS pp)
-    SELECT round((c * s - pt) / sqrt((s * s - pp) * (s * s - tt)), 6) AS mcc FROM m""")
+    SELECT round((c * s - pt) / sqrt((s * s - pp) * (s * s - tt)), 6) + 0.0 AS mcc FROM m""")
 def out24(spark, d):
     return model_outputs.mcc(pairs(spark, d)).select(F.round("mcc", 6).alias("mcc"))
 

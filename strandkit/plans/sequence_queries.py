@@ -326,7 +326,7 @@ def msk7(spark, d):
 
 @query("msk8_rescale", f"""WITH {X.EMB}, k AS (SELECT seq_id, pos, v, CASE WHEN (seq_id + pos) % 4 = 0 THEN 2 ELSE 6 END AS token_id FROM e),
     o AS (SELECT seq_id, avg(CASE WHEN (seq_id + p) % 4 = 0 THEN 1.0 ELSE 0.0 END) AS observed FROM (SELECT DISTINCT seq_id, unnest(range(0, 8)) AS p FROM e) GROUP BY seq_id)
-    SELECT seq_id, pos, d - 1 AS dim, round(CAST(v[d] AS DOUBLE) * CASE WHEN token_id = 2 THEN 0.0 ELSE (1 - 0.15 * 0.8) / (1 - observed) END, 6) AS x FROM k JOIN o USING (seq_id), range(1, 65) t(d)""")
+    SELECT seq_id, pos, d - 1 AS dim, round(CAST(v[d] AS DOUBLE) * CASE WHEN token_id = 2 THEN 0.0 ELSE (1 - 0.15 * 0.8) / (1 - observed) END, 6) + 0.0 AS x FROM k JOIN o USING (seq_id), range(1, 65) t(d)""")
 def msk8(spark, d):
     e = X.embeddings(spark, d)
     rows = e.select("seq_id").distinct().withColumn("ids", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.when((F.col("seq_id") + p) % 4 == 0, 2).otherwise(6)))
