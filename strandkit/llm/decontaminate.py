@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import map_batches
+from strandkit.llm.common import map_batches, sliced
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
@@ -84,7 +84,7 @@ def shingle_counts(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> dict[tupl
     def run(batches):
         place_of, total = place.value, Counter()
         lengths = sorted({len(x) for x in place_of})
-        for batch in batches:
+        for batch in sliced(batches):
             for text in _texts(batch, 0):
                 words = words_of(text)
                 for length in lengths:

@@ -40,7 +40,7 @@ def projected(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
         columns = [pa.concat_arrays([pa.array(x[i]) for x in out]) for i in range(5)]
         return pa.RecordBatch.from_arrays(columns, names=["pass", "label", "dim", "key", "rep"])
 
-    return map_batches(vectors.select("rep", F.col("label").cast("string"), "v"), run, "pass int, label string, dim int, key long, rep long")
+    return map_batches(vectors.select("rep", F.col("label").cast("string"), "v"), run, "pass int, label string, dim int, key long, rep long", rows=4096)
 
 
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import map_batches
+from strandkit.llm.common import map_batches, sliced
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 UNDETERMINED = "und"
@@ -72,7 +72,7 @@ def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Li
 class Model:
     """Log frequencies per language of words and n-grams, relative to the mean over languages."""
 
-    def __init__(self, rows: list, limits: Limits, max_kept: int = 400_000):
+    def __init__(self, rows: list, limits: Limits, max_kept: int = 150_000):
         self.limits, self.max_kept = limits, max_kept
         self.langs = sorted({r.lang for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         predict = shared.value.predict
-        for batch in batches:
+        for batch in sliced(batches):
             found = predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 

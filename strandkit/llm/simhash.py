@@ -72,7 +72,7 @@ def dealt_to_anchors(distinct: DataFrame) -> DataFrame:
                 homes.append(np.zeros(int(ok.sum()), bool))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(homes))], names=["key", "fp", "home"])
 
-    return map_batches(distinct.select("fp"), run, "key long, fp long, home boolean")
+    return map_batches(distinct.select("fp"), run, "key long, fp long, home boolean", rows=20_000)
 
 
 def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int, most: int = 1 << 22):

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from strandkit.llm.common import sliced
+
 SPACE = "▁"
 
 
@@ -144,7 +146,7 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, model_file: str | No
 
     def run(batches):
         counter = _counter(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1)
             n_tokens, cut, steps = [], [], []
             for text in texts.to_pylist():
