@@ -56,13 +56,10 @@ def labels_of_links(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 linked by a[i]-b[i]: the smallest node reachable from each."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        # hook the roots as well, then jump to the root's label
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
+        left, right = label[a], label[b]  # roots, which alone are hooked, so no tree is torn
+        low = np.minimum(left, right)
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
         while True:
             jumped = label[label]
             if np.array_equal(jumped, label):
