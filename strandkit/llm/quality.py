@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint
+from strandkit.llm.common import checkpoint, scratch_path, sliced
 
 BEGIN, END = "\x02", "\x03"
 UNKNOWN_LANG = "und"
@@ -171,13 +171,42 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
     return lower.select("lang", "gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, chunk_bytes: int = 32 << 20) -> DataFrame:
+class Scores:
+    """Log probabilities of grams by language, looked up for whole texts."""
+
+    def __init__(self, langs: list[str], grams: list[str], logs: np.ndarray, order: int):
+        self.order, self.of = order, {}
+        langs = np.array(langs, object)
+        for lang in set(langs.tolist()):
+            at = np.flatnonzero(langs == lang)
+            codes = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            slots = GramSlots(max(1 << 16, 4 * len(at)))
+            slots.add(gram_hashes(codes, order)[::order])
+            self.of[lang] = slots, logs[at]
+
+    def score(self, table: pa.Table | pa.RecordBatch) -> pa.Table:
+        """(id, lang, n_chars, perplexity) of rows (id, lang, text)."""
+        out = []
+        for lang, (ids, texts) in _by_lang(table).items():
+            slots, own = self.of[lang]
+            for first, text, begins, counts in _blocks(texts, self.order):
+                values = own[slots.find(_own_grams(text, begins, counts, self.order)[1])]
+                mean = np.add.reduceat(values, np.r_[0, counts.cumsum()[:-1]]) / counts
+                for i, (m, n) in enumerate(zip(mean.tolist(), counts.tolist()), first):
+                    out.append((ids[i], lang, n - 1, float(np.exp(-m)) if n > 1 else None))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["id", "lang", "n_chars", "perplexity"])
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, chunk_bytes: int = 32 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
     """Rows (id, lang, n_chars, perplexity, trusted, calibration).
 
     The documents are dealt to chunks of about chunk_bytes by a hash. A chunk sends its distinct grams, with their counts in
-    trusted documents, to shards by language and gram, where the model is built and each gram scored; the scores come
-    back to the chunks, which sum them up by document. So the model is nowhere held as a whole.
+    trusted documents, to shards by language and gram, where the model is built and each gram scored. A model of up to
+    most_broadcast grams, 12 bytes each, is then broadcast and the documents are scored in place. The scores of a
+    larger one are joined to the grams that the chunks have asked for and go back to the chunks, so that it is nowhere held as a whole.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
@@ -185,32 +214,29 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chunks = base.select(chunk, "id", "lang", "text")
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
     trusted = good.select(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_chunks)).alias("chunk"), "id")
-    counted = gram_counts(chunks, trusted, order).repartition("lang", "gram")
-    model = kneser_ney(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")), order)
-    replies = counted.select("chunk", "lang", "gram").join(model, ["lang", "gram"]).withColumn("id", F.lit(None).cast("long"))
-    marks = trusted.select("chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "id")
-
-    def run(key, left, right):
-        scored = right.filter(right.column("gram").is_valid())
-        known = set(right.filter(right.column("id").is_valid()).column("id").to_pylist())
-        langs, grams, logs = np.array(scored.column("lang").to_pylist(), object), scored.column("gram").to_pylist(), scored.column("logp").to_numpy()
-        out = []
-        for lang, (ids, texts) in _by_lang(left).items():
-            at = np.flatnonzero(langs == lang)
-            codes = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            slots = GramSlots(max(1 << 16, 4 * len(at)))
-            slots.add(gram_hashes(codes, order)[::order] if len(codes) else np.zeros(0, np.uint64))
-            own = logs[at]
-            for first, text, begins, counts in _blocks(texts, order):
-                values = own[slots.find(_own_grams(text, begins, counts, order)[1])]
-                mean = np.add.reduceat(values, np.r_[0, counts.cumsum()[:-1]]) / counts
-                for i, (m, n) in enumerate(zip(mean.tolist(), counts.tolist()), first):
-                    out.append((ids[i], lang, n - 1, float(np.exp(-m)) if n > 1 else None, ids[i] in known))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["id", "lang", "n_chars", "perplexity", "trusted"])
-
-    scored = chunks.groupBy("chunk").cogroup(replies.unionByName(marks).groupBy("chunk")).applyInArrow(run, "id long, lang string, n_chars long, perplexity double, trusted boolean")
-    return scored.withColumn("calibration", F.col("trusted") & (F.crc32(F.col("id").cast("string")) % 5 == 0))
+    path = scratch_path(spark, "grams")
+    gram_counts(chunks, trusted, order).write.parquet(path)
+    counted = spark.read.parquet(path)
+    model = checkpoint(kneser_ney(checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a"))), order))
+    if model.count() <= most_broadcast:
+        held = model.toArrow()
+        shared = spark.sparkContext.broadcast((held.column("lang").to_pylist(), held.column("gram").to_pylist(), held.column("logp").to_numpy()))
+
+        def run(batches):
+            scores = Scores(*shared.value, order)
+            for batch in sliced(batches):
+                yield from scores.score(batch).to_batches()
+
+        scored = base.mapInArrow(run, "id long, lang string, n_chars long, perplexity double")
+    else:
+        replies = counted.select("chunk", "lang", "gram").join(model, ["lang", "gram"])
+
+        def back(key, left, right):
+            return Scores(right.column("lang").to_pylist(), right.column("gram").to_pylist(), right.column("logp").to_numpy(), order).score(left)
+
+        scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, "id long, lang string, n_chars long, perplexity double")
+    marked = scored.join(trusted.select("id", F.lit(True).alias("trusted")), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return marked.withColumn("calibration", F.col("trusted") & (F.crc32(F.col("id").cast("string")) % 5 == 0))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = 0.99, margin: float = 1.15, slack: float = 3.0, **more) -> DataFrame:
