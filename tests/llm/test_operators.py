@@ -404,13 +404,14 @@ def test_kneser_ney_sums_to_one_and_prefers_what_it_knows(spark):
     assert all(0 < x <= 1 for x in p.values())
 
 
-def test_quality(spark):
+@pytest.mark.parametrize("most", [2_000_000, 10])
+def test_quality(spark, most):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(WORDS["en"]) for _ in range(60)), "en" if i % 2 else None) for i in range(200)]
     rows += [(i, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "en") for i in range(200, 240)] + [(300, None, "en"), (301, "", "en"), (None, "the river", "en"), (1, rows[1][1], "en")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string")).repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150)] + [(i, 1, 1) for i in range(200, 210)] + [(None, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
-    got = quality.classify(df, labels, chunk_bytes=6000).collect()
+    got = quality.classify(df, labels, chunk_bytes=6000, most_broadcast=most).collect()
     assert len(got) == len(rows)
     assert all(r.keep for r in got if r.doc_id is not None and r.doc_id < 200) and not any(r.keep for r in got if r.doc_id is not None and r.doc_id >= 200)
     assert {r.lang for r in got} == {"en", "und"}
@@ -464,9 +465,9 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = [(i, text, lang, source, len(text)) for i, text, lang, source in random_docs()] + [(i, t, lang, s, None) for i, t, lang, s in ODD]
-    rows.append((500, "the stone and the river of that one two three four five six", "en", "src1", 10))
+    rows.append((500, "the stone and the river of that one two three four five six and", "en", "src1", 10))
     spark.createDataFrame(rows, DOCS + ", n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, "River of that one two three four five six, and so on")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "River of that one two three four five six, and so on.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "mixing", "sharding"]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
