@@ -93,6 +93,18 @@ ORACLES = {
         SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op3_mixing": """
+        WITH b AS (SELECT source, sum(octet_length(encode(coalesce(text, '')))) AS bytes FROM documents GROUP BY source),
+        w AS (SELECT source, CAST(bytes AS DOUBLE) AS bytes, CASE WHEN bytes = 0 THEN 0.0 WHEN source = 'src1' THEN 2.0 WHEN source = 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM b),
+        r AS (SELECT source, CASE WHEN bytes > 0 THEN weight / sum(weight) OVER () * sum(bytes) OVER () / bytes ELSE 0.0 END AS rate FROM w),
+        k AS (SELECT source, rate, unnest(range(0, CASE WHEN rate > 0 THEN CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1 ELSE 1 END)) AS k FROM r),
+        f AS (SELECT *, sum(CASE WHEN k > 0 THEN ln(CAST(greatest(k, 1) AS DOUBLE)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
+        c AS (SELECT source, sum(CASE WHEN rate > 0 THEN exp(k * ln(CASE WHEN rate > 0 THEN rate ELSE 1 END) - rate - lf) ELSE 1.0 END) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
+        u AS (SELECT *, CAST(('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM documents),
+        n AS (SELECT doc_id, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND cdf <= u GROUP BY doc_id)
+        SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, CAST(n AS INTEGER) AS n_copies, md5('order17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+        FROM (SELECT documents.*, n, unnest(range(0, n)) AS copy FROM documents JOIN n USING (doc_id))
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
              f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
