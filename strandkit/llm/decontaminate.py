@@ -35,34 +35,36 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-class Index:
-    """The windows of a block of items, each filed under its rarest shingle.
+#: Windows by their rarest shingle: (offset of the shingle, words, items).
+Filed = dict[tuple[bytes, ...], list[tuple[int, list[bytes], frozenset[str]]]]
+
+
+def file_windows(items: dict[tuple[bytes, ...], set[str]], counts: dict[tuple[bytes, ...], int], size: int) -> Filed:
+    """The windows of a block of items, each under its rarest shingle.
 
     A window is contained in a document only if all of its shingles are, so the prefix that a join must look at
-    is one shingle long; the rarest gives the fewest candidates.
+    is one shingle long; the rarest gives the fewest candidates. Windows of which no document has that are left out.
     """
-
-    def __init__(self, items: dict[tuple[bytes, ...], set[str]], counts: dict[tuple[bytes, ...], int], size: int):
-        self.size = size
-        self.filed: dict[tuple[bytes, ...], list[tuple[int, list[bytes], frozenset[str]]]] = {}
-        for window, ids in items.items():
-            count, shingle, offset = min((counts.get(x, 0), x, i) for i, x in enumerate(shingles_of(window, size)))
-            if count:  # else no document has it
-                self.filed.setdefault(shingle, []).append((offset, list(window), frozenset(ids)))
-        self.lengths = sorted({len(x) for x in self.filed})
-
-    def search(self, words: list[bytes], hit: bytearray, found: set[str]) -> None:
-        """Mark the words inside occurrences of windows and add their items."""
-        n, filed = len(words), self.filed
-        for length in self.lengths:
-            for at, shingle in enumerate(zip(*(words[i:] for i in range(length)))):
-                if shingle not in filed:
-                    continue
-                for offset, window, ids in filed[shingle]:
-                    start, end = at - offset, at - offset + len(window)
-                    if start >= 0 and end <= n and words[start:end] == window:  # positional and length bounds, then all words
-                        hit[start:end] = b"\1" * len(window)
-                        found |= ids
+    filed: Filed = {}
+    for window, ids in items.items():
+        count, shingle, offset = min((counts.get(x, 0), x, i) for i, x in enumerate(shingles_of(window, size)))
+        if count:
+            filed.setdefault(shingle, []).append((offset, list(window), frozenset(ids)))
+    return filed
+
+
+def search(filed: Filed, lengths: list[int], words: list[bytes], hit: bytearray, found: set[str]) -> None:
+    """Mark the words inside occurrences of windows and add their items; lengths are those of the shingles."""
+    n = len(words)
+    for length in lengths:
+        for at, shingle in enumerate(zip(*(words[i:] for i in range(length)))):
+            if shingle not in filed:
+                continue
+            for offset, window, ids in filed[shingle]:
+                start, end = at - offset, at - offset + len(window)
+                if start >= 0 and end <= n and words[start:end] == window:  # positional and length bounds, then all words
+                    hit[start:end] = b"\1" * len(window)
+                    found |= ids
 
 
 def _block_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -127,15 +129,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         for row in windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block).toLocalIterator():
             of_block.setdefault(tuple(bytes(row.window).split(b" ")), set()).add(row.item)
         counts = shingle_counts(narrow.select("text"), {x for w in of_block for x in shingles_of(w, shingle)})
-        index = spark.sparkContext.broadcast(Index(of_block, counts, shingle))
+        index = spark.sparkContext.broadcast(file_windows(of_block, counts, shingle))
 
         def run(batch, index=index):
-            search = index.value.search
+            filed = index.value
+            lengths = sorted({len(x) for x in filed})
             n_words, hits, founds = [], [], []
             for text, hit, found in zip(_texts(batch, 1), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 words = words_of(text)
                 hit, found = bytearray(hit or bytes(len(words))), set(found)
-                search(words, hit, found)
+                search(filed, lengths, words, hit, found)
                 n_words.append(len(words))
                 hits.append(bytes(hit) if found else None)
                 founds.append(sorted(found))

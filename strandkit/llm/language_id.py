@@ -72,8 +72,8 @@ def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Li
 class Model:
     """Log frequencies per language of words and n-grams, relative to the mean over languages."""
 
-    def __init__(self, rows: list, limits: Limits, max_kept: int = 150_000):
-        self.limits, self.max_kept = limits, max_kept
+    def __init__(self, rows: list, limits: Limits):
+        self.longest = limits.longest
         self.langs = sorted({r.lang for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
         self.place: list[dict[str, int]] = [{} for _ in range(limits.longest + 1)]  # of a feature in the matrix
@@ -91,9 +91,24 @@ class Model:
                 counts = self.logs[own] + limits.smoothing
                 logs = np.log(counts / (counts.sum(0) + limits.smoothing))
                 self.logs[own] = logs - logs.mean(1, keepdims=True)
-        self.kept: dict[str, int] = {}
+        self.keep()
+
+    def keep(self, max_kept: int = 150_000) -> None:
+        """Start without scored words; up to max_kept of them will be kept."""
+        self.max_kept, self.kept = max_kept, {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
 
+    def state(self) -> tuple:
+        """The model as plain data, which needs no class to be read."""
+        return self.longest, self.langs, self.place, self.logs
+
+    @classmethod
+    def of_state(cls, state: tuple) -> Model:
+        model = cls.__new__(cls)
+        model.longest, model.langs, model.place, model.logs = state
+        model.keep()
+        return model
+
     def _score(self, words: list[str]) -> np.ndarray:
         """Scores of words: of a known one its own; else the mean of its longest n-grams of which any is known; else zeros."""
         out = np.zeros((len(words), len(self.langs)))
@@ -101,7 +116,7 @@ class Model:
         at = [i for i, w in enumerate(words) if w in known]
         out[at] = self.logs[[known[words[i]] for i in at]]
         left = [i for i, w in enumerate(words) if w not in known]
-        for n in range(self.limits.longest, 0, -1):
+        for n in range(self.longest, 0, -1):
             place, flat, sizes, at, unknown = self.place[n], [], [], [], []
             for i in left:
                 word = f"<{words[i]}>"
@@ -167,10 +182,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     predictions; an empty table gives no rows. One narrow pass; the model, bounded by its limits, is broadcast.
     """
     given = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches):
-        predict = shared.value.predict
+        predict = Model.of_state(shared.value).predict
         for batch in sliced(batches):
             found = predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])

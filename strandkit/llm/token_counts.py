@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import functools
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,12 @@ class PrefixCounter:
         return steps
 
 
-@functools.cache
 def _counter(model_file: str) -> PrefixCounter:
-    return PrefixCounter(model_file)
+    """The counter of this process, which outlives a task, with the units that it has kept."""
+    held = sys.modules.setdefault("strandkit_worker_state", types.ModuleType("strandkit_worker_state")).__dict__
+    if model_file not in held:
+        held[model_file] = PrefixCounter(model_file)
+    return held[model_file]
 
 
 def longest_prefix(deltas: bytes | None, budget: int) -> int:
