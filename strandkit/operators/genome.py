@@ -45,7 +45,7 @@ def align_tracks(species_tracks: DataFrame) -> DataFrame:
 
 def encode_species(df: DataFrame, species: DataFrame, on_error: str = "raise") -> DataFrame:
     """df with token_id of its species; an unknown one is an error, or null."""
-    joined = df.join(F.broadcast(species.select("species", F.col("token_id").alias("__id"))), "species", "left")
+    joined = df.join(species.select("species", F.col("token_id").alias("__id")), "species", "left")
     missing = F.raise_error(F.lit("unknown species")).cast("int") if on_error == "raise" else F.lit(None).cast("int")
     return joined.withColumn("token_id", F.coalesce("__id", missing)).drop("__id")
 

@@ -49,7 +49,7 @@ def tokens_to_nucleotides(df: DataFrame, key: str, values: str, k: int, n_featur
 def select_features(df: DataFrame, features: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of df(feature) for wanted(name, rank), with name and rank, and the wanted names that do not exist."""
     named = wanted.join(features.select("name", F.col("idx").alias("feature")), "name")
-    return df.join(F.broadcast(named), "feature"), wanted.join(features, "name", "left_anti").select("name")
+    return df.join(named, "feature"), wanted.join(features, "name", "left_anti").select("name")
 
 
 def masked_pairs(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:

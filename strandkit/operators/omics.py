@@ -54,7 +54,7 @@ def pack_genes(expr: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
     complete tells whether it had all of them. The pairs are collected per sample, as many as there are genes.
     """
     n = genes.agg(F.count("*").alias("n_genes"))
-    got = expr.join(F.broadcast(genes.select("gene", "gene_pos")), "gene").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("gene_pos", "value"))).alias("by_pos"))
+    got = expr.join(genes.select("gene", "gene_pos"), "gene").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("gene_pos", "value"))).alias("by_pos"))
     positions = lambda: F.sequence(F.lit(0), F.col("n_genes").cast("int") - 1)
     values = F.transform(positions(), lambda i: F.coalesce(F.element_at("by_pos", i), F.lit(0.0)))
     return got.join(F.broadcast(n)).select(*by, values.alias("values"), (F.size("by_pos") == F.col("n_genes")).alias("complete"))
@@ -62,7 +62,7 @@ def pack_genes(expr: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
 
 def tokenize_omics(expr: DataFrame, settings: DataFrame) -> DataFrame:
     """expr with bin, by settings(omic, low, high, n_bins, factor, log) of its modality."""
-    joined = expr.join(F.broadcast(settings), "omic")
+    joined = expr.join(settings, "omic")
     x = F.when(F.col("log"), F.log10(1 + F.col("value"))).otherwise(F.col("value")) / F.col("factor")
     joined = joined.withColumn("x", x)
     step = (F.col("high") - F.col("low")) / (F.col("n_bins") - 1)
@@ -79,7 +79,7 @@ def pair_omics(first: DataFrame, second: DataFrame, key: str, names: tuple[str,
 
 def map_genes(var: DataFrame, vocab: DataFrame, coding: DataFrame) -> DataFrame:
     """var(gene_idx, gene_id) with pos: gene id to vocabulary index to coding position; -1 if either lacks it."""
-    through = var.join(F.broadcast(vocab.select("gene_id", "vocab_idx")), "gene_id", "left").join(F.broadcast(coding.select("vocab_idx", "pos")), "vocab_idx", "left")
+    through = var.join(vocab.select("gene_id", "vocab_idx"), "gene_id", "left").join(coding.select("vocab_idx", "pos"), "vocab_idx", "left")
     return through.select("gene_idx", "gene_id", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
@@ -89,7 +89,7 @@ def expressed(counts: DataFrame) -> DataFrame:
 
 def keep_mapped(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entries of mapped genes, with their position. Cells without any vanish."""
-    return counts.join(F.broadcast(mapping.where("pos <> -1").select("gene_idx", "pos")), "gene_idx")
+    return counts.join(mapping.where("pos <> -1").select("gene_idx", "pos"), "gene_idx")
 
 
 def cells_dropped(counts: DataFrame, kept: DataFrame) -> DataFrame:

@@ -65,13 +65,13 @@ def add_tokens(vocab: DataFrame, new: DataFrame, kind: str = "standard") -> Data
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk: int | None = None, on_error: str = "raise") -> DataFrame:
     """Long form (key, pos, token, token_id) of a token array; an unknown token gives unk, or else an error or null."""
-    long = df.select(key, F.posexplode(tokens).alias("pos", "token")).join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+    long = df.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
     missing = F.lit(unk) if unk is not None else F.raise_error(F.lit("token not in the vocabulary")).cast("int") if on_error == "raise" else F.lit(None).cast("int")
     return long.select(key, "pos", "token", F.coalesce("token_id", missing).alias("token_id"))
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, on_error: str = "raise") -> DataFrame:
     """Long form (key, pos, token_id, token) of an id array."""
-    long = df.select(key, F.posexplode(ids).alias("pos", "token_id")).join(F.broadcast(vocab.select("token", "token_id")), "token_id", "left")
+    long = df.select(key, F.posexplode(ids).alias("pos", "token_id")).join(vocab.select("token", "token_id"), "token_id", "left")
     missing = F.raise_error(F.lit("id not in the vocabulary")).cast("string") if on_error == "raise" else F.lit(None).cast("string")
     return long.select(key, "pos", "token_id", F.coalesce("token", missing).alias("token"))
