@@ -60,7 +60,9 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)])
         starts.append(own[new] + at)
         counts.append(np.diff(np.r_[new, len(own)]))
-        hashes.append(h[anchor[new].astype(np.int64)])
+        least = h[anchor[new].astype(np.int64)]  # the least of many, so not spread evenly any more
+        least = least * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes.append(least ^ least >> np.uint64(32))
     return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((starts, np.int64), (counts, np.int64), (hashes, np.uint64)))
 
 
@@ -242,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = base.withColumn("chunk", chunk)
 
     def shard_of(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
+        return ((hashes >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)  # grows with the hash
 
     def request(key, table):
         own = Chunk(table)
