@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandkit.functions.arrays import let
 from strandkit.functions.sequence import fail_unless
 
 
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
+def _raised(x: Column) -> Column:
+    """Exponentials, shifted by the maximum."""
+    return let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+
 def softmax(x: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    top = F.array_max(x)
-    raised = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    return let(_raised(x), lambda raised: let(_total(raised), lambda total: F.transform(raised, lambda v: v / total)))
 
 
 def positive_prob(x: Column) -> Column:
     """Probability of the last class."""
-    top = F.array_max(x)
-    return F.exp(F.element_at(x, -1) - top) / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return let(_raised(x), lambda raised: F.element_at(raised, -1) / _total(raised))
 
 
 def log_prob(x: Column, at: Column) -> Column:
     """Log probability of the class with that number, from 0."""
-    top = F.array_max(x)
-    return F.get(x, at) - top - F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return F.get(x, at) - F.array_max(x) - F.log(_total(_raised(x)))
 
 
 def argmax(x: Column, m: int | None = None) -> Column:
@@ -36,7 +42,7 @@ def argmax(x: Column, m: int | None = None) -> Column:
 def top_k(x: Column, k: int) -> Column:
     """Structs (p, id) of the k greatest probabilities, the lower id first among equals."""
     p = softmax(x)
-    pairs = F.transform(p, lambda v, i: F.struct((-v).alias("minus"), i.alias("id")))
+    pairs = F.transform(p, lambda v, i: F.struct((-v).alias("minus"), i.alias("id")))  # of equal ones the lower id first
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: F.struct((-s["minus"]).alias("p"), s["id"].alias("id")))
 
 
@@ -95,7 +101,7 @@ def compact_outputs(values: Column, ids: Column, placeholder: int, r: int) -> Co
     starts = F.filter(F.transform(ids, lambda x, i: F.when(x == placeholder, i)), lambda i: i.isNotNull())
     # by the time of its turn, place i counts without the values that earlier placeholders removed
     ranges = F.transform(starts, lambda s, j: s + 1 + j * r)
-    kept = F.filter(values, lambda v, i: ~F.exists(ranges, lambda a: (i >= a) & (i < a + r)))
+    kept = let(ranges, lambda removed: F.filter(values, lambda v, i: ~F.exists(removed, lambda a: (i >= a) & (i < a + r))))
     return F.concat(kept, F.array_repeat(F.lit(0.0), F.size(values) - F.size(kept)))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandkit.functions.arrays import dense
 from strandkit.functions.tokens import pad_to
 from strandkit.operators.numbering import number_rows
 
@@ -51,13 +52,11 @@ def fill_missing_modality(ids: Column, n: int, mask: int) -> Column:
 def pack_genes(expr: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
     """(by, values, complete): expression in the order of genes(gene, gene_pos), zero where a sample lacks the gene.
 
-    complete tells whether it had all of them. The pairs are collected per sample, as many as there are genes.
+    Of a gene given twice the greatest value counts. complete tells whether the sample had all genes. The pairs are collected per sample, as many as there are genes.
     """
     n = genes.agg(F.count("*").alias("n_genes"))
-    got = expr.join(genes.select("gene", "gene_pos"), "gene").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("gene_pos", "value"))).alias("by_pos"))
-    positions = lambda: F.sequence(F.lit(0), F.col("n_genes").cast("int") - 1)
-    values = F.transform(positions(), lambda i: F.coalesce(F.element_at("by_pos", i), F.lit(0.0)))
-    return got.join(F.broadcast(n)).select(*by, values.alias("values"), (F.size("by_pos") == F.col("n_genes")).alias("complete"))
+    got = expr.join(genes.select("gene", "gene_pos"), "gene").groupBy(*by).agg(F.collect_list(F.struct(F.col("gene_pos").alias("pos"), "value")).alias("entries"))
+    return got.join(F.broadcast(n)).select(*by, dense(F.col("entries"), F.col("n_genes"), F.lit(0.0)).alias("values"), (F.size(F.array_distinct(F.transform("entries", lambda x: x["pos"]))) == F.col("n_genes")).alias("complete"))
 
 
 def tokenize_omics(expr: DataFrame, settings: DataFrame) -> DataFrame:
@@ -117,9 +116,9 @@ def bin_per_cell(counts: DataFrame, n: int) -> DataFrame:
 def densify(binned: DataFrame, n_genes: int, value: str = "bin", pad: int | None = None, length: int | None = None) -> DataFrame:
     """(cell_id, values): a dense vector per cell; of genes at the same position the last one holds; zero elsewhere."""
     last = binned.groupBy("cell_id", "pos").agg(F.max_by(value, "gene_idx").alias("value"))
-    packed = last.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("at"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_genes - 1)), lambda i: F.coalesce(F.element_at("at", i), F.lit(0)))
-    return packed.select("cell_id", (dense if pad is None else pad_to(dense, length, F.lit(pad))).alias("values"))
+    packed = last.groupBy("cell_id").agg(F.collect_list(F.struct("pos", "value")).alias("entries"))
+    values = dense(F.col("entries"), F.lit(n_genes), F.lit(0))
+    return packed.select("cell_id", (values if pad is None else pad_to(values, length, F.lit(pad))).alias("values"))
 
 
 def batch_rows(df: DataFrame, key: str, n: int, name: str = "batch") -> DataFrame:

@@ -127,18 +127,23 @@ def omx12(spark, d):
 
 
 DENSE = BINNED + """, last AS (SELECT cell_id, pos, arg_max(bin, gene_idx) AS bin FROM binned GROUP BY cell_id, pos),
-    grid AS (SELECT cell_id, unnest(range(0, 80)) AS pos FROM (SELECT DISTINCT cell_id FROM kept)),
+    grid AS (SELECT cell_id, unnest(range(0, (SELECT max(p_partkey) // 3 + 1 FROM part))) AS pos FROM (SELECT DISTINCT cell_id FROM kept)),
     dense AS (SELECT grid.cell_id, grid.pos, coalesce(bin, 0) AS bin FROM grid LEFT JOIN last ON grid.cell_id = last.cell_id AND grid.pos = last.pos)"""
 
 
+def n_positions(spark, d):
+    return X.table(spark, d, "part").agg(F.expr("max(p_partkey) div 3 + 1")).first()[0]
+
+
 @query("omx13_densify", f"WITH {DENSE} SELECT cell_id, string_agg(CAST(bin AS VARCHAR), ',' ORDER BY pos) AS vals FROM dense GROUP BY cell_id")
 def omx13(spark, d):
-    return O.densify(O.bin_per_cell(kept(spark, d), 8), 80).select("cell_id", csv(F.col("values")).alias("vals"))
+    return O.densify(O.bin_per_cell(kept(spark, d), 8), n_positions(spark, d)).select("cell_id", csv(F.col("values")).alias("vals"))
 
 
 @query("omx14_pad_dense", f"WITH {DENSE} SELECT cell_id, string_agg(CAST(bin AS VARCHAR), ',' ORDER BY pos) || repeat(',9', 16) AS vals FROM dense GROUP BY cell_id")
 def omx14(spark, d):
-    return O.densify(O.bin_per_cell(kept(spark, d), 8), 80, pad=9, length=96).select("cell_id", csv(F.col("values")).alias("vals"))
+    n = n_positions(spark, d)
+    return O.densify(O.bin_per_cell(kept(spark, d), 8), n, pad=9, length=n + 16).select("cell_id", csv(F.col("values")).alias("vals"))
 
 
 def small_cells(spark, d):
