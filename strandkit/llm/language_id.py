@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import map_batches, sliced
+from strandkit.llm.common import checkpoint, map_batches, sliced
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 UNDETERMINED = "und"
@@ -47,24 +47,38 @@ def sampled(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int) -> D
     return labelled.join(sizes, lang_col).where(share * F.col("rows_of_lang") < per_lang)
 
 
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "length", "feature", "n"])
+
+
+FEATURES = "lang string, length int, feature string, n long"
+
+
 def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Limits) -> DataFrame:
-    """Rows (lang, length, feature, n): length 0 for words, else that of the n-gram; the most frequent of each."""
+    """Rows (lang, length, feature, n): length 0 for words, else that of the n-gram; the most frequent of each.
 
-    def run(batch):
-        counts: dict[tuple[str, int], Counter] = {}
+    Words are counted in the texts, n-grams in the counted words, each of which stands for all its occurrences.
+    """
+
+    def words_in(batch):
+        counts: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault((lang, 0), Counter()).update(WORD(text.lower()))
-        for lang in {lang for lang, _ in counts}:
-            for word, times in counts[lang, 0].items():
-                for n in range(1, limits.longest + 1):
-                    own = counts.setdefault((lang, n), Counter())
-                    for gram in _grams(word, n):
-                        own[gram] += times
-        rows = [(lang, n, x, k) for (lang, n), own in counts.items() for x, k in own.items()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "length", "feature", "n"])
-
-    counted = map_batches(labelled.select(text_col, lang_col), run, "lang string, length int, feature string, n long").groupBy("lang", "length", "feature").agg(F.sum("n").alias("n"))
+            counts.setdefault(lang, Counter()).update(WORD(text.lower()))
+        return _counted([(lang, 0, x, n) for lang, own in counts.items() for x, n in own.items()])
+
+    def grams_in(batch):
+        counts: dict[tuple[str, int], Counter] = {}
+        for lang, word, times in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for n in range(1, limits.longest + 1):
+                own = counts.setdefault((lang, n), Counter())
+                for gram in _grams(word, n):
+                    own[gram] += times
+        return _counted([(lang, n, x, k) for (lang, n), own in counts.items() for x, k in own.items()])
+
+    total = lambda df: df.groupBy("lang", "length", "feature").agg(F.sum("n").alias("n"))
+    words = checkpoint(total(map_batches(labelled.select(text_col, lang_col), words_in, FEATURES)))
+    counted = words.unionByName(total(map_batches(words, grams_in, FEATURES, rows=20_000)))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "feature"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, limits.words_per_lang).otherwise(limits.grams_per_lang)).drop("rank")
 
