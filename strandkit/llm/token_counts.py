@@ -33,7 +33,7 @@ class PrefixCounter:
     separate units are independent, and frequent units are kept with their counts, max_kept of them at most.
     """
 
-    def __init__(self, model_file: str, max_kept: int = 300_000):
+    def __init__(self, model_file: str, max_kept: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -41,23 +41,26 @@ class PrefixCounter:
         self.score = {model.id_to_piece(i): model.get_score(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         if any(SPACE in piece.lstrip(SPACE) for piece in self.score):
             raise ValueError("a piece holds a space after another character")
-        self.longest = max(map(len, self.score))
+        self.reach: dict[str, int] = {}  # length of the longest piece that ends in three given characters
+        for piece in self.score:
+            self.reach[piece[-3:]] = max(len(piece), self.reach.get(piece[-3:], 2))
+        self.pieces = list(self.score)
+        self.number = {piece: i for i, piece in enumerate(self.pieces)}
         self.max_kept = max_kept
         self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left number << 20 | right number
         mixes = regex.compile(r"\p{L}[^\p{L}▁]|[^\p{L}▁]\p{L}").search
         if any(map(mixes, self.score)) or "\n" in "".join(self.score):
             self.units = regex.compile("▁+[^▁]*|[^▁]+").findall
         else:
             self.units = regex.compile(r"▁*\p{L}+|▁+[^\p{L}▁\n]*|[^\p{L}▁\n]+|\n").findall
 
-    def stays(self, left: str, right: str) -> bool:
-        """Whether left followed by right is encoded as just these two tokens."""
-        key = left, right
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2 * self.max_kept:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+    def stays(self, key: int) -> bool:
+        """Whether the two pieces of a key, one after the other, are encoded as just these two tokens."""
+        if len(self.pairs) > 2 * self.max_kept:
+            self.pairs.clear()
+        left, right = self.pieces[key >> 20], self.pieces[key & (1 << 20) - 1]
+        known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -80,18 +83,23 @@ class PrefixCounter:
 
         A step is at least minus the longest piece and at most four.
         """
-        score, longest, pairs, stays = self.score, self.longest, self.pairs, self.stays
-        count, last = [0], [""]
+        number, reach, pairs, stays = self.number.get, self.reach.get, self.pairs, self.stays
+        count, last = [0], [-1]  # last: number of the token that ends the prefix, -1 for none or a character outside the vocabulary
         for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = unit[start:end]
-                if piece in score and (not start or pairs.get((left := last[start], piece), None) or (left, piece) not in pairs and stays(left, piece)):
-                    count.append(count[start] + 1)
-                    last.append(piece)
-                    break
+            for start in range(max(0, end - reach(unit[end - 3 : end], 2)) if end > 2 else 0, end):
+                piece = number(unit[start:end])
+                if piece is None:
+                    continue
+                if (left := last[start]) >= 0:
+                    known = pairs.get(key := left << 20 | piece)
+                    if known is False or known is None and not stays(key):
+                        continue
+                count.append(count[start] + 1)
+                last.append(piece)
+                break
             else:
                 count.append(count[-1] + len(unit[end - 1].encode()))
-                last.append(unit[end - 1])
+                last.append(-1)
         return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
 
     def of_unit(self, unit: str) -> bytes:
