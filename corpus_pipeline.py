@@ -21,8 +21,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), width=3, bits=3)
+    """Of each group of near-duplicates, by SimHash or by 0.8 of the five-word shingles, the document with the smallest id stays."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"), width=3, bits=3, similar=0.8)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.llm.common import checkpoint, connected_components, labels_of_links, map_batches
+from strandkit.llm.jaccard import similar_texts
 
 SEED = 42
 #: Length of the perfect Hamming code that gives the anchors of a half; its covering radius is 1.
@@ -149,17 +150,33 @@ def links(distinct: DataFrame, bits: int = 3, most_homes: int = 1024) -> DataFra
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3, similar: float | None = None, similar_width: int = 5) -> DataFrame:
     """Documents grouped by fingerprints that are linked, directly or over others, by at most so many different bits.
 
+    If similar is given, texts whose shingles of similar_width words have at least this Jaccard similarity are linked as
+    well: their fingerprints differ in some ten bits, more than any covering code reaches at a bearable number of visits.
+
     Returns the id, fingerprint (16 hexadecimal digits) and component_id, the smallest id in the group. Equal
     fingerprints are compared once, however many documents have them. A null, empty or blank text has the fingerprint
     zero and is linked like any other. A null id never names a group unless all of its ids are null; repeated rows
     are kept; an empty table gives no rows; other columns are not read.
     """
-    each = checkpoint(fingerprints(docs, id_col, text_col, width))
+    if similar is None:
+        each = checkpoint(fingerprints(docs, id_col, text_col, width))
+    else:
+        keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
+        each = checkpoint(fingerprints(keyed, "row", "text", width).select("id.id", "id.text_hash", "fp"))
     distinct = checkpoint(each.groupBy("fp").agg(F.min("id").alias("low")))
-    groups = connected_components(links(distinct, bits))
+    edges = links(distinct, bits)
+    if similar is not None:
+        sets, pairs = similar_texts(docs, text_col, similar, similar_width)
+        of_set = each.select("text_hash", "fp").distinct().join(sets, "text_hash").select("set", "fp").distinct()
+        first = checkpoint(of_set.groupBy("set").agg(F.min("fp").alias("first")))
+        same = of_set.join(first, "set").where("fp <> first").select(F.col("fp").alias("src"), F.col("first").alias("dst"))
+        end = lambda side: first.select(F.col("set").alias(side), F.col("first").alias(f"{side}_fp"))
+        pairs = pairs.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst"))
+        edges = edges.unionByName(same).unionByName(pairs)
+    groups = connected_components(edges)
     grouped = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "component").select("fp", "component_id")

@@ -224,6 +224,59 @@ def test_anchors_meet_all_pairs_within_three_bits(spark, most_homes):
     assert {s: got.get(s, s) for s in signed} == expected
 
 
+def jaccard_of(a, b, width=5):
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    a, b = shingles(a or ""), shingles(b or "")
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def near_copies():
+    """Texts of 30 to 300 words with copies that have some words changed, so that many are similar but far in bits."""
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(25):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([30, 60, 120, 300]))]
+        for changed in (0, 1, 2, 3, 5):
+            copy = list(words)
+            for at in rnd.sample(range(len(words)), changed * len(words) // 120 + (changed > 2)):
+                copy[at] = f"n{rnd.randrange(3000)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows + [(900, None), (901, ""), (902, " "), (903, "two words"), (904, "Two  words")]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_by_jaccard(spark, monkeypatch, block):
+    from strandkit.llm import jaccard
+
+    rows = near_copies()
+    fps, far = {i: simhash_of(t) for i, t in rows}, 0
+    pairs = []
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            bits, similar = bin(fps[i] ^ fps[j]).count("1"), jaccard_of(a, b) >= 0.8
+            far += bits > 3 and similar
+            if bits <= 3 or similar:
+                pairs.append((i, j))
+    assert far > 30
+    whole = jaccard.similar_texts
+    monkeypatch.setattr(simhash, "similar_texts", lambda *a: whole(*a, block=block))
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = simhash.near_duplicates(df, similar=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups([i for i, _ in rows], pairs)
+    assert simhash.near_duplicates(empty(spark), similar=0.8).count() == 0
+
+
+def test_pipeline_leaves_no_similar_pair(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, t, "en", "src0") for i, t in near_copies()], DOCS)
+    kept = corpus_pipeline.one_of_each_group(spark, df, "").collect()
+    assert max(jaccard_of(a.text, b.text) for i, a in enumerate(kept) for b in kept[:i]) < 0.8
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, rnd.randrange(1000, 1300)) for _ in range(200)] + [(5, 5)]
