@@ -21,9 +21,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by SimHash or by 0.8 of the five-word shingles, the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), width=3, bits=3, similar=0.8)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates, by SimHash or by 0.8 of the five-word shingles, one row stays.
+
+    It is the row with the smallest id, null ids last; of rows with the same id, or none, the one with the smallest
+    hash of its text, then of all its columns. Of equal rows one stays. Texts without words are one group.
+    """
+    kind = docs.schema["doc_id"].dataType
+    rank = F.struct(F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("of_text"), F.xxhash64(*docs.columns).alias("of_row"))
+    ranked = docs.withColumn("__rank", rank)
+    groups = simhash.near_duplicates(ranked.select("__rank", "text"), id_col="__rank", width=3, bits=3, similar=0.8)
+    first = groups.select(F.col("component_id").alias("__rank")).distinct()
+    return ranked.join(first, "__rank", "left_semi").dropDuplicates(["__rank"]).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -543,6 +543,17 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    long = "x" * 5000
+    rows = [(904, long, "en", "src0"), (904, long, "en", "src0"), (904, long, "fr", "src1"), (None, long, "en", "src0"), (7, "the river and the stone", "en", "src0"), (None, "the river and the stone", "en", "src0")]
+    rows += [(None, "no number at all", "en", "src2"), (None, "no number at all", "en", "src2"), (None, "no number at all", "en", None), (8, None, "en", "src0"), (9, "", None, "src0"), (None, " ", "en", "src0")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, df, "").select("doc_id", "text").collect()), key=str)
+    assert kept == [(7, "the river and the stone"), (8, None), (904, long), (None, "no number at all")]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
