@@ -13,6 +13,8 @@ from strandkit.llm.common import checkpoint, scratch_path, sliced
 
 BEGIN, END = "\x02", "\x03"
 UNKNOWN_LANG = "und"
+#: Names the model of the trusted text of all languages, which scores languages that have none of their own.
+POOLED = "\x02all"
 
 
 class GramSlots:
@@ -188,7 +190,7 @@ class Scores:
         """(id, lang, n_chars, perplexity) of rows (id, lang, text)."""
         out = []
         for lang, (ids, texts) in _by_lang(table).items():
-            slots, own = self.of[lang]
+            slots, own = self.of[lang] if lang in self.of else self.of[POOLED]
             for first, text, begins, counts in _blocks(texts, self.order):
                 values = own[slots.find(_own_grams(text, begins, counts, self.order)[1])]
                 mean = np.add.reduceat(values, np.r_[0, counts.cumsum()[:-1]]) / counts
@@ -199,7 +201,10 @@ class Scores:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, chunk_bytes: int = 32 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
-    """Rows (id, lang, n_chars, perplexity, trusted, calibration).
+    """Rows (id, lang, n_chars, perplexity, trusted, calibration, pooled).
+
+    A language of which nothing was learned is scored by a model of the trusted text of all languages, marked as pooled. If
+    there is any, the calibration documents come a second time, with the language POOLED and their scores under that model.
 
     The documents are dealt to chunks of about chunk_bytes by a hash. A chunk sends its distinct grams, with their counts in
     trusted documents, to shards by language and gram, where the model is built and each gram scored. A model of up to
@@ -217,7 +222,21 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     path = scratch_path(spark, "grams")
     gram_counts(chunks, trusted, order).write.parquet(path)
     counted = spark.read.parquet(path)
-    model = checkpoint(kneser_ney(checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a"))), order))
+    summed = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")))
+    learned = checkpoint(summed.groupBy("lang").agg((F.max("a") > 0).alias("learned")))
+    if learned.where("not learned").count():
+        held_back = trusted.where(F.crc32(F.col("id").cast("string")) % 5 == 0).select("id")
+        again = base.join(held_back, "id", "left_semi").select("id", F.lit(POOLED).alias("lang"), "text")
+        base, chunks = base.unionByName(again), chunks.unionByName(again.select(chunk, "id", "lang", "text"))
+        path = scratch_path(spark, "pooled-grams")
+        gram_counts(again.select(chunk, "id", "lang", "text"), trusted.limit(0), order).write.parquet(path)
+        own = F.when(F.col("learned"), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
+        counted = counted.join(learned, "lang").select("chunk", own, "gram", "n").unionByName(spark.read.parquet(path).select("chunk", "lang", "gram", "n"))
+        whole = summed.where("a > 0").select(F.lit(POOLED).alias("lang"), "gram", "a")
+        asked = counted.where(F.col("lang") == POOLED).select("lang", "gram", F.lit(0).cast("long").alias("a"))
+        kept = summed.join(learned.where("learned"), "lang", "left_semi").select("lang", "gram", "a")
+        summed = checkpoint(kept.unionByName(whole.unionByName(asked).groupBy("lang", "gram").agg(F.sum("a").alias("a"))))
+    model = checkpoint(kneser_ney(summed, order))
     if model.count() <= most_broadcast:
         held = model.toArrow()
         shared = spark.sparkContext.broadcast((held.column("lang").to_pylist(), held.column("gram").to_pylist(), held.column("logp").to_numpy()))
@@ -229,13 +248,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
         scored = base.mapInArrow(run, "id long, lang string, n_chars long, perplexity double")
     else:
-        replies = counted.select("chunk", "lang", "gram").join(model, ["lang", "gram"])
+        replies = counted.select("chunk", "lang", "gram").distinct().join(model, ["lang", "gram"])
 
         def back(key, left, right):
             return Scores(right.column("lang").to_pylist(), right.column("gram").to_pylist(), right.column("logp").to_numpy(), order).score(left)
 
         scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, "id long, lang string, n_chars long, perplexity double")
     marked = scored.join(trusted.select("id", F.lit(True).alias("trusted")), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    marked = marked.join(learned, "lang", "left").withColumn("pooled", ~F.coalesce("learned", F.lit(False))).drop("learned")
+    marked = marked.join(F.broadcast(learned.agg(F.coalesce(F.bool_or("learned"), F.lit(False)).alias("any")))).withColumn("perplexity", F.when(F.col("any"), F.col("perplexity"))).drop("any")
     return marked.withColumn("calibration", F.col("trusted") & (F.crc32(F.col("id").cast("string")) % 5 == 0))
 
 
@@ -244,18 +265,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Trusted are documents labelled with quality 1 and not as toxic. A fifth of them, by a hash of the id, is not learned
     from; a language's threshold is margin times the given quantile of its perplexities, or of those of all languages
-    where it has none. A text of n characters may exceed it by the factor exp(slack / sqrt(n)), as the mean over few
-    characters says little. Without any trusted document no threshold exists and all texts are kept.
+    where it has none. A language of which nothing was learned is scored by a model of all trusted text, and judged by the
+    perplexities that the same fifth of all languages has under that model. A text of n characters may exceed it by the factor exp(slack / sqrt(n)), as the mean over few
+    characters says little. Without any document to learn from there are no perplexities and no threshold, and all texts are kept.
 
     Returns the id, lang (null as `und`, which is a language like others), n_chars, perplexity per character, threshold and
     keep. Null and empty texts have no perplexity and are not kept. Null ids are never trusted; repeated rows are
     scored alike; of several labels of a document the highest counts; an empty table gives no rows; other columns are not read.
     """
     scored = checkpoint(perplexities(docs, labels, id_col, text_col, lang_col, order, **more))
-    trusted = scored.where("calibration and perplexity is not null")
+    trusted = scored.where(F.col("calibration") & F.col("perplexity").isNotNull() & (~F.col("pooled") | (F.col("lang") == POOLED)))
     limit = lambda: (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin))
-    per_lang = trusted.groupBy("lang").agg(limit().alias("own"))
-    overall = trusted.agg(limit().alias("all"))
-    joined = scored.join(F.broadcast(overall)).join(per_lang, "lang", "left").withColumn("threshold", F.coalesce("own", "all"))
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.log("perplexity") <= F.log("threshold") + slack / F.sqrt(F.greatest("n_chars", F.lit(1))), F.lit(True))
+    per_lang = trusted.groupBy(F.col("lang").alias("judge")).agg(limit().alias("own"))
+    overall = trusted.where(~F.col("pooled")).agg(limit().alias("all"))
+    rows = scored.where(F.col("lang") != POOLED).withColumn("judge", F.when(F.col("pooled"), F.lit(POOLED)).otherwise(F.col("lang")))
+    joined = rows.join(F.broadcast(overall)).join(per_lang, "judge", "left").withColumn("threshold", F.coalesce("own", "all"))
+    keep = (F.col("n_chars") > 0) & F.coalesce(F.log("perplexity") <= F.log("threshold") + slack / F.sqrt(F.greatest("n_chars", F.lit(1))), F.lit(True))
     return joined.select(F.col("id").alias(id_col), "lang", "n_chars", "perplexity", "threshold", keep.alias("keep"))

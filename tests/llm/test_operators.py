@@ -472,6 +472,25 @@ def test_quality(spark, most):
     assert quality.classify(df, labels.limit(0)).where("not keep and n_chars > 0").count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 10])
+def test_quality_of_languages_without_labels(spark, most):
+    rnd = random.Random(8)
+    good = lambda lang: " ".join(rnd.choice(WORDS[lang]) for _ in range(60))
+    rows = [(i, good("en"), "en") for i in range(120)] + [(i, good("fr"), "fr") for i in range(120, 240)]
+    rows += [(i, good("en"), lang) for i, lang in enumerate([None, "xx"] * 5, 300)]
+    rows += [(i, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), lang) for i, lang in enumerate([None, "xx", "yy"] * 5, 400)]
+    calibration = next(i for i in range(500, 600) if quality.is_calibration(i))
+    rows += [(calibration, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "yy"), (None, good("fr"), None), (700, None, "xx")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240)] + [(calibration, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = quality.classify(df, labels.where(f"doc_id <> {calibration}"), chunk_bytes=9000, most_broadcast=most).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert all(r.perplexity > 1.0 for r in got if r.n_chars)
+    assert {r.doc_id for r in got if not r.keep} == {*range(400, 415), calibration, 700}
+    again = quality.classify(df, labels, chunk_bytes=9000, most_broadcast=most).where("lang = 'en'").agg(F.max("threshold")).first()[0]
+    assert again == max(r.threshold for r in got if r.lang == "en")
+
+
 def test_slots():
     rnd = np.random.default_rng(1)
     keys = np.unique(rnd.integers(0, 1 << 63, 5000, np.uint64))
