@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,43 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def repeated(df: DataFrame, n: str, number: str, block: int = 65_536) -> DataFrame:
+    """Each row as often as its column n says, numbered from 0; two steps, so no array has more than block or n / block entries."""
+    blocks = df.where(F.col(n) > 0).withColumn("block_of_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block).cast("long"))))
+    first = F.col("block_of_copies") * block
+    return blocks.withColumn(number, F.explode(F.sequence(first, F.least(first + block, F.col(n).cast("long")) - 1))).drop("block_of_copies")
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Actions inside remove their shuffle files when they end; for results that are written, and so don't need them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def with_times(rows: DataFrame, id_col: str, text_col: str, most_bytes: int) -> DataFrame:
+    """rows with key, what deals them out, times, how often each stands for itself, and hot.
+
+    The key is a hash of the id, or of the text where that is null. If the rows of a key have more than most_bytes in all,
+    they are hot: equal ones are counted and become one, and the key is a hash of id and text, so others are spread.
+    """
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), text_col)).otherwise(F.xxhash64(F.lit(2), id_col))
+    keyed = rows.withColumn("key", key)
+    sizes = keyed.groupBy("key").agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16).alias("n"), F.count("*").alias("times"))
+    large = checkpoint(sizes.where((F.col("n") > most_bytes) & (F.col("times") > 1)).select("key"))
+    plain = lambda df: df.withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(False)})
+    if not (n := large.count()):
+        return plain(keyed)
+    large = F.broadcast(large) if n <= 100_000 else large  # keys of eight bytes
+    many = keyed.join(large, "key", "left_semi").withColumn("key", F.xxhash64(F.lit(3), id_col, text_col)).groupBy(*keyed.columns).agg(F.count("*").alias("times"))
+    return plain(keyed.join(large, "key", "left_anti")).unionByName(many.withColumn("hot", F.lit(True)))
+
+
 def labels_of_links(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 linked by a[i]-b[i]: the smallest node reachable from each."""
     label = np.arange(n)

@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Documents that nothing is learned from; those without an id are among them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +98,17 @@ ORACLES = {
         WITH b AS (SELECT source, sum(octet_length(encode(coalesce(text, '')))) AS bytes FROM documents GROUP BY source),
         w AS (SELECT source, CAST(bytes AS DOUBLE) AS bytes, CASE WHEN bytes = 0 THEN 0.0 WHEN source = 'src1' THEN 2.0 WHEN source = 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM b),
         r AS (SELECT source, CASE WHEN bytes > 0 THEN weight / sum(weight) OVER () * sum(bytes) OVER () / bytes ELSE 0.0 END AS rate FROM w),
-        k AS (SELECT source, rate, unnest(range(0, CASE WHEN rate > 0 THEN CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1 ELSE 1 END)) AS k FROM r),
-        f AS (SELECT *, sum(CASE WHEN k > 0 THEN ln(CAST(greatest(k, 1) AS DOUBLE)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
-        c AS (SELECT source, sum(CASE WHEN rate > 0 THEN exp(k * ln(CASE WHEN rate > 0 THEN rate ELSE 1 END) - rate - lf) ELSE 1.0 END) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
-        u AS (SELECT *, CAST(('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM documents),
-        n AS (SELECT doc_id, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND cdf <= u GROUP BY doc_id)
-        SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, CAST(n AS INTEGER) AS n_copies, md5('order17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
-        FROM (SELECT documents.*, n, unnest(range(0, n)) AS copy FROM documents JOIN n USING (doc_id))
+        m AS (SELECT source, parts, rate / parts AS mean FROM (SELECT *, greatest(CAST(ceil(rate / 65536) AS BIGINT), 1) AS parts FROM r)),
+        l AS (SELECT *, CAST(greatest(floor(mean - 12 * sqrt(mean) - 30), 0) AS BIGINT) AS low, CASE WHEN mean > 0 THEN CAST(ceil(mean + 12 * sqrt(mean) + 30) AS BIGINT) ELSE 0 END AS high FROM m),
+        k AS (SELECT *, unnest(range(low, high + 1)) AS k FROM l),
+        f AS (SELECT *, exp(sum(CASE WHEN k > low THEN ln(mean) - ln(CAST(k AS DOUBLE)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k)) AS term FROM k),
+        c AS (SELECT source, sum(term) OVER (PARTITION BY source ORDER BY k) / sum(term) OVER (PARTITION BY source) AS cdf FROM f),
+        p AS (SELECT documents.source, low, doc_id, unnest(range(0, parts)) AS part FROM documents JOIN l ON documents.source IS NOT DISTINCT FROM l.source),
+        u AS (SELECT *, CAST(('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR) || CASE WHEN part > 0 THEN ':' || CAST(part AS VARCHAR) ELSE '' END), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM p),
+        g AS (SELECT doc_id, part, low, count(cdf) AS steps FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND cdf <= u GROUP BY doc_id, part, low),
+        n AS (SELECT doc_id, CAST(sum(low + steps) AS BIGINT) AS n FROM g GROUP BY doc_id)
+        SELECT doc_id, text, lang, source, n_chars, copy, n AS n_copies, md5('order17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+        FROM (SELECT documents.*, n, unnest(range(0, n)) AS copy FROM documents JOIN n USING (doc_id) WHERE n > 0)
     """,
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
