@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandkit.llm.common import checkpoint, map_batches, sliced
 
@@ -19,16 +20,14 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned. They bound the model's size, whatever the size of the corpus.
+    """Bounds of the sample that is learned from, of which all words and n-grams are kept; so they bound the model.
 
-    docs_per_lang: documents of a language that are learned from, about so many, chosen by a hash of the id.
-    words_per_lang, grams_per_lang: most frequent words of a language, and n-grams of each length.
-    longest: length of the longest n-gram. smoothing: added to each count.
+    bytes_per_lang: text of a language, about so much, in documents chosen by a hash of the id. sample_bytes: of all
+    languages together, shared evenly. longest: length of the longest n-gram. smoothing: added to each count.
     """
 
-    docs_per_lang: int = 4000
-    words_per_lang: int = 20_000
-    grams_per_lang: int = 10_000
+    bytes_per_lang: int = 2 << 20
+    sample_bytes: int = 16 << 20
     longest: int = 4
     smoothing: float = 0.5
 
@@ -38,13 +37,16 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def sampled(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """About per_lang rows of each language, by a threshold on the hash of the id: no sort, no limit."""
-    sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("rows_of_lang"))
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, limits: Limits) -> DataFrame:
+    """Rows of each language with about as many bytes as the limits allow, by a threshold on the hash of the id: no sort, no row limit."""
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+    sizes = checkpoint(labelled.groupBy(lang_col).agg(F.sum(size).alias("bytes_of_lang")))
+    n_langs = sizes.count()
+    per_lang = min(limits.bytes_per_lang, limits.sample_bytes / max(1, n_langs))
     share = F.pmod(F.xxhash64(F.lit("learn"), F.col(id_col).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    if sizes.count() <= 10_000:  # languages; beyond that a shuffled join, which splits skewed ones
+    if n_langs <= 10_000:  # beyond that a shuffled join, which splits skewed ones
         sizes = F.broadcast(sizes)
-    return labelled.join(sizes, lang_col).where(share * F.col("rows_of_lang") < per_lang)
+    return labelled.join(sizes, lang_col).where(share * F.col("bytes_of_lang") < per_lang).drop("bytes_of_lang")
 
 
 def _counted(rows: list[tuple]) -> pa.RecordBatch:
@@ -56,7 +58,7 @@ FEATURES = "lang string, length int, feature string, n long"
 
 
 def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Limits) -> DataFrame:
-    """Rows (lang, length, feature, n): length 0 for words, else that of the n-gram; the most frequent of each.
+    """Rows (lang, length, feature, n): length 0 for words, else that of the n-gram.
 
     Words are counted in the texts, n-grams in the counted words, each of which stands for all its occurrences.
     """
@@ -78,33 +80,30 @@ def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Li
 
     total = lambda df: df.groupBy("lang", "length", "feature").agg(F.sum("n").alias("n"))
     words = checkpoint(total(map_batches(labelled.select(text_col, lang_col), words_in, FEATURES)))
-    counted = words.unionByName(total(map_batches(words, grams_in, FEATURES, rows=20_000)))
-    rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "feature"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, limits.words_per_lang).otherwise(limits.grams_per_lang)).drop("rank")
+    return words.unionByName(total(map_batches(words, grams_in, FEATURES, rows=20_000)))
 
 
 class Model:
     """Log frequencies per language of words and n-grams, relative to the mean over languages."""
 
-    def __init__(self, rows: list, limits: Limits):
+    def __init__(self, features: pa.Table, limits: Limits):
         self.longest = limits.longest
-        self.langs = sorted({r.lang for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.place: list[dict[str, int]] = [{} for _ in range(limits.longest + 1)]  # of a feature in the matrix
-        for r in rows:
-            self.place[r.length].setdefault(r.feature, 0)
-        self.logs = np.zeros((sum(map(len, self.place)), len(self.langs)))
-        begin = 0
-        for place in self.place:
-            place.update(zip(place, range(begin, begin + len(place))))
-            begin += len(place)
-        for r in rows:
-            self.logs[self.place[r.length][r.feature], at[r.lang]] = r.n
-        for place in self.place:
-            if own := list(place.values()):
-                counts = self.logs[own] + limits.smoothing
-                logs = np.log(counts / (counts.sum(0) + limits.smoothing))
-                self.logs[own] = logs - logs.mean(1, keepdims=True)
+        order = features.sort_by([("length", "ascending"), ("feature", "ascending")])
+        lang, length = order.column("lang").combine_chunks().dictionary_encode(), order.column("length").to_numpy()
+        self.langs = sorted(lang.dictionary.to_pylist())
+        at = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
+        self.place: list[dict[str, int]] = []  # of a feature in the matrix
+        parts, begin = [], 0
+        for n in range(limits.longest + 1):
+            rows = np.flatnonzero(length == n)
+            code = order.column("feature").take(pa.array(rows)).combine_chunks().dictionary_encode()
+            counts = np.zeros((len(code.dictionary), len(self.langs)))
+            counts[code.indices.to_numpy(), at[rows]] = order.column("n").to_numpy()[rows]
+            logs = np.log((counts + limits.smoothing) / (counts.sum(0) + limits.smoothing * (len(counts) + 1)))
+            parts.append((logs - logs.mean(1, keepdims=True) if len(self.langs) else logs).astype(np.float32))
+            self.place.append(dict(zip(code.dictionary.to_pylist(), range(begin, begin + len(counts)))))
+            begin += len(counts)
+        self.logs = np.concatenate(parts)
         self.keep()
 
     def keep(self, max_kept: int = 150_000) -> None:
@@ -182,9 +181,24 @@ class Model:
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, limits: Limits = Limits()) -> Model:
-    """A model from the rows with a text and a language. What reaches the driver is the model, bounded by limits and the languages."""
+    """A model from the rows with a text and a language. What reaches the driver are the features of the sample, bounded by the limits."""
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return Model(count_features(sampled(usable, "id", "lang", limits.docs_per_lang), "text", "lang", limits).collect(), limits)
+    return Model(count_features(sampled(usable, "id", "text", "lang", limits), "text", "lang", limits).toArrow(), limits)
+
+
+def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows (row, lang_pred, score): the documents as structs, so that no name can clash, and what identify says of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+
+    def run(batches):
+        predict = Model.of_state(shared.value).predict
+        for batch in sliced(batches):
+            found = predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["row", "lang_pred", "score"])
+
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([source.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -196,14 +210,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     predictions; an empty table gives no rows. One narrow pass; the model, bounded by its limits, is broadcast.
     """
     given = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model.state())
-
-    def run(batches):
-        predict = Model.of_state(shared.value).predict
-        for batch in sliced(batches):
-            found = predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
-
-    source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in given]).schema)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return predicted(docs, model, text_col).select(*[F.col(f"row.`{c}`") for c in given], "lang_pred", "score")
