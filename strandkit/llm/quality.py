@@ -6,15 +6,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, scratch_path, sliced
+from strandkit.llm.common import checkpoint, freed_shuffles, repeated, scratch_path, with_times
 
 BEGIN, END = "\x02", "\x03"
 UNKNOWN_LANG = "und"
 #: Names the model of the trusted text of all languages, which scores languages that have none of their own.
 POOLED = "\x02all"
+#: A language's threshold is this quantile of the perplexities held back, times a margin; slack is for short texts.
+QUANTILE, MARGIN, SLACK = 0.99, 1.15, 3.0
 
 
 class GramSlots:
@@ -100,11 +103,12 @@ def is_calibration(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def _by_lang(table: pa.Table) -> dict[str, tuple[list, list[str]]]:
+def _by_lang(table: pa.Table) -> dict[str, tuple[list[int], list[str]]]:
+    """The places and texts of the rows of each language."""
     out: dict[str, tuple[list, list[str]]] = {}
-    for ident, lang, text in zip(*(table.column(c).to_pylist() for c in ("id", "lang", "text"))):
-        ids, texts = out.setdefault(lang, ([], []))
-        ids.append(ident)
+    for i, (lang, text) in enumerate(zip(table.column("lang").to_pylist(), table.column("text").to_pylist())):
+        rows, texts = out.setdefault(lang, ([], []))
+        rows.append(i)
         texts.append(text or "")
     return out
 
@@ -114,10 +118,12 @@ def gram_counts(chunks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
 
     def run(key, docs, labels):
         known = {x for x in labels.column("id").to_pylist() if not is_calibration(x)}
+        times, good = docs.column("times").to_numpy(), docs.column("good").to_pylist()
         langs, grams, numbers = [], [], []
-        for lang, (ids, texts) in _by_lang(docs).items():
+        for lang, (rows, texts) in _by_lang(docs).items():
             slots, count, names = GramSlots(), np.zeros(0, np.int64), []
-            learn = np.array([i in known for i in ids])
+            ids = docs.column("id").take(pa.array(rows)).to_pylist()
+            weight = np.array([times[r] if (good[r] and not is_calibration(i) or i in known) else 0 for r, i in zip(rows, ids)], np.int64)
             for at, text, begins, counts in _blocks(texts, order):
                 place, h = _own_grams(text, begins, counts, order)
                 new, first = np.unique(h[slots.find(h) < 0], return_index=True)
@@ -125,8 +131,9 @@ def gram_counts(chunks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
                 slots.add(new)
                 names += [text[p : p + order] for p in where]
                 count = np.r_[count, np.zeros(len(new), np.int64)]
-                mine = np.repeat(learn[at : at + len(counts)], counts)
-                count += np.bincount(slots.find(h[mine]), minlength=len(count))
+                each = np.repeat(weight[at : at + len(counts)], counts)
+                mine = np.flatnonzero(each)
+                np.add.at(count, slots.find(h[mine]), each[mine])
             langs += [lang] * len(names)
             grams += names
             numbers.append(count)
@@ -173,94 +180,86 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
     return lower.select("lang", "gram", F.log("p").alias("logp"))
 
 
-class Scores:
-    """Log probabilities of grams by language, looked up for whole texts."""
-
-    def __init__(self, langs: list[str], grams: list[str], logs: np.ndarray, order: int):
-        self.order, self.of = order, {}
-        langs = np.array(langs, object)
-        for lang in set(langs.tolist()):
-            at = np.flatnonzero(langs == lang)
-            codes = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            slots = GramSlots(max(1 << 16, 4 * len(at)))
-            slots.add(gram_hashes(codes, order)[::order])
-            self.of[lang] = slots, logs[at]
-
-    def score(self, table: pa.Table | pa.RecordBatch) -> pa.Table:
-        """(id, lang, n_chars, perplexity) of rows (id, lang, text)."""
-        out = []
-        for lang, (ids, texts) in _by_lang(table).items():
-            slots, own = self.of[lang] if lang in self.of else self.of[POOLED]
-            for first, text, begins, counts in _blocks(texts, self.order):
-                values = own[slots.find(_own_grams(text, begins, counts, self.order)[1])]
-                mean = np.add.reduceat(values, np.r_[0, counts.cumsum()[:-1]]) / counts
-                for i, (m, n) in enumerate(zip(mean.tolist(), counts.tolist()), first):
-                    out.append((ids[i], lang, n - 1, float(np.exp(-m)) if n > 1 else None))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["id", "lang", "n_chars", "perplexity"])
-
-
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, chunk_bytes: int = 32 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
-    """Rows (id, lang, n_chars, perplexity, trusted, calibration, pooled).
+def perplexities_of(docs: pa.Table, replies: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and perplexity (nan without any) of each row, from the log probabilities of all grams of the chunk."""
+    n_chars, perplexity = np.zeros(docs.num_rows, np.int64), np.full(docs.num_rows, np.nan)
+    of_lang, logs = replies.column("lang").combine_chunks().dictionary_encode(), replies.column("logp").to_numpy()
+    codes, known = of_lang.indices.to_numpy(), {x: i for i, x in enumerate(of_lang.dictionary.to_pylist())}
+    for lang, (rows, texts) in _by_lang(docs).items():
+        at = np.flatnonzero(codes == known.get(lang, -1))
+        grams = "".join(replies.column("gram").take(pa.array(at)).to_pylist())
+        slots = GramSlots(max(1 << 16, 4 * len(at)))
+        slots.add(gram_hashes(np.frombuffer(grams.encode("utf-32-le", "surrogatepass"), np.uint32), order)[::order])
+        own = logs[at]
+        for first, text, begins, counts in _blocks(texts, order):
+            values = own[slots.find(_own_grams(text, begins, counts, order)[1])]
+            mean = np.add.reduceat(values, np.r_[0, counts.cumsum()[:-1]]) / counts
+            where = np.array(rows[first : first + len(counts)])
+            n_chars[where] = counts - 1
+            perplexity[where] = np.where(counts > 1, np.exp(-mean), np.nan)
+    return n_chars, perplexity
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, chunk_bytes: int = 32 << 20) -> DataFrame:
+    """Rows (id, lang, n_chars, perplexity, trusted, calibration, pooled, times), times the number of rows that it stands for.
 
     A language of which nothing was learned is scored by a model of the trusted text of all languages, marked as pooled. If
     there is any, the calibration documents come a second time, with the language POOLED and their scores under that model.
 
-    The documents are dealt to chunks of about chunk_bytes by a hash. A chunk sends its distinct grams, with their counts in
-    trusted documents, to shards by language and gram, where the model is built and each gram scored. A model of up to
-    most_broadcast grams, 12 bytes each, is then broadcast and the documents are scored in place. The scores of a
-    larger one are joined to the grams that the chunks have asked for and go back to the chunks, so that it is nowhere held as a whole.
+    The documents are dealt to chunks of about chunk_bytes by a hash of the id, to which the labels go, too. A chunk counts its
+    grams; their sums over chunks are joined, shard by shard of language and gram, to contexts and shorter grams, which
+    makes the model and the log probability of each gram of the corpus. Each chunk is sent those of its own grams and
+    scores its documents. So no task and not the driver ever holds the model, and what is shuffled is the texts,
+    once for the counts and once for the scores, and the distinct grams of each chunk. The counts are written to
+    the shared folder.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_chunks = max(1, -(-total // chunk_bytes))
-    chunk = F.pmod(F.coalesce(F.xxhash64(F.lit(3), "id"), F.xxhash64("text")), F.lit(n_chunks)).alias("chunk")
-    chunks = base.select(chunk, "id", "lang", "text")
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    trusted = good.select(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_chunks)).alias("chunk"), "id")
+    n_chunks = F.lit(max(1, -(-total // chunk_bytes)))
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id")
+    trusted = good.select(F.pmod(F.xxhash64(F.lit(2), "id"), n_chunks).alias("chunk"), "id")
+    base = with_times(base, "id", "text", chunk_bytes)
+    hot = base.where("hot").join(good.withColumn("good", F.lit(True)), "id", "left")  # not where their labels are
+    base = base.where("not hot").withColumn("good", F.lit(None).cast("boolean")).unionByName(hot)
+    chunks = base.select(F.pmod("key", n_chunks).alias("chunk"), "id", "lang", "text", "times", "good")
     path = scratch_path(spark, "grams")
-    gram_counts(chunks, trusted, order).write.parquet(path)
-    counted = spark.read.parquet(path)
-    summed = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")))
-    learned = checkpoint(summed.groupBy("lang").agg((F.max("a") > 0).alias("learned")))
-    if learned.where("not learned").count():
-        held_back = trusted.where(F.crc32(F.col("id").cast("string")) % 5 == 0).select("id")
-        again = base.join(held_back, "id", "left_semi").select("id", F.lit(POOLED).alias("lang"), "text")
-        base, chunks = base.unionByName(again), chunks.unionByName(again.select(chunk, "id", "lang", "text"))
-        path = scratch_path(spark, "pooled-grams")
-        gram_counts(again.select(chunk, "id", "lang", "text"), trusted.limit(0), order).write.parquet(path)
-        own = F.when(F.col("learned"), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
-        counted = counted.join(learned, "lang").select("chunk", own, "gram", "n").unionByName(spark.read.parquet(path).select("chunk", "lang", "gram", "n"))
-        whole = summed.where("a > 0").select(F.lit(POOLED).alias("lang"), "gram", "a")
-        asked = counted.where(F.col("lang") == POOLED).select("lang", "gram", F.lit(0).cast("long").alias("a"))
-        kept = summed.join(learned.where("learned"), "lang", "left_semi").select("lang", "gram", "a")
-        summed = checkpoint(kept.unionByName(whole.unionByName(asked).groupBy("lang", "gram").agg(F.sum("a").alias("a"))))
-    model = checkpoint(kneser_ney(summed, order))
-    if model.count() <= most_broadcast:
-        held = model.toArrow()
-        shared = spark.sparkContext.broadcast((held.column("lang").to_pylist(), held.column("gram").to_pylist(), held.column("logp").to_numpy()))
-
-        def run(batches):
-            scores = Scores(*shared.value, order)
-            for batch in sliced(batches):
-                yield from scores.score(batch).to_batches()
-
-        scored = base.mapInArrow(run, "id long, lang string, n_chars long, perplexity double")
-    else:
-        replies = counted.select("chunk", "lang", "gram").distinct().join(model, ["lang", "gram"])
-
-        def back(key, left, right):
-            return Scores(right.column("lang").to_pylist(), right.column("gram").to_pylist(), right.column("logp").to_numpy(), order).score(left)
-
-        scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, "id long, lang string, n_chars long, perplexity double")
-    marked = scored.join(trusted.select("id", F.lit(True).alias("trusted")), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    marked = marked.join(learned, "lang", "left").withColumn("pooled", ~F.coalesce("learned", F.lit(False))).drop("learned")
+    with freed_shuffles(spark):
+        gram_counts(chunks, trusted, order).write.parquet(path)
+        counted = spark.read.parquet(path)
+        summed = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")))
+        learned = checkpoint(summed.groupBy("lang").agg((F.max("a") > 0).alias("learned")))
+        if learned.where("not learned").count():
+            held_back = trusted.where(F.crc32(F.col("id").cast("string")) % 5 == 0).select("id")
+            again = chunks.join(held_back, "id", "left_semi").withColumn("lang", F.lit(POOLED))
+            path = scratch_path(spark, "pooled-grams")
+            gram_counts(again, trusted.limit(0), order).write.parquet(path)
+            chunks = chunks.unionByName(again)
+            own = F.when(F.col("learned"), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
+            counted = counted.join(learned, "lang").select("chunk", "lang", own.alias("model"), "gram").unionByName(spark.read.parquet(path).select("chunk", "lang", F.col("lang").alias("model"), "gram"))
+            whole = summed.where("a > 0").select(F.lit(POOLED).alias("lang"), "gram", "a")
+            asked = counted.where(F.col("model") == POOLED).select(F.col("model").alias("lang"), "gram", F.lit(0).cast("long").alias("a"))
+            kept = summed.join(learned.where("learned"), "lang", "left_semi").select("lang", "gram", "a")
+            summed = checkpoint(kept.unionByName(whole.unionByName(asked).groupBy("lang", "gram").agg(F.sum("a").alias("a"))))
+        else:
+            counted = counted.withColumn("model", F.col("lang"))
+        model = checkpoint(kneser_ney(summed, order).withColumnRenamed("lang", "model"))
+    replies = counted.join(model, ["model", "gram"]).select("chunk", "lang", "gram", "logp", F.lit(None).cast("long").alias("id"))
+    replies = replies.unionByName(trusted.select("chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "id"))
+
+    def back(key, left, right):
+        labelled = pc.is_valid(right.column("id"))
+        good = pc.or_(pc.fill_null(left.column("good"), False), pc.is_in(left.column("id"), value_set=right.filter(labelled).column("id").combine_chunks(), skip_nulls=True))
+        n_chars, perplexity = perplexities_of(left, right.filter(pc.invert(labelled)), order)
+        return pa.Table.from_arrays([left.column("id"), left.column("lang"), pa.array(n_chars), pa.array(perplexity, mask=np.isnan(perplexity)), good, left.column("times")], names=["id", "lang", "n_chars", "perplexity", "trusted", "times"])
+
+    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, "id long, lang string, n_chars long, perplexity double, trusted boolean, times long")
+    marked = scored.join(learned, "lang", "left").withColumn("pooled", ~F.coalesce("learned", F.lit(False))).drop("learned")
     marked = marked.join(F.broadcast(learned.agg(F.coalesce(F.bool_or("learned"), F.lit(False)).alias("any")))).withColumn("perplexity", F.when(F.col("any"), F.col("perplexity"))).drop("any")
     return marked.withColumn("calibration", F.col("trusted") & (F.crc32(F.col("id").cast("string")) % 5 == 0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = 0.99, margin: float = 1.15, slack: float = 3.0, **more) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, **more) -> DataFrame:
     """Documents with the perplexity of their text under a model of trusted text of their language, and whether to keep them.
 
     Trusted are documents labelled with quality 1 and not as toxic. A fifth of them, by a hash of the id, is not learned
@@ -273,7 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     keep. Null and empty texts have no perplexity and are not kept. Null ids are never trusted; repeated rows are
     scored alike; of several labels of a document the highest counts; an empty table gives no rows; other columns are not read.
     """
-    scored = checkpoint(perplexities(docs, labels, id_col, text_col, lang_col, order, **more))
+    with freed_shuffles(docs.sparkSession):
+        scored = checkpoint(repeated(perplexities(docs, labels, id_col, text_col, lang_col, order, **more), "times", "number"))
     trusted = scored.where(F.col("calibration") & F.col("perplexity").isNotNull() & (~F.col("pooled") | (F.col("lang") == POOLED)))
     limit = lambda: (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin))
     per_lang = trusted.groupBy(F.col("lang").alias("judge")).agg(limit().alias("own"))
