@@ -16,8 +16,8 @@ LEAST_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language can't be told, go."""
     model = language_id.learn(docs, "doc_id", "text", "lang")
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = language_id.predicted(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources follow the weights."""
-    return mixing.mix_sources(docs, WEIGHTS).select(docs.columns)
+    return mixing.mix_sources(docs, WEIGHTS, added=False)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, in a random order, in 24 shards."""
+    """All that is left, in a random order, written to 24 shards and read back."""
     return shards.shuffle_into_shards(docs, n_shards=24)
 
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def empty(spark):
 
 def clashing(df):
     """With columns that have the names of results and internals."""
-    names = ["size", "shard", "slot", "copy", "n_copies", "shuffle_key", "lang_pred", "score", "chunk", "id", "fp", "key", "n_words", "hit", "kept", "rep", "v", "rank"]
+    names = ["row", "ident", "source_of", "of_source", "parts", "low", "steps", "bucket", "spread", "hash", "times", "block_of_copies", "text_of", "good", "hot", "__text", "__source", "__bucket", "size", "shard", "slot", "copy", "n_copies", "shuffle_key", "lang_pred", "score", "chunk", "id", "fp", "key", "n_words", "hit", "kept", "rep", "v", "rank"]
     return df.withColumns({c: F.lit("clash") for c in names if c not in df.columns})
 
 
@@ -69,11 +70,57 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in rows if r.doc_id in (900, 901, 902, 903)} == {"und"}
 
 
+def features(rows):
+    return pa.table(dict(zip(("lang", "length", "feature", "n"), map(list, zip(*rows)))) if rows else {"lang": pa.array([], pa.string()), "length": pa.array([], pa.int32()), "feature": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
+
 def test_language_backs_off(spark):
-    rows = [type("R", (), dict(lang=lang, length=n, feature=f, n=k)) for lang, n, f, k in [("a", 0, "word", 9), ("b", 0, "word", 1), ("a", 2, "xy", 1), ("b", 2, "xy", 9), ("a", 1, "q", 5), ("b", 1, "q", 1)]]
-    model = language_id.Model(rows, language_id.Limits(longest=2))
+    model = language_id.Model(features([("a", 0, "word", 9), ("b", 0, "word", 1), ("a", 2, "xy", 1), ("b", 2, "xy", 9), ("a", 1, "q", 5), ("b", 1, "q", 1)]), language_id.Limits(longest=2))
     assert [x[0] for x in model.predict(["word", "xyz", "q", "漢字", None, ""])] == ["a", "b", "a", "a", "und", "und"]
-    assert language_id.Model([], language_id.Limits()).predict(["text"]) == [("und", 0.0)]
+    assert language_id.Model(features([]), language_id.Limits()).predict(["text"]) == [("und", 0.0)]
+
+
+def predicted_by_hand(train, texts, longest=4, smoothing=0.5):
+    """Language and share by the definition: dictionaries of counts, one word after the other."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = [collections.defaultdict(collections.Counter) for _ in range(longest + 1)]
+    for text, lang in train:
+        for w in words(text):
+            counts[0][lang][w] += 1
+            for n in range(1, longest + 1):
+                for i in range(len(w) + 3 - n):
+                    counts[n][lang][f"<{w}>"[i : i + n]] += 1
+    langs = sorted(counts[0])
+    known = [set().union(*own.values()) for own in counts]
+
+    def logs(n, feature):
+        x = np.array([np.log((counts[n][lang][feature] + smoothing) / (sum(counts[n][lang].values()) + smoothing * (len(known[n]) + 1))) for lang in langs])
+        return x - x.mean()
+
+    def of_word(w):
+        if w in known[0]:
+            return logs(0, w)
+        for n in range(longest, 0, -1):
+            if found := [g for i in range(len(w) + 3 - n) if (g := f"<{w}>"[i : i + n]) in known[n]]:
+                return np.mean([logs(n, g) for g in found], 0)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in texts:
+        total = sum((of_word(w) for w in words(text)), np.zeros(len(langs)))
+        share = np.exp(total - total.max())
+        out.append((langs[int(total.argmax())], share.max() / share.sum()) if words(text) else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark, docs):
+    rows = [r for r in docs.collect() if r.doc_id is not None and r.doc_id < 150]
+    train = [(r.text, r.lang) for r in rows if r.doc_id % 5]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows if r.doc_id % 5], "doc_id long, text string, lang string")
+    model = language_id.learn(df, "doc_id", "text", "lang", language_id.Limits(bytes_per_lang=1 << 30, sample_bytes=1 << 32))
+    texts = [r.text for r in rows] + ["unheard pierrestein", "é", None, "", "12", "the " * 20_000]
+    for (lang, share), (own, score) in zip(predicted_by_hand(train, texts), model.predict(texts)):
+        assert own == lang and abs(score - share) < 1e-3
 
 
 def test_language_without_anything_to_learn(spark):
@@ -82,8 +129,9 @@ def test_language_without_anything_to_learn(spark):
 
 
 def test_sample_is_bounded(spark):
-    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang"))
-    assert 400 < language_id.sampled(rows, "doc_id", "lang", 500).count() < 600
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), F.lit("x").alias("lang"))
+    n = lambda **limits: language_id.sampled(rows, "doc_id", "text", "lang", language_id.Limits(**limits)).count()
+    assert 400 < n(bytes_per_lang=5000) < 600 and 400 < n(sample_bytes=5000) < 600 and n() == 5000
 
 
 # ---- 2 -------------------------------------------------------------------------------------------------------------
@@ -153,19 +201,62 @@ def test_mixture_follows_the_weights(spark):
     assert again.select("doc_id", "copy", "shuffle_key").exceptAll(out.select("doc_id", "copy", "shuffle_key")).count() == 0
 
 
-def test_poisson_steps(spark):
+def test_poisson_tables(spark):
     import math
 
-    for rate in (0.0, 0.3, 4.0, 80.0):
-        steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s
-        exact = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0 for k in range(len(steps))])
-        assert np.allclose(steps, exact, atol=1e-12) and steps[-1] > 1 - 1e-12
+    rates = [0.0, 0.3, 4.0, 80.0, 1e3, 65_536.0]
+    for r in mixing.poisson_tables(spark.createDataFrame([(str(x), x) for x in rates], "source string, rate double")).collect():
+        ks = range(r.low, r.low + len(r.steps))
+        exact = np.cumsum([math.exp(k * math.log(r.rate) - r.rate - math.lgamma(k + 1)) if r.rate else 1.0 for k in ks])
+        assert r.parts == 1 and np.allclose(r.steps, exact, atol=1e-9) and r.steps[-1] == 1.0 and len(r.steps) < 7000
+
+
+@pytest.mark.parametrize("rate", [1e3, 1e6, 1e9])
+def test_any_rate(spark, rate):
+    """A source of ten bytes beside a large one, as often as its rate says."""
+    n = int(rate * 20)
+    rows = spark.createDataFrame([(i, "x", "small") for i in range(10)] + [(100, "y" * min(n, 1000), "large")], "doc_id long, text string, source string")
+    rows = rows.withColumn("text", F.when(F.col("source") == "large", "y" * 1000).otherwise(F.col("text")))
+    counted = mixing.with_counts(rows, {"small": 1.0, "large": 1.0}, size=20 * rate / 1010)
+    own = [r.n_copies for r in counted.where("given_2 = 'small'").collect()]
+    assert len(own) == 10 and all(abs(x - rate) < 8 * rate**0.5 for x in own) and len(set(own)) > 5
+
+
+@pytest.mark.parametrize("options", [{}, {"most_broadcast": 0}, {"most_rate": 0.5}])
+def test_copies_equal_brute_force(spark, docs, options):
+    import math
+
+    rows = [r for r in docs.collect()]
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.source] += len((r.text or "").encode())
+    weights = {s: (3.0 if s == "src1" else 1.0) if n else 0.0 for s, n in sizes.items()}
+    expected = collections.Counter()
+    for r in rows:
+        rate = weights[r.source] / sum(weights.values()) * 2 * sum(sizes.values()) / sizes[r.source] if sizes[r.source] else 0.0
+        ident = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+        parts = max(1, math.ceil(rate / options.get("most_rate", 65_536)))
+        n = 0
+        for part in range(parts):
+            u = int(hashlib.md5((f"17:{ident}" + (f":{part}" if part else "")).encode()).hexdigest()[:12], 16) / 2**48
+            k, upto = 0, math.exp(-rate / parts)
+            while upto <= u:
+                k += 1
+                upto += math.exp(k * math.log(rate / parts) - rate / parts - math.lgamma(k + 1))
+            n += k
+        expected[r.doc_id, r.text] += n
+    out = mixing.mix_sources(clashing(docs), {"src1": 3.0}, size=2.0, **options)
+    assert out.columns.count("copy") == 1 and out.where("shuffle_key = 'clash' or row <> 'clash'").count() == 0
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == +expected
+    kept = mixing.mix_sources(clashing(docs), {"src1": 3.0}, size=2.0, added=False, **options)
+    assert kept.columns == clashing(docs).columns and kept.where("copy <> 'clash'").count() == 0
 
 
 def test_mixture_oddities(spark, docs):
     assert mixing.mix_sources(empty(spark)).count() == 0
-    out = mixing.mix_sources(docs)
-    assert out.where("text is null").count() >= 0 and out.groupBy("doc_id", "copy").count().where("count > 2").count() == 0
+    assert mixing.mix_sources(docs.where("text is null")).count() == 0
+    many = mixing.repeated(spark.createDataFrame([(1, 0), (2, 1), (3, 150_000)], "a int, n long"), "n", "i").groupBy("a").agg(F.count("*").alias("n"), F.countDistinct("i").alias("d"), F.max("i").alias("m"))
+    assert sorted(map(tuple, many.collect())) == [(2, 1, 1, 0), (3, 150_000, 150_000, 149_999)]
 
 
 # ---- 4 -------------------------------------------------------------------------------------------------------------
@@ -289,27 +380,49 @@ def test_components(spark):
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 
-def test_shards(spark, docs):
-    out = shards.shuffle_into_shards(clashing(docs), n_shards=7, bucket_bytes=5000).collect()
-    assert len(out) == docs.count()
-    slots = collections.defaultdict(list)
-    for r in out:
-        assert r.size == len((r.text or "").encode()) + 8
-        slots[r.shard].append(r.slot)
-    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    key = lambda rows: sorted((str(r.doc_id), r.shard, r.slot) for r in rows if r.doc_id != 904)
-    assert key(out) == key(shards.shuffle_into_shards(docs.repartition(5), n_shards=7, bucket_bytes=5000).collect())
-    order = [r.doc_id for r in sorted(out, key=lambda r: (r.slot, r.shard)) if r.doc_id is not None]
-    assert order != sorted(order)
+def shards_by_hand(spark, rows, schema, n_shards, bucket_bytes, seed=2024):
+    """Rows with shard and slot: numbered copies of equal rows, dealt, sorted and shuffled on one list."""
+    df = spark.createDataFrame(rows, schema)
+    row = F.struct(*df.columns)
+    hashes = {tuple(r): h for r, h in zip(rows, ((h.a, h.b) for h in [x.h for x in df.coalesce(1).select(F.struct(F.xxhash64(F.lit(seed), row).alias("a"), F.xxhash64(F.lit(seed + 1), row).alias("b")).alias("h")).collect()]))}
+    seen, each = collections.Counter(), []
+    for r in rows:
+        each.append((*hashes[tuple(r)], seen[tuple(r)], tuple(r)))
+        seen[tuple(r)] += 1
+    total = sum(len((r[1] or "").encode()) + 8 for r in rows)
+    n_buckets = max(1, -(-total // bucket_bytes))
+    keyed = spark.createDataFrame([(a, b, c, i) for i, (a, b, c, _) in enumerate(each)], "a long, b long, copy long, i int").select("i", F.xxhash64(F.struct("a", "b"), "copy").alias("h")).collect()
+    buckets = collections.defaultdict(list)
+    for k in keyed:
+        buckets[k.h % n_buckets].append((k.h, each[k.i][3]))
+    order = []
+    for b in sorted(buckets):
+        own = sorted(buckets[b], key=lambda x: x[0])
+        order += [own[i][1] for i in shards.permutation(seed, b, len(own))]
+    runs = np.array_split(np.arange(len(order)), n_shards)
+    return sorted(((order[p], s, i) for s, run in enumerate(runs) for i, p in enumerate(run)), key=str)
+
+
+@pytest.mark.parametrize("n, copies", [(7, 1), (7, 300), (400, 3)])
+def test_shards(spark, docs, n, copies):
+    rows = [tuple(r) for r in docs.collect()]
+    rows += [rows[3]] * (copies - 1)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = shards.shuffle_into_shards(df, n_shards=n, bucket_bytes=5000)
+    found = sorted(((tuple(r)[:4], r.shard, r.slot) for r in got.collect()), key=str)
+    assert found == shards_by_hand(spark, rows, DOCS, n, 5000)
+    assert all(r.size == len((r.text or "").encode()) + 8 for r in got.collect())
+    counts = collections.Counter(x[1] for x in found)
+    assert max(counts.values()) - min(counts[s] for s in range(n)) <= 1
+
+
+def test_shards_of_odd_tables(spark, docs, tmp_path):
+    out = shards.write_shards(clashing(docs), str(tmp_path / "out"), n_shards=3, bucket_bytes=20_000)
+    assert out.columns.count("size") == 1 and out.count() == docs.count() and out.where("bucket <> 'clash'").count() == 0 and dict(out.dtypes)["size"] == "bigint"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("shard")) == ["shard=0", "shard=1", "shard=2"]
     assert shards.shuffle_into_shards(empty(spark)).count() == 0
 
 
-def test_written_shards(spark, docs, tmp_path):
-    shards.write_shards(shards.shuffle_into_shards(docs, n_shards=3), str(tmp_path / "out"), 3, slots_per_file=20)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
-
-
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 PAGES = [(i, f"http://x/{i}", f"<p>{'é' * i}\r\n\r\n{i % 4}</p>" * (i % 9 * 30)) for i in range(60)]
@@ -457,14 +570,65 @@ def test_kneser_ney_sums_to_one_and_prefers_what_it_knows(spark):
     assert all(0 < x <= 1 for x in p.values())
 
 
-@pytest.mark.parametrize("most", [2_000_000, 10])
-def test_quality(spark, most):
+def kneser_ney_by_hand(texts, order):
+    """A function of context and character: interpolated modified Kneser-Ney from plain counters."""
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for text in texts:
+        padded = quality.BEGIN * (order - 1) + text + quality.END
+        counts[order].update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n].update(gram[1:] for gram in counts[n + 1])
+    discounts, contexts = [None], [None]
+    for own in counts[1:]:
+        c = [sum(v == k for v in own.values()) for k in range(5)]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.0
+        discounts.append([0.0] + [max(0.05 * k, min(0.95 * k, k - (k + 1) * y * (c[k + 1] / c[k] if c[k] else 0.0))) for k in (1, 2, 3)])
+        after = collections.defaultdict(list)
+        for gram, v in own.items():
+            after[gram[:-1]].append(v)
+        contexts.append(after)
+
+    def p(n, gram):
+        below = p(n - 1, gram[1:]) if n > 1 else 1 / (len(counts[1]) + 1)
+        seen = contexts[n].get(gram[:-1])
+        if not seen:
+            return below
+        d = discounts[n]
+        return (max(counts[n][gram] - d[min(counts[n][gram], 3)], 0.0) + sum(d[min(v, 3)] for v in seen) * below) / sum(seen)
+
+    return discounts, lambda text: np.exp(-np.mean([np.log(p(order, padded[i : i + order])) for padded in [quality.BEGIN * (order - 1) + text + quality.END] for i in range(len(padded) - order + 1)]))
+
+
+@pytest.mark.parametrize("chunk_bytes", [3000, 32 << 20])
+def test_quality_equals_brute_force(spark, chunk_bytes):
+    rnd = random.Random(15)
+    rows = [(i, " ".join(rnd.choice(WORDS[lang]) for _ in range(rnd.choice([1, 5, 20]))), lang) for i, lang in enumerate(["en", "fr"] * 100)]
+    rows += [(300, "", "en"), (301, None, "fr"), (302, "zzz 漢字", "en"), (None, "the river", "en"), (303, "la pierre " * 3000, "fr")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 200)], "doc_id long, quality int, toxic int")
+    trusted = {i for i in range(200) if i % 3 and i % 7}
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), labels, order=3, chunk_bytes=chunk_bytes).collect()}
+    limits, of = {}, {}
+    for lang in ("en", "fr"):
+        of[lang] = kneser_ney_by_hand([t for i, t, own in rows if own == lang and i in trusted and not quality.is_calibration(i)], 3)[1]
+        held = sorted(of[lang](t) for i, t, own in rows if own == lang and i in trusted and quality.is_calibration(i))
+        limits[lang] = held[int(np.ceil(quality.QUANTILE * len(held))) - 1] * quality.MARGIN
+    for i, text, lang in rows:
+        r = got[i]
+        if not text:
+            assert r.perplexity is None and not r.keep
+            continue
+        own = of[lang](text)
+        assert abs(r.perplexity / own - 1) < 1e-9 and abs(r.threshold / limits[lang] - 1) < 1e-9 and r.n_chars == len(text)
+        assert r.keep == (np.log(own) <= np.log(limits[lang]) + quality.SLACK / len(text) ** 0.5)
+
+
+def test_quality(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(WORDS["en"]) for _ in range(60)), "en" if i % 2 else None) for i in range(200)]
     rows += [(i, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "en") for i in range(200, 240)] + [(300, None, "en"), (301, "", "en"), (None, "the river", "en"), (1, rows[1][1], "en")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string")).repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150)] + [(i, 1, 1) for i in range(200, 210)] + [(None, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
-    got = quality.classify(df, labels, chunk_bytes=6000, most_broadcast=most).collect()
+    got = quality.classify(df, labels, chunk_bytes=6000).collect()
     assert len(got) == len(rows)
     assert all(r.keep for r in got if r.doc_id is not None and r.doc_id < 200) and not any(r.keep for r in got if r.doc_id is not None and r.doc_id >= 200)
     assert {r.lang for r in got} == {"en", "und"}
@@ -472,8 +636,7 @@ def test_quality(spark, most):
     assert quality.classify(df, labels.limit(0)).where("not keep and n_chars > 0").count() == 0
 
 
-@pytest.mark.parametrize("most", [2_000_000, 10])
-def test_quality_of_languages_without_labels(spark, most):
+def test_quality_of_languages_without_labels(spark):
     rnd = random.Random(8)
     good = lambda lang: " ".join(rnd.choice(WORDS[lang]) for _ in range(60))
     rows = [(i, good("en"), "en") for i in range(120)] + [(i, good("fr"), "fr") for i in range(120, 240)]
@@ -483,11 +646,11 @@ def test_quality_of_languages_without_labels(spark, most):
     rows += [(calibration, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "yy"), (None, good("fr"), None), (700, None, "xx")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(240)] + [(calibration, 1, 0)], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    got = quality.classify(df, labels.where(f"doc_id <> {calibration}"), chunk_bytes=9000, most_broadcast=most).collect()
+    got = quality.classify(df, labels.where(f"doc_id <> {calibration}"), chunk_bytes=9000).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
     assert all(r.perplexity > 1.0 for r in got if r.n_chars)
     assert {r.doc_id for r in got if not r.keep} == {*range(400, 415), calibration, 700}
-    again = quality.classify(df, labels, chunk_bytes=9000, most_broadcast=most).where("lang = 'en'").agg(F.max("threshold")).first()[0]
+    again = quality.classify(df, labels, chunk_bytes=9000).where("lang = 'en'").agg(F.max("threshold")).first()[0]
     assert again == max(r.threshold for r in got if r.lang == "en")
 
 
