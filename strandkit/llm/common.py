@@ -22,8 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, most: str = "4m", name: str = "spark.sql.execution.arrow.maxBytesPerBatch") -> None:
+    """Let batches for Python workers have about so many bytes, as long texts make large ones; not if the session has a bound of its own."""
+    if spark.conf.get(name) in ("64m", "67108864b", "67108864"):  # Spark's default
+        spark.conf.set(name, most)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
+    bound_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -32,6 +39,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
+    bound_batches(spark)
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
@@ -45,6 +53,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 500) -> DataFrame:
     """mapInArrow with a function of a batch of so many rows at most."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, rows):
             if (out := function(batch)) is not None:
