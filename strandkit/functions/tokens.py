@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandkit.functions.arrays import let
 from strandkit.functions.sequence import fail_unless, letters, only_alphabet
 
 #: The ids of the letter vocabulary.
@@ -40,8 +41,8 @@ def tokenize_letters(seq: Column, on_error: str = "raise") -> Column:
 
 def overlapping_kmers(seq: Column, k: int) -> Column:
     """The k-mer at each position; none if the sequence is shorter."""
-    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))
+    starts = lambda own: F.when(F.size(own) >= k, F.sequence(F.lit(1), F.size(own) - (k - 1))).otherwise(F.array().cast("array<int>"))
+    return let(letters(seq), lambda own: F.transform(starts(own), lambda i: F.array_join(F.slice(own, i, F.lit(k)), "")))
 
 
 def kmer_number(token: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.sequence import sanitize_dna
@@ -18,16 +18,18 @@ def fetch_windows(tiles: DataFrame, windows: DataFrame, tile: int, sanitize: boo
     """(window_id, chrom, start, end, seq, complete) of windows [start, end); complete if the chromosome covers it all.
 
     A window is joined to the tiles that it touches by chromosome and tile number, an equi-join, and its pieces are
-    put together in order. A window past the end gets what there is.
+    put together in order. A window past the end gets what there is; one that ends where it starts, or before, is empty
+    and complete.
     """
-    touched = windows.where("end > start").withColumn("tile_no", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))))
+    first = F.floor(F.col("start") / tile)
+    touched = windows.withColumn("tile_no", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col("end") - 1) / tile)))))
     begin = F.greatest(F.col("start"), F.col("tile_no") * tile)
     stop = F.least(F.col("end"), (F.col("tile_no") + 1) * tile)
-    piece = F.substring("seq", (begin - F.col("tile_no") * tile + 1).cast("int"), (stop - begin).cast("int"))
+    piece = F.substring("seq", (begin - F.col("tile_no") * tile + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
     pieces = touched.join(tiles.select("chrom", "tile_no", "seq"), ["chrom", "tile_no"], "left").withColumn("piece", F.coalesce(piece, F.lit("")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tile_no", "piece"))), lambda s: s["piece"]), "")
     out = pieces.groupBy("window_id", "chrom", "start", "end").agg(joined.alias("seq"))
-    return out.select("window_id", "chrom", "start", "end", (sanitize_dna(F.col("seq")) if sanitize else F.col("seq")).alias("seq"), (F.length("seq") == F.col("end") - F.col("start")).alias("complete"))
+    return out.select("window_id", "chrom", "start", "end", (sanitize_dna(F.col("seq")) if sanitize else F.col("seq")).alias("seq"), (F.length("seq") == F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("complete"))
 
 
 def select_tracks(tracks: DataFrame, species_tracks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +45,22 @@ def align_tracks(species_tracks: DataFrame) -> DataFrame:
     return names.join(F.broadcast(widest)).select("species", "names", (F.col("widest") - F.size("names")).alias("padding"))
 
 
+def pick_tracks(outputs: DataFrame, rows: DataFrame, species_tracks: DataFrame, key: str = "row", value: str = "value") -> DataFrame:
+    """(key, species, values): of all heads' outputs(key, species, track, value) those of the row's own species.
+
+    Values are in the order of the species' tracks, zero where there is no output, with zeros up to the widest species.
+    A row of rows(key, species) whose species has no tracks has zeros only; a null species has none of them.
+    """
+    own = rows.join(outputs, [key, "species"], "left").groupBy(key, "species").agg(F.collect_list(F.when(F.col("track").isNotNull(), F.struct("track", value))).alias("pairs"))
+    aligned = align_tracks(species_tracks)
+    widest = aligned.agg(F.coalesce(F.max(F.size("names") + F.col("padding")), F.lit(0)).alias("widest"))
+    zero = F.lit(0.0)
+    joined = own.join(aligned.select("species", "names"), "species", "left").join(F.broadcast(widest)).withColumn("of_track", F.map_from_entries("pairs"))
+    values = F.transform("names", lambda name: F.coalesce(F.try_element_at("of_track", name).cast("double"), zero))
+    values = F.coalesce(values, F.array().cast("array<double>"))
+    return joined.withColumn("values", values).select(key, "species", F.concat("values", F.array_repeat(zero, F.col("widest") - F.size("values"))).alias("values"))
+
+
 def encode_species(df: DataFrame, species: DataFrame, on_error: str = "raise") -> DataFrame:
     """df with token_id of its species; an unknown one is an error, or null."""
     joined = df.join(species.select("species", F.col("token_id").alias("__id")), "species", "left")
@@ -63,8 +81,8 @@ def species_head(df: DataFrame, reserved: int = 6, on_error: str = "raise") -> D
     return df.withColumn("head", head)
 
 
-def value_range(df: DataFrame, value: str, low: float, high: float, by: list[str], exact: bool = True) -> DataFrame:
-    """Two percentiles of the values per group; exact ones interpolate, others keep bounded sketches and suit any size."""
+def value_range(df: DataFrame, value: str, low: float, high: float, by: list[str], exact: bool = False) -> DataFrame:
+    """Two percentiles of the values per group, from bounded sketches, which suit any size; exact ones interpolate, and hold all distinct values of a group."""
     f = F.percentile if exact else F.percentile_approx
     return df.groupBy(*by).agg(f(value, F.lit(low)).alias("low"), f(value, F.lit(high)).alias("high"))
 
@@ -72,7 +90,3 @@ def value_range(df: DataFrame, value: str, low: float, high: float, by: list[str
 def pack_tracks(points: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """One array of values per group, in order."""
     return points.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda s: s[value]).alias("values"))
-
-
-def number_points(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return points.withColumn("pos", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))

@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A row's number in its partition, and above these bits the partition's number.
+ROW_BITS = 33
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local session may have one of its own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.match(r"local(\\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="strandkit-shared-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint, so that it is computed once and for all."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
 
-def number_rows(df: DataFrame, key: str, name: str = "rn", per_block: int = 4096) -> DataFrame:
-    """df with name, the place (from 0) of its row in the order of an integer key, whose values are distinct.
+def number_rows(df: DataFrame, order: list[str], name: str = "rn", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with name, the place (from 0) of its row in the given order, among the rows with equal values of by.
 
-    Rows fall into blocks of consecutive keys; places are counted within a block, and a block's offset is the number of
-    rows in the blocks before it. Only the counts of the blocks, one number for per_block keys, are summed in one place.
+    Rows are sorted into ranges; a row's place is that in its range, plus the rows of the same by in ranges before it.
+    Only the counts per range and by are summed in one place. Neither hot nor sparse keys make a large task. Nulls in by are equal;
+    rows with equal values of order are numbered in any order; an empty table gives no rows.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(key) / per_block))
-    counts = blocked.groupBy("__block").count()
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    place = F.row_number().over(Window.partitionBy("__block").orderBy(key)) - 1
-    return blocked.withColumn("__place", place).join(offsets, "__block").withColumn(name, F.col("__offset") + F.col("__place")).drop("__block", "__place", "__offset")
+    at = F.monotonically_increasing_id()
+    given = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    keys, places = [f"by_{i}" for i in range(len(by))], [f"order_{i}" for i in range(len(order))]
+    named = df.select(given, *[F.col(c).alias(k) for c, k in zip(by, keys)], *[F.col(c).alias(k) for c, k in zip(order, places)])
+    placed = settled(named.repartitionByRange(*keys, *places).sortWithinPartitions(*keys, *places).select("row", *keys, at.alias("at")))
+    placed = placed.withColumn("range", F.shiftright("at", ROW_BITS)).withColumn("at", F.col("at").bitwiseAND((1 << ROW_BITS) - 1))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    runs = placed.groupBy("range", *keys).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    runs = runs.select(F.col("range").alias("of_range"), *[F.col(k).alias(f"of_{k}") for k in keys], (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    same = F.col("range") == F.col("of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return placed.join(runs, same).select(*[F.col(f"row.`{c}`") for c in df.columns if c != name], (F.col("at") + F.col("shift")).alias(name))

@@ -123,7 +123,7 @@ def densify(binned: DataFrame, n_genes: int, value: str = "bin", pad: int | None
 
 def batch_rows(df: DataFrame, key: str, n: int, name: str = "batch") -> DataFrame:
     """df with the number of its batch of n rows, in the order of the key."""
-    return number_rows(df, key, "__rn").withColumn(name, F.floor(F.col("__rn") / n)).drop("__rn")
+    return number_rows(df, [key], "__rn").withColumn(name, F.floor(F.col("__rn") / n)).drop("__rn")
 
 
 def repeat_epochs(df: DataFrame, n: int) -> DataFrame:
@@ -137,6 +137,6 @@ def bag_cells(cells: DataFrame, num_cells: int, epochs: int = 1) -> DataFrame:
     With several epochs the cells are cycled through, so a bag may hold the end of one and the start of the next.
     """
     n = cells.agg(F.count("*").alias("n_cells"))
-    numbered = repeat_epochs(number_rows(cells, "cell_id", "rn"), epochs).join(F.broadcast(n)).withColumn("rn", F.col("rn") + F.col("epoch") * F.col("n_cells"))
+    numbered = repeat_epochs(number_rows(cells, ["cell_id"], "rn"), epochs).join(F.broadcast(n)).withColumn("rn", F.col("rn") + F.col("epoch") * F.col("n_cells"))
     bags = numbered.withColumn("bag_id", F.floor(F.col("rn") / num_cells)).groupBy("bag_id").agg(F.sort_array(F.collect_list(F.struct("rn", "cell_id", "values"))).alias("x"))
     return bags.where(F.size("x") == num_cells).select("bag_id", F.transform("x", lambda s: s["cell_id"]).alias("cell_ids"), F.flatten(F.transform("x", lambda s: s["values"])).alias("values"))

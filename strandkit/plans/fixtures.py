@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.functions.sequence import sanitize_dna
+from strandkit.functions.sequence import letters, sanitize_dna
+from strandkit.operators.numbering import number_rows, shared_dir
 
-HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGT"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -18,25 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; it stays until whoever set that folder clears it."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def dna(c) -> F.Column:
-    return F.translate(F.md5(c), HEX, DNA)
+#: A base for each letter of the alphabet.
+BASES = "ACGT" * 6 + "AC"
 
 
-def dna_sql(c: str) -> str:
-    return f"translate(md5({c}), '{HEX}', '{DNA}')"
+def letters_dna(c) -> F.Column:
+    """The letters a to z of a whole text, in either case, as bases; all else goes."""
+    return F.translate(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z]", ""), LOWER, BASES)
+
+
+def letters_dna_sql(c: str) -> str:
+    return f"translate(regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z]', '', 'g'), '{LOWER}', '{BASES}')"
 
 
 def seqs(spark, d):
-    """(seq_id, seq): 32 letters per document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), dna(F.col("text")).alias("seq"))
+    """(seq_id, seq): the whole text of each document as bases."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), letters_dna(F.col("text")).alias("seq"))
+
+
+SEQS = f"s AS (SELECT doc_id AS seq_id, {letters_dna_sql('text')} AS seq FROM documents)"
+
+
+def hashed(array) -> F.Column:
+    """MD5 of an array's entries, comma-joined."""
+    return F.md5(F.array_join(array.cast("array<string>"), ","))
+
 
+def hashed_sql(c: str) -> str:
+    return f"md5(array_to_string(list_transform({c}, lambda z: CAST(z AS VARCHAR)), ','))"
 
-SEQS = f"s AS (SELECT doc_id AS seq_id, {dna_sql('text')} AS seq FROM documents)"
+
+#: The id of a 6-mer or single letter t in the second layout.
+TOKEN_ID = "CASE WHEN length(t) = 1 THEN 4101 + instr('ATCGN', t) ELSE 6 + CAST(list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT))) AS BIGINT) END"
+SIXMERS = "regexp_extract_all({}, '[ACGT]{{6}}|[ACGTN]')"
 
 
 def texts_as_dna(spark, d):
@@ -48,33 +66,24 @@ TEXTS = f"s AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, '{LOWER}
 
 
 def id_rows(spark, d):
-    """(seq_id, ids): letter ids of 1 to 32 letters, padded to 32 with 1."""
-    ids = F.transform(F.split(F.substring("seq", 1, F.col("seq_id").cast("int") % 32 + 1), ""), lambda c: F.when(c == "A", 6).when(c == "T", 7).when(c == "C", 8).otherwise(9))
-    return seqs(spark, d).select("seq_id", F.concat(ids, F.array_repeat(F.lit(1), 31 - F.col("seq_id").cast("int") % 32)).alias("ids"))
+    """(seq_id, ids): letter ids of whole sequences, then 0 to 31 pads."""
+    ids = F.transform(letters(F.col("seq")), lambda c: F.when(c == "A", 6).when(c == "T", 7).when(c == "C", 8).otherwise(9))
+    return seqs(spark, d).select("seq_id", F.concat(ids, F.array_repeat(F.lit(1), F.col("seq_id").cast("int") % 32)).alias("ids"))
 
 
 IDS = SEQS + """,
-    t AS (SELECT seq_id, list_transform(string_split(substr(seq, 1, seq_id % 32 + 1), ''), lambda c: CASE c WHEN 'A' THEN 6 WHEN 'T' THEN 7 WHEN 'C' THEN 8 ELSE 9 END) AS u FROM s),
-    r AS (SELECT seq_id, list_concat(u, list_transform(range(0, 31 - seq_id % 32), lambda i: 1)) AS ids FROM t)"""
-
-
-def tiles(spark, d):
-    """(chrom, tile_no, seq): 64 letters each."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select(F.col("source").alias("chrom"), rank.cast("long").alias("tile_no"), F.concat(dna(F.concat(F.col("doc_id").cast("string"), F.lit("a"))), dna(F.concat(F.col("doc_id").cast("string"), F.lit("b")))).alias("seq"))
+    t AS (SELECT seq_id, CASE WHEN seq = '' THEN [] ELSE list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN 6 WHEN 'T' THEN 7 WHEN 'C' THEN 8 ELSE 9 END) END AS u FROM s),
+    r AS (SELECT seq_id, list_concat(u, list_transform(range(0, seq_id % 32), lambda i: 1)) AS ids FROM t)"""
 
 
-TILES = f"tiles AS (SELECT source AS chrom, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS tile_no, {dna_sql('CAST(doc_id AS VARCHAR) || chr(97)')} || {dna_sql('CAST(doc_id AS VARCHAR) || chr(98)')} AS seq FROM documents)"
+def windows(spark, d, length: int = 4096):
+    """(window_id, chrom, start, end) on the documents as chromosomes; one of fifty is empty."""
+    start = F.floor(F.col("value") * 20).cast("long")
+    end = start + F.when(F.col("event_id") % 50 == 0, 0).otherwise(length)
+    return table(spark, d, "events").select(F.col("event_id").alias("window_id"), F.col("user_id").alias("chrom"), start.alias("start"), end.alias("end"))
 
 
-def windows(spark, d, length: int = 96):
-    start = F.floor(F.col("value") * 10).cast("long")
-    return table(spark, d, "events").select(F.col("event_id").alias("window_id"), F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("chrom"), start.alias("start"), (start + length).alias("end"))
-
-
-WINDOWS = """windows AS (SELECT event_id AS window_id, 'src' || CAST(event_id % 20 AS VARCHAR) AS chrom, CAST(floor(value * 10) AS BIGINT) AS "start", CAST(floor(value * 10) AS BIGINT) + 96 AS "end" FROM events)"""
+WINDOWS = """windows AS (SELECT event_id AS window_id, user_id AS chrom, CAST(floor(value * 20) AS BIGINT) AS "start", CAST(floor(value * 20) AS BIGINT) + CASE WHEN event_id % 50 = 0 THEN 0 ELSE 4096 END AS "end" FROM events)"""
 
 
 def counts(spark, d):
@@ -124,9 +133,7 @@ EMB = "e AS (SELECT vec_id // 8 AS seq_id, CAST(vec_id % 8 AS INTEGER) AS pos, e
 
 def points(spark, d):
     """(chrom, pos, y)."""
-    from strandkit.operators.genome import number_points
-
-    return number_points(table(spark, d, "events"), ["event_type"], ["ts", "event_id"]).select(F.col("event_type").alias("chrom"), "pos", F.col("value").alias("y"))
+    return number_rows(table(spark, d, "events"), ["ts", "event_id"], "pos", by=["event_type"]).select(F.col("event_type").alias("chrom"), "pos", F.col("value").alias("y"))
 
 
 POINTS = "p AS (SELECT event_type AS chrom, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value AS y FROM events)"

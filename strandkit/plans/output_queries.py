@@ -61,11 +61,11 @@ def out7(spark, d):
     return out.select("seq_id", "pos", F.col("dim").cast("long").alias("dim"), F.round("total", 6).alias("total"))
 
 
-@query("out8_lookup", f"WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS token_id FROM r) SELECT seq_id, pos, token_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM p JOIN embeddings ON vec_id = token_id")
+@query("out8_lookup", f"WITH {X.IDS}, p AS (SELECT seq_id, unnest(ids) AS token_id FROM r) SELECT seq_id, token_id, count(*) AS n, round(CAST(max(embedding[1]) AS DOUBLE), 6) + 0.0 AS x FROM p JOIN embeddings ON vec_id = token_id GROUP BY seq_id, token_id")
 def out8(spark, d):
-    vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v")).where("token_id < 16")
-    found = model_outputs.lookup_embedding(X.id_rows(spark, d), "seq_id", "ids", F.broadcast(vectors))
-    return found.select("seq_id", F.col("pos").cast("long").alias("pos"), "token_id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
+    vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v"))
+    found = model_outputs.lookup_embedding(X.id_rows(spark, d), "seq_id", "ids", vectors)
+    return found.groupBy("seq_id", "token_id").agg(F.count("*").alias("n"), F.round(F.max(F.get("v", F.lit(0))).cast("double"), 6).alias("x"))
 
 
 @query("out9_top_k", f"""WITH {SOFT}, x AS (SELECT row, unnest(range(0, len(p))) AS id, unnest(p) AS p FROM pr), k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY p DESC, id) AS rank FROM x)
@@ -104,11 +104,11 @@ def out12(spark, d):
     return found.unionByName(missing.select(F.lit(-1).cast("long").alias("seq_id"), F.lit(-1).alias("pos"), "name", F.lit(-1).alias("rank"), F.lit(0.0).alias("x")))
 
 
-@query("out13_tracks", f"""WITH {X.TRACKS}, w AS (SELECT r_name AS species, n_name AS track FROM nation, region WHERE n_nationkey < 12)
+@query("out13_tracks", f"""WITH {X.TRACKS}, w AS (SELECT r_name AS species, n_name AS track FROM nation JOIN region ON n_nationkey % 5 = r_regionkey)
     SELECT w.species, w.track, tr.track IS NOT NULL AS available FROM w LEFT JOIN tr ON w.species = tr.species AND w.track = tr.track""")
 def out13(spark, d):
     have = X.species_tracks(spark, d)
-    wanted = X.table(spark, d, "region").select(F.col("r_name").alias("species"), F.explode(F.lit([1])).alias("one")).drop("one").join(F.broadcast(X.table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("track"))))
+    wanted = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.expr("n_nationkey % 5 = r_regionkey")).select(F.col("r_name").alias("species"), F.col("n_name").alias("track"))
     found, missing = genome.select_tracks(have, have, wanted)
     return found.select("species", "track", F.lit(True).alias("available")).unionByName(missing.select("species", "track", F.lit(False).alias("available")))
 
@@ -118,6 +118,20 @@ def out14(spark, d):
     return genome.align_tracks(X.species_tracks(spark, d)).select("species", F.array_join("names", ",").alias("names"), "padding")
 
 
+@query("out14_pick", f"""WITH {X.TRACKS}, o AS (SELECT o_orderkey AS row, r_name AS species FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    v AS (SELECT l_orderkey AS row, r_name AS species, n_name AS track, sum(l_quantity) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+    w AS (SELECT max(n) AS widest FROM (SELECT count(*) AS n FROM tr GROUP BY species)),
+    x AS (SELECT o.row, o.species, tr.track, coalesce(value, 0) AS value FROM o JOIN tr ON o.species = tr.species LEFT JOIN v ON v.row = o.row AND v.species = o.species AND v.track = tr.track)
+    SELECT row, species, string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY track) || repeat(',0', CAST(max(widest) - count(*) AS INTEGER)) AS tracks FROM x, w GROUP BY row, species""")
+def out14_pick(spark, d):
+    place = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    orders = X.table(spark, d, "orders").join(X.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = X.table(spark, d, "lineitem").join(X.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    outputs = lines.groupBy(F.col("l_orderkey").alias("row"), F.col("r_name").alias("species"), F.col("n_name").alias("track")).agg(F.sum("l_quantity").alias("value"))
+    picked = genome.pick_tracks(outputs, orders.select(F.col("o_orderkey").alias("row"), F.col("r_name").alias("species")), X.species_tracks(spark, d))
+    return picked.select("row", "species", csv(F.col("values").cast("array<long>")).alias("tracks"))
+
+
 @query("out15_species", f"WITH {X.TRACKS}, s AS (SELECT DISTINCT species, token_id FROM tr) SELECT n_name, r_name AS species, token_id, row_number() OVER (ORDER BY r_name, n_name) - 1 AS place FROM nation JOIN region ON n_regionkey = r_regionkey JOIN s ON r_name = species")
 def out15(spark, d):
     known = X.species_tracks(spark, d).select("species", "token_id").distinct()
@@ -172,7 +186,7 @@ def out21(spark, d):
     return both.select("chrom", "w", F.posexplode("x").alias("i", "x")).select("chrom", "w", F.col("i").cast("long").alias("i"), F.round("x.a", 6).alias("nearest"), F.round("x.b", 6).alias("linear"))
 
 
-@query("out22_value_range", f"WITH {X.POINTS} SELECT chrom, round(quantile_cont(y, 0.05), 6) AS low, round(quantile_cont(y, 0.95), 6) AS high FROM p GROUP BY chrom")
+@query("out22_value_range", f"WITH {X.POINTS} SELECT chrom, round(quantile_disc(y, 0.05), 6) AS low, round(quantile_disc(y, 0.95), 6) AS high FROM p GROUP BY chrom")
 def out22(spark, d):
     return genome.value_range(X.points(spark, d), "y", 0.05, 0.95, ["chrom"]).select("chrom", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
@@ -225,42 +239,39 @@ def cht2(spark, d):
     return chat.placeholder_violations(placeholders(spark, d), "text", "n_seqs")
 
 
-@query("cht3_stack", f"""WITH {X.SEQS}, v AS (SELECT 'ATCG' AS a), q AS (SELECT seq_id, i, CASE WHEN i = 0 THEN substr(seq, 1, 12) ELSE substr(seq, 1, 30) END AS seq FROM s, range(0, 2) t(i)),
-    w AS (SELECT seq_id, i, regexp_extract_all(seq, '[ACGT]{{6}}') AS k FROM q),
-    x AS (SELECT seq_id, i, list_transform(k, lambda t: 6 + list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT)))) AS ids FROM w)
-    SELECT seq_id, i, '3,' || array_to_string(list_transform(ids[1:3], lambda z: CAST(CAST(z AS BIGINT) AS VARCHAR)), ',') || CASE WHEN i = 0 THEN ',1' ELSE '' END AS ids FROM x""")
+@query("cht3_stack", f"""WITH {X.SEQS}, q AS (SELECT seq_id, i, CASE WHEN i = 0 THEN seq ELSE reverse(seq) END AS seq FROM s, range(0, 2) t(i)), w AS (SELECT seq_id, i, list_transform({X.SIXMERS.format('seq')}, lambda t: {X.TOKEN_ID}) AS ids FROM q)
+    SELECT seq_id, i, {X.hashed_sql('list_concat([3], ids[1:127], list_transform(range(0, greatest(127 - len(ids), 0)), lambda j: 1))')} AS ids FROM w""")
 def cht3(spark, d):
-    prompts = X.seqs(spark, d).select("seq_id", F.array(F.substring("seq", 1, 12), F.substring("seq", 1, 30)).alias("seqs"))
-    long = chat.stack_sequences(prompts, "seqs", 4).select("seq_id", F.posexplode("stacked").alias("i", "ids"))
-    return long.select("seq_id", F.col("i").cast("long").alias("i"), csv(F.col("ids")).alias("ids"))
+    prompts = X.seqs(spark, d).select("seq_id", F.array("seq", F.reverse("seq")).alias("seqs"))
+    long = chat.stack_sequences(prompts, "seqs", 128).select("seq_id", F.posexplode("stacked").alias("i", "ids"))
+    return long.select("seq_id", F.col("i").cast("long").alias("i"), X.hashed(F.col("ids")).alias("ids"))
 
 
-@query("cht4_expand", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(flatten(list_transform(ids, lambda x: CASE WHEN x = 8 THEN [x, x, x] ELSE [x] END))[1:32], lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM r")
+@query("cht4_expand", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql('flatten(list_transform(ids, lambda x: CASE WHEN x = 8 THEN [x, x, x] ELSE [x] END))[1:len(ids)]')} AS ids FROM r")
 def cht4(spark, d):
-    return X.id_rows(spark, d).select("seq_id", csv(P.expand_placeholders(F.col("ids"), 8, 3)).alias("ids"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(P.expand_placeholders(F.col("ids"), 8, 3)).alias("ids"))
 
 
-@query("cht5_compact", f"""WITH {X.IDS}, f AS (SELECT seq_id, list_position(ids, 8) - 1 AS p FROM r)
-    SELECT seq_id, i, CAST(CASE WHEN p IS NULL OR p < 0 THEN i WHEN i <= p THEN i WHEN i < 28 THEN i + 4 ELSE 0 END AS DOUBLE) AS x FROM f, range(0, 32) t(i)""")
+@query("cht5_compact", f"""WITH {X.IDS}, f AS (SELECT seq_id, len(ids) AS n, coalesce(list_position(ids, 8), 0) - 1 AS p FROM r)
+    SELECT seq_id, {X.hashed_sql('list_transform(range(0, n), lambda i: CASE WHEN p < 0 OR i <= p THEN i WHEN i < p + 1 + greatest(n - p - 5, 0) THEN i + 4 ELSE 0 END)')} AS x FROM f""")
 def cht5(spark, d):
-    rows = X.id_rows(spark, d)
-    first = F.transform("ids", lambda x, i: F.when((x == 8) & (i == F.array_position("ids", F.lit(8)) - 1), 8).otherwise(0))  # one placeholder each
-    values = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i.cast("double"))
-    done = rows.select("seq_id", F.posexplode(P.compact_outputs(values, first, 8, 4)).alias("i", "x"))
-    return done.select("seq_id", F.col("i").cast("long").alias("i"), "x")
+    rows = X.id_rows(spark, d).withColumn("first", F.array_position("ids", F.lit(8)) - 1)  # one placeholder each
+    only = F.transform("ids", lambda x, i: F.when(i == F.col("first"), 8).otherwise(0))
+    values = F.transform("ids", lambda x, i: i.cast("double"))
+    return rows.select("seq_id", X.hashed(P.compact_outputs(values, only, 8, 4).cast("array<long>")).alias("x"))
 
 
-@query("cht6_first_pad", f"WITH {X.IDS} SELECT seq_id, CASE WHEN len(u) < 32 THEN CAST(len(u) AS INTEGER) END AS at FROM t")
+@query("cht6_first_pad", f"WITH {X.IDS} SELECT seq_id, CASE WHEN seq_id % 32 > 0 THEN CAST(len(u) AS INTEGER) END AS at FROM t")
 def cht6(spark, d):
     return X.id_rows(spark, d).select("seq_id", P.first_pad(F.col("ids"), T.PAD).alias("at"))
 
 
-@query("cht7_answer", f"WITH {X.IDS} SELECT seq_id, coalesce(regexp_extract(substr(seq, 4, greatest(seq_id % 32 - 2, 0)) || repeat('p', CAST(31 - seq_id % 32 AS INTEGER)), '^[^Gp]*'), '') AS answer FROM s")
+@query("cht7_answer", f"WITH {X.SEQS} SELECT seq_id, md5(coalesce(regexp_extract(substr(seq, 4), '^[^G]*'), '')) AS answer FROM s")
 def cht7(spark, d):
     from strandkit.operators import vocab
 
     answer = T.detokenize(P.answer_ids(F.filter("ids", lambda x: x != 1), F.lit(3), 9), [*vocab.SPECIALS, *vocab.LETTERS])
-    return X.id_rows(spark, d).select("seq_id", answer.alias("answer"))
+    return X.id_rows(spark, d).select("seq_id", F.md5(answer).alias("answer"))
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
@@ -285,7 +296,7 @@ def udf2(spark, d):
     return scoring.score_batches(X.id_rows(spark, d), load_predictor, ["seq_id", "ids"], {"total": "double"}, 128).select("seq_id", "total")
 
 
-@query("udf3_max_length", f"WITH {X.IDS} SELECT seq_id, CAST(len(u) AS INTEGER) AS n FROM t WHERE len(u) <= 20")
+@query("udf3_max_length", f"WITH {X.IDS} SELECT seq_id, CAST(len(u) AS INTEGER) AS n FROM t WHERE len(u) <= 1500")
 def udf3(spark, d):
     rows = X.id_rows(spark, d).select("seq_id", F.filter("ids", lambda x: x != 1).alias("ids"))
-    return sequences.check_max_length(rows, "ids", 20, on_error="filter").select("seq_id", F.size("ids").alias("n"))
+    return sequences.check_max_length(rows, "ids", 1500, on_error="filter").select("seq_id", F.size("ids").alias("n"))

@@ -12,21 +12,17 @@ from strandkit.plans import fixtures as X
 from strandkit.plans.registry import query
 
 
-def joined(ids):
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
 # ---- sequences -----------------------------------------------------------------------------------------------------
 
 
 @query("flagship_top_kmers", f"""
-    WITH s AS (SELECT lang, {X.dna_sql('text')} AS seq FROM documents),
+    WITH s AS (SELECT lang, {X.letters_dna_sql('text')} AS seq FROM documents),
     k AS (SELECT lang, unnest(regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]')) AS kmer FROM s),
     c AS (SELECT lang, kmer, count(*) AS n FROM k WHERE length(kmer) = 6 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kmer) AS rank FROM c)
     SELECT lang, kmer, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def flagship_top_kmers(spark, d):
-    kmers = X.table(spark, d, "documents").select("lang", F.explode(T.tokenize_kmers(S.sanitize_dna(X.dna(F.col("text"))), 6)).alias("kmer"))
+    kmers = X.table(spark, d, "documents").select("lang", F.explode(T.tokenize_kmers(S.sanitize_dna(X.letters_dna(F.col("text"))), 6)).alias("kmer"))
     counted = kmers.where(F.length("kmer") == 6).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "kmer"))
     return counted.withColumn("rank", rank).where("rank <= 10")
@@ -45,14 +41,16 @@ def seq2(spark, d):
     return s.select("seq_id", S.is_valid_dna(seq).alias("valid"))
 
 
-@query("seq3_only_alphabet", "SELECT doc_id, regexp_matches(text, '^[A-Za-z .,]*\\z') AS ok FROM documents")
+@query("seq3_only_alphabet", "SELECT doc_id, regexp_matches(text, '^[A-Za-z .,]*\\z') AS ok, CASE WHEN regexp_matches(text, '^[A-Za-z .,]*\\z') THEN md5(text) END AS strict FROM documents")
 def seq3(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", S.only_alphabet(F.col("text"), "A-Za-z .,").alias("ok"))
+    text = F.col("text")
+    return X.table(spark, d, "documents").select("doc_id", S.only_alphabet(text, "A-Za-z .,").alias("ok"), F.md5(S.strict_alphabet(text, "A-Za-z .,", on_error="null")).alias("strict"))
 
 
-@query("seq4_n_free", f"WITH {X.TEXTS} SELECT seq_id FROM s WHERE instr(substr(seq, 1, 2), 'N') = 0")
+@query("seq4_n_free", f"WITH {X.SEQS}, n AS (SELECT seq_id, replace(seq, 'GGGGGG', 'N') AS seq FROM s) SELECT seq_id, length(seq) AS n FROM n WHERE instr(seq, 'N') = 0")
 def seq4(spark, d):
-    return X.texts_as_dna(spark, d).where(S.n_free(F.substring("seq", 1, 2))).select("seq_id")
+    rows = X.seqs(spark, d).withColumn("seq", F.replace(F.col("seq"), F.lit("GGGGGG"), F.lit("N")))
+    return rows.where(S.n_free(F.col("seq"))).select("seq_id", F.length("seq").cast("long").alias("n"))
 
 
 @query("seq5_length_multiple", f"WITH {X.TEXTS} SELECT seq_id, length(seq) AS n FROM s WHERE length(seq) % 4 = 0")
@@ -71,26 +69,23 @@ def seq7(spark, d):
     return X.texts_as_dna(spark, d).select("seq_id", F.md5(S.pad_n_to_multiple(F.col("seq"), 128)).alias("padded"))
 
 
-@query("seq8_fetch_windows", f"""WITH {X.TILES}, {X.WINDOWS},
-    w AS (SELECT *, unnest(range("start" // 64, ("end" - 1) // 64 + 1)) AS tile_no FROM windows),
-    c AS (SELECT window_id, w.chrom, "start", "end", w.tile_no, coalesce(substr(seq, CAST(greatest("start", w.tile_no * 64) - w.tile_no * 64 + 1 AS BIGINT), CAST(least("end", (w.tile_no + 1) * 64) - greatest("start", w.tile_no * 64) AS BIGINT)), '') AS piece
-          FROM w LEFT JOIN tiles ON w.chrom = tiles.chrom AND w.tile_no = tiles.tile_no)
-    SELECT window_id, chrom, "start", "end", string_agg(piece, '' ORDER BY tile_no) AS seq, length(string_agg(piece, '')) = "end" - "start" AS complete FROM c GROUP BY window_id, chrom, "start", "end" """)
+@query("seq8_fetch_windows", f"""WITH {X.SEQS}, {X.WINDOWS}, c AS (SELECT windows.*, coalesce(substr(seq, "start" + 1, "end" - "start"), '') AS seq FROM windows LEFT JOIN s ON seq_id = chrom)
+    SELECT window_id, chrom, "start", "end", md5(seq) AS seq, length(seq) = "end" - "start" AS complete FROM c""")
 def seq8(spark, d):
-    return genome.fetch_windows(X.tiles(spark, d), X.windows(spark, d), 64)
+    tiles = genome.tile_genome(X.seqs(spark, d), 512, "seq_id", "seq")
+    return genome.fetch_windows(tiles, X.windows(spark, d), 512).withColumn("seq", F.md5("seq"))
 
 
-@query("seq9_windows_at", """SELECT event_id AS window_id, CAST(floor(value * 10) AS BIGINT) AS "start", CAST(floor(value * 10) AS BIGINT) + 16 * 6 AS "end" FROM events""")
+@query("seq9_windows_at", """SELECT event_id AS window_id, CAST(floor(value * 20) AS BIGINT) AS "start", CAST(floor(value * 20) AS BIGINT) + 16 * 6 AS "end" FROM events""")
 def seq9(spark, d):
     w = X.windows(spark, d)
     return w.select("window_id", "start", S.window_end(F.col("start"), 16, 6).alias("end"))
 
 
-@query("seq10_one_hot", f"""WITH {X.TEXTS}, c AS (SELECT seq_id, unnest(range(1, least(length(seq), 40) + 1)) AS i, substr(seq, 1, 40) AS seq FROM s)
-    SELECT seq_id, i - 1 AS pos, CAST(substr(seq, i, 1) = 'A' AS INTEGER) AS a, CAST(substr(seq, i, 1) = 'C' AS INTEGER) AS c, CAST(substr(seq, i, 1) = 'G' AS INTEGER) AS g, CAST(substr(seq, i, 1) = 'T' AS INTEGER) AS t FROM c""")
+@query("seq10_one_hot", f"WITH {X.TEXTS} SELECT seq_id, length(seq) AS n, md5(replace(replace(replace(replace(replace(seq, 'A', '1000'), 'C', '0100'), 'G', '0010'), 'T', '0001'), 'N', '0000')) AS bits FROM s")
 def seq10(spark, d):
-    long = X.texts_as_dna(spark, d).select("seq_id", F.posexplode(S.one_hot(F.substring("seq", 1, 40))).alias("pos", "v"))
-    return long.select("seq_id", F.col("pos").cast("long").alias("pos"), *[F.get("v", F.lit(i)).alias(x) for i, x in enumerate("acgt")])
+    rows = X.texts_as_dna(spark, d).select("seq_id", S.one_hot(F.col("seq")).alias("v"))
+    return rows.select("seq_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join(F.flatten("v").cast("array<string>"), "")).alias("bits"))
 
 
 @query("seq11_head", f"WITH {X.SEQS} SELECT seq_id, seq FROM s ORDER BY seq_id LIMIT 100")
@@ -131,11 +126,11 @@ def voc3(spark, d):
     return vocab.vocab_layout(spark, 6, "v2").join(used(spark, d), "token", "left").select("token", "token_id", "kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("voc4_letters", f"""WITH {X.TEXTS}, u AS (SELECT unnest(string_split(substr(seq, 1, 200), '')) AS token FROM s), c AS (SELECT token, count(*) AS n FROM u GROUP BY token),
+@query("voc4_letters", f"""WITH {X.TEXTS}, u AS (SELECT unnest(string_split(seq, '')) AS token FROM s WHERE seq <> ''), c AS (SELECT token, count(*) AS n FROM u GROUP BY token),
     v AS (SELECT unnest(['<unk>','<pad>','<mask>','<cls>','<eos>','<bos>','A','T','C','G','N']) AS token, unnest(range(0, 11)) AS token_id)
     SELECT token, CAST(token_id AS INTEGER) AS token_id, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (token)""")
 def voc4(spark, d):
-    n = X.texts_as_dna(spark, d).select(F.explode(S.letters(F.substring("seq", 1, 200))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    n = X.texts_as_dna(spark, d).select(F.explode(S.letters(F.col("seq"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return vocab.vocab_layout(spark, 1, "letters").join(n, "token", "left").select("token", "token_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -156,28 +151,30 @@ def voc6(spark, d):
     return vocab.check_vocab(given, vocab.vocab_layout(spark, 6, "v2"))
 
 
-ADDED = """WITH n AS (SELECT DISTINCT {c} AS token FROM {t}), v0 AS (SELECT unnest(['<unk>','<pad>','<mask>','<cls>','<eos>','<bos>','A','T','C','G','N']) AS token, unnest(range(0, 11)) AS token_id)
+ADDED = """WITH n AS (SELECT DISTINCT {c} AS token FROM documents), v0 AS (SELECT unnest(['<unk>','<pad>','<mask>','<cls>','<eos>','<bos>','A','T','C','G','N']) AS token, unnest(range(0, 11)) AS token_id)
     SELECT token, CAST(token_id AS INTEGER) AS token_id, CASE WHEN token_id < 6 THEN 'special' ELSE 'standard' END AS kind FROM v0
     UNION ALL SELECT token, CAST(10 + row_number() OVER (ORDER BY token) AS INTEGER), '{k}' FROM n WHERE token NOT IN (SELECT token FROM v0)"""
 
 
-@query("voc7_add_tokens", ADDED.format(c="substr(text, 1, 1)", t="documents", k="standard"))
+@query("voc7_add_tokens", ADDED.format(c="unnest(regexp_extract_all(text, '(?s).'))", k="standard"))
 def voc7(spark, d):
-    return vocab.add_tokens(vocab.vocab_layout(spark, 1, "letters"), X.table(spark, d, "documents").select(F.substring("text", 1, 1).alias("token")))
+    return vocab.add_tokens(vocab.vocab_layout(spark, 1, "letters"), X.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(.)"), 1)).alias("token")))
 
 
-@query("voc8_add_special_tokens", ADDED.format(c="'<' || source || '>'", t="documents", k="special"))
+@query("voc8_add_special_tokens", ADDED.format(c="'<' || source || '>'", k="special"))
 def voc8(spark, d):
     return vocab.add_tokens(vocab.vocab_layout(spark, 1, "letters"), X.table(spark, d, "documents").select(F.concat(F.lit("<"), "source", F.lit(">")).alias("token")), "special")
 
 
-@query("voc9_lookup", f"""WITH {X.SEQS}, {LAYOUT2}, k AS (SELECT seq_id, regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]') AS w FROM s),
-    p AS (SELECT seq_id, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM k)
-    SELECT seq_id, pos, p.token, CAST(token_id AS INTEGER) AS token_id FROM p JOIN v USING (token)""")
+@query("voc9_lookup", f"""WITH {X.SEQS}, k AS (SELECT seq_id, {X.SIXMERS.format('seq')} AS w FROM s)
+    SELECT seq_id, {X.hashed_sql(f"list_transform(w, lambda t: {X.TOKEN_ID})")} AS ids, {X.hashed_sql('w')} AS tokens FROM k WHERE len(w) > 0""")
 def voc9(spark, d):
     v = vocab.vocab_layout(spark, 6, "v2")
+    gathered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     encoded = vocab.encode_tokens(X.seqs(spark, d).withColumn("tokens", T.tokenize_kmers(F.col("seq"), 6)), "seq_id", "tokens", v)
-    return encoded.drop("token").join(F.broadcast(v.select("token_id", "token")), "token_id").select("seq_id", F.col("pos").cast("long").alias("pos"), "token", "token_id")
+    rows = encoded.groupBy("seq_id").agg(gathered("token_id").alias("ids"))
+    decoded = vocab.decode_ids(rows, "seq_id", "ids", v)
+    return decoded.groupBy("seq_id").agg(X.hashed(gathered("token_id")).alias("ids"), X.hashed(gathered("token")).alias("tokens"))
 
 
 # ---- tokenization --------------------------------------------------------------------------------------------------
@@ -186,17 +183,17 @@ WORDS = ["ACG", "AC", "TT", "<mask>", "G"]
 
 
 @query("tok1_regex", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 9) || ' <mask>' || substr(seq, 10) || '-x', 'ACG|AC|TT|<mask>|G|[^ ]') AS w FROM s)
-    SELECT seq_id, array_to_string(list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END), ',') AS tokens FROM u""")
+    SELECT seq_id, {X.hashed_sql("list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
 def tok1(spark, d):
     text = F.concat(F.substring("seq", 1, 9), F.lit(" <mask>"), F.expr("substr(seq, 10)"), F.lit("-x"))
-    return X.seqs(spark, d).select("seq_id", F.array_join(T.tokenize_regex(text, WORDS), ",").alias("tokens"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, WORDS)).alias("tokens"))
 
 
-@query("tok2_regex_boundaries", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 2) || ' ACG ' || substr(seq, 3, 4) || '<mask>' || substr(seq, 7, 3) || ' G AC<mask>', '\\bACG\\b|\\bAC\\b|\\bTT\\b|\\b<mask>\\b|\\bG\\b|[^ ]') AS w FROM s)
-    SELECT seq_id, array_to_string(list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END), ',') AS tokens FROM u""")
+@query("tok2_regex_boundaries", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 2) || ' ACG ' || substr(seq, 3, 4) || '<mask>' || substr(seq, 7) || ' G AC<mask>', '\\bACG\\b|\\bAC\\b|\\bTT\\b|\\b<mask>\\b|\\bG\\b|[^ ]') AS w FROM s)
+    SELECT seq_id, {X.hashed_sql("list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
 def tok2(spark, d):
-    text = F.concat(F.substring("seq", 1, 2), F.lit(" ACG "), F.substring("seq", 3, 4), F.lit("<mask>"), F.substring("seq", 7, 3), F.lit(" G AC<mask>"))
-    return X.seqs(spark, d).select("seq_id", F.array_join(T.tokenize_regex(text, WORDS, boundaries=True), ",").alias("tokens"))
+    text = F.concat(F.substring("seq", 1, 2), F.lit(" ACG "), F.substring("seq", 3, 4), F.lit("<mask>"), F.expr("substr(seq, 7)"), F.lit(" G AC<mask>"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, WORDS, boundaries=True)).alias("tokens"))
 
 
 @query("tok3_kmers", f"WITH {X.TEXTS} SELECT seq_id, md5(array_to_string(regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]'), ',')) AS tokens, len(regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]')) AS n FROM s")
@@ -205,82 +202,76 @@ def tok3(spark, d):
     return X.texts_as_dna(spark, d).withColumn("t", tokens).select("seq_id", F.md5(F.array_join("t", ",")).alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
-@query("tok4_codons", f"WITH {X.SEQS} SELECT seq_id, array_to_string(regexp_extract_all(seq, '[ACGT]{{3}}|[ACGTN]'), ',') AS tokens FROM s")
+@query("tok4_codons", f"WITH {X.SEQS} SELECT seq_id, {X.hashed_sql("regexp_extract_all(seq, '[ACGT]{3}|[ACGTN]')")} AS tokens FROM s")
 def tok4(spark, d):
-    return X.seqs(spark, d).select("seq_id", F.array_join(T.tokenize_kmers(F.col("seq"), 3), ",").alias("tokens"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_kmers(F.col("seq"), 3)).alias("tokens"))
 
 
-@query("tok5_kmer_ids", f"""WITH {X.SEQS}, {LAYOUT2}, p AS (SELECT seq_id, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT seq_id, regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]') AS w FROM s))
-    SELECT seq_id, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) AS ids FROM p JOIN v USING (token) GROUP BY seq_id""")
+@query("tok5_kmer_ids", f"WITH {X.SEQS}, k AS (SELECT seq_id, {X.SIXMERS.format('seq')} AS w FROM s) SELECT seq_id, {X.hashed_sql(f"list_transform(w, lambda t: {X.TOKEN_ID})")} AS ids FROM k")
 def tok5(spark, d):
-    return X.seqs(spark, d).select("seq_id", joined(T.kmer_ids(T.tokenize_kmers(F.col("seq"), 6), 6, 6)).alias("ids"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.kmer_ids(T.tokenize_kmers(F.col("seq"), 6), 6, 6)).alias("ids"))
 
 
-@query("tok6_letters", f"""WITH {X.TEXTS} SELECT seq_id, md5(array_to_string(list_transform(string_split(substr(seq, 1, 100), ''), lambda c: CAST(instr('ATCGN', c) + 5 AS VARCHAR)), ',')) AS ids FROM s WHERE seq <> ''""")
+@query("tok6_letters", f"""WITH {X.TEXTS} SELECT seq_id, md5(array_to_string(list_transform(string_split(seq, ''), lambda c: CAST(instr('ATCGN', c) + 5 AS VARCHAR)), ',')) AS ids FROM s WHERE seq <> ''""")
 def tok6(spark, d):
-    return X.texts_as_dna(spark, d).where("seq <> ''").select("seq_id", F.md5(joined(T.tokenize_letters(F.substring("seq", 1, 100)))).alias("ids"))
+    return X.texts_as_dna(spark, d).where("seq <> ''").select("seq_id", X.hashed(T.tokenize_letters(F.col("seq"))).alias("ids"))
 
 
-@query("tok7_overlapping", f"""WITH {X.SEQS}, u AS (SELECT seq_id, substr(seq, 1, seq_id % 12) AS seq FROM s)
-    SELECT seq_id, array_to_string(list_transform(range(1, greatest(length(seq) - 3, 1)), lambda i: substr(seq, i, 5)), ',') AS kmers FROM u""")
+@query("tok7_overlapping", f"WITH {X.SEQS} SELECT seq_id, {X.hashed_sql("list_transform(range(1, greatest(length(seq) - 3, 1)), lambda i: substr(seq, i, 5))")} AS kmers FROM s")
 def tok7(spark, d):
-    seq = F.substring("seq", F.lit(1), (F.col("seq_id") % 12).cast("int"))
-    return X.seqs(spark, d).withColumn("u", seq).select("seq_id", F.array_join(T.overlapping_kmers(F.col("u"), 5), ",").alias("kmers"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.overlapping_kmers(F.col("seq"), 5)).alias("kmers"))
 
 
-@query("tok8_add_special", f"WITH {X.IDS} SELECT seq_id, '3,' || array_to_string(list_transform(u, lambda x: CAST(x AS VARCHAR)), ',') || ',4' AS ids FROM t")
+@query("tok8_add_special", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql('list_concat([3], u, [4])')} AS ids FROM t")
 def tok8(spark, d):
     ids = F.filter("ids", lambda x: x != 1)
-    return X.id_rows(spark, d).select("seq_id", joined(T.add_special(ids, cls=T.CLS, eos=T.EOS)).alias("ids"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.add_special(ids, cls=T.CLS, eos=T.EOS)).alias("ids"))
 
 
 @query("tok9_pad_batch", f"""WITH {X.IDS}, m AS (SELECT seq_id, u, max(len(u)) OVER (PARTITION BY seq_id // 5) AS n FROM t)
-    SELECT seq_id, seq_id // 5 AS batch, array_to_string(list_transform(list_concat(u, list_transform(range(0, n - len(u)), lambda i: 1)), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM m""")
+    SELECT seq_id, seq_id // 5 AS batch, {X.hashed_sql('list_concat(u, list_transform(range(0, n - len(u)), lambda i: 1))')} AS ids FROM m""")
 def tok9(spark, d):
     rows = X.id_rows(spark, d).select("seq_id", F.expr("seq_id div 5").alias("batch"), F.filter("ids", lambda x: x != 1).alias("ids"))
-    return sequences.pad_to_batch_max(rows, "ids", "batch").withColumn("ids", joined(F.col("ids")))
+    return sequences.pad_to_batch_max(rows, "ids", "batch").withColumn("ids", X.hashed(F.col("ids")))
 
 
-@query("tok10_pad_fixed", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(list_concat(u, list_transform(range(0, 40 - len(u)), lambda i: 1)), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM t")
+@query("tok10_pad_fixed", f"WITH {X.IDS} SELECT seq_id, CASE WHEN len(u) <= 4096 THEN {X.hashed_sql('list_concat(u, list_transform(range(0, 4096 - len(u)), lambda i: 1))')} END AS ids FROM t")
 def tok10(spark, d):
-    return X.id_rows(spark, d).select("seq_id", joined(T.pad_fixed(F.filter("ids", lambda x: x != 1), 40)).alias("ids"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.pad_fixed(F.filter("ids", lambda x: x != 1), 4096, on_error="null")).alias("ids"))
 
 
-@query("tok11_truncate_pad", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(list_concat(u[1:16], list_transform(range(0, greatest(16 - len(u), 0)), lambda i: 1)), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM t")
+@query("tok11_truncate_pad", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql('list_concat(u[1:1024], list_transform(range(0, greatest(1024 - len(u), 0)), lambda i: 1))')} AS ids FROM t")
 def tok11(spark, d):
-    return X.id_rows(spark, d).select("seq_id", joined(T.truncate_pad(F.filter("ids", lambda x: x != 1), 16)).alias("ids"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.truncate_pad(F.filter("ids", lambda x: x != 1), 1024)).alias("ids"))
 
 
-@query("tok12_batch_tokenize", f"""WITH {X.TEXTS}, {LAYOUT2}, u AS (SELECT seq_id, substr(seq, 1, 30) AS seq FROM s),
-    p AS (SELECT seq_id, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT seq_id, regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]') AS w FROM u)),
-    e AS (SELECT seq_id, string_agg(p.token, ',' ORDER BY pos) AS tokens, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) AS ids, count(*) AS n FROM p JOIN v USING (token) GROUP BY seq_id)
-    SELECT seq_id, coalesce(tokens, '') AS tokens, '3' || coalesce(',' || ids, '') || repeat(',1', CAST(31 - coalesce(n, 0) AS INTEGER)) AS ids FROM s LEFT JOIN e USING (seq_id)""")
+@query("tok12_batch_tokenize", f"""WITH {X.TEXTS}, k AS (SELECT seq_id, {X.SIXMERS.format('seq')} AS w FROM s), m AS (SELECT seq_id, w, max(len(w)) OVER (PARTITION BY seq_id // 8) AS n FROM k)
+    SELECT seq_id, {X.hashed_sql('w')} AS tokens, {X.hashed_sql(f"list_concat([3], list_transform(w, lambda t: {X.TOKEN_ID}), list_transform(range(0, n - len(w)), lambda i: 1))")} AS ids FROM m""")
 def tok12(spark, d):
-    done = sequences.batch_tokenize(X.texts_as_dna(spark, d).withColumn("seq", F.substring("seq", 1, 30)), "seq", 6, fixed_length=32)
-    return done.select("seq_id", F.array_join("tokens", ",").alias("tokens"), joined(F.col("token_ids")).alias("ids"))
+    done = sequences.batch_tokenize(X.texts_as_dna(spark, d).withColumn("batch", F.expr("seq_id div 8")), "seq", 6, batch="batch")
+    return done.select("seq_id", X.hashed(F.col("tokens")).alias("tokens"), X.hashed(F.col("token_ids")).alias("ids"))
 
 
-@query("tok13_detokenize", f"WITH {X.IDS} SELECT seq_id, substr(seq, 1, seq_id % 32 + 1) || repeat('<pad>', CAST(31 - seq_id % 32 AS INTEGER)) AS text FROM s")
+@query("tok13_detokenize", f"WITH {X.SEQS} SELECT seq_id, md5(seq || repeat('<pad>', CAST(seq_id % 32 AS INTEGER))) AS text FROM s")
 def tok13(spark, d):
-    return X.id_rows(spark, d).select("seq_id", T.detokenize(F.col("ids"), [*vocab.SPECIALS, *vocab.LETTERS]).alias("text"))
+    return X.id_rows(spark, d).select("seq_id", F.md5(T.detokenize(F.col("ids"), [*vocab.SPECIALS, *vocab.LETTERS])).alias("text"))
 
 
-@query("tok14_multimodal", f"""WITH {X.SEQS}, {LAYOUT2}, m AS (SELECT seq_id, 'dna' AS kind, seq FROM s UNION ALL SELECT seq_id, 'rna', reverse(seq) FROM s),
-    p AS (SELECT seq_id, kind, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT seq_id, kind, regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]') AS w FROM m)),
-    e AS (SELECT seq_id, '3,' || string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) FILTER (p.kind = 'dna') AS dna_ids, '3,' || string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) FILTER (p.kind = 'rna') AS rna_ids FROM p JOIN v USING (token) GROUP BY seq_id)
-    SELECT seq_id, dna_ids, rna_ids, array_to_string(list_transform(string_split(translate(seq, 'ACGT', 'MKLX'), ''), lambda c: CASE WHEN c = 'X' THEN '<unk>' ELSE c END), ',') AS protein_tokens FROM s JOIN e USING (seq_id)""")
+@query("tok14_multimodal", f"""WITH {X.SEQS}, k AS (SELECT seq_id, seq, {X.SIXMERS.format('seq')} AS w, {X.SIXMERS.format('reverse(seq)')} AS v FROM s)
+    SELECT seq_id, {X.hashed_sql(f"list_concat([3], list_transform(w, lambda t: {X.TOKEN_ID}))")} AS dna_ids, {X.hashed_sql(f"list_concat([3], list_transform(v, lambda t: {X.TOKEN_ID}))")} AS rna_ids,
+    {X.hashed_sql("list_transform(regexp_extract_all(translate(seq, 'ACGT', 'MKLX'), '.'), lambda c: CASE WHEN c = 'X' THEN '<unk>' ELSE c END)")} AS protein_tokens FROM k""")
 def tok14(spark, d):
     rows = X.seqs(spark, d).select("seq_id", "seq", F.reverse("seq").alias("rna"), F.translate("seq", "ACGT", "MKLX").alias("protein"))
     out = sequences.tokenize_multimodal(rows, "seq", "rna", "protein", list("MKLARNDCEQGHI"))
-    return out.select("seq_id", joined(F.col("dna_ids")).alias("dna_ids"), joined(F.col("rna_ids")).alias("rna_ids"), F.array_join("protein_tokens", ",").alias("protein_tokens"))
+    return out.select("seq_id", *[X.hashed(F.col(c)).alias(c) for c in ("dna_ids", "rna_ids", "protein_tokens")])
 
 
 # ---- masks ---------------------------------------------------------------------------------------------------------
 
 
-@query("msk1_padding_mask", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 'true' ELSE 'false' END), ',') AS mask FROM r")
+@query("msk1_padding_mask", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql("list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 'true' ELSE 'false' END)")} AS mask FROM r")
 def msk1(spark, d):
-    return X.id_rows(spark, d).select("seq_id", joined(T.padding_mask(F.col("ids"))).alias("mask"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.padding_mask(F.col("ids"))).alias("mask"))
 
 
 @query("msk2_length", f"WITH {X.IDS} SELECT seq_id, CAST(len(u) AS INTEGER) AS n FROM t")
@@ -288,38 +279,40 @@ def msk2(spark, d):
     return X.id_rows(spark, d).select("seq_id", T.seq_length(F.col("ids")).alias("n"))
 
 
-@query("msk3_block_valid", f"WITH {X.IDS} SELECT seq_id, array_to_string(list_transform(range(0, 4), lambda b: CASE WHEN len(list_filter(ids[b * 8 + 1 : b * 8 + 8], lambda x: x <> 1)) > 0 THEN 'true' ELSE 'false' END), ',') AS valid FROM r")
+@query("msk3_block_valid", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql("list_transform(range(0, len(ids) // 8), lambda b: CASE WHEN len(list_filter(ids[b * 8 + 1 : b * 8 + 8], lambda x: x <> 1)) > 0 THEN 'true' ELSE 'false' END)")} AS valid FROM r")
 def msk3(spark, d):
-    return X.id_rows(spark, d).select("seq_id", joined(T.block_valid(F.col("ids"), 3)).alias("valid"))
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.block_valid(F.col("ids"), 3)).alias("valid"))
 
 
-@query("msk4_position_ids", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS token_id FROM r)
-    SELECT seq_id, pos, token_id, CAST(sum(CASE WHEN token_id <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos) * (CASE WHEN token_id <> 1 THEN 1 ELSE 0 END) + 1 AS BIGINT) AS position FROM p""")
+@query("msk4_position_ids", f"""WITH {X.IDS} SELECT seq_id, {X.hashed_sql('ids')} AS ids, {X.hashed_sql('list_concat(list_transform(range(2, len(u) + 2), lambda i: i), list_transform(range(0, seq_id % 32), lambda i: 1))')} AS positions FROM t JOIN r USING (seq_id) WHERE len(ids) > 0""")
 def msk4(spark, d):
-    return sequences.position_ids(X.id_rows(spark, d), "seq_id", "ids").withColumn("pos", F.col("pos").cast("long"))
+    long = sequences.position_ids(X.id_rows(spark, d), "seq_id", "ids")
+    gathered = lambda c: X.hashed(F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c]))
+    return long.groupBy("seq_id").agg(gathered("token_id").alias("ids"), gathered("position").alias("positions"))
 
 
 def uniform_sql(key: str, pos: str, seed: int) -> str:
     return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || CAST({pos} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
-@query("msk5_mlm_rows", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS x FROM r),
+@query("msk5_mlm_rows", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS x FROM r),
     u AS (SELECT *, {uniform_sql('seq_id', 'pos', 7)} AS a, {uniform_sql('seq_id', 'pos', 8)} AS b, {uniform_sql('seq_id', 'pos', 9)} AS c FROM p),
-    q AS (SELECT *, x >= 6 AND a < 0.15 AS picked FROM u)
-    SELECT seq_id, pos, CAST(CASE WHEN NOT picked THEN x WHEN b < 0.8 THEN 2 WHEN b < 0.9 THEN (x - 6 + 1 + CAST(floor(c * 4) AS INTEGER)) % 5 + 6 ELSE x END AS INTEGER) AS id, CAST(CASE WHEN picked THEN x ELSE -100 END AS INTEGER) AS label FROM q""")
+    q AS (SELECT *, x >= 6 AND a < 0.15 AS picked FROM u),
+    m AS (SELECT seq_id, pos, CAST(CASE WHEN NOT picked THEN x WHEN b < 0.8 THEN 2 WHEN b < 0.9 THEN (x - 6 + 1 + CAST(floor(c * 4) AS INTEGER)) % 5 + 6 ELSE x END AS INTEGER) AS id, CAST(CASE WHEN picked THEN x ELSE -100 END AS INTEGER) AS label FROM q)
+    SELECT seq_id, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS ids, md5(string_agg(CAST(label AS VARCHAR), ',' ORDER BY pos)) AS labels FROM m GROUP BY seq_id""")
 def msk5(spark, d):
-    rows = sequences.mlm_rows(X.id_rows(spark, d), "seq_id", "ids", seed=7, vocab_size=11, n_special=6)
-    return rows.select("seq_id", F.posexplode(F.arrays_zip("ids", "labels")).alias("pos", "x")).select("seq_id", F.col("pos").cast("long").alias("pos"), F.col("x.ids").alias("id"), F.col("x.labels").alias("label"))
+    rows = sequences.mlm_rows(X.id_rows(spark, d).where(F.size("ids") > 0), "seq_id", "ids", seed=7, vocab_size=11, n_special=6)
+    return rows.select("seq_id", X.hashed(F.col("ids")).alias("ids"), X.hashed(F.col("labels")).alias("labels"))
 
 
-@query("msk6_uniform_mask", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, 32)) AS pos, unnest(ids) AS x FROM r), q AS (SELECT *, {uniform_sql('seq_id', 'pos', 3)} < 0.2 AS masked FROM p)
-    SELECT seq_id, pos, CAST(CASE WHEN masked THEN 2 ELSE x END AS INTEGER) AS id, CAST(x AS INTEGER) AS truth, masked FROM q""")
+@query("msk6_uniform_mask", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS x FROM r), q AS (SELECT *, {uniform_sql('seq_id', 'pos', 3)} < 0.2 AS masked FROM p)
+    SELECT seq_id, md5(string_agg(CAST(CASE WHEN masked THEN 2 ELSE x END AS VARCHAR), ',' ORDER BY pos)) AS ids, md5(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS truth, count(*) FILTER (masked) AS n_masked FROM q GROUP BY seq_id""")
 def msk6(spark, d):
-    rows = X.id_rows(spark, d).select("seq_id", F.posexplode(T.uniform_mask(F.col("seq_id"), F.col("ids"), 3, 0.2)).alias("pos", "x"))
-    return rows.select("seq_id", F.col("pos").cast("long").alias("pos"), "x.id", "x.truth", "x.masked")
+    rows = X.id_rows(spark, d).where(F.size("ids") > 0).select("seq_id", T.uniform_mask(F.col("seq_id"), F.col("ids"), 3, 0.2).alias("x"))
+    return rows.select("seq_id", X.hashed(F.col("x.id")).alias("ids"), X.hashed(F.col("x.truth")).alias("truth"), F.size(F.filter("x.masked", lambda m: m)).cast("long").alias("n_masked"))
 
 
-@query("msk7_mask_ratio", f"WITH {X.IDS} SELECT seq_id, round(len(list_filter(u, lambda x: x = 7)) / CAST(len(u) AS DOUBLE), 6) AS ratio FROM t")
+@query("msk7_mask_ratio", f"WITH {X.IDS} SELECT seq_id, CASE WHEN len(u) > 0 THEN round(len(list_filter(u, lambda x: x = 7)) / CAST(len(u) AS DOUBLE), 6) END AS ratio FROM t")
 def msk7(spark, d):
     return X.id_rows(spark, d).select("seq_id", F.round(T.mask_ratio(F.col("ids"), mask=7), 6).alias("ratio"))
 

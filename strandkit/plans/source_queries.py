@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandkit.operators import genome
+from strandkit.operators.numbering import number_rows
 from strandkit.plans import fixtures as X
 from strandkit.plans.registry import query
 from strandkit.sources import files
 from strandkit.streaming import prepare as ST
 
 
-def wrapped(c, width: int = 12):
+def wrapped(c, width: int = 60):
     """A sequence in lines."""
     return F.regexp_replace(c, f"(.{{{width}}})", "$1\n")
 
@@ -24,9 +25,9 @@ def src1(spark, d):
     return files.read_fasta(spark, path)
 
 
-@query("src1_fasta_tiles", f"WITH {X.SEQS} SELECT 'seq' || CAST(seq_id AS VARCHAR) AS chrom, i AS tile_no, substr(seq, i * 10 + 1, 10) AS seq FROM s, range(0, 4) t(i)")
+@query("src1_fasta_tiles", f"WITH {X.SEQS} SELECT 'seq' || CAST(seq_id AS VARCHAR) AS chrom, i AS tile_no, substr(seq, i * 500 + 1, 500) AS seq FROM (SELECT seq_id, seq, unnest(range(0, greatest(CAST(ceil(length(seq) / 500.0) AS BIGINT), 1))) AS i FROM s)")
 def src1_tiles(spark, d):
-    return genome.tile_genome(src1(spark, d), 10)
+    return genome.tile_genome(src1(spark, d), 500)
 
 
 @query("src2_expression_csv", """WITH g AS (SELECT o_custkey AS sample_id, l_partkey % 5 AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), x AS (SELECT sample_id, unnest(range(0, 5)) AS gene FROM (SELECT DISTINCT sample_id FROM g))
@@ -52,7 +53,7 @@ def src3(spark, d):
 def src4(spark, d):
     path = X.scratch(spark, "lookup")
     entry = F.struct(F.concat(F.lit("g"), F.col("p_partkey").cast("string")), "p_size")
-    objects = X.table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    objects = X.table(spark, d, "part").groupBy(F.expr("p_partkey div 1000").alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     objects.write.partitionBy("file").text(path)  # an object per file
     return files.read_json_lookup(spark, path).select("key", "value")
 
@@ -61,25 +62,26 @@ def src4(spark, d):
 def src5(spark, d):
     path = X.scratch(spark, "genes")
     names = X.table(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_name", "p_partkey").alias("value"))
-    names.coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)  # an ordered list is one small file
+    files.write_gene_list(number_rows(names, ["p_partkey"]), path, "value", "rn")
     return files.read_gene_list(spark, path)
 
 
-@query("src6_transcripts", f"WITH {X.SEQS} SELECT seq AS dna, replace(seq, 'T', 'U') AS rna, translate(seq, 'ACGT', 'MKLV') AS protein FROM s WHERE seq_id % 4 = 0 AND seq_id % 3 <> 0")
+@query("src6_transcripts", f"WITH {X.SEQS}, p AS (SELECT seq_id, CASE WHEN length(seq) < 4096 THEN rpad(seq, 4096, 'A') ELSE seq END AS seq FROM s) SELECT seq AS dna, replace(seq, 'T', 'U') AS rna, translate(seq, 'ACGT', 'MKLV') AS protein FROM p WHERE seq_id % 4 = 0 AND seq_id % 3 <> 0 AND length(seq) = 4096")
 def src6(spark, d):
     path = X.scratch(spark, "transcripts")
-    rows = X.seqs(spark, d).select(F.when(F.col("seq_id") % 4 == 0, "test").otherwise("train").alias("split"), F.when(F.col("seq_id") % 3 == 0, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")).alias("dna"), F.regexp_replace("seq", "T", "U").alias("rna"), F.translate("seq", "ACGT", "MKLV").alias("protein"))
+    padded = X.seqs(spark, d).withColumn("seq", F.when(F.length("seq") < 4096, F.rpad("seq", 4096, "A")).otherwise(F.col("seq")))
+    rows = padded.select(F.when(F.col("seq_id") % 4 == 0, "test").otherwise("train").alias("split"), F.when(F.col("seq_id") % 3 == 0, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")).alias("dna"), F.regexp_replace("seq", "T", "U").alias("rna"), F.translate("seq", "ACGT", "MKLV").alias("protein"))
     rows.write.partitionBy("split").parquet(path)
-    return files.read_transcripts(spark, path, "test", 32)
+    return files.read_transcripts(spark, path, "test", 4096)
 
 
-@query("str1_prepare_stream", f"""WITH {X.TEXTS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 60), '[ACGT]{{6}}|[ACGTN]') AS w FROM s),
-    x AS (SELECT seq_id, list_transform(w, lambda t: CASE WHEN length(t) = 1 THEN 4101 + instr('ATCGN', t) ELSE 6 + CAST(list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT))) AS BIGINT) END)[1:31] AS ids FROM u)
-    SELECT seq_id, '3' || CASE WHEN len(ids) > 0 THEN ',' ELSE '' END || array_to_string(list_transform(ids, lambda z: CAST(z AS VARCHAR)), ',') || repeat(',1', CAST(31 - len(ids) AS INTEGER)) AS ids, CAST(len(ids) + 1 AS INTEGER) AS n_real FROM x""")
+@query("str1_prepare_stream", f"""WITH {X.TEXTS}, u AS (SELECT seq_id, regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]') AS w FROM s),
+    x AS (SELECT seq_id, list_transform(w, lambda t: CASE WHEN length(t) = 1 THEN 4101 + instr('ATCGN', t) ELSE 6 + CAST(list_sum(list_transform(range(1, 7), lambda j: (instr('ATCG', substr(t, j, 1)) - 1) * CAST(power(4, 6 - j) AS BIGINT))) AS BIGINT) END)[1:511] AS ids FROM u)
+    SELECT seq_id, '3' || CASE WHEN len(ids) > 0 THEN ',' ELSE '' END || array_to_string(list_transform(ids, lambda z: CAST(z AS VARCHAR)), ',') || repeat(',1', CAST(511 - len(ids) AS INTEGER)) AS ids, CAST(len(ids) + 1 AS INTEGER) AS n_real FROM x""")
 def str1(spark, d):
     source, out, state = (X.scratch(spark, x) for x in ("arriving", "prepared", "state"))
-    X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring("text", 1, 60).alias("seq")).write.parquet(source)
+    X.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("seq")).write.parquet(source)
     stream = spark.readStream.schema("seq_id long, seq string").parquet(source)
-    ST.write_prepared(ST.prepare(stream, "seq", 6, 32), out, state).awaitTermination()
+    ST.write_prepared(ST.prepare(stream, "seq", 6, 512), out, state).awaitTermination()
     done = spark.read.parquet(out)
     return done.select("seq_id", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("ids"), F.size(F.filter("mask", lambda m: m)).alias("n_real"))

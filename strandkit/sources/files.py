@@ -38,10 +38,18 @@ def read_json_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("key", "value"))
 
 
-def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
-    """(gene, gene_pos) of a file with a gene per line; blank lines are passed over."""
+def write_gene_list(genes: DataFrame, path: str, gene: str, position: str, per_file: int = 10_000) -> None:
+    """Write genes in order of their positions, which are consecutive from 0, a gene per line, in files of so many below path/block=N."""
+    rows = genes.select(F.col(gene).alias("value"), F.col(position).alias("at"), F.floor(F.col(position) / per_file).alias("block"))
+    rows.repartition("block").sortWithinPartitions("block", "at").select("value", "block").write.partitionBy("block").text(path)
+
+
+def read_gene_list(spark: SparkSession, path: str, per_file: int = 10_000) -> DataFrame:
+    """(gene, gene_pos) of a file with a gene per line, or of files of so many as write_gene_list makes them; blank lines are passed over."""
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda g: F.trim(g)), lambda g: g != "")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("gene_pos", "gene")).select("gene", "gene_pos")
+    block = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"/block=(\d+)/[^/]*$", 1), F.lit("")).cast("int"), F.lit(0))
+    listed = spark.read.text(path, wholetext=True).select(block.alias("of_block"), F.posexplode(lines).alias("at", "gene"))
+    return listed.select("gene", (F.col("of_block") * per_file + F.col("at")).alias("gene_pos"))
 
 
 def read_transcripts(spark: SparkSession, path: str, split: str, seq_len: int) -> DataFrame:

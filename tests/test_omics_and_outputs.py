@@ -54,7 +54,20 @@ def test_bags_and_epochs(spark):
 def test_numbers_do_not_depend_on_partitions(spark):
     rows = spark.range(0, 50000, 7)
     for n in (1, 9):
-        assert number_rows(rows.repartition(n), "id", per_block=100).where("rn * 7 <> id").count() == 0
+        assert number_rows(rows.repartition(n), ["id"]).where("rn * 7 <> id").count() == 0
+
+
+def test_numbers_of_sparse_and_hot_keys(spark):
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 7}", i**6, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, at long, range int").repartition(5)
+    expected = {}
+    for key in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1])):
+            expected[r[2]] = place
+    out = number_rows(df, ["at"], "pos", by=["key"])
+    assert out.columns == ["key", "at", "range", "pos"] and {r["range"]: r.pos for r in out.collect()} == expected
+    assert "SinglePartition" not in number_rows(df, ["at"], "pos", by=["key"])._jdf.queryExecution().executedPlan().toString()
+    assert number_rows(df.limit(0), ["at"]).count() == 0
 
 
 def test_softmax_and_argmax(spark):
@@ -115,9 +128,25 @@ def test_species(spark):
 def test_windows(spark):
     chromosome = "ACGTTGCAAC" * 5
     tiles = genome.tile_genome(spark.createDataFrame([("c", chromosome)], "name string, seq string"), 8)
-    windows = spark.createDataFrame([(1, "c", 0, 8), (2, "c", 5, 33), (3, "c", 45, 60), (4, "x", 0, 3)], "window_id int, chrom string, start long, end long")
+    windows = spark.createDataFrame([(1, "c", 0, 8), (2, "c", 5, 33), (3, "c", 45, 60), (4, "x", 0, 3), (5, "c", 9, 9), (6, "c", 9, 4)], "window_id int, chrom string, start long, end long")
     got = {r.window_id: (r.seq, r.complete) for r in genome.fetch_windows(tiles, windows, 8).collect()}
-    assert got == {1: (chromosome[:8], True), 2: (chromosome[5:33], True), 3: (chromosome[45:60], False), 4: ("", False)}
+    assert got == {1: (chromosome[:8], True), 2: (chromosome[5:33], True), 3: (chromosome[45:60], False), 4: ("", False), 5: ("", True), 6: ("", True)}
+
+
+def test_windows_of_real_length(spark):
+    chromosome = "".join("ACGT"[i * i % 7 % 4] for i in range(400_000))
+    tiles = genome.tile_genome(spark.createDataFrame([("c", chromosome)], "name string, seq string"), 65_536)
+    windows = spark.createDataFrame([(1, "c", 100_001, 100_001 + 131_072), (2, "c", 0, 196_608), (3, "c", 300_000, 431_072)], "window_id int, chrom string, start long, end long")
+    got = {r.window_id: (r.seq, r.complete) for r in genome.fetch_windows(tiles, windows, 65_536).collect()}
+    assert got == {1: (chromosome[100_001:231_073], True), 2: (chromosome[:196_608], True), 3: (chromosome[300_000:], False)}
+
+
+def test_tracks_of_the_own_species(spark):
+    tracks = spark.createDataFrame([("human", 6, "b"), ("human", 6, "a"), ("human", 6, "c"), ("mouse", 7, "a")], "species string, token_id int, track string")
+    outputs = spark.createDataFrame([(1, "human", "a", 1.0), (1, "human", "c", 3.0), (1, "mouse", "a", 9.0), (2, "mouse", "a", 5.0), (2, "human", "b", 8.0)], "row int, species string, track string, value double")
+    rows = spark.createDataFrame([(1, "human"), (2, "mouse"), (3, "mouse"), (4, "cat"), (5, None)], "row int, species string")
+    got = {r.row: r["values"] for r in genome.pick_tracks(outputs, rows, tracks).collect()}
+    assert got == {1: [1.0, 0.0, 3.0], 2: [5.0, 0.0, 0.0], 3: [0.0] * 3, 4: [0.0] * 3, 5: [0.0] * 3}
 
 
 def test_chat(spark):
@@ -155,6 +184,10 @@ def test_small_files(spark, tmp_path):
     (tmp_path / "map.json").write_text('{"a": 1,\n "b": 2}')
     (tmp_path / "x.csv").write_text("id,cohort,g1,g.2\ns1,c,1.5,2\n")
     assert [(r.gene, r.gene_pos) for r in files.read_gene_list(spark, str(tmp_path / "genes.txt")).collect()] == [("g1", 0), ("g2", 1), ("g3", 2)]
+    genes = spark.range(250).select(F.concat(F.lit("g"), "id").alias("gene"), F.col("id").alias("at"))
+    files.write_gene_list(genes.repartition(3), str(tmp_path / "many"), "gene", "at", per_file=100)
+    back = files.read_gene_list(spark, str(tmp_path / "many"), per_file=100).collect()
+    assert sorted((r.gene_pos, r.gene) for r in back) == [(i, f"g{i}") for i in range(250)]
     assert {(r.key, r.value) for r in files.read_json_lookup(spark, str(tmp_path / "map.json")).collect()} == {("a", 1), ("b", 2)}
     assert {(r.gene, r.value) for r in files.read_expression_csv(spark, str(tmp_path / "x.csv"), ["id", "cohort"], "rna").collect()} == {("g1", 1.5), ("g.2", 2.0)}
 

@@ -92,6 +92,18 @@ def test_lookup_is_strict(spark):
     assert [r.token_id for r in vocab.encode_tokens(rows, "id", "tokens", v, unk=0).orderBy("pos").collect()] == [6, 0]
     with pytest.raises(Exception, match="not in the vocabulary"):
         vocab.encode_tokens(rows, "id", "tokens", v).collect()
+    ids = spark.createDataFrame([(1, [6, 10, 2]), (2, [])], "id int, ids array<int>")
+    assert [r.token for r in vocab.decode_ids(ids, "id", "ids", v).orderBy("pos").collect()] == ["A", "N", "<mask>"]
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        vocab.decode_ids(spark.createDataFrame([(1, [99])], "id int, ids array<int>"), "id", "ids", v).collect()
+
+
+def test_strict_alphabet(spark):
+    assert one(spark, "ATCGN", S.strict_alphabet) == "ATCGN" and one(spark, "", S.strict_alphabet) == ""
+    assert one(spark, "ATX", lambda c: S.strict_alphabet(c, on_error="null")) is None
+    for bad in ("ATX", "atc", "A\n"):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            one(spark, bad, S.strict_alphabet)
 
 
 def test_regex_boundaries(spark):
