@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, map_batches
+from strandkit.llm.common import checkpoint, left_join_counted, map_batches
 
 VERSION = b"WARC/1.1"
 DATE = b"2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 16
 
 
 def record_id(page_id: object, digest: str) -> str:
@@ -63,17 +62,14 @@ def _record(kind: bytes, ident: str, fields: list[tuple[bytes, bytes | None]], b
     return b"\r\n".join([*lines, b"Content-Length: %d" % len(block), b"", block])
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+def mark_revisits(pages: DataFrame, total: int, least_bytes: int = 100) -> DataFrame:
     """pages(page_id, url, payload) with digest and refers_to: the smallest page of an equal payload of at least that size, else null.
 
-    Digests are counted before the shuffle; the join to the pages is salted, so a payload that many pages share is
-    spread over tasks.
+    Digests are counted before the shuffle; a payload that very many pages share is joined by broadcast.
     """
     digested = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("long_enough", F.length("payload") >= least_bytes)
-    shared = digested.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").drop("n")
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pick = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.col("url"))), F.lit(SALTS)).cast("int")
-    joined = digested.withColumn("salt", pick).join(salted, ["digest", "salt"], "left")
+    shared = checkpoint(digested.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1"))
+    joined = left_join_counted(digested, shared, "digest", ["first_page"], "n", total, F.coalesce(F.col("page_id").cast("string"), F.col("url")))
     refers = F.when(F.col("long_enough") & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_page"))), F.col("first_page"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -86,7 +82,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     null id is a revisit if one with an id has the payload. Shorter ones are all responses. A response whose block exceeds
     segment_bytes is cut: the first segment is the response record, the others are continuation records with the origin's
     identifier and their number, the last one with the total length. An archive has about file_bytes, and what follows
-    lies in the next one, so the segments of a record may be in several archives.
+    lies in the next one, so the segments of a record may be in several archives. Repeated rows give repeated records, an
+    empty table gives no archives; other columns, whatever their names, are not read.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     size = base.agg(F.sum(F.length("payload") + 600).alias("total"), F.count("*").alias("n")).first()
@@ -118,54 +115,86 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
                     out.append(_record(b"continuation", record_id(f"{page}#{number}", digest), more, segment))
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = map_batches(mark_revisits(base, least_bytes), run, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = map_batches(mark_revisits(base, size.n, least_bytes), run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def _inflated(content: bytes) -> bytes:
-    """The content of an archive, whether plain, one gzip member, or a member per record."""
+def _inflated(content: bytes) -> tuple[bytes, bool]:
+    """The content of an archive, whether plain, one gzip member, or a member per record, and whether it is whole."""
     if content[:2] != b"\x1f\x8b":
-        return content
+        return content, True
     out = []
     while content:
         stream = zlib.decompressobj(wbits=31)
-        out.append(stream.decompress(content))
+        try:
+            out.append(stream.decompress(content))
+        except zlib.error:
+            return b"".join(out), False
+        if not stream.eof:
+            return b"".join(out), False
         content = stream.unused_data
-    return b"".join(out)
+    return b"".join(out), True
 
 
-def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields, names in lower case, and blocks of the records of an archive."""
-    at = 0
-    while (at := archive.find(b"WARC/", at)) >= 0:
+def parsed(archive: bytes, whole: bool = True) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """The header fields, names in lower case, and blocks of the records of an archive, each with a problem or null.
+
+    After a record whose end can't be told, because its length is missing or no number or the archive ends before, nothing
+    more is read; an archive that is not whole ends in a record with a problem.
+    """
+    at, told = 0, False
+    while (at := archive.find(b"WARC/", at)) >= 0 and not told:
         end = archive.find(b"\r\n\r\n", at)
         if end < 0:
-            raise ValueError("the archive ends in a header")
+            yield {}, b"", "archive"
+            told = True
+            break
         lines = archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        at = end + 4 + int(fields["content-length"])
-        if at > len(archive):
-            raise ValueError("the archive ends in a block")
-        yield fields, archive[end + 4 : at]
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield fields, b"", "content length"
+            told = True
+        else:
+            at = end + 4 + int(length)
+            told = at > len(archive)
+            yield fields, archive[end + 4 : at], "archive" if told else None
+    if not whole and not told:
+        yield {}, b"", "archive"
+
 
+RECORDS = "record_id string, type string, url string, page_id string, digest string, refers_to string, origin string, segment int, total_length long, block binary, problem string"
 
-RECORDS = "record_id string, type string, url string, page_id string, digest string, refers_to string, origin string, segment int, total_length long, block binary"
+
+def _number(text: str | None, most: int) -> tuple[int | None, bool]:
+    """A number in a header field, null if there is none, and whether it can be read."""
+    if text is None:
+        return None, True
+    if text.isascii() and text.isdigit() and int(text) <= most:
+        return int(text), True
+    return None, False
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below path, plain or gzipped, one row each. An archive is read by one task."""
+    """The records of all archives below path, plain or gzipped, one row each. An archive is read by one task.
+
+    A record that can't be read has a problem: `archive` where its archive is cut or damaged, `content length` or
+    `segment` where a number is missing or none. What the archive has after the first two is lost.
+    """
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for f, block in parsed(_inflated(content.as_py())):
-                    ident, number = f.get("warc-record-id"), f.get("warc-segment-number")
-                    digest = f.get("warc-payload-digest")
-                    total = f.get("warc-segment-total-length")
-                    rows.append((ident, f.get("warc-type"), f.get("warc-target-uri"), f.get("x-page-id"), digest.removeprefix("sha256:") if digest else None, f.get("warc-refers-to"), f.get("warc-segment-origin-id", ident), int(number) if number else None, int(total) if total else None, block))
-                kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["record_id", "type", "url", "page_id", "digest", "refers_to", "origin", "segment", "total_length", "block"])
+                for f, block, problem in parsed(*_inflated(content.as_py())):
+                    ident, digest = f.get("warc-record-id"), f.get("warc-payload-digest")
+                    number, plain = _number(f.get("warc-segment-number"), (1 << 31) - 1)
+                    total, sure = _number(f.get("warc-segment-total-length"), (1 << 63) - 1)
+                    if not (plain and sure):
+                        problem = problem or "segment"
+                    rows.append((ident, f.get("warc-type"), f.get("warc-target-uri"), f.get("x-page-id"), digest.removeprefix("sha256:") if digest else None, f.get("warc-refers-to"), f.get("warc-segment-origin-id", ident), number, total, block, problem))
+                kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["record_id", "type", "url", "page_id", "digest", "refers_to", "origin", "segment", "total_length", "block", "problem"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
 
@@ -174,22 +203,22 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Whole records from records as read: segments joined in order of their numbers, chunked framing decoded.
 
     Only segmented records are shuffled, grouped by the identifier of their origin. Returns record_id, type, url, page_id,
-    digest, refers_to, payload and problem: null, or `missing segment`, `total length`, `framing` or `digest` for what
-    doesn't hold; its payload is then null. A record that was written several times, with equal pages and payloads,
+    digest, refers_to, payload and problem: null, that of reading, or `missing segment`, `total length`, `framing` or
+    `digest` for what doesn't hold; its payload is then null. A record that was written several times, with equal pages and payloads,
     comes back as often. Continuations without their origin come back with the problem `missing segment`.
-    No records give no rows.
+    No records give no rows; other columns are not read.
     """
     head = F.col("segment").isNull() | (F.col("segment") == 1)
     fields = ["type", "url", "page_id", "digest", "refers_to"]
-    whole = records.where("segment is null").select("record_id", *fields, "block", F.lit(None).cast("string").alias("problem"))
+    whole = records.where("segment is null").select("record_id", *fields, "block", "problem")
     parts = records.where("segment is not null").groupBy("origin").agg(
         *[F.max(F.when(head, F.col(c))).alias(c) for c in fields],
-        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("segments"), F.max("total_length").alias("total_length"), F.count_if(head).alias("times"),
+        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("segments"), F.max("total_length").alias("total_length"), F.count_if(head).alias("times"), F.max("problem").alias("of_reading"),
     )
     block = F.aggregate("segments", F.lit(b""), lambda done, s: F.concat(done, s["block"]))
     n = F.size("segments")
     complete = (F.element_at("segments", 1)["segment"] == 1) & (F.element_at("segments", -1)["segment"] == n) & F.col("total_length").isNotNull()
-    joined = parts.withColumn("block", block).withColumn("problem", F.when(~complete, "missing segment").when(F.length("block") != F.col("total_length"), "total length"))
+    joined = parts.withColumn("block", block).withColumn("problem", F.when(F.col("of_reading").isNotNull(), F.col("of_reading")).when(~complete, "missing segment").when(F.length("block") != F.col("total_length"), "total length"))
     joined = joined.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.greatest(F.col("times"), F.lit(1)).cast("int"))))
     both = whole.unionByName(joined.select(F.col("origin").alias("record_id"), *fields, "block", "problem"))
 
@@ -214,13 +243,15 @@ def reassemble(records: DataFrame) -> DataFrame:
 def resolve_revisits(whole: DataFrame) -> DataFrame:
     """Whole records with refers_to_page, payload_bytes and payload_digest of the full payload, a revisit's from its response.
 
-    The digests of responses are recomputed from the payload. A revisit without its response has nulls.
+    The digests of responses are recomputed from the payload. A revisit without its response has nulls. Records of other
+    types are left out; no records give no rows. A response that very many records revisit is joined by broadcast.
     """
     measured = checkpoint(whole.select("record_id", "type", "url", "page_id", "refers_to", "problem", F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d")))
-    responses = measured.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("refers_to_page"), F.max("n").alias("first_n"), F.max("d").alias("first_d"))
-    salted = responses.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    revisits = measured.where("type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to", "salt"], "left")
+    revisits = measured.where("type = 'revisit'")
+    wanted = revisits.groupBy("refers_to").agg(F.count("*").alias("times"))
+    responses = measured.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("refers_to_page"), F.max("n").alias("payload_bytes"), F.max("d").alias("payload_digest"))
+    responses = checkpoint(responses.join(wanted, "refers_to"))
+    joined = left_join_counted(revisits, responses, "refers_to", ["refers_to_page", "payload_bytes", "payload_digest"], "times", measured.count(), F.col("record_id"))
     out = ["record_id", "type", "url", "page_id", "problem"]
-    return measured.where("type = 'response'").select(*out, F.lit(None).cast("string").alias("refers_to_page"), F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest")).unionByName(
-        revisits.select(*out, "refers_to_page", F.col("first_n").alias("payload_bytes"), F.col("first_d").alias("payload_digest"))
-    )
+    own = measured.where("type = 'response'").select(*out, F.lit(None).cast("string").alias("refers_to_page"), F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"))
+    return own.unionByName(joined.select(*own.columns))
