@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, connected_components, consecutive_groups, labels_of_links, map_batches
+from strandkit.llm.common import checkpoint, connected_components, consecutive_groups, join_counted, labels_of_links, map_batches
 
 
 def _matrix(column) -> np.ndarray:
@@ -24,7 +24,34 @@ def _keys(unit: np.ndarray, number: int, seed: int) -> np.ndarray:
     return np.packbits(unit @ planes > 0, axis=1).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)  # ordered as signed
 
 
-def projected(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
+#: Share of isolated pairs at the threshold that the passes may miss.
+MISS = 0.001
+
+
+def centres(vectors: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
+    """Rows (label, dim, centre, passes): the mean of the unit vectors of a label, and how many passes it needs.
+
+    Keys are taken about the centre, so a direction that all vectors share doesn't make them alike. Two vectors at the
+    threshold differ by sqrt(2 - 2 threshold); seen from the centre, at whose distance s = sqrt(1 - |centre|^2) they lie,
+    that is an angle of 2 arcsin(difference / 2s), and angle / pi is the share of sign bits that differ. They are neighbours
+    in a pass if they agree in the first log2(n / window) bits. So many passes are made, at least those given, that a
+    pair is missed with probability MISS; but no more than n / window, which compare as many pairs as there are.
+    """
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    long = vectors.select("label", F.size("v").alias("dim"), "v", size.alias("norm")).select("label", "dim", "norm", F.posexplode("v").alias("pos", "x"))
+    means = long.groupBy("label", "dim", "pos").agg(F.avg(F.col("x").cast("double") / F.col("norm")).alias("mean"), F.count("*").alias("n"))
+    whole = means.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("parts"), F.max("n").alias("n"))
+    centre = F.transform("parts", lambda s: s["mean"])
+    inside = F.aggregate("parts", F.lit(0.0), lambda a, s: a + s["mean"] * s["mean"])
+    half = F.lit(float(np.sqrt(2 - 2 * threshold) / 2)) / F.sqrt(F.greatest(1 - inside, F.lit(1e-12)))
+    differ = F.least(2 * F.asin(F.least(half, F.lit(1.0))) / float(np.pi), F.lit(0.5))
+    met = F.pow(1 - differ, F.log2(F.greatest(F.col("n") / window, F.lit(2.0))))
+    wanted = F.ceil(F.lit(float(np.log(MISS))) / F.log1p(-F.least(met, F.lit(1 - 1e-9))))
+    needed = F.greatest(F.least(wanted, F.ceil(F.col("n") / window)), F.lit(passes)).cast("int")
+    return whole.select("label", "dim", centre.alias("centre"), needed.alias("passes"))
+
+
+def projected(vectors: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
     """Rows (pass, label, dim, key, rep) of vectors(rep, label, v, m)."""
 
     def run(batch):
@@ -33,14 +60,19 @@ def projected(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
         for dim in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == dim)
             own = batch.take(pa.array(at))
-            unit = _matrix(own.column(2))
-            for number in range(passes):
-                n = len(at)
-                out.append((np.full(n, number, np.int32), own.column(1).cast(pa.string()), np.full(n, dim, np.int32), _keys(unit, number, seed).view(np.int64), own.column(0)))
+            about = _matrix(own.column(2)) - own.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            n_passes = own.column(4).to_numpy()
+            for number in range(int(n_passes.max())):
+                rows = np.flatnonzero(n_passes > number)
+                part = own.take(pa.array(rows))
+                out.append((np.full(len(rows), number, np.int32), part.column(1), np.full(len(rows), dim, np.int32), _keys(about[rows], number, seed).view(np.int64), part.column(0)))
         columns = [pa.concat_arrays([pa.array(x[i]) for x in out]) for i in range(5)]
         return pa.RecordBatch.from_arrays(columns, names=["pass", "label", "dim", "key", "rep"])
 
-    return map_batches(vectors.select("rep", F.col("label").cast("string"), "v"), run, "pass int, label string, dim int, key long, rep long", rows=4096)
+    labelled = vectors.select("rep", F.col("label").cast("string").alias("label"), "v", F.size("v").alias("dim"))
+    about = checkpoint(centres(labelled, threshold, passes, window))
+    rows = labelled.join(about, ["label", "dim"]).select("rep", "label", "v", "centre", "passes")
+    return map_batches(rows, run, "pass int, label string, dim int, key long, rep long", rows=4096)
 
 
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -71,7 +103,7 @@ def neighbour_links(vectors: DataFrame, threshold: float, passes: int, window: i
 
     A block has the vectors of so many ranks and, so that no window is cut, the last ones of the block before.
     """
-    placed = ranked(projected(vectors, passes, seed), ["pass", "label", "dim", "key", "rep"])
+    placed = ranked(projected(vectors, threshold, passes, window, seed), ["pass", "label", "dim", "key", "rep"])
     own = F.floor(F.col("rank") / block)
     halo = F.when(F.col("rank") % block >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
     rows = placed.withColumn("block", F.explode(halo)).join(vectors.select("rep", "v"), "rep")
@@ -133,10 +165,12 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 64, block: int = 1024, seed: int = 7) -> DataFrame:
     """Vectors with the number of others of the same label and length that have at least this cosine, and their group.
 
-    Equal vectors of a label are one class, compared once. Classes are sorted by 64 sign hashes of random projections,
-    anew in each pass, and compared with the next `window` classes; verified pairs of all passes are united.
-    Within the groups found so, all pairs are then verified in double precision, so the counts of dense groups don't
-    depend on the window. A pair can only be missed if no chain of found pairs joins it.
+    Equal vectors of a label are one class, compared once. Classes are sorted by 64 sign hashes of random projections about
+    the label's centre, anew in each pass, and compared with the next `window` classes; verified pairs of all passes are
+    united. passes is the least number; a label gets more if it has so many vectors, or vectors so close together, that the
+    windows would else miss more than one in a thousand pairs at the threshold. Within the groups found so, all pairs are
+    then verified in double precision, so the counts of dense groups don't depend on the window. A pair can only be
+    missed if no chain of found pairs joins it.
 
     Returns the id, n_links, component_id (the smallest id in the group) and kept (it is the id itself). Null and zero
     vectors, those with a null or non-finite component, and null labels are linked with nothing. Null ids
@@ -145,16 +179,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     v = F.col(vector_col)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    usable = F.col("label").isNotNull() & F.coalesce(F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
-    base = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label")).withColumn("class", F.when(usable, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join("v", ",")), 256)))
-    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.first("v").alias("v"), F.first("label").alias("label"))
-    classes = checkpoint(classes.withColumn("rep", F.xxhash64("class")))
+    usable = F.col(label_col).isNotNull() & F.coalesce(F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
+    base = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label"), usable.alias("usable"))
+    usable = base.where("usable").withColumn("class", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join("v", ",")), 256))
+    classes = usable.groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.first("v").alias("v"), F.first("label").alias("label"))
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))  # a number of its own, fixed by the checkpoint
     linked = connected_components(neighbour_links(classes, threshold, passes, window, block, seed))
     members = checkpoint(classes.join(linked.withColumnRenamed("node", "rep"), "rep"))
     counts = count_links(members.select("component", "rep", "v", "m"), threshold, block)
     lowest = members.groupBy("component").agg(F.min("low").alias("lowest"))
     of_class = members.select("class", "rep", "component").join(counts, "rep").join(lowest, "component").select("class", "linked", "lowest")
     of_class = classes.select("class", "low", "m").join(of_class, "class", "left")
-    of_class = of_class.select("class", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.least("low", "lowest").alias("component_id"))
-    out = base.select("id", "class").join(of_class, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
+    of_class = checkpoint(of_class.select("class", "m", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.least("low", "lowest").alias("component_id")))
+    total = of_class.agg(F.sum("m")).first()[0] or 0
+    found = join_counted(usable.select("id", "class"), of_class, "class", "m", total).select("id", "n_links", "component_id")
+    out = found.unionByName(base.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
