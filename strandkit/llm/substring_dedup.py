@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of the strings that pick anchors, a power of two, and the occurrences from which an anchor counts as hot.
-GRAM, HOT = 32, 20_000
+from strandkit.llm.common import repeated, with_times
+
+#: Bytes of the strings that pick anchors, a power of two; the occurrences from which an anchor counts as hot, and the
+#: number of places of the anchor in the window that then stay together.
+GRAM, HOT, PLACES = 32, 20_000, 8
 BLOCK = 1 << 18
 
 
@@ -35,8 +39,8 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - done)], keys[width - done :]) if width > done else keys
 
 
-def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number and anchor hash of the runs of window starts that share an anchor.
+def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number, anchor hash and anchor of the runs of window starts that share an anchor.
 
     data holds documents one after another, ends where each ends. The anchor of a window of `length` bytes is the
     leftmost of its GRAM-byte strings with the least hash, so equal windows have equal anchors at equal places, and each
@@ -47,7 +51,7 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
     np.add.at(change, low, 1)
     np.add.at(change, ends, -1)
     inside = change.cumsum()[:-1] == 0
-    starts, counts, hashes = [], [], []
+    starts, counts, hashes, anchors = [], [], [], []
     mask = np.uint64((1 << 20) - 1)
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
@@ -63,7 +67,23 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
         least = h[anchor[new].astype(np.int64)]  # the least of many, so not spread evenly any more
         least = least * np.uint64(0xC2B2AE3D27D4EB4F)
         hashes.append(least ^ least >> np.uint64(32))
-    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((starts, np.int64), (counts, np.int64), (hashes, np.uint64)))
+        anchors.append(anchor[new].astype(np.int64) + at)
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((starts, np.int64), (counts, np.int64), (hashes, np.uint64), (anchors, np.int64)))
+
+
+def split_by_place(starts: np.ndarray, counts: np.ndarray, anchors: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and number of the parts of runs in which the anchor is at one of PLACES places, and where the core of each begins.
+
+    The core are the length - PLACES + 1 bytes that all windows with the anchor at these places have in common, so
+    equal windows lie in parts with equal cores.
+    """
+    last, first = (anchors - starts) // PLACES, (anchors - starts - counts + 1) // PLACES
+    n = last - first + 1
+    run = np.repeat(np.arange(len(n)), n)
+    low = PLACES * (first[run] + np.arange(len(run)) - np.repeat(n.cumsum() - n, n))
+    begin = np.maximum(starts[run], anchors[run] - low - PLACES + 1)
+    end = np.minimum(starts[run] + counts[run], anchors[run] - low + 1)
+    return begin, end - begin, anchors[run] - low
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------------
@@ -178,8 +198,8 @@ def repeated_starts(text: np.ndarray, wanted: np.ndarray, length: int) -> np.nda
 # ---- segments ------------------------------------------------------------------------------------------------------
 
 
-def _collapse(segments: list[bytes]) -> np.ndarray:
-    """For segments in the order of their places: whether an equal one stands before."""
+def _sent_before(segments: list[bytes]) -> np.ndarray:
+    """For a chunk's segments in the order of their places: whether an equal one stands before, which goes to its shard for both."""
     seen: set = set()
     again = np.zeros(len(segments), bool)
     for i, item in enumerate(segments):
@@ -228,8 +248,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice in the corpus. 2. Of these the chunk sends the segments, windows that share an anchor in one piece, to shards
     by the anchor, equal segments once. 3. A shard sorts the suffixes at all window starts of its segments in two
     stages; those with a common prefix of `length` bytes are equal windows, of which the first stays. 4. The chunks
-    cut what came back. An anchor with over `hot` occurrences has its windows sent one by one, to shards by
-    their content, equal ones once, so no shard gets a hot passage with all its surroundings.
+    cut what came back. The windows of an anchor with over `hot` occurrences are parted by the place of the anchor in
+    them, and go to shards by the bytes that all windows of such a part have in common, so no shard gets a hot passage
+    with all its surroundings. Rows with equal ids, or without one, that exceed a chunk are counted and dealt by id and text.
 
     Returns the id, text, spans (start and end byte of each removed run) and kept (the remaining bytes). A null text counts
     as empty. A null id is larger than any other. Rows that repeat both id and text are one document and come back as
@@ -240,8 +261,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     n_shards = 2 * n_chunks  # a shard sorts several bytes of suffixes for each of its own
-    chunk = F.pmod(F.coalesce(F.xxhash64(F.lit(1), "id"), F.xxhash64("text")), F.lit(n_chunks))
-    chunks = base.withColumn("chunk", chunk)
+    rows, any_hot = with_times(base, "id", "text", chunk_bytes)
+    chunks = rows.select("id", "text", "times", F.pmod("key", F.lit(n_chunks)).alias("chunk"))
 
     def shard_of(hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)  # grows with the hash
@@ -250,12 +271,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = Chunk(table)
         hashes, counts = np.unique(anchored_runs(own.data, own.ends, length)[2], return_counts=True)
         cuts = np.searchsorted(shard_of(hashes), np.arange(n_shards + 1))
-        rows = [(s, *_pack(hashes[cuts[s] : cuts[s + 1]], np.minimum(counts[cuts[s] : cuts[s + 1]], 255).astype(np.uint8))) for s in range(n_shards) if cuts[s] < cuts[s + 1]]
+        rows = [(s, *_pack(hashes[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]].astype(np.uint32))) for s in range(n_shards) if cuts[s] < cuts[s + 1]]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def reply(key, table):
         hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
         distinct, index = np.unique(hashes, return_inverse=True)
         sums = np.bincount(index, counts, len(distinct))
         state = np.where(sums > hot, 2, np.where(sums > 1, 1, 0))[index]
@@ -265,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def segments(key, left, right):
         own = Chunk(left)
-        starts, counts, hashes = anchored_runs(own.data, own.ends, length)
+        starts, counts, hashes, anchors = anchored_runs(own.data, own.ends, length)
         twice, often = (np.sort(np.frombuffer(b"".join(right.column(c).to_pylist()), np.uint64)) for c in ("twice", "often"))
 
         def among(values, where):
@@ -277,13 +298,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         begin, number, shard = starts[plain], counts[plain], shard_of(hashes[plain])
         raw = own.data.tobytes()
         if busy.any():
-            each = np.repeat(starts[busy] - np.r_[0, counts[busy].cumsum()[:-1]], counts[busy]) + np.arange(counts[busy].sum())
-            digest = np.array([hash_bytes(raw[p : p + length]) for p in each.tolist()], np.uint64)
-            begin, number, shard = np.r_[begin, each], np.r_[number, np.ones(len(each), np.int64)], np.r_[shard, shard_of(digest)]
+            part, size, core = split_by_place(starts[busy], counts[busy], anchors[busy], length)
+            digest = np.array([xxhash.xxh64_intdigest(raw[p : p + length - PLACES + 1]) for p in core.tolist()], np.uint64)
+            begin, number, shard = np.r_[begin, part], np.r_[number, size], np.r_[shard, shard_of(digest)]
         order = np.argsort(begin, kind="stable")
         begin, number, shard = begin[order], number[order], shard[order]
         pieces = [raw[a : a + n + length - 1] for a, n in zip(begin.tolist(), number.tolist())]
-        again = _collapse(pieces)
+        again = _sent_before(pieces)
         doc = np.searchsorted(own.ends, begin, "right")
         offset = begin - own.begins[doc]
         ids = np.array(own.ids, np.int64)
@@ -316,17 +337,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.lexsort((start, ids))
             place, doc, ids, start, number = (x[order] for x in (place, doc, ids, start, number))
             pieces = [pieces[i] for i in order.tolist()]
-            again = _collapse(pieces)
-            out.append((place[again], doc[again], start[again], start[again] + number[again] + length - 1))
-            left = np.flatnonzero(~again)
-            sizes = number[left] + length - 1
+            sizes = number + length - 1
             begin = np.r_[0, sizes.cumsum()[:-1]]
-            text = np.frombuffer(b"".join([*[pieces[i] for i in left.tolist()], bytes(length + 8)]), np.uint8)
-            wanted = np.repeat(begin - np.r_[0, number[left].cumsum()[:-1]], number[left]) + np.arange(number[left].sum())
+            text = np.frombuffer(b"".join([*pieces, bytes(length + 8)]), np.uint8)
+            wanted = np.repeat(begin - np.r_[0, number.cumsum()[:-1]], number) + np.arange(number.sum())
             first, last = _runs_of(repeated_starts(text, wanted, length))
             at = np.searchsorted(begin, first, "right") - 1
-            shift = start[left[at]] - begin[at]
-            out.append((place[left[at]], doc[left[at]], first + shift, last + shift + length))
+            shift = start[at] - begin[at]
+            out.append((place[at], doc[at], first + shift, last + shift + length))
         rows = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         order = np.argsort(rows[0], kind="stable")
         packed = [(c, *_pack(rows[1][at].astype(np.int32), rows[2][at].astype(np.int64), rows[3][at].astype(np.int64))) for c, at in zip(*_split(rows[0][order], order))]
@@ -351,20 +369,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2])])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         rows = own.row_doc
-        return pa.Table.from_arrays([own.table.column("id"), own.table.column("text"), pa.array([spans[d] for d in rows], kind), pa.array([kept[d] for d in rows], pa.binary())], names=["id", "text", "spans", "kept"])
+        return pa.Table.from_arrays([own.table.column("id"), own.table.column("text"), own.table.column("times"), pa.array([spans[d] for d in rows], kind), pa.array([kept[d] for d in rows], pa.binary())], names=["id", "text", "times", "spans", "kept"])
 
     requests = chunks.groupBy("chunk").applyInArrow(request, "shard long, chunk long, hashes binary, counts binary")
     replies = requests.groupBy("shard").applyInArrow(reply, "chunk long, twice binary, often binary")
     sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(segments, "shard long, chunk long, doc binary, id binary, start binary, number binary, bytes binary")
     found = sent.groupBy("shard").applyInArrow(compare, "chunk long, doc binary, start binary, end binary")
-    out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, "id long, text string, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans", "kept")
-
-
-def hash_bytes(item: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(item)
+    out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, "id long, text string, times long, spans array<struct<start:long,end:long>>, kept binary")
+    return (repeated(out, "times", "number") if any_hot else out).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans", "kept")
 
 
 def _split(keys: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
