@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,14 +10,21 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset a local session gets one of its own; on a cluster that is an error, as no folder of the
+    driver's machine would do. What is written there stays until the application has ended; whoever set the
+    folder deletes it.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="strandkit-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -82,8 +90,8 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def with_times(rows: DataFrame, id_col: str, text_col: str, most_bytes: int) -> DataFrame:
-    """rows with key, what deals them out, times, how often each stands for itself, and hot.
+def with_times(rows: DataFrame, id_col: str, text_col: str, most_bytes: int) -> tuple[DataFrame, bool]:
+    """rows with key, what deals them out, times, how often each stands for itself, and hot; and whether any is hot.
 
     The key is a hash of the id, or of the text where that is null. If the rows of a key have more than most_bytes in all,
     they are hot: equal ones are counted and become one, and the key is a hash of id and text, so others are spread.
@@ -94,10 +102,10 @@ def with_times(rows: DataFrame, id_col: str, text_col: str, most_bytes: int) ->
     large = checkpoint(sizes.where((F.col("n") > most_bytes) & (F.col("times") > 1)).select("key"))
     plain = lambda df: df.withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(False)})
     if not (n := large.count()):
-        return plain(keyed)
+        return plain(keyed), False
     large = F.broadcast(large) if n <= 100_000 else large  # keys of eight bytes
     many = keyed.join(large, "key", "left_semi").withColumn("key", F.xxhash64(F.lit(3), id_col, text_col)).groupBy(*keyed.columns).agg(F.count("*").alias("times"))
-    return plain(keyed.join(large, "key", "left_anti")).unionByName(many.withColumn("hot", F.lit(True)))
+    return plain(keyed.join(large, "key", "left_anti")).unionByName(many.withColumn("hot", F.lit(True))), True
 
 
 def labels_of_links(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -118,30 +126,53 @@ def labels_of_links(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join by key; right's keys are distinct and n says how many rows left has of each, of total at most.
+
+    Keys with more than a 5,000th of all rows, 5,000 at most, are broadcast; of the others none fills a task.
+    """
+    most = max(1000, total // 5000)
+    hot, rest = right.where(F.col(n) > most).drop(n), right.where(F.col(n) <= most).drop(n)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def left_join_counted(left: DataFrame, right: DataFrame, key: str, values: list[str], n: str, total: int, spread: Column) -> DataFrame:
+    """left with right's values by key, null where right has none; n says how many rows left has of each key, of total.
+
+    Keys with more than a 5,000th of all rows are joined by broadcast; their rows are then spread by a hash of spread.
+    """
+    most = max(1000, total // 5000)
+    hot, rest = right.where(F.col(n) > most).select(key, *values, F.lit(True).alias("is_hot")), right.where(F.col(n) <= most)
+    first = left.join(F.broadcast(hot), key, "left")
+    place = F.when(F.col("is_hot"), F.concat_ws("#", key, F.pmod(F.xxhash64(spread), F.lit(1000)))).otherwise(F.col(key))
+    second = first.withColumn("place", place).join(rest.select(F.col(key).alias("place"), *[F.col(c).alias(f"{c}_of_rest") for c in values]), "place", "left")
+    return second.select(*left.columns, *[F.coalesce(c, f"{c}_of_rest").alias(c) for c in values])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as edges(src, dst): rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps until the edges no longer change. Each round is two
     aggregations and joins over the edges, with a reliable checkpoint between rounds; no node's
-    neighbours are ever gathered in one place. Null ends and loops are left out, repeated edges count once;
-    no edges give no rows.
+    neighbours are ever gathered in one place, and the centres of large stars are broadcast, so their edges stay
+    where they are. Null ends and loops are left out, repeated edges count once; no edges give no rows.
     """
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     current = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
-    state = None
+    count, state = current.count(), None
     for _ in range(max_rounds):
         around = both(current)
-        low = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        low = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n"))
         # large star: what is above a node moves to the lowest of its neighbours
-        large = around.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = join_counted(around.where("dst > src"), low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         # small star: what is below a node moves to the lowest of those
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.withColumnRenamed("low", "dst")).where("src <> dst").distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
+        small = join_counted(large, low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
         current = checkpoint(small)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if state == tuple(now):
             break
-        state = tuple(now)
+        count, state = now.n, tuple(now)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(current.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()

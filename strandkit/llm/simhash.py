@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, connected_components, labels_of_links, map_batches
+from strandkit.llm.common import checkpoint, connected_components, join_counted, labels_of_links, map_batches
 from strandkit.llm.jaccard import similar_texts
 
 SEED = 42
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
         each = checkpoint(fingerprints(keyed, "row", "text", width).select("id.id", "id.text_hash", "fp"))
-    distinct = checkpoint(each.groupBy("fp").agg(F.min("id").alias("low")))
+    distinct = checkpoint(each.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     edges = links(distinct, bits)
     if similar is not None:
         sets, pairs = similar_texts(docs, text_col, similar, similar_width)
@@ -179,5 +179,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(edges)
     grouped = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = grouped.join(lowest, "component").select("fp", "component_id")
-    return each.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = checkpoint(grouped.join(lowest, "component").select("fp", "component_id", "n"))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    return join_counted(each, named, "fp", "n", total).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
