@@ -219,10 +219,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     n_chunks = F.lit(max(1, -(-total // chunk_bytes)))
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id")
     trusted = good.select(F.pmod(F.xxhash64(F.lit(2), "id"), n_chunks).alias("chunk"), "id")
-    base = with_times(base, "id", "text", chunk_bytes)
-    hot = base.where("hot").join(good.withColumn("good", F.lit(True)), "id", "left")  # not where their labels are
-    base = base.where("not hot").withColumn("good", F.lit(None).cast("boolean")).unionByName(hot)
-    chunks = base.select(F.pmod("key", n_chunks).alias("chunk"), "id", "lang", "text", "times", "good")
+    base, any_hot = with_times(base, "id", "text", chunk_bytes)
+    rows = base.where("not hot").withColumn("good", F.lit(None).cast("boolean"))
+    if any_hot:  # these are not where their labels are
+        rows = rows.unionByName(base.where("hot").join(good.withColumn("good", F.lit(True)), "id", "left"))
+    chunks = rows.select(F.pmod("key", n_chunks).alias("chunk"), "id", "lang", "text", "times", "good")
     path = scratch_path(spark, "grams")
     with freed_shuffles(spark):
         gram_counts(chunks, trusted, order).write.parquet(path)

@@ -70,7 +70,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", token_counts.tokenizer_path("piece_bpe_32k.model"), limit=4096)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", token_counts.tokenizer_path("piece_bpe_32k.model"), limit=4096, with_prefixes=True)
 
 
 def queries():

@@ -152,22 +152,41 @@ def without_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, hot", [(100, 20_000), (40, 20_000), (40, 2)])
-def test_substrings(spark, length, hot):
+@pytest.mark.parametrize("length, hot, chunk", [(100, 20_000, 4000), (40, 20_000, 4000), (40, 2, 4000), (100, 2, 1500)])
+def test_substrings(spark, length, hot, chunk):
     rnd = random.Random(length)
     passage = "".join(rnd.choice("abcdefg hij") for _ in range(130))
     rows = [(i, "".join(rnd.choice("abcdefgh ijé") for _ in range(rnd.choice([0, 30, 200, 600])))) for i in range(60)]
     rows += [(i, a + passage + b) for i, (_, a), (_, b) in zip(range(100, 140), rows, rows[7:])]
     rows += [(200, "z" * 1000), (201, "ab" * 400), (202, None), (203, passage * 3), (204, passage[:100]), (None, passage), (205, "z" * 120), (205, "z" * 120)]
+    rows += [(206, passage + "y" * 300)] * 30 + [(None, passage + passage)] * 40 + [(None, None)] * 20 + [(207, "very long " * 20_000)]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     expected = without_repeats(rows, length)
-    got = substring_dedup.remove_repeats(df, length=length, chunk_bytes=4000, hot=hot).collect()
-    assert len(got) == len(rows)
+    got = substring_dedup.remove_repeats(df, length=length, chunk_bytes=chunk, hot=hot).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(r) for r in rows)
     for r in got:
-        removed, kept, spans = expected[1 << 63 if r.doc_id is None else r.doc_id, (r.text or "").encode()]
+        if r.doc_id is None:  # those without an id are ordered by start only
+            continue
+        removed, kept, spans = expected[r.doc_id, (r.text or "").encode()]
         assert (sum(s.end - s.start for s in r.spans), bytes(r.kept), len(r.spans)) == (removed, kept, spans), r.doc_id
 
 
+@pytest.mark.parametrize("trial", range(20))
+def test_parts_of_hot_runs(trial):
+    rnd = random.Random(trial)
+    data = np.frombuffer("".join(rnd.choice("ab c") for _ in range(rnd.randint(100, 900))).encode(), np.uint8)
+    starts, counts, _, anchors = substring_dedup.anchored_runs(data, np.array([len(data) // 3, len(data)]), 50)
+    begin, number, core = substring_dedup.split_by_place(starts, counts, anchors, 50)
+    spread = lambda s, n: sorted(x for a, k in zip(s.tolist(), n.tolist()) for x in range(a, a + k))
+    assert spread(begin, number) == spread(starts, counts)
+    assert (core >= begin + number - 1).all() and (core + 50 - substring_dedup.PLACES + 1 <= begin + 50).all()
+    keyed = {}
+    for b, k, c in zip(begin.tolist(), number.tolist(), core.tolist()):
+        for p in range(b, b + k):
+            keyed.setdefault(data[p : p + 50].tobytes(), set()).add(data[c : c + 50 - substring_dedup.PLACES + 1].tobytes())
+    assert all(len(x) == 1 for x in keyed.values())
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
@@ -462,6 +481,27 @@ def test_broken_archives(spark, tmp_path):
     assert warc.reassemble(records.limit(0)).count() == 0
 
 
+def test_archives_that_are_cut_or_damaged(spark, tmp_path):
+    import gzip
+
+    plain = b"\r\n\r\n".join(warc._record(b"response", f"<{i}>", [(b"X-Page-ID", b"%d" % i)], warc.HTTP_HEAD + warc.chunked(b"p" * 300, 100)) for i in range(3))
+    lost = plain.replace(b"Content-Length", b"Content-Lost", 1)
+    number = warc._record(b"continuation", "<9>", [(b"WARC-Segment-Number", b"two"), (b"WARC-Segment-Origin-ID", b"<8>")], b"x")
+    for name, data in [("whole.warc", plain), ("cut.warc", plain[:-40]), ("cut.warc.gz", gzip.compress(plain)[:-60]), ("tail.warc.gz", gzip.compress(plain)[:-4]), ("head.warc", plain + b"\r\n\r\nWARC/1.1\r\nWARC-Type: x"), ("noise.warc.gz", b"\x1f\x8b" + b"?" * 90), ("lost.warc", lost), ("number.warc", number), ("empty.warc", b"")]:
+        (tmp_path / name).write_bytes(data)
+    found = collections.defaultdict(list)
+    for name in sorted(p.name for p in tmp_path.iterdir()):
+        for r in warc.reassemble(warc.read_records(spark, str(tmp_path / name))).collect():
+            found[name].append((r.page_id, r.problem, r.payload and len(r.payload)))
+    good = [(str(i), None, 300) for i in range(3)]
+    assert sorted(found["whole.warc"]) == good and found["empty.warc"] == []
+    assert sorted(found["cut.warc"], key=str) == good[:2] + [("2", "archive", None)]
+    assert ("archive" in {x[1] for x in found["cut.warc.gz"]}) and all(x in good or x[1:] == ("archive", None) for x in found["cut.warc.gz"])
+    assert sorted(found["tail.warc.gz"], key=str) == good + [(None, "archive", None)] and sorted(found["head.warc"], key=str) == good + [(None, "archive", None)]
+    assert found["noise.warc.gz"] == [(None, "archive", None)] and found["lost.warc"] == [("0", "content length", None)] and found["number.warc"] == [(None, "segment", None)]
+    assert warc.resolve_revisits(warc.reassemble(warc.read_records(spark, str(tmp_path)))).where("problem is null").count() >= 11
+
+
 def test_chunked_framing():
     for data in (b"", b"x", bytes(range(256)) * 9):
         assert warc.unchunked(warc.chunked(data, 7)) == data
@@ -515,7 +555,7 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-@pytest.mark.parametrize("block, shingle", [(200_000, 2), (7, 1), (7, 3)])
+@pytest.mark.parametrize("block, shingle", [(12 << 20, 2), (60, 1), (60, 3)])
 def test_contamination(spark, block, shingle):
     rnd = random.Random(3)
     vocabulary = ["a", "b", "c", "dé", "e1", "f"]
@@ -537,13 +577,35 @@ def test_contamination(spark, block, shingle):
                     found |= ids
         expected[i] = (len(w), len(hit), sorted(found), bool(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
-    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), width=4, shingle=shingle, block_windows=block, carry=("hit", "rank")).collect()
+    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), width=4, shingle=shingle, block_bytes=block, carry=("hit", "rank")).collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_words, r.n_hit, r["items"], r.contaminated, r.items_sha256) == expected[r.doc_id]
         assert sum(s.end - s.start for s in r.spans) == r.n_hit and r.carried.hit == "clash"
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Of twenty blocks one index is alive at a time, and the plan has no Python stage for each."""
+    alive, most = set(), []
+    whole = decontaminate.block_index
+
+    def watched(docs, windows, shingle):
+        index = whole(docs, windows, shingle)
+        alive.add(id(index))
+        most.append(len(alive))
+        gone = index.destroy
+        index.destroy = lambda: (alive.discard(id(index)), gone())
+        return index
+
+    monkeypatch.setattr(decontaminate, "block_index", watched)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(40)]
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(i, i + 20))) for i in range(30)]
+    out = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=4000)
+    assert len(most) >= 20 and max(most) == 1 and not alive
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in out.collect()} == {i: ((40 - i if i > 20 else 20, [str(i)])) for i in range(30)}
+
+
 def test_contamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).where("contaminated").count() == 0
