@@ -690,7 +690,7 @@ def test_quality(spark):
     rows += [(i, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "en") for i in range(200, 240)] + [(300, None, "en"), (301, "", "en"), (None, "the river", "en"), (1, rows[1][1], "en")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string")).repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150)] + [(i, 1, 1) for i in range(200, 210)] + [(None, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
-    got = quality.classify(df, labels, chunk_bytes=6000).collect()
+    got = quality.classify(df, labels, chunk_bytes=6000, margin=1.15, slack=3.0).collect()
     assert len(got) == len(rows)
     assert all(r.keep for r in got if r.doc_id is not None and r.doc_id < 200) and not any(r.keep for r in got if r.doc_id is not None and r.doc_id >= 200)
     assert {r.lang for r in got} == {"en", "und"}
@@ -708,11 +708,11 @@ def test_quality_of_languages_without_labels(spark):
     rows += [(calibration, "".join(rnd.choice("qxzwkvj!#@") for _ in range(300)), "yy"), (None, good("fr"), None), (700, None, "xx")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(240)] + [(calibration, 1, 0)], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    got = quality.classify(df, labels.where(f"doc_id <> {calibration}"), chunk_bytes=9000).collect()
+    got = quality.classify(df, labels.where(f"doc_id <> {calibration}"), chunk_bytes=9000, margin=1.15, slack=3.0).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
     assert all(r.perplexity > 1.0 for r in got if r.n_chars)
     assert {r.doc_id for r in got if not r.keep} == {*range(400, 415), calibration, 700}
-    again = quality.classify(df, labels, chunk_bytes=9000).where("lang = 'en'").agg(F.max("threshold")).first()[0]
+    again = quality.classify(df, labels, chunk_bytes=9000, margin=1.15, slack=3.0).where("lang = 'en'").agg(F.max("threshold")).first()[0]
     assert again == max(r.threshold for r in got if r.lang == "en")
 
 
