@@ -50,6 +50,16 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["lang", "kmer", "n", "rank"]
 
 
+def test_entry_without_a_module_that_the_corpus_operators_need():
+    import pathlib
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(plans.__file__).parents[2], capture_output=True, text=True)
+    assert done.stdout.split() == [str(len(plans.queries())), str(len(plans.oracle_sql()))], done.stderr
+
+
 def test_library_does_not_need_the_corpus_operators():
     import pathlib
 
