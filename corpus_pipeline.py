@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding.
+
+Every stage but the last returns the columns of its documents as they are, whatever their names. Nulls in the columns
+that a stage doesn't read, and columns that it doesn't know, pass through it; an empty table stays empty. Repeated rows
+are judged alike, one of them outlives the near-duplicate stage, and mixing repeats it as often as its source is to be.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,10 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language can't be told, go."""
+    """Documents without a letter, null and empty texts among them, and those whose language can't be told, go.
+
+    The model is learned from the documents' own labels; a null language or text is not learned from.
+    """
     model = language_id.learn(docs, "doc_id", "text", "lang")
     found = language_id.predicted(docs, model)
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -35,19 +43,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. A document or item without words holds none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, benchmark, width=10, carry=tuple(docs.columns))
     return found.where("not contaminated").select("carried.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources follow the weights."""
+    """Documents are repeated or left out so that the sources follow the weights. A null source is one; a null id is hashed by its text."""
     return mixing.mix_sources(docs, WEIGHTS, added=False)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, in a random order, written to 24 shards and read back."""
+    """All that is left, in a random order, written to 24 shards and read back, with size, slot and shard.
+
+    Columns of these names are replaced. Copies are numbered, so they are spread like other rows.
+    """
     return shards.shuffle_into_shards(docs, n_shards=24)
 
 

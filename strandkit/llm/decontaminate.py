@@ -9,6 +9,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandkit.llm.common import checkpoint, map_batches, scratch_path, sliced
 
@@ -189,5 +190,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         }
         return pa.RecordBatch.from_arrays([*columns.values(), *batch.columns[4:]], names=[*columns, *(["carried"] if carry else [])])
 
-    more = f", carried {narrow.schema['carried'].dataType.simpleString()}" if carry else ""
-    return map_batches(source, judge, f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{text_col}` string, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>{more}")
+    kinds = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType())]
+    kinds += T.StructType.fromDDL("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>").fields
+    return map_batches(source, judge, T.StructType([*kinds, *([narrow.schema["carried"]] if carry else [])]))

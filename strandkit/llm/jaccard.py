@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, connected_components, consecutive_groups, labels_of_links, map_batches
+from strandkit.llm.common import checkpoint, connected_components, consecutive_groups, join_counted, labels_of_links, map_batches
 
 SEED = 43
 #: A pair of similarity 0.8 agrees in some band of six of 30 with probability 0.9999, one of 0.3 with 0.02.
@@ -64,23 +64,11 @@ def signatures(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return map_batches(docs.select(F.xxhash64(text_col), text_col), run, "text_hash long, set long, bands array<long>")
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """Links (src, dst) of the sets that agree in a band to one of them: a sort by key, nothing held of a hot key."""
-    rows = sets.select(F.explode("bands").alias("key"), "set").repartition("key").sortWithinPartitions("key")
-
-    def run(batches):
-        last_key = last_set = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.r_[key[0] != last_key, key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            low = np.where(first < 0, own[0] if last_set is None else last_set, own[first])
-            last_key, last_set = key[-1], low[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(own[own != low]), pa.array(low[own != low])], names=["src", "dst"])
-
-    return rows.mapInArrow(run, "src long, dst long")
+def candidate_links(sets: DataFrame, total: int) -> DataFrame:
+    """Links (src, dst) of the sets that agree in a band, total at most, to the smallest of them."""
+    rows = sets.select(F.explode("bands").alias("key"), F.col("set").alias("src"))
+    shared = rows.groupBy("key").agg(F.min("src").alias("dst"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(rows, shared, "key", "n", total * BANDS).where("src <> dst").select("src", "dst")
 
 
 def similar_pairs(sets: list[np.ndarray], own: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +128,7 @@ def similar_texts(docs: DataFrame, text_col: str, threshold: float = 0.8, width:
     """
     each = checkpoint(signatures(docs, text_col, width).dropDuplicates(["text_hash"]))
     distinct = each.select("set", "bands").dropDuplicates(["set"])
-    groups = connected_components(candidate_links(distinct))
+    groups = connected_components(candidate_links(distinct, each.count()))
     sets = each.select("text_hash", "set")
     wanted = sets.groupBy("set").agg(F.min("text_hash").alias("text_hash")).join(groups.select(F.col("node").alias("set"), "component"), "set")
     texts = docs.select(F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -481,6 +482,21 @@ def test_broken_archives(spark, tmp_path):
     assert warc.reassemble(records.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_long_repeated_pages_in_the_table(spark, tmp_path):
+    given = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    top = max(r[0] for r in given) + 1
+    rows = given + [(top + 5 * i + k, r[1], r[2] * (1 if k < 3 else 4)) for i, r in enumerate(given[:12]) for k in range(5)] + [(top + 1000 + i, None, "long " * 100_000) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    warc.write_pages(df, str(tmp_path / "w"), file_bytes=1 << 20)
+    back = {int(r.page_id): (r.payload_bytes, r.payload_digest, r.type, r.refers_to_page and int(r.refers_to_page)) for r in warc.resolve_revisits(warc.reassemble(warc.read_records(spark, str(tmp_path / "w")))).collect()}
+    first = {}
+    for i, _, html in sorted(rows):
+        first.setdefault(html, i)
+    expected = {i: (len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", first[h]) if first[h] < i and len((h or "").encode()) >= 100 else ("response", None))) for i, _, h in rows}
+    assert back == expected and sum(x[2] == "revisit" for x in back.values()) > 30
+
+
 def test_archives_that_are_cut_or_damaged(spark, tmp_path):
     import gzip
 
@@ -544,6 +560,53 @@ def test_embeddings(spark, block, window):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], expected[i], expected[i] == i) for i in expected}
 
 
+TABLES = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the test tables")
+def test_near_pairs_planted_in_the_table(spark):
+    """Copies at cosines about the threshold, exact ones, null ids and repeated rows beside the given vectors."""
+    rnd = np.random.default_rng(8)
+    given = [(r.vec_id, np.array(r.embedding), r.label) for r in spark.read.parquet(f"{TABLES}/embeddings.parquet").collect()]
+    rows, n = list(given), max(r[0] for r in given) + 1
+    for _, v, label in given[::3]:
+        other = rnd.standard_normal(len(v))
+        other -= other @ v / (v @ v) * v
+        for cosine in (0.975, 0.981, 0.99, 1.0):
+            rows.append((n, cosine * v / np.linalg.norm(v) + (1 - cosine**2) ** 0.5 * other / np.linalg.norm(other), label))
+            n += 1
+    rows += [(n, given[0][1], given[0][2])] * 3 + [(None, given[1][1], given[1][2])] * 2
+    df = spark.createDataFrame([(i, [float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    unit = [v / np.linalg.norm(v) for _, v, _ in rows]
+    near = np.stack(unit) @ np.stack(unit).T >= 0.98
+    near &= np.equal.outer(np.array([r[2] for r in rows]), np.array([r[2] for r in rows]))
+    np.fill_diagonal(near, False)
+    got = embeddings.near_duplicates(df).collect()
+    assert sorted((str(r.vec_id), r.n_links) for r in got) == sorted((str(rows[i][0]), int(k)) for i, k in enumerate(near.sum(1)))
+    of = groups(range(len(rows)), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near))])
+    lowest = {}
+    for i, r in enumerate(rows):
+        lowest[of[i]] = min(lowest.get(of[i], 1 << 62), 1 << 62 if r[0] is None else r[0])
+    assert sorted((str(r.vec_id), r.component_id, r.kept) for r in got) == sorted((str(r[0]), lowest[of[i]], r[0] == lowest[of[i]]) for i, r in enumerate(rows))
+    assert near.sum() > 100
+
+
+def test_vectors_about_a_common_direction(spark):
+    """Isolated pairs among vectors that all lie close together; their keys are taken about the centre."""
+    rnd = np.random.default_rng(4)
+    unit = lambda k: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rnd.standard_normal((k, 32)))
+    base = np.sqrt(0.9) * unit(1) + np.sqrt(0.1) * unit(3000)
+    first = base[:150] / np.linalg.norm(base[:150], axis=1, keepdims=True)
+    other = unit(150)
+    other -= (other * first).sum(1, keepdims=True) * first
+    pairs = 0.982 * first + (1 - 0.982**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, pairs]))]
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=16).collect()}
+    assert sum(got[i] == got[3000 + i] for i in range(150)) >= 148
+    few = embeddings.centres(spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "a", 2) for i in range(64)], "rep long, v array<double>, label string, dim int"), 0.98, 16, 64).first()
+    assert few.centre == [0.5, 0.5] and few.passes == 16
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -798,6 +861,18 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert kept == [(7, "the river and the stone"), (8, None), (904, long), (None, "no number at all")]
 
 
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    df = clashing(spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(["the river of stone and " * 3, "from that with in to the", None])], DOCS)).withColumn("a b.c", F.lit("clash"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert all(v == "clash" for r in out.collect() for c, v in r.asDict().items() if c not in ("doc_id", "text", "lang", "source")), name
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
