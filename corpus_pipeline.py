@@ -34,12 +34,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     It is the row with the smallest id, null ids last; of rows with the same id, or none, the one with the smallest
     hash of its text, then of all its columns. Of equal rows one stays. Texts without words are one group.
     """
-    kind = docs.schema["doc_id"].dataType
-    rank = F.struct(F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("of_text"), F.xxhash64(*docs.columns).alias("of_row"))
-    ranked = docs.withColumn("__rank", rank)
-    groups = simhash.near_duplicates(ranked.select("__rank", "text"), id_col="__rank", width=3, bits=3, similar=0.8)
-    first = groups.select(F.col("component_id").alias("__rank")).distinct()
-    return ranked.join(first, "__rank", "left_semi").dropDuplicates(["__rank"]).select(docs.columns)
+    kind, columns = docs.schema["doc_id"].dataType, [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.struct(F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("of_text"), F.xxhash64(*columns).alias("of_row"))
+    ranked = docs.select(F.struct(*columns).alias("row"), rank.alias("rank"), "text")
+    groups = simhash.near_duplicates(ranked.select("rank", "text"), id_col="rank", width=3, bits=3, similar=0.8)
+    first = groups.select(F.col("component_id").alias("rank")).distinct()
+    return ranked.select("row", "rank").join(first, "rank", "left_semi").dropDuplicates(["rank"]).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
