@@ -185,7 +185,7 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
 def perplexities_of(docs: pa.Table, replies: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Characters and perplexity (nan without any) of each row, from the log probabilities of all grams of the chunk."""
     n_chars, perplexity = np.zeros(docs.num_rows, np.int64), np.full(docs.num_rows, np.nan)
-    of_lang, logs = replies.column("lang").combine_chunks().dictionary_encode(), replies.column("logp").to_numpy()
+    of_lang, logs = replies.column("lang").combine_chunks().dictionary_encode(), replies.column("logp").to_numpy().astype(np.float64)
     codes, known = of_lang.indices.to_numpy(), {x: i for i, x in enumerate(of_lang.dictionary.to_pylist())}
     for lang, (rows, texts) in _by_lang(docs).items():
         at = np.flatnonzero(codes == known.get(lang, -1))
@@ -228,7 +228,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chunks = rows.select(F.pmod("key", n_chunks).alias("chunk"), "id", "lang", "text", "times", "good")
     path = scratch_path(spark, "grams")
     with freed_shuffles(spark):
-        gram_counts(chunks, trusted, order).write.parquet(path)
+        gram_counts(chunks, trusted, order).write.option("compression", "zstd").parquet(path)
         counted = spark.read.parquet(path)
         summed = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")))
         learned = checkpoint(summed.groupBy("lang").agg((F.max("a") > 0).alias("learned")))
@@ -236,7 +236,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             held_back = trusted.where(F.crc32(F.col("id").cast("string")) % 5 == 0).select("id")
             again = chunks.join(held_back, "id", "left_semi").withColumn("lang", F.lit(POOLED))
             path = scratch_path(spark, "pooled-grams")
-            gram_counts(again, trusted.limit(0), order).write.parquet(path)
+            gram_counts(again, trusted.limit(0), order).write.option("compression", "zstd").parquet(path)
             chunks = chunks.unionByName(again)
             own = F.when(F.col("learned"), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
             counted = counted.join(learned, "lang").select("chunk", "lang", own.alias("model"), "gram").unionByName(spark.read.parquet(path).select("chunk", "lang", F.col("lang").alias("model"), "gram"))
@@ -247,8 +247,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         else:
             counted = counted.withColumn("model", F.col("lang"))
         model = checkpoint(kneser_ney(summed, order).withColumnRenamed("lang", "model"))
-    replies = counted.join(model, ["model", "gram"]).select("chunk", "lang", "gram", "logp", F.lit(None).cast("long").alias("id"))
-    replies = replies.unionByName(trusted.select("chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "id"))
+    replies = counted.join(model, ["model", "gram"]).select("chunk", "lang", "gram", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("long").alias("id"))
+    replies = replies.unionByName(trusted.select("chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("logp"), "id"))
 
     def back(key, left, right):
         labelled = pc.is_valid(right.column("id"))
