@@ -165,7 +165,7 @@ def out18(spark, d):
     return c.select("chrom", "w", F.size("c").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("out19_prediction_window", f"""WITH {X.WINDOWS} SELECT window_id, "start" + CAST(floor(96 * 0.625 / 2) AS BIGINT) AS pred_start, CAST(floor(96 * 0.375) AS BIGINT) AS pred_length FROM windows""")
+@query("out19_prediction_window", f"""WITH {X.WINDOWS} SELECT window_id, "start" + CAST(floor(("end" - "start") * 0.625 / 2) AS BIGINT) AS pred_start, CAST(floor(("end" - "start") * 0.375) AS BIGINT) AS pred_length FROM windows""")
 def out19(spark, d):
     length = F.col("end") - F.col("start")
     return X.windows(spark, d).select("window_id", P.prediction_start(F.col("start"), length, 0.375).alias("pred_start"), P.prediction_length(length, 0.375).alias("pred_length"))
