@@ -198,8 +198,11 @@ def repeated_starts(text: np.ndarray, wanted: np.ndarray, length: int) -> np.nda
 # ---- segments ------------------------------------------------------------------------------------------------------
 
 
-def _sent_before(segments: list[bytes]) -> np.ndarray:
-    """For a chunk's segments in the order of their places: whether an equal one stands before, which goes to its shard for both."""
+def _stand_before(segments: list[bytes]) -> np.ndarray:
+    """For segments in the order of their places: whether an equal one stands before, which is then sent or sorted for both.
+
+    Copies are thus aggregated before the shuffle and before the sort, whose cost would else grow with a group's copies.
+    """
     seen: set = set()
     again = np.zeros(len(segments), bool)
     for i, item in enumerate(segments):
@@ -304,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.argsort(begin, kind="stable")
         begin, number, shard = begin[order], number[order], shard[order]
         pieces = [raw[a : a + n + length - 1] for a, n in zip(begin.tolist(), number.tolist())]
-        again = _sent_before(pieces)
+        again = _stand_before(pieces)
         doc = np.searchsorted(own.ends, begin, "right")
         offset = begin - own.begins[doc]
         ids = np.array(own.ids, np.int64)
@@ -337,14 +340,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.lexsort((start, ids))
             place, doc, ids, start, number = (x[order] for x in (place, doc, ids, start, number))
             pieces = [pieces[i] for i in order.tolist()]
-            sizes = number + length - 1
+            again = _stand_before(pieces)
+            out.append((place[again], doc[again], start[again], start[again] + number[again] + length - 1))
+            left = np.flatnonzero(~again)
+            sizes = number[left] + length - 1
             begin = np.r_[0, sizes.cumsum()[:-1]]
-            text = np.frombuffer(b"".join([*pieces, bytes(length + 8)]), np.uint8)
-            wanted = np.repeat(begin - np.r_[0, number.cumsum()[:-1]], number) + np.arange(number.sum())
+            text = np.frombuffer(b"".join([*[pieces[i] for i in left.tolist()], bytes(length + 8)]), np.uint8)
+            wanted = np.repeat(begin - np.r_[0, number[left].cumsum()[:-1]], number[left]) + np.arange(number[left].sum())
             first, last = _runs_of(repeated_starts(text, wanted, length))
             at = np.searchsorted(begin, first, "right") - 1
-            shift = start[at] - begin[at]
-            out.append((place[at], doc[at], first + shift, last + shift + length))
+            shift = start[left[at]] - begin[at]
+            out.append((place[left[at]], doc[left[at]], first + shift, last + shift + length))
         rows = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         order = np.argsort(rows[0], kind="stable")
         packed = [(c, *_pack(rows[1][at].astype(np.int32), rows[2][at].astype(np.int64), rows[3][at].astype(np.int64))) for c, at in zip(*_split(rows[0][order], order))]
