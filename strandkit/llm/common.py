@@ -132,7 +132,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
 
     Keys with more than a 5,000th of all rows, 5,000 at most, are broadcast; of the others none fills a task.
     """
-    most = max(1000, total // 5000)
+    most = max(100, total // 5000)
     hot, rest = right.where(F.col(n) > most).drop(n), right.where(F.col(n) <= most).drop(n)
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
@@ -142,7 +142,7 @@ def left_join_counted(left: DataFrame, right: DataFrame, key: str, values: list[
 
     Keys with more than a 5,000th of all rows are joined by broadcast; their rows are then spread by a hash of spread.
     """
-    most = max(1000, total // 5000)
+    most = max(100, total // 5000)
     hot, rest = right.where(F.col(n) > most).select(key, *values, F.lit(True).alias("is_hot")), right.where(F.col(n) <= most)
     first = left.join(F.broadcast(hot), key, "left")
     place = F.when(F.col("is_hot"), F.concat_ws("#", key, F.pmod(F.xxhash64(spread), F.lit(1000)))).otherwise(F.col(key))
