@@ -154,7 +154,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as edges(src, dst): rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps until the edges no longer change. Each round is two
-    aggregations and joins over the edges, with a reliable checkpoint between rounds; no node's
+    aggregations and joins over the edges, with a reliable checkpoint after each step; no node's
     neighbours are ever gathered in one place, and the centres of large stars are broadcast, so their edges stay
     where they are. Null ends and loops are left out, repeated edges count once; no edges give no rows.
     """
@@ -165,7 +165,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         around = both(current)
         low = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n"))
         # large star: what is above a node moves to the lowest of its neighbours
-        large = join_counted(around.where("dst > src"), low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = checkpoint(join_counted(around.where("dst > src"), low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct())
         # small star: what is below a node moves to the lowest of those
         low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
         small = join_counted(large, low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
