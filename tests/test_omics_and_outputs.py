@@ -198,3 +198,17 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     ST.write_prepared(ST.prepare(stream, n_tokens=16), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, ST.prepare(rows, n_tokens=16).collect()))
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandkit.operators.numbering import shared_dir
+
+    conf = {}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    first = shared_dir(session("local[4]"))
+    assert shared_dir(session("local[4]")) == first == conf["spark.checkpoint.dir"] and shared_dir(session("yarn")) == first
