@@ -22,7 +22,7 @@ UNDETERMINED = "und"
 class Limits:
     """Bounds of the sample that is learned from, of which all words and n-grams are kept; so they bound the model.
 
-    bytes_per_lang: text of a language, about so much, in documents chosen by a hash of the id. sample_bytes: of all
+    bytes_per_lang: text of a language, about so much, in documents chosen by a hash of id and text. sample_bytes: of all
     languages together, shared evenly. longest: length of the longest n-gram. smoothing: added to each count.
     """
 
@@ -38,12 +38,12 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, limits: Limits) -> DataFrame:
-    """Rows of each language with about as many bytes as the limits allow, by a threshold on the hash of the id: no sort, no row limit."""
+    """Rows of each language with about as many bytes as the limits allow, by a threshold on a hash of id and text: no sort, no row limit."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     sizes = checkpoint(labelled.groupBy(lang_col).agg(F.sum(size).alias("bytes_of_lang")))
     n_langs = sizes.count()
     per_lang = min(limits.bytes_per_lang, limits.sample_bytes / max(1, n_langs))
-    share = F.pmod(F.xxhash64(F.lit("learn"), F.col(id_col).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    share = F.pmod(F.xxhash64(F.lit("learn"), F.col(id_col).cast("string"), text_col), F.lit(1 << 40)) / float(1 << 40)
     if n_langs <= 10_000:  # beyond that a shuffled join, which splits skewed ones
         sizes = F.broadcast(sizes)
     return labelled.join(sizes, lang_col).where(share * F.col("bytes_of_lang") < per_lang).drop("bytes_of_lang")
