@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm import decontaminate, embeddings, language_id, mixing, quality, shards, simhash, substring_dedup, token_counts, warc
+from strandkit.llm import alignment, decontaminate, embeddings, language_id, manifest, mixing, quality, shards, simhash, substring_dedup, token_blocks, token_counts, warc
 from strandkit.llm.common import scratch_path
+from strandkit.llm.encoders import vocabulary_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", token_counts.tokenizer_path("piece_bpe_32k.model"), limit=4096, with_prefixes=True)
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -145,5 +158,48 @@ ORACLES = {
 }
 
 
+def _tree_sql(name: str, depth: int) -> str:
+    """CTEs over {name}0(tree, no, n, h): the levels {name}1, ... of 16 nodes a node, and {name}s0, ...: what stands before and behind a node in its run."""
+    levels = [f"{name}{k + 1} AS (SELECT tree, no // 16 AS no, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY no)) AS h FROM {name}{k} WHERE n > 1 GROUP BY tree, no // 16, n)" for k in range(depth)]
+    around = [
+        f"{name}s{k} AS (SELECT x.tree, x.no, coalesce(string_agg(y.h, '' ORDER BY y.no) FILTER (y.no < x.no), '') AS bef, coalesce(string_agg(y.h, '' ORDER BY y.no) FILTER (y.no > x.no), '') AS aft FROM {name}{k} x JOIN {name}{k} y ON x.tree = y.tree AND x.no // 16 = y.no // 16 WHERE x.n > 1 GROUP BY x.tree, x.no)"
+        for k in range(depth)
+    ]
+    return ", ".join([*levels, *around])
+
+
+def _climb_sql(name: str, depth: int, source: str, out: str, keep: str) -> str:
+    """CTEs that carry {source}(tree, no, proof, fold) up the levels, as {out}."""
+    steps = []
+    for k in range(depth):
+        steps.append(f"{out}{k} AS (SELECT x.* EXCLUDE (proof, fold), proof || coalesce(bef || aft, '') AS proof, CASE WHEN bef IS NULL THEN fold ELSE sha256(bef || fold || aft) END AS fold FROM {source if k == 0 else f'{out}{k - 1}'} x LEFT JOIN {name}s{k} s ON s.tree = x.tree AND s.no = x.no // {16**k})")
+    return ", ".join([*steps, f"{out} AS (SELECT {keep} FROM {out}{depth - 1})"])
+
+
+def manifest_sql(depth: int = 5, top_depth: int = 3) -> str:
+    """The manifest of documents by levels written out, enough of them for 16^depth rows of a source and 16^top_depth sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc_table = "(SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)))"
+    crc = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(t.crcs[(xor(c, b) % 256) + 1], c // 256)))"
+    return f"""
+        WITH t AS (SELECT {crc_table} AS crcs),
+        d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS given FROM documents, t),
+        o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS no, count(*) OVER (PARTITION BY source) AS n FROM d),
+        a0 AS (SELECT tree, no, n, leaf AS h FROM o), {_tree_sql('a', depth)},
+        sub AS ({' UNION ALL '.join(f'SELECT tree, h FROM a{k} WHERE n = 1' for k in range(depth + 1))}),
+        b0 AS (SELECT 0 AS tree, tree AS no, count(*) OVER () AS n, h FROM sub), {_tree_sql('b', top_depth)},
+        root AS ({' UNION ALL '.join(f'SELECT h FROM b{k} WHERE n = 1' for k in range(top_depth + 1))}),
+        start AS (SELECT doc_id, leaf, tree, no, '' AS proof, given AS fold FROM o), {_climb_sql('a', depth, 'start', 'up', 'doc_id, leaf, tree AS of, 0 AS tree, tree AS no, proof, fold')},
+        {_climb_sql('b', top_depth, 'up', 'whole', '*')}
+        SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root.h AS verified
+        FROM whole JOIN sub ON sub.tree = whole.of, root
+    """
+
+
+ORACLES["op13_manifest"] = manifest_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
