@@ -21,13 +21,26 @@ def bound_batches(spark: SparkSession, most: str = "4m", name: str = "spark.sql.
         spark.conf.set(name, most)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Actions inside remove their shuffle files when they end; for results that are written, and so don't need them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that made it go at once."""
     bound_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with freed_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -63,18 +76,6 @@ def repeated(df: DataFrame, n: str, number: str, block: int = 65_536) -> DataFra
     return blocks.withColumn(number, F.explode(F.sequence(first, F.least(first + block, F.col(n).cast("long")) - 1))).drop("block_of_copies")
 
 
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Actions inside remove their shuffle files when they end; for results that are written, and so don't need them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def with_times(rows: DataFrame, id_col: str, text_col: str, most_bytes: int) -> tuple[DataFrame, bool]:
     """rows with key, what deals them out, times, how often each stands for itself, and hot; and whether any is hot.
 
