@@ -9,9 +9,22 @@ from strandkit.functions.sequence import sanitize_dna
 
 
 def tile_genome(records: DataFrame, tile: int, name: str = "name", seq: str = "seq") -> DataFrame:
-    """Chromosomes cut into tiles (chrom, tile_no, seq), so that no later row is a whole chromosome."""
-    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(seq) / tile).cast("int") - 1, F.lit(0)))
-    return records.select(F.col(name).alias("chrom"), F.col(seq).alias("whole"), F.explode(numbers).alias("tile_no")).select("chrom", F.col("tile_no").cast("long"), F.substring("whole", F.col("tile_no") * tile + 1, F.lit(tile)).alias("seq"))
+    """Records cut into tiles (chrom, tile_no, seq) in one pass; one without letters has an empty tile.
+
+    For records that fit in a row. Chromosomes are better read in tiles to begin with (sources.fasta.read_fasta_tiles).
+    """
+    pieces = F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{tile}}})"), 1)
+    cut = records.select(F.col(name).alias("chrom"), F.posexplode(F.when(F.length(seq) > 0, pieces).otherwise(F.array(F.lit("")))).alias("tile_no", "seq"))
+    return cut.select("chrom", F.col("tile_no").cast("long").alias("tile_no"), "seq")
+
+
+def save_tiles(tiles: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Keep tiles as a table bucketed and sorted by chromosome and tile number, so that fetching windows doesn't shuffle the genome.
+
+    One shuffle deals each bucket to one task, which writes one file. path names the table's folder, if it isn't to be in the warehouse.
+    """
+    writer = tiles.repartition(buckets, "chrom", "tile_no").write.format("parquet").bucketBy(buckets, "chrom", "tile_no").sortBy("chrom", "tile_no")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def fetch_windows(tiles: DataFrame, windows: DataFrame, tile: int, sanitize: bool = True) -> DataFrame:

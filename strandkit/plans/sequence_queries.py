@@ -72,8 +72,11 @@ def seq7(spark, d):
 @query("seq8_fetch_windows", f"""WITH {X.SEQS}, {X.WINDOWS}, c AS (SELECT windows.*, coalesce(substr(seq, "start" + 1, "end" - "start"), '') AS seq FROM windows LEFT JOIN s ON seq_id = chrom)
     SELECT window_id, chrom, "start", "end", md5(seq) AS seq, length(seq) = "end" - "start" AS complete FROM c""")
 def seq8(spark, d):
-    tiles = genome.tile_genome(X.seqs(spark, d), 512, "seq_id", "seq")
-    return genome.fetch_windows(tiles, X.windows(spark, d), 512).withColumn("seq", F.md5("seq"))
+    """The tiles are kept in buckets first, so the windows are dealt to them and not both to new places."""
+    path = X.scratch(spark, "tiles")
+    name = "tiles_" + path.rsplit("-", 1)[1]
+    genome.save_tiles(genome.tile_genome(X.seqs(spark, d), 512, "seq_id", "seq"), name, max(8, spark.sparkContext.defaultParallelism), path)
+    return genome.fetch_windows(spark.table(name), X.windows(spark, d), 512).withColumn("seq", F.md5("seq"))
 
 
 @query("seq9_windows_at", """SELECT event_id AS window_id, CAST(floor(value * 20) AS BIGINT) AS "start", CAST(floor(value * 20) AS BIGINT) + 16 * 6 AS "end" FROM events""")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandkit.operators import genome
 from strandkit.operators.numbering import number_rows
 from strandkit.plans import fixtures as X
 from strandkit.plans.registry import query
-from strandkit.sources import files
+from strandkit.sources import fasta, files
 from strandkit.streaming import prepare as ST
 
 
@@ -27,7 +26,11 @@ def src1(spark, d):
 
 @query("src1_fasta_tiles", f"WITH {X.SEQS} SELECT 'seq' || CAST(seq_id AS VARCHAR) AS chrom, i AS tile_no, substr(seq, i * 500 + 1, 500) AS seq FROM (SELECT seq_id, seq, unnest(range(0, greatest(CAST(ceil(length(seq) / 500.0) AS BIGINT), 1))) AS i FROM s)")
 def src1_tiles(spark, d):
-    return genome.tile_genome(src1(spark, d), 500)
+    """Plain files, read by ranges that end anywhere in lines, headers and tiles."""
+    path = X.scratch(spark, "fasta")
+    record = F.concat(F.lit(">seq"), F.col("seq_id").cast("string"), F.lit(" from documents\n"), wrapped(F.col("seq")))
+    X.seqs(spark, d).select(record.alias("value")).write.text(path)
+    return fasta.read_fasta_tiles(spark, path, 500, range_bytes=4 << 20)
 
 
 @query("src2_expression_csv", """WITH g AS (SELECT o_custkey AS sample_id, l_partkey % 5 AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), x AS (SELECT sample_id, unnest(range(0, 5)) AS gene FROM (SELECT DISTINCT sample_id FROM g))
