@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +19,64 @@ UNK, PAD, MASK, CLS, EOS, BOS = 0, 1, 2, 3, 4, 5
 LETTER_IDS = {"A": 6, "T": 7, "C": 8, "G": 9, "N": 10}
 
 
+def _is_edge(before: str, after: str) -> bool:
+    """Whether a word boundary lies between two characters."""
+    return bool(re.match(r"\w", before)) != bool(re.match(r"\w", after))
+
+
+def reachable(vocabulary: list[str], boundaries: bool = False) -> list[str]:
+    """The tokens that an alternation in this order can match: those without an earlier token that is their beginning.
+
+    With boundaries such a token only wins if a word ends where it does.
+    """
+    rank: dict[str, int] = {}
+    for i, token in enumerate(vocabulary):
+        rank.setdefault(token, i)
+
+    def beaten(token: str) -> bool:
+        starts = (n for n in range(1, len(token)) if rank.get(token[:n], len(vocabulary)) < rank[token])
+        return any(not boundaries or _is_edge(token[n - 1], token[n]) for n in starts)
+
+    return [t for t in rank if t and not beaten(t)]
+
+
+def vocabulary_pattern(vocabulary: list[str], boundaries: bool = False) -> str:
+    """A regular expression that matches what the alternation of the vocabulary in its order does, factored by common beginnings.
+
+    Of the tokens that can match at all, all that match at a place begin alike, and the longest comes first in the vocabulary;
+    so a tree of characters that tries to go on before it ends finds the same token in one walk. Characters with the same
+    branches below them are one class, so all 6-mers are one short expression.
+    """
+    tree: dict = {}
+    for token in reachable(vocabulary, boundaries):
+        node = tree
+        for c in token:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    end = r"\b" if boundaries else ""
+
+    def written(node: dict) -> str:
+        below: dict[str, list[str]] = {}
+        for c, child in node.items():
+            if c:
+                below.setdefault(written(child), []).append(c)
+        parts = [(f"[{''.join(map(re.escape, cs))}]" if len(cs) > 1 else re.escape(cs[0])) + rest for rest, cs in below.items()]
+        if not parts:
+            return end
+        return f"(?:{'|'.join(parts + [end] * ('' in node))})"
+
+    return (r"\b" if boundaries else "") + written(tree) if tree else ""
+
+
 def tokenize_regex(seq: Column, vocabulary: list[str], boundaries: bool = False, unk: str = "<unk>") -> Column:
     """Tokens by an alternation of the vocabulary in its order, else single characters; white space is dropped.
 
     What is no member becomes unk. With boundaries each token must stand between word boundaries, so letters inside a
-    word fall to single characters.
+    word fall to single characters. The work for a character doesn't grow with the vocabulary.
     """
-    edge = r"\b" if boundaries else ""
-    pattern = "|".join(f"{edge}{re.escape(t)}{edge}" for t in vocabulary) + r"|\S"
-    members = F.array(*[F.lit(t) for t in vocabulary])
-    return F.transform(F.regexp_extract_all(seq, F.lit(f"({pattern})"), 1), lambda t: F.when(F.array_contains(members, t), t).otherwise(F.lit(unk)))
+    found = F.regexp_extract_all(seq, F.lit("(" + "|".join(filter(None, [vocabulary_pattern(vocabulary, boundaries), r"\S"])) + ")"), 1)
+    singles = [t for t in dict.fromkeys(vocabulary) if len(t) == 1]  # longer ones are found as members only
+    return F.transform(found, lambda t: F.when((F.length(t) > 1) | t.isin(singles), t).otherwise(F.lit(unk)))
 
 
 def tokenize_kmers(seq: Column, k: int, on_error: str = "raise") -> Column:
@@ -106,20 +158,37 @@ def mask_ratio(ids: Column, mask: int = MASK, pad: int = PAD) -> Column:
     return F.when(n > 0, F.size(F.filter(ids, lambda x: x == mask)) / F.when(n > 0, n))
 
 
+def draw_text(seed: int, *keys: Column) -> Column:
+    """32 hexadecimal digits from keys and seed: four draws of eight digits each, the first one that of hash_uniform."""
+    return F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(seed))))
+
+
+def drawn_below(digits: Column, number: int, rate: float) -> Column:
+    """Whether the draw of that number among digits is below rate, by comparing digits as text."""
+    limit = math.ceil(rate * 2**32)
+    if limit > 2**32 - 1:
+        return F.lit(True)
+    return F.substring(digits, 8 * number + 1, 8) < f"{max(limit, 0):08x}"
+
+
 def mlm_ids(seq_id: Column, ids: Column, seed: int, vocab_size: int, n_special: int, rate: float = 0.15, split: tuple[float, float] = (0.8, 0.1), mask: int = MASK) -> Column:
     """Structs (id, label) for masked language modelling; label -100 where nothing is to be predicted.
 
     Of the tokens that are no specials a part `rate` is picked; of these split[0] are masked, split[1] become another
-    token, the rest stays. All draws are hashes of the sequence, position and seed.
+    token, the rest stays. The three draws of a position come from one hash of the sequence, position and seed, and specials need none.
     """
     kinds = vocab_size - n_special
 
     def one(x, pos):
-        pick, what, other = (hash_uniform(seed + i, seq_id, pos) for i in range(3))
-        picked = (x >= n_special) & (pick < rate)
-        shifted = (x - n_special + 1 + F.floor(other * (kinds - 1)).cast("int")) % kinds + n_special
-        new = F.when(~picked, x).when(what < split[0], F.lit(mask)).when(what < split[0] + split[1], shifted).otherwise(x)
-        return F.struct(new.cast("int").alias("id"), F.when(picked, x).otherwise(F.lit(-100)).cast("int").alias("label"))
+        def drawn(digits):
+            other = F.conv(F.substring(digits, 17, 8), 16, 10).cast("double") / 4294967296.0
+            shifted = (x - n_special + 1 + F.floor(other * (kinds - 1)).cast("int")) % kinds + n_special
+            new = F.when(drawn_below(digits, 1, split[0]), F.lit(mask)).when(drawn_below(digits, 1, split[0] + split[1]), shifted).otherwise(x)
+            picked = F.struct(new.cast("int").alias("id"), x.cast("int").alias("label"))
+            return F.when(drawn_below(digits, 0, rate), picked).otherwise(left)
+
+        left = F.struct(x.cast("int").alias("id"), F.lit(-100).alias("label"))
+        return F.when(x >= n_special, let(draw_text(seed, seq_id, pos), drawn)).otherwise(left)
 
     return F.transform(ids, one)
 
@@ -128,13 +197,29 @@ def uniform_mask(seq_id: Column, ids: Column, seed: int, rate: float, mask: int
     """Structs (id, truth, masked): values masked at a uniform rate; pads as well, unless skip names their id."""
 
     def one(x, pos):
-        hit = hash_uniform(seed, seq_id, pos) < rate
-        hit = hit if skip is None else hit & (x != skip)
-        return F.struct(F.when(hit, F.lit(mask)).otherwise(x).cast("int").alias("id"), x.cast("int").alias("truth"), hit.alias("masked"))
+        hit = drawn_below(draw_text(seed, seq_id, pos), 0, rate)
+        hit = hit if skip is None else (x != skip) & hit
+        entry = lambda id, masked: F.struct(id.cast("int").alias("id"), x.cast("int").alias("truth"), F.lit(masked).alias("masked"))
+        return F.when(hit, entry(F.lit(mask), True)).otherwise(entry(x, False))
 
     return F.transform(ids, one)
 
 
+@F.arrow_udf("array<int>")
+def _counted_from(ids: pa.Array, pad: pa.Array) -> pa.Array:
+    real = np.asarray(pc.fill_null(pc.not_equal(pc.list_flatten(ids), pad[0].as_py()), False))
+    # starts of the arrays among all entries; a null array has none
+    counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+    before = np.repeat(np.r_[0, real.cumsum()][np.r_[0, counts.cumsum()][:-1]], counts)
+    places = (real.cumsum() - before) * real + pad[0].as_py()
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, counts.cumsum()].astype(np.int32)), pa.array(places.astype(np.int32)), mask=ids.is_null())
+
+
+def position_ids(ids: Column, pad: int = PAD) -> Column:
+    """For each id its place among those that are no pads, from pad + 1 on; pads have pad. One running sum over the array, in Arrow; null ids count as pads."""
+    return _counted_from(ids, F.lit(pad))
+
+
 def detokenize(ids: Column, tokens: list[str], on_error: str = "raise") -> Column:
     """The text of ids, tokens[i] the token of id i."""
     table = F.array(*[F.lit(t) for t in tokens])

@@ -36,16 +36,15 @@ def tokenize_multimodal(df: DataFrame, dna: str, rna: str, protein: str, amino_a
 
 
 def position_ids(df: DataFrame, key: str, ids: str, pad: int = T.PAD) -> DataFrame:
-    """Long form (key, pos, token_id, position): non-pads counted from pad + 1, pads have pad."""
-    long = df.select(key, F.posexplode(ids).alias("pos", "token_id")).withColumn("real", (F.col("token_id") != pad).cast("int"))
-    running = F.sum("real").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return long.select(key, "pos", "token_id", (running * F.col("real") + pad).alias("position"))
+    """Long form (key, pos, token_id, position): non-pads counted from pad + 1, pads have pad. Nothing is shuffled."""
+    both = F.arrays_zip(F.col(ids).alias("token_id"), T.position_ids(F.col(ids), pad).alias("position"))
+    return df.select(key, F.posexplode(both).alias("pos", "x")).select(key, "pos", "x.token_id", "x.position")
 
 
 def mlm_rows(df: DataFrame, key: str, ids: str, seed: int, vocab_size: int, n_special: int, rate: float = 0.15, split: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """(key, ids, labels) for masked language modelling."""
     both = df.select(key, T.mlm_ids(F.col(key), F.col(ids), seed, vocab_size, n_special, rate, split).alias("x"))
-    return both.select(key, F.transform("x", lambda s: s["id"]).alias("ids"), F.transform("x", lambda s: s["label"]).alias("labels"))
+    return both.select(key, F.col("x.id").alias("ids"), F.col("x.label").alias("labels"))
 
 
 def rescale_masked(emb: DataFrame, tokens: DataFrame, key: str, ids: str, ratio: float, prob: float, mask: int = T.MASK, pad: int = T.PAD) -> DataFrame:

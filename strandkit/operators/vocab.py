@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,13 @@ def vocab_layout(spark: SparkSession, k: int, layout: str) -> DataFrame:
     return out.groupBy("token").agg(F.max("token_id").alias("token_id"), F.max("kind").alias("kind"))
 
 
+def layout_tokens(k: int, layout: str) -> list[str]:
+    """The tokens of a layout in the order of their ids, as they stand in it; for patterns, which are built on the driver."""
+    kmers = ["".join(t) for t in product("ATCG", repeat=k)] if layout != "letters" else []
+    first = SPECIALS[:4] if layout == "v1" else SPECIALS
+    return [*first, *kmers, *LETTERS, *(SPECIALS[4:] if layout == "v1" else [])]
+
+
 def omics_vocab(spark: SparkSession, n_bins: int, cls: bool = True) -> DataFrame:
     """Bins 0 to n_bins - 1 as tokens, then the specials."""
     bins = spark.range(n_bins).select(F.col("id").cast("string").alias("token"), F.col("id").cast("int").alias("token_id"), F.lit("standard").alias("kind"))

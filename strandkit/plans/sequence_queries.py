@@ -182,21 +182,22 @@ def voc9(spark, d):
 
 # ---- tokenization --------------------------------------------------------------------------------------------------
 
-WORDS = ["ACG", "AC", "TT", "<mask>", "G"]
+#: The whole second layout, 4,107 tokens, and what its members are in SQL.
+IN_LAYOUT2 = "regexp_full_match(t, '<(unk|pad|mask|cls|eos|bos)>|[ATCG]{6}|[ATCGN]')"
 
 
-@query("tok1_regex", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 9) || ' <mask>' || substr(seq, 10) || '-x', 'ACG|AC|TT|<mask>|G|[^ ]') AS w FROM s)
-    SELECT seq_id, {X.hashed_sql("list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
+@query("tok1_regex", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 9) || ' <mask>' || substr(seq, 10) || '-x', '<unk>|<pad>|<mask>|<cls>|<eos>|<bos>|[ATCG]{{6}}|[ATCGN]|[^ ]') AS w FROM s)
+    SELECT seq_id, {X.hashed_sql(f"list_transform(w, lambda t: CASE WHEN {IN_LAYOUT2} THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
 def tok1(spark, d):
     text = F.concat(F.substring("seq", 1, 9), F.lit(" <mask>"), F.expr("substr(seq, 10)"), F.lit("-x"))
-    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, WORDS)).alias("tokens"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, vocab.layout_tokens(6, "v2"))).alias("tokens"))
 
 
-@query("tok2_regex_boundaries", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 2) || ' ACG ' || substr(seq, 3, 4) || '<mask>' || substr(seq, 7) || ' G AC<mask>', '\\bACG\\b|\\bAC\\b|\\bTT\\b|\\b<mask>\\b|\\bG\\b|[^ ]') AS w FROM s)
-    SELECT seq_id, {X.hashed_sql("list_transform(w, lambda t: CASE WHEN t IN ('ACG', 'AC', 'TT', '<mask>', 'G') THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
+@query("tok2_regex_boundaries", f"""WITH {X.SEQS}, u AS (SELECT seq_id, regexp_extract_all(substr(seq, 1, 6) || ' ' || substr(seq, 7, 6) || '<mask>' || substr(seq, 13) || ' G GATTACA AC<mask>', '\\b<unk>\\b|\\b<pad>\\b|\\b<mask>\\b|\\b<cls>\\b|\\b<eos>\\b|\\b<bos>\\b|\\b[ATCG]{{6}}\\b|\\b[ATCGN]\\b|[^ ]') AS w FROM s)
+    SELECT seq_id, {X.hashed_sql(f"list_transform(w, lambda t: CASE WHEN {IN_LAYOUT2} THEN t ELSE '<unk>' END)")} AS tokens FROM u""")
 def tok2(spark, d):
-    text = F.concat(F.substring("seq", 1, 2), F.lit(" ACG "), F.substring("seq", 3, 4), F.lit("<mask>"), F.expr("substr(seq, 7)"), F.lit(" G AC<mask>"))
-    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, WORDS, boundaries=True)).alias("tokens"))
+    text = F.concat(F.substring("seq", 1, 6), F.lit(" "), F.substring("seq", 7, 6), F.lit("<mask>"), F.expr("substr(seq, 13)"), F.lit(" G GATTACA AC<mask>"))
+    return X.seqs(spark, d).select("seq_id", X.hashed(T.tokenize_regex(text, vocab.layout_tokens(6, "v2"), boundaries=True)).alias("tokens"))
 
 
 @query("tok3_kmers", f"WITH {X.TEXTS} SELECT seq_id, md5(array_to_string(regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]'), ',')) AS tokens, len(regexp_extract_all(seq, '[ACGT]{{6}}|[ACGTN]')) AS n FROM s")
@@ -289,17 +290,16 @@ def msk3(spark, d):
 
 @query("msk4_position_ids", f"""WITH {X.IDS} SELECT seq_id, {X.hashed_sql('ids')} AS ids, {X.hashed_sql('list_concat(list_transform(range(2, len(u) + 2), lambda i: i), list_transform(range(0, seq_id % 32), lambda i: 1))')} AS positions FROM t JOIN r USING (seq_id) WHERE len(ids) > 0""")
 def msk4(spark, d):
-    long = sequences.position_ids(X.id_rows(spark, d), "seq_id", "ids")
-    gathered = lambda c: X.hashed(F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c]))
-    return long.groupBy("seq_id").agg(gathered("token_id").alias("ids"), gathered("position").alias("positions"))
+    rows = X.id_rows(spark, d).where(F.size("ids") > 0)
+    return rows.select("seq_id", X.hashed(F.col("ids")).alias("ids"), X.hashed(T.position_ids(F.col("ids"))).alias("positions"))
 
 
-def uniform_sql(key: str, pos: str, seed: int) -> str:
-    return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || CAST({pos} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0)"
+def uniform_sql(key: str, pos: str, seed: int, draw: int = 0) -> str:
+    return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || CAST({pos} AS VARCHAR) || ':{seed}'), {8 * draw + 1}, 8)) AS BIGINT) / 4294967296.0)"
 
 
 @query("msk5_mlm_rows", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS x FROM r),
-    u AS (SELECT *, {uniform_sql('seq_id', 'pos', 7)} AS a, {uniform_sql('seq_id', 'pos', 8)} AS b, {uniform_sql('seq_id', 'pos', 9)} AS c FROM p),
+    u AS (SELECT *, {uniform_sql('seq_id', 'pos', 7)} AS a, {uniform_sql('seq_id', 'pos', 7, 1)} AS b, {uniform_sql('seq_id', 'pos', 7, 2)} AS c FROM p),
     q AS (SELECT *, x >= 6 AND a < 0.15 AS picked FROM u),
     m AS (SELECT seq_id, pos, CAST(CASE WHEN NOT picked THEN x WHEN b < 0.8 THEN 2 WHEN b < 0.9 THEN (x - 6 + 1 + CAST(floor(c * 4) AS INTEGER)) % 5 + 6 ELSE x END AS INTEGER) AS id, CAST(CASE WHEN picked THEN x ELSE -100 END AS INTEGER) AS label FROM q)
     SELECT seq_id, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS ids, md5(string_agg(CAST(label AS VARCHAR), ',' ORDER BY pos)) AS labels FROM m GROUP BY seq_id""")
