@@ -20,6 +20,10 @@ def vocabulary_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
+#: A word of old letters, a mark behind it, then perhaps a line feed and the like: these are words of their own to the library.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PARTS = re.compile(f"({_LETTERS})([.,;:!?])?(?:(\n)({_LETTERS})([.,;:!?])?)?")
+
 
 class ByteBpe:
     """Ids of whole texts as the tokenizers library gives them without begin, end or added special tokens.
@@ -61,18 +65,30 @@ class ByteBpe:
         return [data[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, known: dict, words: set[str], front: str) -> list[str]:
-        """Encode the words that are not known; returns those that are too long to be kept."""
+        """Encode the words that are not known, by their parts where that is sure; returns those that are too long to be kept."""
         new = [w for w in words if w not in known]
         known.update(dict.fromkeys(new))
-        plain, odd = [], []
+        plain, odd, cut, tails = [], [], [], set()
         for w in new:
-            if not _UNSURE.search(w) and w and not (self.added and self.added.search(w)):
+            found = _PARTS.fullmatch(w)
+            if found and found.end(1) < len(w):
+                head, *rest = (x for x in found.groups() if x)
+                cut.append((w, head, rest))
+                tails.update(rest)
+                if head not in known:
+                    known[head] = None
+                    plain.append(head)
+            elif found or w and not _UNSURE.search(w) and not (self.added and self.added.search(w)):
                 plain.append(w)
             elif not front or w and not _UNSURE.match(w):
                 odd.append(w)
         if plain:
             known.update(zip(plain, self._listed(plain, front)))
         known.update(zip(odd, self.whole([front + w for w in odd])))
+        if cut:
+            tails.difference_update(self.first)
+            self.first.update(zip(tails, self.whole(list(tails))))
+            known.update([(w, known[head] + b"".join([self.first[x] for x in rest])) for w, head, rest in cut])
         return [w for w in new if len(w) > 48]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -18,7 +18,7 @@ BLOCK = 1024
 #: A block is packed at the width that is smallest in all among those that hold these parts of its values.
 PERCENTILES = (0.8, 0.9, 0.95, 0.98, 1.0)
 
-# A file is a run of segments, each followed by a line feed. A segment, little-endian:
+# A file is a run of segments, each followed by a line feed; it holds whole documents. A segment, little-endian:
 #   header      HEAD: mark, bytes of the segment, crc32 of what follows, part, number in the part, ids before it in the part,
 #               ids, documents, ids of the first document that earlier segments hold, whether the last one goes on
 #   documents   for each: where it begins (u4), its id (i8), whether it has one (u1)
@@ -112,30 +112,37 @@ def unpacked_blocks(packed: memoryview | bytes, n_ids: int, start: int = 0, stop
     return out.reshape(-1)[start - b0 * BLOCK : stop - b0 * BLOCK]
 
 
-class SegmentWriter:
-    """Gathers the documents of a part and makes segments of at most so many ids; a longer document goes over several."""
+class FileWriter:
+    """Gathers the documents of a part into segments of at most so many ids, over several of which a longer document goes, and these into files."""
 
-    def __init__(self, part: int, most: int):
-        self.part, self.most, self.number, self.before = part, most, 0, 0
+    def __init__(self, part: int, most: int, per_file: int):
+        self.part, self.most, self.per_file, self.number, self.before = part, most, per_file, 0, 0
+        self.done: list[bytes] = []
         self._begin(0)
 
     def _begin(self, prior: int) -> None:
         self.prior, self.ids, self.n, self.starts, self.names = prior, [], 0, [], []
 
-    def _end(self, goes_on: bool) -> bytes:
+    def _end(self, goes_on: bool) -> None:
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         names = np.array([0 if x is None else x for x in self.names], "<i8")
         body = b"".join([np.array(self.starts, "<u4").tobytes(), names.tobytes(), np.array([x is not None for x in self.names], "u1").tobytes(), packed_blocks(ids)])
         head = struct.pack(HEAD, MARK, HEAD_BYTES + len(body), zlib.crc32(body), self.part, self.number, self.before, len(ids), len(names), self.prior, goes_on)
+        self.done.append(head + body)
         self.number, self.before = self.number + 1, self.before + len(ids)
-        return head + body
+
+    def _file(self) -> bytes:
+        content, self.done = b"\n".join(self.done), []
+        return content
 
     def add(self, name: int | None, ids: np.ndarray) -> Iterator[bytes]:
-        """Take a document; gives the segments that are full."""
-        done = 0
+        """Take a document; gives the file that is full before it."""
         if self.n and self.n + len(ids) > self.most:
-            yield self._end(False)
+            self._end(False)
             self._begin(0)
+            if len(self.done) >= self.per_file:
+                yield self._file()
+        done = 0
         while True:
             self.starts.append(self.n)
             self.names.append(name)
@@ -144,12 +151,14 @@ class SegmentWriter:
             self.n, done = self.n + len(piece), done + len(piece)
             if done == len(ids):
                 return
-            yield self._end(True)
+            self._end(True)
             self._begin(done)
 
     def rest(self) -> Iterator[bytes]:
         if self.names:
-            yield self._end(False)
+            self._end(False)
+        if self.done:
+            yield self._file()
 
 
 def segments(content: bytes) -> Iterator[tuple[dict, memoryview]]:
@@ -175,8 +184,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Encode whole texts and write their ids, documents in ascending order of their ids, to binary files below path.
 
     Texts are dealt to parts by ranges of the id, about part_bytes of text in each, sorted, encoded with the tokenizers library
-    by a byte-level vocabulary file, each followed by end_id if there is one, and packed into segments. A task holds a segment at a
-    time. Rows with equal ids are in order of a hash of the text; where equal rows alone would fill a part, they are
+    by a byte-level vocabulary file, each followed by end_id if there is one, and packed into segments. A task holds a file of about
+    segments_per_file of them at a time; a document isn't cut over files. Rows with equal ids are in order of a hash of the text; where equal rows alone would fill a part, they are
     counted and numbered first, so they are dealt over parts, too.
 
     The id must be an integer; null ids come first. A null text is empty, which leaves the end id only. Special tokens' strings in
@@ -197,11 +206,11 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = held(ByteBpe, vocabulary), None
-        one = lambda payload: pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["segment"])
+        one = lambda payload: pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["content"])
         for batch in sliced(batches, 200):
             if not batch.num_rows:
                 continue
-            writer = writer or SegmentWriter(batch.column(2)[0].as_py(), segment_ids)
+            writer = writer or FileWriter(batch.column(2)[0].as_py(), segment_ids, segments_per_file)
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 for payload in writer.add(name, np.concatenate([np.frombuffer(ids, "<u4"), tail])):
                     yield one(payload)
@@ -213,45 +222,51 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         from strandkit.llm.encoders import vocabulary_path
 
         vocabulary = vocabulary_path("byte_bpe_50k.json")
-    made = dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value"))
-    made.write.option("lineSep", "\n").option("maxRecordsPerFile", segments_per_file).text(path)
+    made = dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
+    made.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def _documents(content: bytes) -> Iterator[pa.RecordBatch]:
+    """The documents of a file: (id, part, place, ids), those over several segments put together."""
+    held, held_place = [], 0  # the pieces so far of a document that goes on
+    for head, body in segments(content):
+        n = head["n_docs"]
+        starts, names, has = np.frombuffer(body, "<u4", n), np.frombuffer(body, "<i8", n, 4 * n), np.frombuffer(body, "u1", n, 12 * n)
+        ids = memoryview(segment_ids(head, body).astype("<u4", copy=False)).cast("B")
+        cuts = np.r_[starts, head["n_ids"]].astype(np.int64)
+        places, first, front = head["before"] + cuts[:-1], 0, []
+        if head["prior"] or head["goes_on"]:
+            if head["prior"]:
+                held.append(bytes(ids[: 4 * int(cuts[1])]))
+            if n > 1 or not head["goes_on"]:
+                front, first = ([(b"".join(held), held_place)], 1) if head["prior"] else ([], 0)
+                held = []
+            if head["goes_on"] and not (head["prior"] and n == 1):
+                held, held_place = [bytes(ids[4 * int(cuts[n - 1]) :])], int(places[n - 1])
+            last = n - bool(head["goes_on"])
+        else:
+            last = n
+        for whole, place in front:
+            yield pa.RecordBatch.from_arrays([pa.array(names[:1], pa.int64(), mask=has[:1] == 0), pa.array([head["part"]], pa.int32()), pa.array([place], pa.int64()), pa.array([whole], pa.binary())], names=["id", "part", "place", "ids"])
+        if first < last:
+            own = slice(first, last)
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * cuts[first : last + 1]), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names[own], pa.int64(), mask=has[own] == 0), pa.array(np.full(last - first, head["part"], np.int32)), pa.array(places[own]), binary], names=["id", "part", "place", "ids"])
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The documents of token files: rows (id, part, place, n_tokens, ids).
+    """The documents of token files: rows (id, part, place, n_tokens, ids), in one narrow pass.
 
-    ids are little-endian unsigned 32-bit integers; place is the number of ids before the document in its part. A document
-    whose ids lie in several segments is put together again; only such pieces are shuffled. No files, no rows.
+    ids are little-endian unsigned 32-bit integers; place is the number of ids before the document in its part. No files, no rows; a damaged file is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for head, body in segments(content.as_py()):
-                    n = head["n_docs"]
-                    starts, names, has = np.frombuffer(body, "<u4", n), np.frombuffer(body, "<i8", n, 4 * n), np.frombuffer(body, "u1", n, 12 * n)
-                    ids = segment_ids(head, body).astype("<u4", copy=False)
-                    cuts = np.r_[starts, head["n_ids"]].astype(np.int64)
-                    prior = np.zeros(n, np.int64)
-                    prior[:1] = head["prior"]
-                    piece = prior > 0
-                    piece[-1:] |= bool(head["goes_on"])
-                    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * cuts), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
-                    out = pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64(), mask=has == 0), pa.array(np.full(n, head["part"], np.int32)), pa.array(head["before"] + cuts[:-1] - prior), pa.array(prior), pa.array(piece), binary],
-                        names=["id", "part", "place", "prior", "piece", "ids"],
-                    )
-                    yield from sliced(iter([out]))
-
-    read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, part int, place long, prior long, piece boolean, ids binary")
-
-    def joined(key, rows):
-        rows = rows.sort_by("prior")
-        return pa.table({"id": rows.column("id").slice(0, 1), "part": rows.column("part").slice(0, 1), "place": rows.column("place").slice(0, 1), "ids": pa.array([b"".join(rows.column("ids").to_pylist())], pa.binary())})
-
-    pieces = read.where("piece").select("id", "part", "place", "prior", "ids").groupBy("part", "place").applyInArrow(joined, "id long, part int, place long, ids binary")
-    whole = read.where("not piece").select("id", "part", "place", "ids").unionByName(pieces)
-    return whole.select(F.col("id").alias(id_col), "part", "place", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+                yield from sliced(_documents(content.as_py()))
+
+    read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, part int, place long, ids binary")
+    return read.select(F.col("id").alias(id_col), "part", "place", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
