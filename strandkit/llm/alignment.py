@@ -27,7 +27,7 @@ class Vocabulary:
 
 def encoders(byte_file: str, piece_file: str) -> tuple[Vocabulary, Vocabulary]:
     """Of this worker: A, a byte-level vocabulary, special tokens' strings being plain text; B, pieces."""
-    return held(Vocabulary, ByteBpe, byte_file, True), held(Vocabulary, PieceBpe, piece_file)
+    return held(Vocabulary, ByteBpe, byte_file, True, 200_000), held(Vocabulary, PieceBpe, piece_file)
 
 
 def most_pairs(a: list[bytes], b: list[bytes]) -> int:
@@ -97,9 +97,11 @@ def align_tokens(docs: DataFrame, byte_file: str, piece_file: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = encoders(byte_file, piece_file)
-        for batch in sliced(batches, 300):
+        for batch in sliced(batches, 100):
             lists = align([t or "" for t in batch.column(1).to_pylist()], a, b)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[x.cast(pa.list_(pa.int32())) for x in lists]], names=["id", "a", "b", "a_counts", "b_counts"])
+            del lists
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, a array<int>, b array<int>, a_counts array<int>, b_counts array<int>")
@@ -187,7 +189,7 @@ def alignment_digest(aligned: DataFrame, pairs: DataFrame, byte_file: str, piece
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, highest = sent.value
         writer = held(GroupText, n_a, n_b)
-        for batch in sliced(batches, 300):
+        for batch in sliced(batches, 100):
             a, b, a_counts, b_counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 5))
             sizes = [pc.list_value_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3)]
             link_a, link_b = _links(batch, 1)
