@@ -56,3 +56,23 @@ def number_rows(df: DataFrame, order: list[str], name: str = "rn", by: list[str]
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
     return placed.join(runs, same).select(*[F.col(f"row.`{c}`") for c in df.columns if c != name], (F.col("at") + F.col("shift")).alias(name))
+
+
+def running_sums(df: DataFrame, order: list[str], weight: str, name: str = "until", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with name, the sum of weight over the rows up to its own in the given order, among the rows with equal values of by.
+
+    Rows are sorted into ranges, summed within each, and what the ranges before hold is added; so no group is one task. Equal
+    values of order should be one row. Nulls in by are equal.
+    """
+    keys, places = [f"by_{i}" for i in range(len(by))], [f"order_{i}" for i in range(len(order))]
+    given = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    named = df.select(given, F.col(weight).alias("weight"), *[F.col(c).alias(k) for c, k in zip(by, keys)], *[F.col(c).alias(k) for c, k in zip(order, places)])
+    placed = settled(named.repartitionByRange(*keys, *places).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    runs = placed.groupBy("range", *keys).agg(F.sum("weight").alias("n"))
+    runs = runs.select(F.col("range").alias("of_range"), *[F.col(k).alias(f"of_{k}") for k in keys], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    within = F.sum("weight").over(Window.partitionBy("range", *keys).orderBy(*places).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("range") == F.col("of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return placed.withColumn("within", within).join(runs, same).select(*[F.col(f"row.`{c}`") for c in df.columns if c != name], (F.col("within") + F.col("shift")).alias(name))

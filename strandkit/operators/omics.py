@@ -26,10 +26,23 @@ def edges(low: float, high: float, n: int) -> list[float]:
     return [low + i * step for i in range(n - 1)] + [high]
 
 
+def count_edges(x: Column, low: Column, step: Column, last: Column, n: Column) -> Column:
+    """How many of n edges low, low + step, ... up to the last one, which is given, are at most x.
+
+    The step that x falls into tells, and is put right by looking at the edges next to it, as divisions are rounded; so
+    the work doesn't grow with n. NaN is above all edges; null stays null.
+    """
+    edge = lambda i: F.when(i >= n - 1, last).otherwise(low + i * step)
+    near = F.when(step > 0, F.floor((x - low) / F.when(step > 0, step))).otherwise(F.when(x >= low, n).otherwise(0))
+    near = F.greatest(F.lit(0), F.least(near + 1, n.cast("long")))
+    down = F.when((near > 0) & (edge(near - 1) > x), near - 1).otherwise(near)
+    up = F.when((down < n) & (edge(down) <= x), down + 1).otherwise(down)
+    return F.when(F.isnan(x) | (x >= last), n).otherwise(up).cast("int")
+
+
 def bin_fixed(x: Column, low: float, high: float, n: int, clip: bool = False) -> Column:
-    """Number of edges up to x; 0 for exactly 0. At or above high it is n, or n - 1 with clip. Null stays null."""
-    among = F.array(*[F.lit(e) for e in edges(low, high, n)])
-    found = F.size(F.filter(among, lambda e: e <= x))
+    """Number of the n edges from low to high up to x; 0 for exactly 0. At or above high it is n, or n - 1 with clip. Null stays null."""
+    found = count_edges(x, F.lit(float(low)), F.lit((high - low) / (n - 1)), F.lit(float(high)), F.lit(n))
     found = F.least(found, F.lit(n - 1)) if clip else found
     return F.when(x == 0, 0).when(x.isNotNull(), found)
 
@@ -65,8 +78,8 @@ def tokenize_omics(expr: DataFrame, settings: DataFrame) -> DataFrame:
     x = F.when(F.col("log"), F.log10(1 + F.col("value"))).otherwise(F.col("value")) / F.col("factor")
     joined = joined.withColumn("x", x)
     step = (F.col("high") - F.col("low")) / (F.col("n_bins") - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.col("n_bins") - 1), lambda i: F.when(i == F.col("n_bins") - 1, F.col("high")).otherwise(F.col("low") + i * step))
-    return joined.withColumn("bin", F.when(F.col("x") == 0, 0).otherwise(F.size(F.filter(grid, lambda e: e <= F.col("x"))))).drop("low", "high", "n_bins", "factor", "log")
+    found = count_edges(F.col("x"), F.col("low"), step, F.col("high"), F.col("n_bins"))
+    return joined.withColumn("bin", F.when(F.col("x") == 0, 0).when(F.col("x").isNull(), 0).otherwise(found)).drop("low", "high", "n_bins", "factor", "log")
 
 
 def pair_omics(first: DataFrame, second: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
@@ -103,14 +116,14 @@ def cell_edges(low: Column, high: Column, n: int) -> Column:
 
 
 def bin_per_cell(counts: DataFrame, n: int) -> DataFrame:
-    """counts with bin: the number of the cell's edges up to the value; 1 in a constant cell.
+    """counts with bin: how many of the cell_edges are up to the value, counted without making them; 1 in a constant cell.
 
     The extremes are aggregated, with partial results before the shuffle, and joined back; no cell is one group.
     """
     extremes = counts.groupBy("cell_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     joined = counts.join(extremes, "cell_id")
-    found = F.when(F.col("low") == F.col("high"), 1).otherwise(F.size(F.filter(cell_edges(F.col("low"), F.col("high"), n), lambda e: e <= F.col("value"))))
-    return joined.withColumn("bin", found).drop("low", "high")
+    found = count_edges(F.col("value"), F.col("low"), (F.col("high") - F.col("low")) / (n - 1), F.col("high") + 0.01, F.lit(n))
+    return joined.withColumn("bin", F.when(F.col("low") == F.col("high"), 1).otherwise(found)).drop("low", "high")
 
 
 def densify(binned: DataFrame, n_genes: int, value: str = "bin", pad: int | None = None, length: int | None = None) -> DataFrame:
