@@ -139,22 +139,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as edges(src, dst): rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps until the edges no longer change. Each round is two
-    aggregations and joins over the edges, with a reliable checkpoint between rounds; no node's
-    neighbours are ever gathered in one place, and the centres of large stars are broadcast, so their edges stay
-    where they are. Null ends and loops are left out, repeated edges count once; no edges give no rows.
+    aggregations and joins over the edges, with a reliable checkpoint after each step, so that the driver only plans small
+    ones; no node's neighbours are ever gathered in one place, and where there are large stars their centres are broadcast, so
+    their edges stay where they are. Null ends and loops are left out, repeated edges count once; no edges give no rows.
     """
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     current = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
     count, state = current.count(), None
+
+    def moved(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        """rows(src, dst) with dst and the low of src in its place; low(src, low, n) says how many rows src has."""
+        hot = (low.agg(F.max("n")).first()[0] or 0) > max(100, total // 5000)
+        joined = join_counted(rows, low, "src", "n", total) if hot else rows.join(low.drop("n"), "src")
+        return joined.select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+
     for _ in range(max_rounds):
         around = both(current)
-        low = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n"))
+        low = checkpoint(around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n")))
         # large star: what is above a node moves to the lowest of its neighbours
-        large = join_counted(around.where("dst > src"), low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = checkpoint(moved(around.where("dst > src"), low, 2 * count).where("src <> dst").distinct())
         # small star: what is below a node moves to the lowest of those
-        low = large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
-        small = join_counted(large, low, "src", "n", 2 * count).select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
-        current = checkpoint(small)
+        low = checkpoint(large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")))
+        current = checkpoint(moved(large, low, 2 * count).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if state == tuple(now):
             break
