@@ -97,12 +97,21 @@ def expand_placeholders(ids: Column, placeholder: int, r: int) -> Column:
 
 
 def compact_outputs(values: Column, ids: Column, placeholder: int, r: int) -> Column:
-    """Values without the r that follow each placeholder of ids, and as many zeros at the end. Placeholders are taken in turn."""
-    starts = F.filter(F.transform(ids, lambda x, i: F.when(x == placeholder, i)), lambda i: i.isNotNull())
-    # by the time of its turn, place i counts without the values that earlier placeholders removed
-    ranges = F.transform(starts, lambda s, j: s + 1 + j * r)
-    kept = let(ranges, lambda removed: F.filter(values, lambda v, i: ~F.exists(removed, lambda a: (i >= a) & (i < a + r))))
-    return F.concat(kept, F.array_repeat(F.lit(0.0), F.size(values) - F.size(kept)))
+    """Values without the r that follow each placeholder of ids, and as many zeros at the end. Placeholders are taken in turn.
+
+    By the turn of the j-th of them, place i counts without the j * r values removed before; so what stays are the stretches between
+    placeholders, each j * r further on in the values: one pass, however many there are.
+    """
+    places = F.filter(F.transform(ids, lambda x, i: F.when(x == placeholder, i)), lambda i: i.isNotNull())
+
+    def stretches(v: Column, at: Column) -> Column:
+        before = lambda j: F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1
+        between = F.transform(at, lambda s, j: F.slice(v, before(j) + j * r + 1, s + 1 - before(j)))
+        behind = before(F.size(at)) + F.size(at) * r
+        kept = F.concat(F.flatten(between), F.slice(v, behind + 1, F.greatest(F.size(v) - behind, F.lit(0))))
+        return let(kept, lambda k: F.concat(k, F.array_repeat(F.lit(0.0), F.size(v) - F.size(k))))
+
+    return let(values, lambda v: let(places, lambda at: stretches(v, at)))
 
 
 def first_pad(ids: Column, pad: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.outputs import argmax, log_prob
+from strandkit.operators.vectors import mean_vectors, vector_sums
 
 
 def strip_special(df: DataFrame, length: str, first: int = 1) -> DataFrame:
@@ -19,17 +20,17 @@ def zero_padded(df: DataFrame, values: str, real: str) -> DataFrame:
 
 
 def mean_embedding(emb: DataFrame, key: str, v: str = "v") -> DataFrame:
-    """(key, dim, mean) over the rows given, in double precision; the sums are partial before the shuffle."""
-    long = emb.select(key, F.posexplode(v).alias("dim", "x"))
-    return long.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """(key, dim, mean) over the rows given, in double precision, from mean_vectors: vectors become rows after the last shuffle."""
+    return mean_vectors(emb, [key], v).select(key, F.posexplode("mean").alias("dim", "mean"))
 
 
 def sum_embeddings(parts: list[DataFrame], keys: list[str], v: str = "v") -> DataFrame:
-    """(keys, dim, total) of several embeddings per place."""
+    """(keys, dim, total) of several embeddings per place, null where none has a value."""
     both = parts[0].select(*keys, v)
     for p in parts[1:]:
         both = both.unionByName(p.select(*keys, v))
-    return both.select(*keys, F.posexplode(v).alias("dim", "x")).groupBy(*keys, "dim").agg(F.sum(F.col("x").cast("double")).alias("total"))
+    total = F.transform(F.arrays_zip("sums", "counts"), lambda x: F.when(x["counts"] > 0, x["sums"]))
+    return vector_sums(both, keys, v).select(*keys, F.posexplode(total).alias("dim", "total"))
 
 
 def lookup_embedding(tokens: DataFrame, key: str, ids: str, table: DataFrame) -> DataFrame:

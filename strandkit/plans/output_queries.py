@@ -229,14 +229,12 @@ def cht1(spark, d):
     return chat.render_prompt(X.table(spark, d, "conversations"), PREAMBLE)
 
 
-def placeholders(spark, d):
-    rows = X.table(spark, d, "conversations").where("turn = 0")
-    return rows.select("conv_id", F.concat("role", F.lit(" <DNA>"), F.when(F.col("conv_id") % 3 == 0, " and <DNA>").otherwise("")).alias("text"), (1 + (F.col("conv_id") % 2)).cast("int").alias("n_seqs")).distinct()
-
-
-@query("cht2_placeholders", "SELECT DISTINCT conv_id, role || ' <DNA>' || CASE WHEN conv_id % 3 = 0 THEN ' and <DNA>' ELSE '' END AS text, CAST(1 + conv_id % 2 AS INTEGER) AS n_seqs, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS found FROM conversations WHERE turn = 0 AND 1 + conv_id % 2 <> CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END")
+@query("cht2_placeholders", """WITH p AS (SELECT conv_id, turn, replace(text, 'en', '<DNA>') AS text, CAST(length(text) % 40 AS INTEGER) AS n_seqs, CAST((length(text) - length(replace(text, 'en', ''))) // 2 AS INTEGER) AS found FROM conversations)
+    SELECT conv_id, turn, md5(text) AS text, n_seqs, found FROM p WHERE n_seqs <> found""")
 def cht2(spark, d):
-    return chat.placeholder_violations(placeholders(spark, d), "text", "n_seqs")
+    """Every turn's whole text, with placeholders where it has a common pair of letters."""
+    rows = X.table(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit("en"), F.lit("<DNA>")).alias("text"), (F.length("text") % 40).cast("int").alias("n_seqs"))
+    return chat.placeholder_violations(rows, "text", "n_seqs").withColumn("text", F.md5("text"))
 
 
 @query("cht3_stack", f"""WITH {X.SEQS}, q AS (SELECT seq_id, i, CASE WHEN i = 0 THEN seq ELSE reverse(seq) END AS seq FROM s, range(0, 2) t(i)), w AS (SELECT seq_id, i, list_transform({X.SIXMERS.format('seq')}, lambda t: {X.TOKEN_ID}) AS ids FROM q)
@@ -252,13 +250,14 @@ def cht4(spark, d):
     return X.id_rows(spark, d).select("seq_id", X.hashed(P.expand_placeholders(F.col("ids"), 8, 3)).alias("ids"))
 
 
-@query("cht5_compact", f"""WITH {X.IDS}, f AS (SELECT seq_id, len(ids) AS n, coalesce(list_position(ids, 8), 0) - 1 AS p FROM r)
-    SELECT seq_id, {X.hashed_sql('list_transform(range(0, n), lambda i: CASE WHEN p < 0 OR i <= p THEN i WHEN i < p + 1 + greatest(n - p - 5, 0) THEN i + 4 ELSE 0 END)')} AS x FROM f""")
+@query("cht5_compact", f"""WITH {X.IDS}, p AS (SELECT seq_id, len(ids) AS n, unnest(range(0, len(ids))) AS i, unnest(ids) AS x FROM r),
+    c AS (SELECT seq_id, n, i, i + 4 * count(CASE WHEN x = 8 THEN 1 END) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place FROM p)
+    SELECT seq_id, md5(string_agg(CAST(CASE WHEN place < n THEN place ELSE 0 END AS VARCHAR), ',' ORDER BY i)) AS x FROM c GROUP BY seq_id""")
 def cht5(spark, d):
-    rows = X.id_rows(spark, d).withColumn("first", F.array_position("ids", F.lit(8)) - 1)  # one placeholder each
-    only = F.transform("ids", lambda x, i: F.when(i == F.col("first"), 8).otherwise(0))
+    """All placeholders of a sequence, some thousand in the longest."""
+    rows = X.id_rows(spark, d).where(F.size("ids") > 0)
     values = F.transform("ids", lambda x, i: i.cast("double"))
-    return rows.select("seq_id", X.hashed(P.compact_outputs(values, only, 8, 4).cast("array<long>")).alias("x"))
+    return rows.select("seq_id", X.hashed(P.compact_outputs(values, F.col("ids"), 8, 4).cast("array<long>")).alias("x"))
 
 
 @query("cht6_first_pad", f"WITH {X.IDS} SELECT seq_id, CASE WHEN seq_id % 32 > 0 THEN CAST(len(u) AS INTEGER) END AS at FROM t")
@@ -281,14 +280,15 @@ def load_predictor():
     """A small stand-in for a model: two outputs from the token ids."""
 
     def predict(frame):
-        return {"n_real": [int(sum(x != 1 for x in ids)) for ids in frame["ids"]], "total": [float(sum(ids)) for ids in frame["ids"]], "unused": [None] * len(frame)}
+        return {"n_real": [int((ids != 1).sum()) for ids in frame["ids"]], "total": [float(ids.sum()) for ids in frame["ids"]], "unused": [None] * len(frame)}
 
     return predict
 
 
 @query("udf1_score", f"WITH {X.IDS} SELECT seq_id, len(u) AS n_real, CAST(list_sum(ids) AS DOUBLE) AS total FROM t JOIN r USING (seq_id)")
 def udf1(spark, d):
-    return scoring.score_batches(X.id_rows(spark, d), load_predictor, ["seq_id", "ids"], {"n_real": "long", "total": "double"}, 64).drop("ids")
+    scored = scoring.score_batches(X.id_rows(spark, d), load_predictor, ["seq_id", "ids"], {"n_real": "long", "total": "double"}, 64, length="ids", most_values=1 << 18, keep_as="stand-in")
+    return scored.drop("ids")
 
 
 @query("udf2_outputs", f"WITH {X.IDS} SELECT seq_id, CAST(list_sum(ids) AS DOUBLE) AS total FROM r")

@@ -172,12 +172,22 @@ def voc8(spark, d):
 @query("voc9_lookup", f"""WITH {X.SEQS}, k AS (SELECT seq_id, {X.SIXMERS.format('seq')} AS w FROM s)
     SELECT seq_id, {X.hashed_sql(f"list_transform(w, lambda t: {X.TOKEN_ID})")} AS ids, {X.hashed_sql('w')} AS tokens FROM k WHERE len(w) > 0""")
 def voc9(spark, d):
+    """There and back by looking up inside the arrays."""
+    v = vocab.Lookup(vocab.vocab_layout(spark, 6, "v2"))
+    rows = X.seqs(spark, d).select("seq_id", T.tokenize_kmers(F.col("seq"), 6).alias("tokens")).where(F.size("tokens") > 0)
+    encoded = rows.select("seq_id", v.ids(F.col("tokens")).alias("ids"))
+    return encoded.select("seq_id", X.hashed(F.col("ids")).alias("ids"), X.hashed(v.tokens_of(F.col("ids"))).alias("tokens"))
+
+
+@query("voc9_lookup_long", f"""WITH {X.SEQS}, k AS (SELECT seq_id, {X.SIXMERS.format('seq')} AS w FROM s), p AS (SELECT unnest(w) AS t FROM k)
+    SELECT t AS token, CAST({X.TOKEN_ID} AS INTEGER) AS token_id, count(*) AS n FROM p GROUP BY ALL""")
+def voc9_long(spark, d):
+    """By joins, for vocabularies of any size."""
     v = vocab.vocab_layout(spark, 6, "v2")
-    gathered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
-    encoded = vocab.encode_tokens(X.seqs(spark, d).withColumn("tokens", T.tokenize_kmers(F.col("seq"), 6)), "seq_id", "tokens", v)
-    rows = encoded.groupBy("seq_id").agg(gathered("token_id").alias("ids"))
-    decoded = vocab.decode_ids(rows, "seq_id", "ids", v)
-    return decoded.groupBy("seq_id").agg(X.hashed(gathered("token_id")).alias("ids"), X.hashed(gathered("token")).alias("tokens"))
+    encoded = vocab.encode_tokens(X.seqs(spark, d).select("seq_id", T.tokenize_kmers(F.col("seq"), 6).alias("tokens")), "seq_id", "tokens", v)
+    counted = encoded.groupBy("token_id").agg(F.count("*").alias("n"))
+    decoded = vocab.decode_ids(counted.select("n", F.array("token_id").alias("ids")), "n", "ids", v)
+    return decoded.select("token", "token_id", "n")
 
 
 # ---- tokenization --------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from strandkit.operators.numbering import number_rows
 from strandkit.plans import fixtures as X
 from strandkit.plans.registry import query
 from strandkit.sources import fasta, files
+from strandkit.streaming import bags as ST_bags
 from strandkit.streaming import prepare as ST
 
 
@@ -88,3 +89,21 @@ def str1(spark, d):
     ST.write_prepared(ST.prepare(stream, "seq", 6, 512), out, state).awaitTermination()
     done = spark.read.parquet(out)
     return done.select("seq_id", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("ids"), F.size(F.filter("mask", lambda m: m)).alias("n_real"))
+
+
+@query("str2_bag_stream", """WITH c AS (SELECT c_nationkey AS key, c_custkey AS cell_id, [CAST(c_custkey % 64 AS INTEGER), CAST(floor(c_acctbal) AS INTEGER), c_nationkey] AS v FROM customer WHERE c_custkey % 17 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell_id) - 1 AS rn, count(*) OVER (PARTITION BY key) AS n FROM c)
+    SELECT key, rn // 4 AS bag_no, string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY rn) AS cells, string_agg(array_to_string(list_transform(v, lambda z: CAST(z AS VARCHAR)), ','), ',' ORDER BY rn) AS vals, 0 AS malformed FROM r WHERE rn // 4 < n // 4 GROUP BY key, rn // 4
+    UNION ALL SELECT c_nationkey, -1, CAST(c_custkey AS VARCHAR), 'a value is null', 1 FROM customer WHERE c_custkey % 17 = 0""")
+def str2(spark, d):
+    """Customers as cells, in one arrival; of every seventeenth a value is missing."""
+    source, out, side, state = (X.scratch(spark, x) for x in ("cells", "bags", "malformed", "state"))
+    values = F.array((F.col("c_custkey") % 64).cast("int"), F.floor("c_acctbal").cast("int"), F.when(F.col("c_custkey") % 17 != 0, F.col("c_nationkey").cast("int")))
+    X.table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("cell_id"), values.alias("values")).write.parquet(source)
+    cells = spark.readStream.schema("key int, cell_id long, values array<int>").parquet(source)
+    for q in ST_bags.write_bags(cells, 4, out, side, state):
+        q.awaitTermination()
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    bags = spark.read.parquet(out).select("key", "bag_no", joined("cell_ids").alias("cells"), joined("values").alias("vals"), F.lit(0).alias("malformed"))
+    bad = spark.read.schema("key int, cell_id long, problem string").parquet(side)
+    return bags.unionByName(bad.select("key", F.lit(-1).cast("long").alias("bag_no"), F.col("cell_id").cast("string").alias("cells"), F.col("problem").alias("vals"), F.lit(1).alias("malformed")))
