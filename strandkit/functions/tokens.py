@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from strandkit.functions.arrays import let
 from strandkit.functions.sequence import fail_unless, letters, only_alphabet
@@ -205,7 +206,7 @@ def uniform_mask(seq_id: Column, ids: Column, seed: int, rate: float, mask: int
     return F.transform(ids, one)
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def _counted_from(ids: pa.Array, pad: pa.Array) -> pa.Array:
     real = np.asarray(pc.fill_null(pc.not_equal(pc.list_flatten(ids), pad[0].as_py()), False))
     # starts of the arrays among all entries; a null array has none

@@ -97,24 +97,29 @@ class Lookup:
         if len({r.token for r in rows}) < len(rows):
             raise ValueError("a token has several ids")
         self.tokens = {r.id: r.token for r in rows}
-        self.size = size = max(1, len(rows) * 5 // 4)
-        self.n_buckets = n_buckets = max(1, len(rows) // 3)
-        buckets: list[list] = [[] for _ in range(n_buckets)]
+        self.n_buckets = max(1, len(rows) // 3)
+        least = max(1, len(rows) * 5 // 4)
+        if not any(self._placed(rows, size) for size in range(least, least + 100)):
+            raise ValueError("the tokens' hashes can't be told apart")
+
+    def _placed(self, rows: list, size: int) -> bool:
+        """Find a slot for each token among so many; false if a bucket has none."""
+        buckets: list[list] = [[] for _ in range(self.n_buckets)]
         for r in rows:
-            buckets[r.hash % n_buckets].append(r)
-        self.slots: list = [None] * size
-        self.displaced = [0] * n_buckets
-        for b in sorted(range(n_buckets), key=lambda b: -len(buckets[b])):
+            buckets[r.hash % self.n_buckets].append(r)
+        self.size, self.slots, self.displaced = size, [None] * size, [0] * self.n_buckets
+        for b in sorted(range(self.n_buckets), key=lambda b: -len(buckets[b])):
             halves = [(self._half(r.hash, 20), self._half(r.hash, 40)) for r in buckets[b]]
-            for d in range(1 << 20):
+            for d in range(1 << 16):
                 places = [(h + (d & 1023) * g + (d >> 10)) % size for h, g in halves]
                 if len(set(places)) == len(places) and all(self.slots[p] is None for p in places):
                     break
             else:
-                raise ValueError("no displacement found")
+                return False
             self.displaced[b] = d
             for p, r in zip(places, buckets[b]):
                 self.slots[p] = r
+        return True
 
     @staticmethod
     def _half(hash: int, shift: int) -> int:
