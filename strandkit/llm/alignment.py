@@ -27,7 +27,7 @@ class Vocabulary:
 
 def encoders(byte_file: str, piece_file: str) -> tuple[Vocabulary, Vocabulary]:
     """Of this worker: A, a byte-level vocabulary, special tokens' strings being plain text; B, pieces."""
-    return held(Vocabulary, ByteBpe, byte_file, True, 200_000), held(Vocabulary, PieceBpe, piece_file)
+    return held(Vocabulary, ByteBpe, byte_file, True, 300_000), held(Vocabulary, PieceBpe, piece_file)
 
 
 def most_pairs(a: list[bytes], b: list[bytes]) -> int:

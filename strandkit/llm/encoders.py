@@ -7,6 +7,7 @@ import os
 import re
 import sys
 import types
+from array import array
 
 import numpy as np
 
@@ -53,7 +54,7 @@ class ByteBpe:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as the library gives them, as little-endian unsigned 32-bit integers."""
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _listed(self, words: list[str], front: str) -> list[bytes]:
         """Ids of words without white space, each after front: a line each of one text, whose line feeds are words of their own."""
@@ -132,15 +133,45 @@ class ByteBpe:
 
 
 class PieceBpe:
-    """Ids of whole texts as the sentencepiece library gives them without begin or end."""
+    """Ids of whole texts as the sentencepiece library gives them without begin or end.
 
-    def __init__(self, file: str):
+    Where no piece has a space behind another character and the model leaves texts as they are, the words of a text with single spaces
+    between them are encoded apart from one another; each is given to the library once and then kept, max_kept of them at most.
+    """
+
+    def __init__(self, file: str, max_kept: int = 300_000):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=file)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=file)
+        spaced = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+        self.by_words = not spaced and b"identity" in model.serialized_model_proto() and [model.id_to_piece(i) for i in model.encode("a  b")][1:2] == ["▁"]
+        self.kept: dict[str, bytes] = {}
+        self.max_kept = max_kept
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self.model.encode(texts, num_threads=1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
+        """For each text its ids, as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return self.whole(texts)
+        rows = [t.split(" ") for t in texts]
+        apart = [all(row) and "▁" not in t for row, t in zip(rows, texts)]
+        words: set[str] = set()
+        for row, ok in zip(rows, apart):
+            if ok:
+                words.update(row)
+        if len(self.kept) > self.max_kept:
+            self.kept.clear()
+        new = [w for w in words if w not in self.kept]
+        self.kept.update(zip(new, self.whole(new)))
+        of = self.kept.__getitem__
+        left = iter(self.whole([t for t, ok in zip(texts, apart) if not ok]))
+        out = [b"".join(map(of, row)) if ok else next(left) for row, ok in zip(rows, apart)]
+        for w in new:
+            if len(w) > 48:
+                del self.kept[w]
+        return out
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for: a piece in UTF-8 with spaces for its marks, or the byte of a byte piece."""
