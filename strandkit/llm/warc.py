@@ -182,10 +182,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     `segment` where a number is missing or none. What the archive has after the first two is lost.
     """
 
+    def batch_of(rows):
+        kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["record_id", "type", "url", "page_id", "digest", "refers_to", "origin", "segment", "total_length", "block", "problem"])
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for f, block, problem in parsed(*_inflated(content.as_py())):
                     ident, digest = f.get("warc-record-id"), f.get("warc-payload-digest")
                     number, plain = _number(f.get("warc-segment-number"), (1 << 31) - 1)
@@ -193,8 +197,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     if not (plain and sure):
                         problem = problem or "segment"
                     rows.append((ident, f.get("warc-type"), f.get("warc-target-uri"), f.get("x-page-id"), digest.removeprefix("sha256:") if digest else None, f.get("warc-refers-to"), f.get("warc-segment-origin-id", ident), number, total, block, problem))
-                kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["record_id", "type", "url", "page_id", "digest", "refers_to", "origin", "segment", "total_length", "block", "problem"])
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
 
@@ -202,7 +209,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole records from records as read: segments joined in order of their numbers, chunked framing decoded.
 
-    Only segmented records are shuffled, grouped by the identifier of their origin. Returns record_id, type, url, page_id,
+    Only segmented records are shuffled, grouped by the identifier of their origin; those with neither origin nor identifier
+    are not, and each comes back by itself with the problem `missing segment`. Returns record_id, type, url, page_id,
     digest, refers_to, payload and problem: null, that of reading, or `missing segment`, `total length`, `framing` or
     `digest` for what doesn't hold; its payload is then null. A record that was written several times, with equal pages and payloads,
     comes back as often. Continuations without their origin come back with the problem `missing segment`.
@@ -211,24 +219,27 @@ def reassemble(records: DataFrame) -> DataFrame:
     head = F.col("segment").isNull() | (F.col("segment") == 1)
     fields = ["type", "url", "page_id", "digest", "refers_to"]
     whole = records.where("segment is null").select("record_id", *fields, "block", "problem")
-    parts = records.where("segment is not null").groupBy("origin").agg(
+    nameless = records.where("segment is not null and origin is null").select("record_id", *fields, F.array("block").alias("blocks"), F.lit("missing segment").alias("problem"))
+    parts = records.where("segment is not null and origin is not null").groupBy("origin").agg(
         *[F.max(F.when(head, F.col(c))).alias(c) for c in fields],
         F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("segments"), F.max("total_length").alias("total_length"), F.count_if(head).alias("times"), F.max("problem").alias("of_reading"),
     )
-    block = F.aggregate("segments", F.lit(b""), lambda done, s: F.concat(done, s["block"]))
+    blocks = F.transform("segments", lambda s: s["block"])  # joined where they are decoded, so each byte is copied once
+    length = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.length(s["block"]))
     n = F.size("segments")
     complete = (F.element_at("segments", 1)["segment"] == 1) & (F.element_at("segments", -1)["segment"] == n) & F.col("total_length").isNotNull()
-    joined = parts.withColumn("block", block).withColumn("problem", F.when(F.col("of_reading").isNotNull(), F.col("of_reading")).when(~complete, "missing segment").when(F.length("block") != F.col("total_length"), "total length"))
+    problem = F.when(F.col("of_reading").isNotNull(), F.col("of_reading")).when(~complete, "missing segment").when(length != F.col("total_length"), "total length")
+    joined = parts.withColumn("blocks", blocks).withColumn("problem", problem)
     joined = joined.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.greatest(F.col("times"), F.lit(1)).cast("int"))))
-    both = whole.unionByName(joined.select(F.col("origin").alias("record_id"), *fields, "block", "problem"))
+    both = whole.withColumn("blocks", F.array("block")).drop("block").select("record_id", *fields, "blocks", "problem").unionByName(joined.select(F.col("origin").alias("record_id"), *fields, "blocks", "problem")).unionByName(nameless)
 
     def run(batch):
         payloads, problems = [], []
-        for kind, digest, block, problem in zip(*(batch.column(i).to_pylist() for i in (1, 4, 6, 7))):
+        for kind, digest, blocks, problem in zip(*(batch.column(i).to_pylist() for i in (1, 4, 6, 7))):
             payload = None
             if problem is None and kind == "response":
                 try:
-                    payload = payload_of(block)
+                    payload = payload_of(b"".join(blocks))
                 except ValueError:
                     problem = "framing"
                 if payload is not None and digest and hashlib.sha256(payload).hexdigest() != digest:
@@ -243,15 +254,17 @@ def reassemble(records: DataFrame) -> DataFrame:
 def resolve_revisits(whole: DataFrame) -> DataFrame:
     """Whole records with refers_to_page, payload_bytes and payload_digest of the full payload, a revisit's from its response.
 
-    The digests of responses are recomputed from the payload. A revisit without its response has nulls. Records of other
+    The digests of responses are recomputed from the payload. A revisit without its response, or that refers to nothing, has nulls. Records of other
     types are left out; no records give no rows. A response that very many records revisit is joined by broadcast.
     """
     measured = checkpoint(whole.select("record_id", "type", "url", "page_id", "refers_to", "problem", F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d")))
     revisits = measured.where("type = 'revisit'")
-    wanted = revisits.groupBy("refers_to").agg(F.count("*").alias("times"))
+    wanted = revisits.where("refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("times"))
     responses = measured.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("refers_to_page"), F.max("n").alias("payload_bytes"), F.max("d").alias("payload_digest"))
-    responses = checkpoint(responses.join(wanted, "refers_to"))
-    joined = left_join_counted(revisits, responses, "refers_to", ["refers_to_page", "payload_bytes", "payload_digest"], "times", measured.count(), F.col("record_id"))
+    responses = wanted.join(responses, "refers_to", "left").select("refers_to", "refers_to_page", "payload_bytes", "payload_digest", "times")
+    responses = checkpoint(responses)  # also the keys that are missing, so that their revisits are spread, too
+    joined = left_join_counted(revisits.where("refers_to is not null"), responses, "refers_to", ["refers_to_page", "payload_bytes", "payload_digest"], "times", measured.count(), F.col("record_id"))
     out = ["record_id", "type", "url", "page_id", "problem"]
     own = measured.where("type = 'response'").select(*out, F.lit(None).cast("string").alias("refers_to_page"), F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"))
-    return own.unionByName(joined.select(*own.columns))
+    lost = revisits.where("refers_to is null").select(*out, *[F.lit(None).cast(kind).alias(c) for c, kind in (("refers_to_page", "string"), ("payload_bytes", "long"), ("payload_digest", "string"))])
+    return own.unionByName(joined.select(*own.columns)).unionByName(lost)
