@@ -145,12 +145,17 @@ def gram_counts(chunks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(run, "chunk long, lang string, gram string, n long")
 
 
-def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
+#: So many languages at most are joined by broadcast: a row of some numbers each.
+FEW_LANGS = 10_000
+
+
+def kneser_ney(counted: DataFrame, order: int, few_langs: bool = False) -> DataFrame:
     """Rows (lang, gram, logp) for all grams of counted(lang, gram, a), a the count in trusted text, 0 for unseen ones.
 
     Interpolated modified Kneser-Ney: the highest order has the counts, a lower one the number of distinct characters
     before a gram; three discounts per order and language come from the counts of counts. The tables are joined on
-    grams and contexts, which deal them to shards; a context's numbers are summed before the shuffle.
+    grams and contexts, which deal them to shards; a context's numbers are summed before the shuffle. With few_langs the discounts,
+    a row for each language, are broadcast, so that no gram is dealt by its language alone.
     """
     seen = counted.where("a > 0").select("lang", "gram", "a")
     levels = {order: seen}
@@ -169,7 +174,7 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
         bounded = lambda d, k: F.greatest(F.lit(0.05 * k), F.least(d, F.lit(0.95 * k)))
         discounts = discounts.select("lang", "kinds", *[bounded(k - (k + 1) * y * ratio(F.col(f"c{k + 1}"), F.col(f"c{k}")), k).alias(f"d{k}") for k in (1, 2, 3)])
         contexts = level.groupBy("lang", F.expr(f"substr(gram, 1, {n - 1})").alias("context")).agg(F.sum("a").alias("total"), *[F.count_if(F.col("a") == k if k < 3 else F.col("a") >= 3).alias(f"k{k}") for k in (1, 2, 3)])
-        rows = asked[n].withColumn("context", F.expr(f"substr(gram, 1, {n - 1})")).join(level, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left").join(discounts, "lang", "left")
+        rows = asked[n].withColumn("context", F.expr(f"substr(gram, 1, {n - 1})")).join(level, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left").join(F.broadcast(discounts) if few_langs else discounts, "lang", "left")
         if n == 1:
             below = rows.withColumn("below", 1.0 / (F.coalesce("kinds", F.lit(0)) + 1))
         else:
@@ -232,6 +237,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         counted = spark.read.parquet(path)
         summed = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("a")))
         learned = checkpoint(summed.groupBy("lang").agg((F.max("a") > 0).alias("learned")))
+        few = learned.count() < FEW_LANGS
+        sent = F.broadcast if few else lambda df: df
         if learned.where("not learned").count():
             held_back = trusted.where(F.crc32(F.col("id").cast("string")) % 5 == 0).select("id")
             again = chunks.join(held_back, "id", "left_semi").withColumn("lang", F.lit(POOLED))
@@ -239,14 +246,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             gram_counts(again, trusted.limit(0), order).write.option("compression", "zstd").parquet(path)
             chunks = chunks.unionByName(again)
             own = F.when(F.col("learned"), F.col("lang")).otherwise(F.lit(POOLED)).alias("lang")
-            counted = counted.join(learned, "lang").select("chunk", "lang", own.alias("model"), "gram").unionByName(spark.read.parquet(path).select("chunk", "lang", F.col("lang").alias("model"), "gram"))
+            counted = counted.join(sent(learned), "lang").select("chunk", "lang", own.alias("model"), "gram").unionByName(spark.read.parquet(path).select("chunk", "lang", F.col("lang").alias("model"), "gram"))
             whole = summed.where("a > 0").select(F.lit(POOLED).alias("lang"), "gram", "a")
             asked = counted.where(F.col("model") == POOLED).select(F.col("model").alias("lang"), "gram", F.lit(0).cast("long").alias("a"))
-            kept = summed.join(learned.where("learned"), "lang", "left_semi").select("lang", "gram", "a")
+            kept = summed.join(sent(learned.where("learned")), "lang", "left_semi").select("lang", "gram", "a")
             summed = checkpoint(kept.unionByName(whole.unionByName(asked).groupBy("lang", "gram").agg(F.sum("a").alias("a"))))
         else:
             counted = counted.withColumn("model", F.col("lang"))
-        model = checkpoint(kneser_ney(summed, order).withColumnRenamed("lang", "model"))
+        model = checkpoint(kneser_ney(summed, order, few).withColumnRenamed("lang", "model"))
     replies = counted.join(model, ["model", "gram"]).select("chunk", "lang", "gram", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("long").alias("id"))
     replies = replies.unionByName(trusted.select("chunk", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("logp"), "id"))
 
@@ -257,7 +264,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return pa.Table.from_arrays([left.column("id"), left.column("lang"), pa.array(n_chars), pa.array(perplexity, mask=np.isnan(perplexity)), good, left.column("times")], names=["id", "lang", "n_chars", "perplexity", "trusted", "times"])
 
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, "id long, lang string, n_chars long, perplexity double, trusted boolean, times long")
-    marked = scored.join(learned, "lang", "left").withColumn("pooled", ~F.coalesce("learned", F.lit(False))).drop("learned")
+    marked = scored.join(sent(learned), "lang", "left").withColumn("pooled", ~F.coalesce("learned", F.lit(False))).drop("learned")
     marked = marked.join(F.broadcast(learned.agg(F.coalesce(F.bool_or("learned"), F.lit(False)).alias("any")))).withColumn("perplexity", F.when(F.col("any"), F.col("perplexity"))).drop("any")
     return marked.withColumn("calibration", F.col("trusted") & (F.crc32(F.col("id").cast("string")) % 5 == 0))
 
@@ -272,14 +279,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     characters says little. Without any document to learn from there are no perplexities and no threshold, and all texts are kept.
 
     Returns the id, lang (null as `und`, which is a language like others), n_chars, perplexity per character, threshold and
-    keep. Null and empty texts have no perplexity and are not kept. Null ids are never trusted; repeated rows are
+    keep. Null and empty texts have no perplexity and are not kept. Ids must be numbers, or texts that are; null ids are never trusted; repeated rows are
     scored alike; of several labels of a document the highest counts; an empty table gives no rows; other columns are not read.
     """
     with freed_shuffles(docs.sparkSession):
         scored = checkpoint(repeated(perplexities(docs, labels, id_col, text_col, lang_col, order, **more), "times", "number"))
     trusted = scored.where(F.col("calibration") & F.col("perplexity").isNotNull() & (~F.col("pooled") | (F.col("lang") == POOLED)))
     limit = lambda: (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(margin))
-    per_lang = trusted.groupBy(F.col("lang").alias("judge")).agg(limit().alias("own"))
+    per_lang = checkpoint(trusted.groupBy(F.col("lang").alias("judge")).agg(limit().alias("own")))
+    per_lang = F.broadcast(per_lang) if per_lang.count() <= FEW_LANGS else per_lang
     overall = trusted.where(~F.col("pooled")).agg(limit().alias("all"))
     rows = scored.where(F.col("lang") != POOLED).withColumn("judge", F.when(F.col("pooled"), F.lit(POOLED)).otherwise(F.col("lang")))
     joined = rows.join(F.broadcast(overall)).join(per_lang, "judge", "left").withColumn("threshold", F.coalesce("own", "all"))
