@@ -29,13 +29,14 @@ MISS = 0.001
 
 
 def centres(vectors: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
-    """Rows (label, dim, centre, passes): the mean of the unit vectors of a label, and how many passes it needs.
+    """Rows (label, dim, centre, passes, exact): the mean of the unit vectors of a label, and how many passes it needs.
 
     Keys are taken about the centre, so a direction that all vectors share doesn't make them alike. Two vectors at the
     threshold differ by sqrt(2 - 2 threshold); seen from the centre, at whose distance s = sqrt(1 - |centre|^2) they lie,
     that is an angle of 2 arcsin(difference / 2s), and angle / pi is the share of sign bits that differ. They are neighbours
     in a pass if they agree in the first log2(n / window) bits. So many passes are made, at least those given, that a
-    pair is missed with probability MISS; but no more than n / window, which compare as many pairs as there are.
+    pair is missed with probability MISS. A label that needs more than n / window, with which as many pairs are compared as
+    there are, is exact: its pairs are all compared in blocks instead.
     """
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     long = vectors.select("label", F.size("v").alias("dim"), "v", size.alias("norm")).select("label", "dim", "norm", F.posexplode("v").alias("pos", "x"))
@@ -47,12 +48,17 @@ def centres(vectors: DataFrame, threshold: float, passes: int, window: int) -> D
     differ = F.least(2 * F.asin(F.least(half, F.lit(1.0))) / float(np.pi), F.lit(0.5))
     met = F.pow(1 - differ, F.log2(F.greatest(F.col("n") / window, F.lit(2.0))))
     wanted = F.ceil(F.lit(float(np.log(MISS))) / F.log1p(-F.least(met, F.lit(1 - 1e-9))))
-    needed = F.greatest(F.least(wanted, F.ceil(F.col("n") / window)), F.lit(passes)).cast("int")
-    return whole.select("label", "dim", centre.alias("centre"), needed.alias("passes"))
+    needed = F.greatest(wanted, F.lit(passes))
+    exact = needed > F.greatest(F.ceil(F.col("n") / window), F.lit(passes))
+    return whole.select("label", "dim", centre.alias("centre"), F.when(exact, 0).otherwise(needed).cast("int").alias("passes"), exact.alias("exact"))
 
 
-def projected(vectors: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
-    """Rows (pass, label, dim, key, rep) of vectors(rep, label, v, m)."""
+def labelled(vectors: DataFrame) -> DataFrame:
+    return vectors.select("rep", F.col("label").cast("string").alias("label"), "v", F.size("v").alias("dim"))
+
+
+def projected(vectors: DataFrame, about: DataFrame, seed: int) -> DataFrame:
+    """Rows (pass, label, dim, key, rep) of vectors(rep, label, v, m), with the centres and passes about labels."""
 
     def run(batch):
         out = []
@@ -69,9 +75,7 @@ def projected(vectors: DataFrame, threshold: float, passes: int, window: int, se
         columns = [pa.concat_arrays([pa.array(x[i]) for x in out]) for i in range(5)]
         return pa.RecordBatch.from_arrays(columns, names=["pass", "label", "dim", "key", "rep"])
 
-    labelled = vectors.select("rep", F.col("label").cast("string").alias("label"), "v", F.size("v").alias("dim"))
-    about = checkpoint(centres(labelled, threshold, passes, window))
-    rows = labelled.join(about, ["label", "dim"]).select("rep", "label", "v", "centre", "passes")
+    rows = labelled(vectors).join(about.where("not exact"), ["label", "dim"]).select("rep", "label", "v", "centre", "passes")
     return map_batches(rows, run, "pass int, label string, dim int, key long, rep long", rows=4096)
 
 
@@ -98,12 +102,12 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
-def neighbour_links(vectors: DataFrame, threshold: float, passes: int, window: int, block: int, seed: int) -> DataFrame:
+def neighbour_links(vectors: DataFrame, about: DataFrame, threshold: float, window: int, block: int, seed: int) -> DataFrame:
     """Links (src, dst) that span what the passes find among vectors of the same label and length.
 
     A block has the vectors of so many ranks and, so that no window is cut, the last ones of the block before.
     """
-    placed = ranked(projected(vectors, threshold, passes, window, seed), ["pass", "label", "dim", "key", "rep"])
+    placed = ranked(projected(vectors, about, seed), ["pass", "label", "dim", "key", "rep"])
     own = F.floor(F.col("rank") / block)
     halo = F.when(F.col("rank") % block >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
     rows = placed.withColumn("block", F.explode(halo)).join(vectors.select("rep", "v"), "rep")
@@ -130,8 +134,8 @@ def neighbour_links(vectors: DataFrame, threshold: float, passes: int, window: i
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Rows (rep, linked): for members(component, rep, v, m), the copies of others in the component within the threshold.
+def in_pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
+    """members(component, rep, v, m) dealt out so that any two of a component meet: sorted runs (group, component, low, high) of a pair of blocks.
 
     A large component is dealt into blocks of members by a hash, and each pair of blocks is compared by itself, so
     neither a task nor a row count grows with a component's square.
@@ -141,7 +145,28 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     placed = members.join(sizes, "component").withColumn("own", own)
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("low"), F.greatest(i, F.col("own")).alias("high")))
     rows = placed.withColumn("pair", F.explode(every)).select("component", "pair", "own", "rep", "m", "v", F.xxhash64("component", "pair").alias("group"))
-    rows = rows.repartition("component", "pair").sortWithinPartitions("group", "component", "pair", "rep").select("group", "component", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "own", "rep", "m", "v")
+    return rows.repartition("component", "pair").sortWithinPartitions("group", "component", "pair", "rep").select("group", "component", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "own", "rep", "m", "v")
+
+
+def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (src, dst) that span all pairs of members(component, rep, v, m) within the threshold, compared in pairs of blocks."""
+
+    def run(batches):
+        for group in consecutive_groups(batches, 4):
+            own, rep, unit = group.column(4).to_numpy(), group.column(5).to_numpy(), _matrix(group.column(7))
+            low, high = group.column(2)[0].as_py(), group.column(3)[0].as_py()
+            rows, columns = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            a, b = np.nonzero(unit[rows] @ unit[columns].T >= threshold)
+            label = labels_of_links(rows[a], columns[b], len(rep))
+            differ = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[differ]), pa.array(rep[label[differ]])], names=["src", "dst"])
+
+    return in_pairs_of_blocks(members, block).mapInArrow(run, "src long, dst long")
+
+
+def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Rows (rep, linked): for members(component, rep, v, m), the copies of others in the component within the threshold."""
+    rows = in_pairs_of_blocks(members, block)
 
     def run(batches):
         for group in consecutive_groups(batches, 4):
@@ -168,7 +193,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Equal vectors of a label are one class, compared once. Classes are sorted by 64 sign hashes of random projections about
     the label's centre, anew in each pass, and compared with the next `window` classes; verified pairs of all passes are
     united. passes is the least number; a label gets more if it has so many vectors, or vectors so close together, that the
-    windows would else miss more than one in a thousand pairs at the threshold. Within the groups found so, all pairs are
+    windows would else miss more than one in a thousand pairs at the threshold; one for which even that would be as much as
+    comparing all pairs has them compared in blocks. Within the groups found so, all pairs are
     then verified in double precision, so the counts of dense groups don't depend on the window. A pair can only be
     missed if no chain of found pairs joins it.
 
@@ -184,7 +210,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = base.where("usable").withColumn("class", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join("v", ",")), 256))
     classes = usable.groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))  # a number of its own, fixed by the checkpoint
-    linked = connected_components(neighbour_links(classes, threshold, passes, window, block, seed))
+    about = checkpoint(centres(labelled(classes), threshold, passes, window).withColumn("number", F.monotonically_increasing_id()))
+    edges = neighbour_links(classes, about, threshold, window, block, seed)
+    if about.where("exact").limit(1).count():
+        members = labelled(classes).join(about.where("exact"), ["label", "dim"]).select(F.col("number").alias("component"), "rep", "v", F.lit(1).cast("long").alias("m"))
+        edges = edges.unionByName(exact_links(members, threshold, block))
+    linked = connected_components(edges)
     members = checkpoint(classes.join(linked.withColumnRenamed("node", "rep"), "rep"))
     counts = count_links(members.select("component", "rep", "v", "m"), threshold, block)
     lowest = members.groupBy("component").agg(F.min("low").alias("lowest"))
