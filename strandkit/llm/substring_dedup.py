@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with all its surroundings. Rows with equal ids, or without one, that exceed a chunk are counted and dealt by id and text.
 
     Returns the id, text, spans (start and end byte of each removed run) and kept (the remaining bytes). A null text counts
-    as empty. A null id is larger than any other. Rows that repeat both id and text are one document and come back as
+    as empty. Ids must be numbers, or texts that are; a null id is larger than any other. Rows that repeat both id and text are one document and come back as
     often; those that repeat an id with another text are ordered by start only. An empty table gives no rows. Other
     columns are not read.
     """

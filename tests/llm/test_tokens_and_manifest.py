@@ -31,10 +31,19 @@ def random_texts(n, seed=5):
 def test_words_are_encoded_as_whole_texts_are(plain):
     ours, theirs = ByteBpe(BYTES, plain, 50), ByteBpe(BYTES, plain)
     texts = ODD + random_texts(1500)
+    texts += ["re, Anble. the\nNext, word.\nThe end;\nÜber: é,\nx", "a,b .c ,d \ne\n f", "x.\ny.\nz", "don't, it's.\nI'm"] * 2
     for at in range(0, len(texts), 100):  # what is kept is dropped again and again
         assert ours.encode(texts[at : at + 100]) == theirs.whole(texts[at : at + 100])
 
 
+def test_pieces_of_words_are_those_of_whole_texts():
+    ours = PieceBpe(PIECES, 50)
+    assert ours.by_words
+    texts = ODD + random_texts(1500)
+    for at in range(0, len(texts), 100):
+        assert ours.encode(texts[at : at + 100]) == ours.whole(texts[at : at + 100])
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 1023, 1024, 1025, 5000])
 def test_blocks_give_back_what_was_packed(n):
     rng = np.random.default_rng(n)
@@ -192,3 +201,48 @@ def test_manifest_paths_prove_rows_and_large_ids_stay_exact(spark):
     for r in found[::7]:
         assert manifest.folded(r.leaf, [(s["before"], s["behind"]) for s in r.path]) == r.root
     assert manifest.manifest(docs.limit(0)).count() == 0
+
+
+def test_a_label_too_dense_for_windows_is_compared_exactly(spark):
+    """Vectors so close about their centre that sorted passes would need as many comparisons as all pairs have."""
+    from strandkit.llm import embeddings
+
+    rng = np.random.default_rng(12)
+    base = np.ones(16) * 2
+    rows = [(i, (base + 0.02 * rng.normal(size=16)).tolist(), "dense") for i in range(2500)] + [(10_000 + i, rng.normal(size=16).tolist(), "wide") for i in range(300)] + [(20_000 + i, rows_, "wide") for i, rows_ in enumerate([[1.0] * 16, [1.0] * 15 + [1.01]])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    about = embeddings.centres(docs.select(F.col("embedding").alias("v"), "label", F.lit(16).alias("dim")), 0.99995, 16, 64).collect()
+    assert {r.label: r.exact for r in about}["dense"]
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(docs, threshold=0.99995).collect()}
+    for label in ("dense", "wide"):
+        ids = [r[0] for r in rows if r[2] == label]
+        x = np.array([r[1] for r in rows if r[2] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x @ x.T >= 0.99995).sum(axis=1) - 1
+        assert [found[i] for i in ids] == near.tolist()
+
+
+def test_a_record_of_many_segments_is_joined_in_linear_time(spark):
+    import time
+
+    from strandkit.llm import warc
+
+    size = 4096
+    body = warc.HTTP_HEAD + warc.chunked(bytes(range(256)) * (64 << 12), 1 << 20)
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    digest = hashlib.sha256(bytes(range(256)) * (64 << 12)).hexdigest()
+    rows = [("o", "response" if k == 0 else "continuation", None, "1" if k == 0 else None, digest if k == 0 else None, None, "o", k + 1, len(body) if k == len(parts) - 1 else None, bytes(p), None) for k, p in enumerate(parts)]
+    rows += [(None, "continuation", None, None, None, None, None, 2, None, b"lost", None)] * 2
+    began = time.time()
+    found = warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).select("record_id", "problem", F.length("payload").alias("n"), F.sha2("payload", 256).alias("d")).collect()
+    assert time.time() - began < 90
+    assert sorted(map(tuple, found), key=str) == sorted([("o", None, 64 << 20, digest), (None, "missing segment", None, None), (None, "missing segment", None, None)], key=str)
+
+
+def test_revisits_of_nothing_and_of_lost_responses(spark):
+    from strandkit.llm import warc
+
+    columns = "record_id string, type string, url string, page_id string, digest string, refers_to string, payload binary, problem string"
+    rows = [("a", "response", "u", "1", "d", None, b"x" * 9, None)] + [(f"r{i}", "revisit", None, str(i), "d", "a", None, None) for i in range(3)] + [(f"l{i}", "revisit", None, str(i), "d", "gone", None, None) for i in range(500)] + [(f"n{i}", "revisit", None, None, None, None, None, None) for i in range(500)] + [("w", "warcinfo", None, None, None, None, None, None)]
+    found = {r.record_id: (r.refers_to_page, r.payload_bytes) for r in warc.resolve_revisits(spark.createDataFrame(rows, columns)).collect()}
+    assert len(found) == 1004 and found["r2"] == ("1", 9) and found["l7"] == found["n7"] == (None, None)
