@@ -20,7 +20,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the sample that is learned from, of which all words and n-grams are kept; so they bound the model.
+    """Bounds of the sample that is learned from, of which all words and n-grams are kept; so they bound the model, whatever the number of languages.
 
     bytes_per_lang: text of a language, about so much, in documents chosen by a hash of id and text. sample_bytes: of all
     languages together, shared evenly. longest: length of the longest n-gram. smoothing: added to each count.
@@ -84,50 +84,68 @@ def count_features(labelled: DataFrame, text_col: str, lang_col: str, limits: Li
 
 
 class Model:
-    """Log frequencies per language of words and n-grams, relative to the mean over languages."""
+    """Log frequencies per language of words and n-grams, relative to the mean over languages.
+
+    A language without a feature has the smoothed log frequency of an unseen one, its base; a feature only stores the languages that have it
+    and by how much they exceed their base. So the model grows with the counts, not with features times languages.
+    """
 
     def __init__(self, features: pa.Table, limits: Limits):
         self.longest = limits.longest
         order = features.sort_by([("length", "ascending"), ("feature", "ascending")])
         lang, length = order.column("lang").combine_chunks().dictionary_encode(), order.column("length").to_numpy()
         self.langs = sorted(lang.dictionary.to_pylist())
-        at = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
-        self.place: list[dict[str, int]] = []  # of a feature in the matrix
-        parts, begin = [], 0
+        n_langs, numbers = len(self.langs), {x: i for i, x in enumerate(self.langs)}
+        self.which = np.array([numbers[x] for x in lang.dictionary.to_pylist()], np.int32)[lang.indices.to_numpy()] if len(order) else np.zeros(0, np.int32)
+        counts = order.column("n").to_numpy().astype(np.float64)
+        self.excess = np.log1p(counts / limits.smoothing).astype(np.float32)
+        self.place: list[dict[str, int]] = []  # of a feature among all
+        starts, base, begin = [np.zeros(0, np.int64)], [], 0
         for n in range(limits.longest + 1):
             rows = np.flatnonzero(length == n)
             code = order.column("feature").take(pa.array(rows)).combine_chunks().dictionary_encode()
-            counts = np.zeros((len(code.dictionary), len(self.langs)))
-            counts[code.indices.to_numpy(), at[rows]] = order.column("n").to_numpy()[rows]
-            logs = np.log((counts + limits.smoothing) / (counts.sum(0) + limits.smoothing * (len(counts) + 1)))
-            parts.append((logs - logs.mean(1, keepdims=True) if len(self.langs) else logs).astype(np.float32))
-            self.place.append(dict(zip(code.dictionary.to_pylist(), range(begin, begin + len(counts)))))
-            begin += len(counts)
-        self.logs = np.concatenate(parts)
+            starts.append(rows[np.unique(code.indices.to_numpy(), return_index=True)[1]])
+            totals = np.bincount(self.which[rows], counts[rows], n_langs) if n_langs else np.zeros(0)
+            unseen = np.log(limits.smoothing / (totals + limits.smoothing * (len(code.dictionary) + 1)))
+            base.append(unseen - unseen.mean() if n_langs else unseen)
+            self.place.append(dict(zip(code.dictionary.to_pylist(), range(begin, begin + len(code.dictionary)))))
+            begin += len(code.dictionary)
+        self.base, self.starts = np.array(base), np.r_[np.concatenate(starts), len(order)]
         self.keep()
 
-    def keep(self, max_kept: int = 150_000) -> None:
-        """Start without scored words; up to max_kept of them will be kept."""
-        self.max_kept, self.kept = max_kept, {}
+    def keep(self, max_kept: int = 150_000, most_bytes: int = 48 << 20) -> None:
+        """Start without scored words; up to max_kept of them will be kept, fewer if there are many languages."""
+        self.max_kept, self.kept = min(max_kept, most_bytes // (4 * max(1, len(self.langs)))), {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
 
     def state(self) -> tuple:
         """The model as plain data, which needs no class to be read."""
-        return self.longest, self.langs, self.place, self.logs
+        return self.longest, self.langs, self.place, self.base, self.starts, self.which, self.excess
 
     @classmethod
     def of_state(cls, state: tuple) -> Model:
         model = cls.__new__(cls)
-        model.longest, model.langs, model.place, model.logs = state
+        model.longest, model.langs, model.place, model.base, model.starts, model.which, model.excess = state
         model.keep()
         return model
 
+    def _means(self, n: int, features: list[int], sizes: np.ndarray) -> np.ndarray:
+        """For runs of so many features of length n: the mean of their log frequencies, relative to the mean over languages."""
+        first, n_langs = self.starts[features], len(self.langs)
+        counts = self.starts[np.array(features) + 1] - first
+        at = np.repeat(first - (counts.cumsum() - counts), counts) + np.arange(counts.sum())
+        run = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
+        excess = self.excess[at].astype(np.float64)
+        summed = np.bincount(run * n_langs + self.which[at], excess, len(sizes) * n_langs).reshape(len(sizes), n_langs)
+        return self.base[n] + (summed - summed.mean(1, keepdims=True)) / sizes[:, None]
+
     def _score(self, words: list[str]) -> np.ndarray:
         """Scores of words: of a known one its own; else the mean of its longest n-grams of which any is known; else zeros."""
         out = np.zeros((len(words), len(self.langs)))
         known = self.place[0]
         at = [i for i, w in enumerate(words) if w in known]
-        out[at] = self.logs[[known[words[i]] for i in at]]
+        if at:
+            out[at] = self._means(0, [known[words[i]] for i in at], np.ones(len(at), np.int64))
         left = [i for i, w in enumerate(words) if w not in known]
         for n in range(self.longest, 0, -1):
             place, flat, sizes, at, unknown = self.place[n], [], [], [], []
@@ -140,8 +158,7 @@ class Model:
                 else:
                     unknown.append(i)
             if at:
-                sizes = np.array(sizes)
-                out[at] = np.add.reduceat(self.logs[flat], np.r_[0, sizes.cumsum()[:-1]]) / sizes[:, None]
+                out[at] = self._means(n, flat, np.array(sizes))
             left = unknown
         return out
 

@@ -246,3 +246,24 @@ def test_revisits_of_nothing_and_of_lost_responses(spark):
     rows = [("a", "response", "u", "1", "d", None, b"x" * 9, None)] + [(f"r{i}", "revisit", None, str(i), "d", "a", None, None) for i in range(3)] + [(f"l{i}", "revisit", None, str(i), "d", "gone", None, None) for i in range(500)] + [(f"n{i}", "revisit", None, None, None, None, None, None) for i in range(500)] + [("w", "warcinfo", None, None, None, None, None, None)]
     found = {r.record_id: (r.refers_to_page, r.payload_bytes) for r in warc.resolve_revisits(spark.createDataFrame(rows, columns)).collect()}
     assert len(found) == 1004 and found["r2"] == ("1", 9) and found["l7"] == found["n7"] == (None, None)
+
+
+def test_a_language_model_grows_with_its_counts_not_with_features_times_languages():
+    import pyarrow as pa
+
+    from strandkit.llm import language_id
+
+    rng = random.Random(6)
+    rows = [(f"l{k:03d}", n, f"{n}:{k * 37 + i if i % 4 else i}", rng.randint(1, 9)) for k in range(200) for n in (0, 2) for i in range(200)]
+    table = pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "length", "feature", "n"])
+    model = language_id.Model(table, language_id.Limits(longest=2))
+    assert sum(x.nbytes for x in model.state()[3:]) < 20 * len(rows)
+    counts = {}
+    for lang, n, feature, c in rows:
+        counts.setdefault((n, feature), {})[lang] = c
+    for n in (0, 2):
+        own = [own for (m, _), own in counts.items() if m == n]
+        kinds, totals = len(own), np.array([sum(o.get(lang, 0) for o in own) for lang in model.langs])
+        for f in rng.sample(sorted(x for m, x in counts if m == n), 20):
+            logs = np.log((np.array([counts[n, f].get(lang, 0) for lang in model.langs]) + 0.5) / (totals + 0.5 * (kinds + 1)))
+            assert np.allclose(model._means(n, [model.place[n][f]], np.ones(1, np.int64))[0], logs - logs.mean(), atol=1e-5)
