@@ -58,8 +58,9 @@ def letters(seq: Column) -> Column:
 
 
 def one_hot(seq: Column) -> Column:
-    """A unit vector over A, C, G, T for each letter; zeros for any other."""
-    return F.transform(letters(seq), lambda c: F.array(*[F.when(c == x, 1).otherwise(0) for x in "ACGT"]))
+    """A unit vector over A, C, G, T for each letter; zeros for any other. The five vectors are constants."""
+    unit = {x: F.array(*[F.lit(int(x == y)) for y in "ACGT"]) for x in "ACGTN"}
+    return F.transform(letters(seq), lambda c: F.when(c == "A", unit["A"]).when(c == "C", unit["C"]).when(c == "G", unit["G"]).when(c == "T", unit["T"]).otherwise(unit["N"]))
 
 
 def window_end(start: Column, n_tokens: int, k: int) -> Column:
