@@ -85,33 +85,78 @@ def align(texts: list[str], a: Vocabulary, b: Vocabulary) -> tuple[pa.LargeListA
     return ours, theirs, counts(i), counts(j)
 
 
+#: What align_tokens gives beside the id. JVM and files handle a text's ids as one value, not as so many numbers.
+PACKED = "a binary, b binary, a_counts binary, b_counts binary, n_a int, n_b int, n_groups int"
+
+
+def _packed(lists: pa.LargeListArray, kind: str) -> pa.Array:
+    """The entries of each list as bytes."""
+    values = np.ascontiguousarray(pc.list_flatten(lists).to_numpy(), dtype=kind)
+    offsets = lists.offsets.to_numpy()
+    offsets = pa.py_buffer((offsets - offsets[0]) * values.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, offsets, pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _entries(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The entries of all rows, of two bytes each or, in a batch where those don't do, of four."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data, n = column.buffers()[2], int(sizes.sum())
+    if not n:
+        return np.zeros(0, np.int64)
+    lengths = np.diff(offsets)
+    if (lengths == 2 * sizes).all():
+        return np.frombuffer(data, "<u2", n, int(offsets[0])).astype(np.int64)
+    parts = (np.frombuffer(data, "<u2" if length == 2 * k else "<u4", k, at) for at, length, k in zip(offsets[:-1].tolist(), lengths.tolist(), sizes.tolist()) if k)
+    return np.concatenate([x.astype(np.int64) for x in parts])
+
+
+def _unpacked(batch: pa.RecordBatch, at: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The entries of a, b, a_counts and b_counts of all rows, and each row's n_a, n_b and n_groups, from the columns of PACKED."""
+    sizes = [batch.column(at + 4 + i).to_numpy().astype(np.int64) for i in range(3)]
+    return [_entries(batch.column(at + i), sizes[min(i, 2)]) for i in range(4)], sizes
+
+
 def align_tokens(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, a, b, a_counts, b_counts): the ids of both tokenizers, and how many of each make up group after group.
+    """Rows (id, a, b, a_counts, b_counts, n_a, n_b, n_groups): the ids of both tokenizers, how many of each make up group after group, and how many there are.
 
     A is a byte-level vocabulary of the tokenizers library, given a space and the text; B a model of the sentencepiece library,
     which adds that space. Strings of special tokens are plain text. Null and empty texts, and texts whose tokens, of A or
-    B, don't join to the space and the text byte by byte, have empty lists. One narrow pass; null ids and repeated rows are kept, an empty table
+    B, don't join to the space and the text byte by byte, have none. The four lists are little-endian numbers of two bytes, or of four where
+    a text has larger ones; as_arrays unpacks them. One narrow pass; null ids and repeated rows are kept, an empty table
     gives no rows, other columns are not read.
     """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = encoders(byte_file, piece_file)
+        kinds = ["<u2" if len(v.size) <= 1 << 16 else "<u4" for v in (a, b)]
         for batch in sliced(batches, 100):
             lists = align([t or "" for t in batch.column(1).to_pylist()], a, b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[x.cast(pa.list_(pa.int32())) for x in lists]], names=["id", "a", "b", "a_counts", "b_counts"])
-            del lists
+            most = max((pc.max(pc.list_flatten(x)).as_py() or 0 for x in lists[2:]), default=0)
+            packed = [_packed(x, kind) for x, kind in zip(lists, [*kinds, *["<u2" if most < 1 << 16 else "<u4"] * 2])]
+            sizes = [pc.list_value_length(lists[i]).cast(pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *packed, *sizes], names=["id", "a", "b", "a_counts", "b_counts", "n_a", "n_b", "n_groups"])
+            del lists, packed
             pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, a array<int>, b array<int>, a_counts array<int>, b_counts array<int>")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, {PACKED}")
     return rows.withColumnRenamed("id", id_col)
 
 
-def _links(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of A and of B that end each group, from columns a, b, a_counts, b_counts."""
-    flat = [batch.column(at + i).flatten().to_numpy(zero_copy_only=False) for i in range(4)]
-    return flat[0][flat[2].cumsum() - 1], flat[1][flat[3].cumsum() - 1]
+def as_arrays(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """align_tokens with a, b, a_counts and b_counts as arrays of integers."""
+    names = ["a", "b", "a_counts", "b_counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            entries, sizes = _unpacked(batch, 1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, sizes[min(i, 2)].cumsum()].astype(np.int32)), pa.array(x.astype(np.int32))) for i, x in enumerate(entries)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", *names])
+
+    kind = aligned.schema[id_col].dataType.simpleString()
+    rows = aligned.select(F.col(id_col).alias("id"), *names, "n_a", "n_b", "n_groups").mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} array<int>" for c in names))
+    return rows.withColumnRenamed("id", id_col)
 
 
 def count_pairs(aligned: DataFrame) -> DataFrame:
@@ -125,8 +170,9 @@ def count_pairs(aligned: DataFrame) -> DataFrame:
         whole, waiting = [], 0
         summed = lambda tables: pa.concat_tables(tables).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
         for batch in batches:
-            a, b = _links(batch)
-            counted = pa.table({"a": a, "b": b}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+            (a, b, a_counts, b_counts), _ = _unpacked(batch)
+            linked = pa.table({"a": a[a_counts.cumsum() - 1].astype(np.int32), "b": b[b_counts.cumsum() - 1].astype(np.int32)})
+            counted = linked.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
             whole.append(counted.rename_columns(["a", "b", "n"]))
             waiting += counted.num_rows
             if waiting > 1 << 20:
@@ -135,7 +181,8 @@ def count_pairs(aligned: DataFrame) -> DataFrame:
         if whole:
             yield from summed(whole).to_batches(max_chunksize=1 << 16)
 
-    return aligned.select("a", "b", "a_counts", "b_counts").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    return aligned.select(*names).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class GroupText:
@@ -190,10 +237,9 @@ def alignment_digest(aligned: DataFrame, pairs: DataFrame, byte_file: str, piece
         keys, counts, highest = sent.value
         writer = held(GroupText, n_a, n_b)
         for batch in sliced(batches, 100):
-            a, b, a_counts, b_counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 5))
-            sizes = [pc.list_value_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3)]
-            link_a, link_b = _links(batch, 1)
-            often = counts[np.searchsorted(keys, link_a.astype(np.int64) << 32 | link_b)] if len(link_a) else np.zeros(0, np.int64)
+            (a, b, a_counts, b_counts), sizes = _unpacked(batch, 1)
+            link_a, link_b = a[a_counts.cumsum() - 1], b[b_counts.cumsum() - 1]
+            often = counts[np.searchsorted(keys, link_a << 32 | link_b)] if len(link_a) else np.zeros(0, np.int64)
             ends = np.r_[0, sizes[2].cumsum()]
             per_doc = lambda x: np.diff(np.r_[0, x.cumsum()][ends])
             best_of = per_doc((often == highest[link_b]).astype(np.int64))
@@ -202,7 +248,7 @@ def alignment_digest(aligned: DataFrame, pairs: DataFrame, byte_file: str, piece
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(digests, pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kind = aligned.schema[id_col].dataType.simpleString()
-    rows = aligned.select(F.col(id_col).alias("id"), "a", "b", "a_counts", "b_counts")
+    rows = aligned.select(F.col(id_col).alias("id"), *[x.split()[0] for x in PACKED.split(", ")])
     done = rows.mapInArrow(run, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return done.withColumnRenamed("id", id_col)
 

@@ -139,6 +139,21 @@ def test_alignment(spark):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(plain_alignment(rows), key=key)
     assert sum(r[1] > 0 for r in plain_alignment(rows)) > 60
     assert alignment.aligned_documents(docs.limit(0), BYTES, PIECES).count() == 0
+    arrays = alignment.as_arrays(alignment.align_tokens(docs.where("doc_id < 40"), BYTES, PIECES))
+    for r in arrays.join(docs.where("doc_id <> 5"), "doc_id").select("doc_id", arrays["a"], arrays["b"], "a_counts", "b_counts", "text").collect():
+        assert len(r.a) == sum(r.a_counts) and len(r.b) == sum(r.b_counts) and len(r.a_counts) == len(r.b_counts)
+        assert not r.a or r.a == np.frombuffer(ByteBpe(BYTES, True).whole([" " + r.text])[0], "<u4").tolist()
+
+
+def test_groups_of_very_many_tokens_take_four_bytes():
+    import pyarrow as pa
+
+    lists = pa.LargeListArray.from_arrays(pa.array([0, 2, 2, 3], pa.int64()), pa.array([70_000, 3, 9], pa.int32()))
+    sizes = np.array([2, 0, 1])
+    assert alignment._entries(alignment._packed(lists, "<u4"), sizes).tolist() == [70_000, 3, 9]
+    assert alignment._entries(alignment._packed(lists.slice(2), "<u2"), sizes[2:]).tolist() == [9]
+    mixed = pa.concat_arrays([alignment._packed(lists, "<u4"), alignment._packed(lists.slice(2), "<u2")])
+    assert alignment._entries(mixed, np.r_[sizes, 1]).tolist() == [70_000, 3, 9, 9]
 
 
 def test_pairs_are_bounded_by_the_vocabularies():
