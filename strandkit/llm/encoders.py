@@ -47,6 +47,8 @@ class ByteBpe:
         self.by_words = settings.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         added = [t["content"] for t in settings.get("added_tokens", []) if not (plain_specials and t.get("special"))]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
+        self.shown = {b: chr(b) for b in visible} | {x: chr(256 + i) for i, x in enumerate(x for x in range(256) if x not in visible)}
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.kept: dict[str, bytes | None] = {}  # ids of a space and the word after it; null where the text can't be cut
         self.first: dict[str, bytes] = {}  # ids of a word at the start of a text
@@ -65,11 +67,17 @@ class ByteBpe:
         data, cuts = ids.tobytes(), (4 * np.r_[-1, ends, len(ids)]).tolist()
         return [data[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
 
+    def _letters(self, words: list[str], front: str) -> list[bytes]:
+        """Ids of words of letters alone, each after front, from the library's model itself: there is nothing to cut."""
+        merged, shown, mark = self.tokenizer.model.tokenize, self.shown, front and self.shown[32]
+        written = (mark + (w if w.isascii() else w.encode().decode("latin-1").translate(shown)) for w in words)
+        return [array("I", [t.id for t in merged(w)]).tobytes() for w in written]
+
     def _learn(self, known: dict, words: set[str], front: str) -> list[str]:
         """Encode the words that are not known, by their parts where that is sure; returns those that are too long to be kept."""
         new = [w for w in words if w not in known]
         known.update(dict.fromkeys(new))
-        plain, odd, cut, tails = [], [], [], set()
+        letters, plain, odd, cut, tails = [], [], [], [], set()
         for w in new:
             found = _PARTS.fullmatch(w)
             if found and found.end(1) < len(w):
@@ -78,11 +86,14 @@ class ByteBpe:
                 tails.update(rest)
                 if head not in known:
                     known[head] = None
-                    plain.append(head)
-            elif found or w and not _UNSURE.search(w) and not (self.added and self.added.search(w)):
+                    letters.append(head)
+            elif found:
+                letters.append(w)
+            elif w and not _UNSURE.search(w) and not (self.added and self.added.search(w)):
                 plain.append(w)
             elif not front or w and not _UNSURE.match(w):
                 odd.append(w)
+        known.update(zip(letters, self._letters(letters, front)))
         if plain:
             known.update(zip(plain, self._listed(plain, front)))
         known.update(zip(odd, self.whole([front + w for w in odd])))
@@ -125,8 +136,7 @@ class ByteBpe:
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for; those of an added token in UTF-8."""
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
-        of_char = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in visible)}
+        of_char = {c: b for b, c in self.shown.items()}
         added = {i for i in self.tokenizer.get_added_tokens_decoder()}
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         return [name.encode() if i in added else bytes(of_char[c] for c in name) for i, name in enumerate(names)]
