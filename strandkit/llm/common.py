@@ -153,14 +153,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = join_counted(rows, low, "src", "n", total) if hot else rows.join(low.drop("n"), "src")
         return joined.select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
+    def settled(df: DataFrame) -> DataFrame:
+        """A checkpoint in no more files than the edges need, so that rounds over few of them are few small tasks."""
+        return checkpoint(df.coalesce(max(1, count // 20_000)))
+
     for _ in range(max_rounds):
         around = both(current)
-        low = checkpoint(around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n")))
+        low = settled(around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n")))
         # large star: what is above a node moves to the lowest of its neighbours
-        large = checkpoint(moved(around.where("dst > src"), low, 2 * count).where("src <> dst").distinct())
+        large = settled(moved(around.where("dst > src"), low, 2 * count).where("src <> dst").distinct())
         # small star: what is below a node moves to the lowest of those
-        low = checkpoint(large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")))
-        current = checkpoint(moved(large, low, 2 * count).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
+        low = settled(large.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")))
+        current = settled(moved(large, low, 2 * count).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct())
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if state == tuple(now):
             break
