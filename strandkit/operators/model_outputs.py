@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.outputs import argmax, log_prob
+from strandkit.operators.numbering import settled
 from strandkit.operators.vectors import mean_vectors, vector_sums
 
 
@@ -35,7 +36,27 @@ def sum_embeddings(parts: list[DataFrame], keys: list[str], v: str = "v") -> Dat
 
 def lookup_embedding(tokens: DataFrame, key: str, ids: str, table: DataFrame) -> DataFrame:
     """(key, pos, token_id, v) from table(token_id, v)."""
-    return tokens.select(key, F.posexplode(ids).alias("pos", "token_id")).join(table, "token_id")
+    used = tokens.select(F.explode(ids).alias("token_id")).distinct()
+    return tokens.select(key, F.posexplode(ids).alias("pos", "token_id")).join(_vectors_of(used, table), "token_id")
+
+
+def lookup_counts(tokens: DataFrame, key: str, ids: str, table: DataFrame) -> DataFrame:
+    """(key, token_id, n, v): lookup_embedding with one row for each different token of a key, and how often it has it.
+
+    Tokens are counted in each task before anything is shuffled or joined, so rows grow with the different tokens, not with the places.
+    """
+    counted = settled(tokens.select(key, F.explode(ids).alias("token_id")).groupBy(key, "token_id").agg(F.count("*").alias("n")))
+    return counted.join(_vectors_of(counted.select("token_id").distinct(), table), "token_id").select(key, "token_id", "n", "v")
+
+
+def _vectors_of(used: DataFrame, table: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of table(token_id, v) for used(token_id), which are few where vocabularies are; broadcast if they are of bounded size.
+
+    A frequent token is most of a join's rows, so where these vectors fit, the rows that look them up stay where they are.
+    """
+    vectors = settled(table.join(used, "token_id", "left_semi").select("token_id", "v"))
+    size = vectors.agg(F.sum(F.coalesce(F.size("v"), F.lit(0)) * 8 + 32)).first()[0] or 0
+    return F.broadcast(vectors) if size <= most_bytes else vectors
 
 
 def tokens_to_nucleotides(df: DataFrame, key: str, values: str, k: int, n_features: int) -> DataFrame:
