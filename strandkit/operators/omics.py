@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandkit.functions.arrays import dense
+from strandkit.functions.arrays import dense, dense_text
 from strandkit.functions.tokens import pad_to
 from strandkit.operators.numbering import number_rows
 
@@ -26,18 +26,40 @@ def edges(low: float, high: float, n: int) -> list[float]:
     return [low + i * step for i in range(n - 1)] + [high]
 
 
+def _near(x: Column, low: Column, step: Column, n: Column) -> Column:
+    """The number of edges up to x by division, which is rounded and so may be one off."""
+    near = F.when(step > 0, F.floor((x - low) / F.when(step > 0, step))).otherwise(F.when(x >= low, n).otherwise(0))
+    return F.greatest(F.lit(0), F.least(near + 1, n.cast("long")))
+
+
+def _edge(i: Column, low: Column, step: Column, last: Column, n: Column) -> Column:
+    return F.when(i >= n - 1, last).otherwise(low + i * step)
+
+
+def _put_right(x: Column, near: Column, below: Column, above: Column, last: Column, n: Column) -> Column:
+    """near, or its neighbour, by the edges below and above; edges ascend, so at most one of the two steps is taken, and they are added up."""
+    down = F.when((near > 0) & (below > x), -1).otherwise(0)
+    up = F.when((near < n) & (above <= x), 1).otherwise(0)
+    return F.when(F.isnan(x) | (x >= last), n).otherwise(near + down + up).cast("int")
+
+
 def count_edges(x: Column, low: Column, step: Column, last: Column, n: Column) -> Column:
     """How many of n edges low, low + step, ... up to the last one, which is given, are at most x.
 
     The step that x falls into tells, and is put right by looking at the edges next to it, as divisions are rounded; so
     the work doesn't grow with n. NaN is above all edges; null stays null.
     """
-    edge = lambda i: F.when(i >= n - 1, last).otherwise(low + i * step)
-    near = F.when(step > 0, F.floor((x - low) / F.when(step > 0, step))).otherwise(F.when(x >= low, n).otherwise(0))
-    near = F.greatest(F.lit(0), F.least(near + 1, n.cast("long")))
-    down = F.when((near > 0) & (edge(near - 1) > x), near - 1).otherwise(near)
-    up = F.when((down < n) & (edge(down) <= x), down + 1).otherwise(down)
-    return F.when(F.isnan(x) | (x >= last), n).otherwise(up).cast("int")
+    near = _near(x, low, step, n)
+    return _put_right(x, near, _edge(near - 1, low, step, last, n), _edge(near, low, step, last, n), last, n)
+
+
+def with_edges_counted(df: DataFrame, name: str, x: Column, low: Column, step: Column, last: Column, n: Column) -> DataFrame:
+    """df with count_edges as a column, in steps: where all but n vary by row one expression is too long a method for the JVM to compile."""
+    steps = df.withColumns({"__x": x, "__low": low, "__step": step, "__last": last}).withColumn("__near", _near(F.col("__x"), F.col("__low"), F.col("__step"), n))
+    at = lambda i: _edge(i, F.col("__low"), F.col("__step"), F.col("__last"), n)
+    steps = steps.withColumns({"__below": at(F.col("__near") - 1), "__above": at(F.col("__near"))})
+    found = _put_right(F.col("__x"), F.col("__near"), F.col("__below"), F.col("__above"), F.col("__last"), n)
+    return steps.withColumn(name, found).drop("__x", "__low", "__step", "__last", "__near", "__below", "__above")
 
 
 def bin_fixed(x: Column, low: float, high: float, n: int, clip: bool = False) -> Column:
@@ -73,13 +95,16 @@ def pack_genes(expr: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tokenize_omics(expr: DataFrame, settings: DataFrame) -> DataFrame:
-    """expr with bin, by settings(omic, low, high, n_bins, factor, log) of its modality."""
-    joined = expr.join(settings, "omic")
+    """expr with bin, by settings(omic, low, high, n_bins, factor, log) of its modality.
+
+    Settings are a row a modality, and are broadcast: dealt by modality, all values would be one task for each.
+    """
+    joined = expr.join(F.broadcast(settings), "omic")
     x = F.when(F.col("log"), F.log10(1 + F.col("value"))).otherwise(F.col("value")) / F.col("factor")
     joined = joined.withColumn("x", x)
     step = (F.col("high") - F.col("low")) / (F.col("n_bins") - 1)
-    found = count_edges(F.col("x"), F.col("low"), step, F.col("high"), F.col("n_bins"))
-    return joined.withColumn("bin", F.when(F.col("x") == 0, 0).when(F.col("x").isNull(), 0).otherwise(found)).drop("low", "high", "n_bins", "factor", "log")
+    counted = with_edges_counted(joined, "__bin", F.col("x"), F.col("low"), step, F.col("high"), F.col("n_bins"))
+    return counted.withColumn("bin", F.when(F.col("x") == 0, 0).when(F.col("x").isNull(), 0).otherwise(F.col("__bin"))).drop("__bin", "low", "high", "n_bins", "factor", "log")
 
 
 def pair_omics(first: DataFrame, second: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
@@ -122,18 +147,29 @@ def bin_per_cell(counts: DataFrame, n: int) -> DataFrame:
     """
     extremes = counts.groupBy("cell_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     joined = counts.join(extremes, "cell_id")
-    found = count_edges(F.col("value"), F.col("low"), (F.col("high") - F.col("low")) / (n - 1), F.col("high") + 0.01, F.lit(n))
-    return joined.withColumn("bin", F.when(F.col("low") == F.col("high"), 1).otherwise(found)).drop("low", "high")
+    counted = with_edges_counted(joined, "__bin", F.col("value"), F.col("low"), (F.col("high") - F.col("low")) / (n - 1), F.col("high") + 0.01, F.lit(n))
+    return counted.withColumn("bin", F.when(F.col("low") == F.col("high"), 1).otherwise(F.col("__bin"))).drop("__bin", "low", "high")
+
+
+def _entries(binned: DataFrame, value: str) -> DataFrame:
+    """(cell_id, entries): a cell's values by position, of genes at the same one that of the last."""
+    last = binned.groupBy("cell_id", "pos").agg(F.max_by(value, "gene_idx").alias("value"))
+    return last.groupBy("cell_id").agg(F.collect_list(F.struct("pos", "value")).alias("entries"))
 
 
 def densify(binned: DataFrame, n_genes: int, value: str = "bin", pad: int | None = None, length: int | None = None) -> DataFrame:
     """(cell_id, values): a dense vector per cell; of genes at the same position the last one holds; zero elsewhere."""
-    last = binned.groupBy("cell_id", "pos").agg(F.max_by(value, "gene_idx").alias("value"))
-    packed = last.groupBy("cell_id").agg(F.collect_list(F.struct("pos", "value")).alias("entries"))
+    packed = _entries(binned, value)
     values = dense(F.col("entries"), F.lit(n_genes), F.lit(0))
     return packed.select("cell_id", (values if pad is None else pad_to(values, length, F.lit(pad))).alias("values"))
 
 
+def densify_text(binned: DataFrame, n_genes: int, value: str = "bin", pad: int | None = None, length: int | None = None) -> DataFrame:
+    """(cell_id, values): the vectors of densify as comma-joined text, for writing. Of cells times genes only the text grows, no array or object."""
+    after = None if pad is None else (str(pad), F.lit(max(length - n_genes, 0)))
+    return _entries(binned, value).select("cell_id", dense_text(F.col("entries"), F.lit(n_genes), "0", after).alias("values"))
+
+
 def batch_rows(df: DataFrame, key: str, n: int, name: str = "batch") -> DataFrame:
     """df with the number of its batch of n rows, in the order of the key."""
     return number_rows(df, [key], "__rn").withColumn(name, F.floor(F.col("__rn") / n)).drop("__rn")

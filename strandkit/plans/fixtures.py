@@ -110,6 +110,16 @@ def expression(spark, d):
     return rna.unionByName(methylation)
 
 
+def both_modalities(spark, d):
+    """The rows of expression from one join and one aggregation."""
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = [F.col("o_custkey").alias("sample_id"), (F.col("l_partkey") % 100).alias("gene")]
+    summed = joined.groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("rna"), (F.round(F.avg("l_discount").cast("double"), 9) * 10).alias("methylation"))
+    kinds = F.when(F.col("sample_id") % 2 == 0, F.array(F.lit("rna"), F.lit("methylation"))).otherwise(F.array(F.lit("rna")))
+    long = summed.withColumn("omic", F.explode(kinds))
+    return long.select("sample_id", "gene", F.when(F.col("omic") == "rna", F.col("rna")).otherwise(F.col("methylation")).alias("value"), "omic")
+
+
 EXPRESSION = """j AS (SELECT o_custkey AS sample_id, l_partkey % 100 AS gene, l_quantity, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     expr AS (SELECT sample_id, gene, CAST(sum(l_quantity) AS DOUBLE) AS value, 'rna' AS omic FROM j GROUP BY ALL
              UNION ALL SELECT sample_id, gene, round(avg(CAST(l_discount AS DOUBLE)), 9) * 10 AS value, 'methylation' AS omic FROM j WHERE sample_id % 2 = 0 GROUP BY ALL)"""

@@ -90,7 +90,7 @@ def omx6(spark, d):
     SELECT sample_id, omic, gene, CAST(CASE WHEN x = 0 THEN 0 ELSE len(list_filter(list_transform(range(0, n), lambda i: CASE WHEN i = n - 1 THEN high ELSE low + i * ((high - low) / (n - 1)) END), lambda e: e <= x)) END AS INTEGER) AS bin FROM y""")
 def omx7(spark, d):
     settings = spark.createDataFrame([("rna", 0.0, 2.5, 16, 1.0, True), ("methylation", 0.0, 1.0, 8, 2.0, False)], "omic string, low double, high double, n_bins int, factor double, log boolean")
-    return O.tokenize_omics(X.expression(spark, d), settings).select("sample_id", "omic", "gene", "bin")
+    return O.tokenize_omics(X.both_modalities(spark, d), settings).select("sample_id", "omic", "gene", "bin")
 
 
 @query("omx8_pair", f"""WITH {X.EXPRESSION}, a AS (SELECT sample_id, round(sum(value), 4) AS r FROM expr WHERE omic = 'rna' AND sample_id % 5 <> 0 GROUP BY 1), b AS (SELECT sample_id, round(sum(value), 4) AS m FROM expr WHERE omic = 'methylation' GROUP BY 1)
@@ -137,13 +137,13 @@ def n_positions(spark, d):
 
 @query("omx13_densify", f"WITH {DENSE} SELECT cell_id, string_agg(CAST(bin AS VARCHAR), ',' ORDER BY pos) AS vals FROM dense GROUP BY cell_id")
 def omx13(spark, d):
-    return O.densify(O.bin_per_cell(kept(spark, d), 8), n_positions(spark, d)).select("cell_id", csv(F.col("values")).alias("vals"))
+    return O.densify_text(O.bin_per_cell(kept(spark, d), 8), n_positions(spark, d)).select("cell_id", F.col("values").alias("vals"))
 
 
 @query("omx14_pad_dense", f"WITH {DENSE} SELECT cell_id, string_agg(CAST(bin AS VARCHAR), ',' ORDER BY pos) || repeat(',9', 16) AS vals FROM dense GROUP BY cell_id")
 def omx14(spark, d):
     n = n_positions(spark, d)
-    return O.densify(O.bin_per_cell(kept(spark, d), 8), n, pad=9, length=n + 16).select("cell_id", csv(F.col("values")).alias("vals"))
+    return O.densify_text(O.bin_per_cell(kept(spark, d), 8), n, pad=9, length=n + 16).select("cell_id", F.col("values").alias("vals"))
 
 
 def small_cells(spark, d):

@@ -321,3 +321,48 @@ def test_bags_over_arrivals_and_a_restart_are_those_of_the_table(spark, tmp_path
         want += [(f"k{k}", i, [c[1] for c in own[4 * i : 4 * i + 4]], [x for c in own[4 * i : 4 * i + 4] for x in c[2]]) for i in range(len(own) // 4)]
     assert found == want
     assert sorted(r.problem for r in spark.read.parquet(side).collect()) == ["a value is null", "no cell", "no key", "no values"]
+
+
+# ---- round 3 -------------------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_text_is_the_joined_dense_vector(spark):
+    rng = random.Random(3)
+    rows = [(c, rng.randint(-1, 12), g, rng.choice([0, 1, 7, 12])) for c in range(60) for g in range(rng.randint(1, 12))] + [(99, 50, 1, 3), (98, 2, 1, None), (98, 4, 2, 5)]
+    binned = spark.createDataFrame(rows, "cell_id int, pos long, gene_idx int, bin int")
+    for pad, length in ((None, None), (9, 14)):
+        arrays = omics.densify(binned, 11, pad=pad, length=length).select("cell_id", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
+        assert sorted(arrays.collect()) == sorted(omics.densify_text(binned, 11, pad=pad, length=length).collect())
+
+
+def test_wide_cells_are_text_at_once(spark):
+    """400 cells of a million genes: 0.8 GB of text, which took an object a gene before."""
+    binned = spark.range(1200).select((F.col("id") % 400).alias("cell_id"), (F.col("id") * 833).alias("pos"), F.col("id").alias("gene_idx"), F.lit(5).alias("bin"))
+    began = time.time()
+    assert omics.densify_text(binned, 1_000_000).agg(F.min(F.length("values")), F.max(F.length("values"))).first() == (1_999_999, 1_999_999)
+    assert time.time() - began < 40
+
+
+def test_lookups_count_tokens_before_the_join(spark):
+    tokens = spark.createDataFrame([(1, [6, 6, 7, 99]), (2, [6]), (2, [6, 8]), (3, []), (4, None)], "k int, ids array<int>")
+    table = spark.createDataFrame([(i, [float(i)]) for i in range(6, 9)] + [(8, [80.0]), (500, [1.0])], "token_id int, v array<float>")
+    found = model_outputs.lookup_counts(tokens, "k", "ids", table)
+    assert sorted((r.k, r.token_id, r.n, r.v[0]) for r in found.collect()) == [(1, 6, 2, 6.0), (1, 7, 1, 7.0), (2, 6, 2, 6.0), (2, 8, 1, 8.0), (2, 8, 1, 80.0)]
+    long = model_outputs.lookup_embedding(tokens, "k", "ids", table)
+    assert sorted((r.k, r.pos, r.token_id, r.v[0]) for r in long.collect()) == [(1, 0, 6, 6.0), (1, 1, 6, 6.0), (1, 2, 7, 7.0), (2, 0, 6, 6.0), (2, 0, 6, 6.0), (2, 1, 8, 8.0), (2, 1, 8, 80.0)]
+    large = table.unionByName(spark.range(1000, 200_000).select(F.col("id").cast("int").alias("token_id"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("v")))
+    for found in (model_outputs.lookup_counts(tokens, "k", "ids", large), model_outputs.lookup_embedding(tokens, "k", "ids", large)):
+        assert "SortMergeJoin" not in plan_of(found)  # a frequent token is no task of its own
+
+
+def test_modalities_are_no_tasks(spark):
+    expr = spark.createDataFrame([("rna", 9.0), ("rna", 0.0), ("rna", None), ("methylation", 0.5), ("other", 1.0)], "omic string, value double")
+    rows = [("rna", 0.0, 2.5, 16, 1.0, True), ("methylation", 0.0, 1.0, 8, 2.0, False)]
+    settings = spark.createDataFrame(spark.sparkContext.parallelize(rows), "omic string, low double, high double, n_bins int, factor double, log boolean")
+    binned = omics.tokenize_omics(expr, settings)
+    assert "SortMergeJoin" not in plan_of(binned)
+    assert sorted((r.omic, r.bin) for r in binned.collect()) == [("methylation", 2), ("rna", 0), ("rna", 0), ("rna", 7)]
