@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandkit.functions import batches
 from strandkit.functions.arrays import let
 from strandkit.functions.sequence import fail_unless
 
@@ -122,6 +123,4 @@ def first_pad(ids: Column, pad: int) -> Column:
 
 def answer_ids(ids: Column, start: Column, eos: int) -> Column:
     """Ids from start up to, without, the first eos after it."""
-    rest = F.slice(ids, start + 1, F.greatest(F.size(ids) - start, F.lit(0)))
-    end = F.array_position(rest, F.lit(eos))
-    return F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
+    return batches.between(ids, start, eos)

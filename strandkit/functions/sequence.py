@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandkit.functions import batches
+
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,7 +19,8 @@ def fail_unless(ok: Column, value: Column, message: str, on_error: str = "raise"
 
 def sanitize_dna(seq: Column) -> Column:
     """Upper case of ASCII letters, and N for all that is not A, C, G, T or N. Keeps the length."""
-    return F.regexp_replace(F.translate(seq, LOWER, UPPER), "[^ACGTN]", "N")
+    table = bytes(b & 0xDF if chr(b & 0xDF) in "ACGT" else ord("N") for b in range(256))
+    return batches.translated(seq, table, bytes(range(0x80, 0xC0)))  # what follows the first byte of a character goes
 
 
 def is_valid_dna(seq: Column) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from strandkit.functions import batches
 from strandkit.functions.arrays import let
-from strandkit.functions.sequence import fail_unless, letters, only_alphabet
+from strandkit.functions.sequence import fail_unless, only_alphabet
 
 #: The ids of the letter vocabulary.
 UNK, PAD, MASK, CLS, EOS, BOS = 0, 1, 2, 3, 4, 5
@@ -80,22 +81,37 @@ def tokenize_regex(seq: Column, vocabulary: list[str], boundaries: bool = False,
     return F.transform(found, lambda t: F.when((F.length(t) > 1) | t.isin(singles), t).otherwise(F.lit(unk)))
 
 
+def _found(found: Column, given: Column, message: str, on_error: str) -> Column:
+    """What was found; where that is null though something was given, an error, or null if on_error is `null`."""
+    if on_error not in ("raise", "null"):
+        raise ValueError("on_error must be 'raise' or 'null'")
+    if on_error == "null":
+        return found
+    both = F.struct(found.alias("found"), given.isNull().alias("none"))
+    return let(both, lambda x: F.when(x["found"].isNull() & ~x["none"], F.raise_error(F.lit(message))).otherwise(x["found"]))
+
+
 def tokenize_kmers(seq: Column, k: int, on_error: str = "raise") -> Column:
     """Non-overlapping k-mers from the left between Ns; the rest of a piece, and N, as single letters. Upper case only."""
-    found = F.regexp_extract_all(seq, F.lit(f"([ACGT]{{{k}}}|[ACGTN])"), 1)
-    return fail_unless(only_alphabet(seq, "ACGTN"), found, "a character is not in the vocabulary", on_error)
+    return _found(batches.kmers(seq, k), seq, "a character is not in the vocabulary", on_error)
+
+
+def first_kmer_ids(seq: Column, k: int, n: int, offset: int) -> Column:
+    """The first n of kmer_ids of tokenize_kmers, for use inside lambdas. They are found in the first n * k letters; all are checked."""
+    found = F.regexp_extract_all(F.substring(seq, 1, n * k), F.lit(f"([ACGT]{{{k}}}|[ACGTN])"), 1)
+    one = lambda t: F.coalesce(*[F.when(t == x, 4**k + offset + i) for i, x in enumerate("ATCGN")])
+    ids = F.transform(F.slice(found, 1, n), lambda t: F.when(F.length(t) > 1, kmer_number(t) + offset).otherwise(one(t)))
+    return fail_unless(only_alphabet(seq, "ACGTN"), ids, "a character is not in the vocabulary")
 
 
 def tokenize_letters(seq: Column, on_error: str = "raise") -> Column:
     """Ids of single letters."""
-    ids = F.transform(letters(seq), lambda c: F.coalesce(*[F.when(c == x, i) for x, i in LETTER_IDS.items()]))
-    return fail_unless(only_alphabet(seq, "ATCGN"), ids, "a character is not in the vocabulary", on_error)
+    return _found(batches.letter_ids(seq, LETTER_IDS), seq, "a character is not in the vocabulary", on_error)
 
 
 def overlapping_kmers(seq: Column, k: int) -> Column:
     """The k-mer at each position; none if the sequence is shorter."""
-    starts = lambda own: F.when(F.size(own) >= k, F.sequence(F.lit(1), F.size(own) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return let(letters(seq), lambda own: F.transform(starts(own), lambda i: F.array_join(F.slice(own, i, F.lit(k)), "")))
+    return batches.overlapping(seq, k)
 
 
 def kmer_number(token: Column) -> Column:
@@ -105,9 +121,7 @@ def kmer_number(token: Column) -> Column:
 
 def kmer_ids(tokens: Column, k: int, offset: int) -> Column:
     """Ids of k-mers and single letters in a layout that has offset specials before the k-mers, then A, T, C, G, N."""
-    single = 4**k + offset
-    one = lambda t: F.coalesce(*[F.when(t == x, single + i) for i, x in enumerate("ATCGN")])
-    return F.transform(tokens, lambda t: F.when(F.length(t) > 1, kmer_number(t) + offset).otherwise(one(t)))
+    return batches.kmer_ids(tokens, "ATCG", offset, {x: 4**k + offset + i for i, x in enumerate("ATCGN")})
 
 
 def add_special(ids: Column, cls: int | None = None, bos: int | None = None, eos: int | None = None) -> Column:
@@ -206,6 +220,21 @@ def uniform_mask(seq_id: Column, ids: Column, seed: int, rate: float, mask: int
     return F.transform(ids, one)
 
 
+def _limit(rate: float) -> int:
+    """The draws below a rate are those below this number."""
+    return max(0, math.ceil(rate * 2**32))
+
+
+def mlm_arrays(seq_id: Column, ids: Column, seed: int, vocab_size: int, n_special: int, rate: float = 0.15, split: tuple[float, float] = (0.8, 0.1), mask: int = MASK) -> Column:
+    """What mlm_ids gives as a struct of two arrays (ids, labels), for whole batches of rows; not for use inside lambdas."""
+    return batches.masked_arrays(seq_id, ids, seed, vocab_size, n_special, (_limit(rate), _limit(split[0]), _limit(split[0] + split[1])), mask)
+
+
+def uniform_mask_arrays(seq_id: Column, ids: Column, seed: int, rate: float, mask: int = MASK, skip: int | None = None) -> Column:
+    """What uniform_mask gives as a struct of arrays (ids, truth) and the number n_masked, for whole batches of rows; not for use inside lambdas."""
+    return batches.uniformly_masked(seq_id, ids, seed, _limit(rate), mask, skip)
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def _counted_from(ids: pa.Array, pad: pa.Array) -> pa.Array:
     real = np.asarray(pc.fill_null(pc.not_equal(pc.list_flatten(ids), pad[0].as_py()), False))
@@ -223,6 +252,4 @@ def position_ids(ids: Column, pad: int = PAD) -> Column:
 
 def detokenize(ids: Column, tokens: list[str], on_error: str = "raise") -> Column:
     """The text of ids, tokens[i] the token of id i."""
-    table = F.array(*[F.lit(t) for t in tokens])
-    ok = F.forall(ids, lambda x: (x >= 0) & (x < len(tokens)))
-    return fail_unless(ok, F.array_join(F.transform(ids, lambda x: F.get(table, x)), ""), "an id is not in the vocabulary", on_error)
+    return _found(batches.text_of(ids, tokens), ids, "an id is not in the vocabulary", on_error)

@@ -12,15 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandkit.functions.batches import bound_batches
 from strandkit.operators.numbering import shared_dir
 
 
-def bound_batches(spark: SparkSession, most: str = "4m", name: str = "spark.sql.execution.arrow.maxBytesPerBatch") -> None:
-    """Let batches for Python workers have about so many bytes, as long texts make large ones; not if the session has a bound of its own."""
-    if spark.conf.get(name) in ("64m", "67108864b", "67108864"):  # Spark's default
-        spark.conf.set(name, most)
-
-
 @contextmanager
 def freed_shuffles(spark: SparkSession):
     """Actions inside remove their shuffle files when they end; for results that are written, and so don't need them again."""

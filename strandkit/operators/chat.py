@@ -22,5 +22,5 @@ def placeholder_violations(prompts: DataFrame, text: str, n_seqs: str, placehold
 
 def stack_sequences(prompts: DataFrame, seqs: str, n: int, k: int = 6) -> DataFrame:
     """prompts with stacked: each sequence's k-mer ids after <cls>, cut and padded to n."""
-    one = lambda s: T.truncate_pad(T.add_special(T.kmer_ids(T.tokenize_kmers(s, k), k, 6), cls=T.CLS), n)
+    one = lambda s: T.truncate_pad(T.add_special(T.first_kmer_ids(s, k, n, 6), cls=T.CLS), n)
     return prompts.withColumn("stacked", F.transform(seqs, one))

@@ -43,8 +43,8 @@ def position_ids(df: DataFrame, key: str, ids: str, pad: int = T.PAD) -> DataFra
 
 def mlm_rows(df: DataFrame, key: str, ids: str, seed: int, vocab_size: int, n_special: int, rate: float = 0.15, split: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """(key, ids, labels) for masked language modelling."""
-    both = df.select(key, T.mlm_ids(F.col(key), F.col(ids), seed, vocab_size, n_special, rate, split).alias("x"))
-    return both.select(key, F.col("x.id").alias("ids"), F.col("x.label").alias("labels"))
+    both = df.select(key, T.mlm_arrays(F.col(key), F.col(ids), seed, vocab_size, n_special, rate, split).alias("x"))
+    return both.select(key, "x.ids", "x.labels")
 
 
 def rescale_masked(emb: DataFrame, tokens: DataFrame, key: str, ids: str, ratio: float, prob: float, mask: int = T.MASK, pad: int = T.PAD) -> DataFrame:

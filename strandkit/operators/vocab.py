@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandkit.functions import batches
 from strandkit.functions.arrays import let
 
 #: The special tokens and their order.
@@ -74,81 +75,37 @@ def add_tokens(vocab: DataFrame, new: DataFrame, kind: str = "standard") -> Data
     return vocab.select("token", "token_id", "kind").unionByName(numbered)
 
 
-def _constant(values: list) -> Column:
-    """An array of strings that the optimizer makes a literal, written as one string."""
-    texts = [str(v) for v in values]
-    used = set("".join(texts))
-    mark = next(c for c in map(chr, range(1, 0x110000)) if c not in used and c not in "\\^$.|?*+()[]{}")
-    return F.split(F.lit(mark.join(texts)), mark)
-
-
 class Lookup:
-    """A vocabulary as two arrays by slot, for looking up tokens and ids inside arrays, without a join.
+    """A vocabulary that workers hold, for looking up tokens and ids inside arrays, without a join.
 
-    A token's slot is (h + d1 * g + d2) modulo the size, with h and g the halves of its hash and (d1, d2) the displacement of its
-    bucket; displacements are searched on the driver, largest buckets first, so that no two tokens share a slot. A lookup costs one hash,
-    whatever the size. Vocabularies of up to most tokens are taken: they are constants of the plan.
+    A batch's tokens are looked up at once in Arrow's hash table, ids by their place, so a lookup costs a hash, whatever the
+    size. Vocabularies of up to most tokens are taken: they are sent along with the plan.
     """
 
     def __init__(self, vocab: DataFrame, most: int = 1 << 17):
-        rows = vocab.select("token", F.col("token_id").cast("int").alias("id"), F.xxhash64("token").alias("hash")).limit(most + 1).collect()
+        rows = vocab.select("token", F.col("token_id").cast("int").alias("id")).limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"a vocabulary of more than {most} tokens is looked up by joins")
         if len({r.token for r in rows}) < len(rows):
             raise ValueError("a token has several ids")
         self.tokens = {r.id: r.token for r in rows}
-        self.n_buckets = max(1, len(rows) // 3)
-        least = max(1, len(rows) * 5 // 4)
-        if not any(self._placed(rows, size) for size in range(least, least + 100)):
-            raise ValueError("the tokens' hashes can't be told apart")
-
-    def _placed(self, rows: list, size: int) -> bool:
-        """Find a slot for each token among so many; false if a bucket has none."""
-        buckets: list[list] = [[] for _ in range(self.n_buckets)]
-        for r in rows:
-            buckets[r.hash % self.n_buckets].append(r)
-        self.size, self.slots, self.displaced = size, [None] * size, [0] * self.n_buckets
-        for b in sorted(range(self.n_buckets), key=lambda b: -len(buckets[b])):
-            halves = [(self._half(r.hash, 20), self._half(r.hash, 40)) for r in buckets[b]]
-            for d in range(1 << 16):
-                places = [(h + (d & 1023) * g + (d >> 10)) % size for h, g in halves]
-                if len(set(places)) == len(places) and all(self.slots[p] is None for p in places):
-                    break
-            else:
-                return False
-            self.displaced[b] = d
-            for p, r in zip(places, buckets[b]):
-                self.slots[p] = r
-        return True
-
-    @staticmethod
-    def _half(hash: int, shift: int) -> int:
-        return hash >> shift & (1 << 20) - 1
-
-    def _at(self, token: Column) -> Column:
-        """A token's slot."""
-        displaced = _constant(self.displaced).cast("array<int>")
-
-        def place(h):
-            half = lambda shift: F.shiftright(h, shift).bitwiseAND((1 << 20) - 1)
-            return let(F.get(displaced, F.pmod(h, F.lit(self.n_buckets)).cast("int")), lambda d: ((half(20) + d.bitwiseAND(1023) * half(40) + F.shiftright(d, 10)) % self.size).cast("int"))
-
-        return let(F.xxhash64(token), place)
+        self.names, self.numbers = [r.token for r in rows], [r.id for r in rows]
 
     def ids(self, tokens: Column, unk: int | None = None, on_error: str = "raise") -> Column:
         """The ids of an array of tokens; an unknown one gives unk, or else an error or null."""
-        names = _constant([r.token if r else "" for r in self.slots])
-        numbers = _constant([r.id if r else -1 for r in self.slots]).cast("array<int>")
-        missing = F.lit(unk) if unk is not None else F.raise_error(F.lit("token not in the vocabulary")).cast("int") if on_error == "raise" else F.lit(None).cast("int")
-        return F.transform(tokens, lambda t: let(self._at(t), lambda at: F.when((F.get(names, at) == t) & (F.get(numbers, at) >= 0), F.get(numbers, at)).otherwise(missing)))
+        found = batches.looked_up(tokens, self.names, self.numbers, unk)
+        return found if unk is not None or on_error != "raise" else _all_found(found, "token not in the vocabulary")
 
     def tokens_of(self, ids: Column, on_error: str = "raise") -> Column:
         """The tokens of an array of ids; an unknown one gives an error or null. Ids must be 0 to n - 1."""
         if sorted(self.tokens) != list(range(len(self.tokens))):
             raise ValueError("ids are not 0 to n - 1")
-        names = _constant([self.tokens[i] for i in range(len(self.tokens))])
-        missing = F.raise_error(F.lit("id not in the vocabulary")).cast("string") if on_error == "raise" else F.lit(None).cast("string")
-        return F.transform(ids, lambda x: F.when((x >= 0) & (x < len(self.tokens)), F.get(names, x)).otherwise(missing))
+        found = batches.names_of(ids, [self.tokens[i] for i in range(len(self.tokens))])
+        return found if on_error != "raise" else _all_found(found, "id not in the vocabulary")
+
+
+def _all_found(found: Column, message: str) -> Column:
+    return let(found, lambda own: F.when(F.exists(own, lambda x: x.isNull()), F.raise_error(F.lit(message))).otherwise(own))
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk: int | None = None, on_error: str = "raise") -> DataFrame:

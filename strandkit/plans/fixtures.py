@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.functions.sequence import letters, sanitize_dna
+from strandkit.functions.batches import bound_batches, joined_md5, translated
+from strandkit.functions.sequence import sanitize_dna
+from strandkit.functions.tokens import tokenize_letters
 from strandkit.operators.numbering import number_rows, shared_dir
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +31,8 @@ BASES = "ACGT" * 6 + "AC"
 
 def letters_dna(c) -> F.Column:
     """The letters a to z of a whole text, in either case, as bases; all else goes."""
-    return F.translate(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z]", ""), LOWER, BASES)
+    table = bytes.maketrans((LOWER + UPPER).encode(), (BASES * 2).encode())
+    return translated(c, table, bytes(b for b in range(256) if chr(b) not in LOWER + UPPER))
 
 
 def letters_dna_sql(c: str) -> str:
@@ -45,7 +49,7 @@ SEQS = f"s AS (SELECT doc_id AS seq_id, {letters_dna_sql('text')} AS seq FROM do
 
 def hashed(array) -> F.Column:
     """MD5 of an array's entries, comma-joined."""
-    return F.md5(F.array_join(array.cast("array<string>"), ","))
+    return joined_md5(array)
 
 
 def hashed_sql(c: str) -> str:
@@ -67,8 +71,7 @@ TEXTS = f"s AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, '{LOWER}
 
 def id_rows(spark, d):
     """(seq_id, ids): letter ids of whole sequences, then 0 to 31 pads."""
-    ids = F.transform(letters(F.col("seq")), lambda c: F.when(c == "A", 6).when(c == "T", 7).when(c == "C", 8).otherwise(9))
-    return seqs(spark, d).select("seq_id", F.concat(ids, F.array_repeat(F.lit(1), F.col("seq_id").cast("int") % 32)).alias("ids"))
+    return seqs(spark, d).select("seq_id", F.concat(tokenize_letters(F.col("seq")), F.array_repeat(F.lit(1), F.col("seq_id").cast("int") % 32)).alias("ids"))
 
 
 IDS = SEQS + """,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandkit.functions import batches
 from strandkit.functions import sequence as S
 from strandkit.functions import tokens as T
 from strandkit.operators import genome, sequences, vocab
@@ -161,7 +162,7 @@ ADDED = """WITH n AS (SELECT DISTINCT {c} AS token FROM documents), v0 AS (SELEC
 
 @query("voc7_add_tokens", ADDED.format(c="unnest(regexp_extract_all(text, '(?s).'))", k="standard"))
 def voc7(spark, d):
-    return vocab.add_tokens(vocab.vocab_layout(spark, 1, "letters"), X.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(.)"), 1)).alias("token")))
+    return vocab.add_tokens(vocab.vocab_layout(spark, 1, "letters"), X.table(spark, d, "documents").select(F.explode(batches.characters(F.col("text"))).alias("token")))
 
 
 @query("voc8_add_special_tokens", ADDED.format(c="'<' || source || '>'", k="special"))
@@ -321,8 +322,8 @@ def msk5(spark, d):
 @query("msk6_uniform_mask", f"""WITH {X.IDS}, p AS (SELECT seq_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS x FROM r), q AS (SELECT *, {uniform_sql('seq_id', 'pos', 3)} < 0.2 AS masked FROM p)
     SELECT seq_id, md5(string_agg(CAST(CASE WHEN masked THEN 2 ELSE x END AS VARCHAR), ',' ORDER BY pos)) AS ids, md5(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS truth, count(*) FILTER (masked) AS n_masked FROM q GROUP BY seq_id""")
 def msk6(spark, d):
-    rows = X.id_rows(spark, d).where(F.size("ids") > 0).select("seq_id", T.uniform_mask(F.col("seq_id"), F.col("ids"), 3, 0.2).alias("x"))
-    return rows.select("seq_id", X.hashed(F.col("x.id")).alias("ids"), X.hashed(F.col("x.truth")).alias("truth"), F.size(F.filter("x.masked", lambda m: m)).cast("long").alias("n_masked"))
+    rows = X.id_rows(spark, d).where(F.size("ids") > 0).select("seq_id", T.uniform_mask_arrays(F.col("seq_id"), F.col("ids"), 3, 0.2).alias("x"))
+    return rows.select("seq_id", X.hashed(F.col("x.ids")).alias("ids"), X.hashed(F.col("x.truth")).alias("truth"), "x.n_masked")
 
 
 @query("msk7_mask_ratio", f"WITH {X.IDS} SELECT seq_id, CASE WHEN len(u) > 0 THEN round(len(list_filter(u, lambda x: x = 7)) / CAST(len(u) AS DOUBLE), 6) END AS ratio FROM t")

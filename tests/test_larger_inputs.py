@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandkit.functions import batches
 from strandkit.functions import outputs as P
 from strandkit.functions import tokens as T
 from strandkit.operators import genome, model_outputs, omics, scoring, vectors, vocab
@@ -366,3 +367,61 @@ def test_modalities_are_no_tasks(spark):
     binned = omics.tokenize_omics(expr, settings)
     assert "SortMergeJoin" not in plan_of(binned)
     assert sorted((r.omic, r.bin) for r in binned.collect()) == [("methylation", 2), ("rna", 0), ("rna", 0), ("rna", 7)]
+
+
+def random_texts(rng, letters, n=300):
+    return ["", "A", "N", "NN", None, "ACGTACGTACGT", *("".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 6, 7, 40, 300]))) for _ in range(n))]
+
+
+def test_kmers_of_whole_batches(spark):
+    rng = random.Random(1)
+    texts = random_texts(rng, "ACGTACGTACGTN")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    rows = df.select("t", T.tokenize_kmers(F.col("t"), 3).alias("k"), T.overlapping_kmers(F.col("t"), 3).alias("o"), T.kmer_ids(T.tokenize_kmers(F.col("t"), 3), 3, 6).alias("ids"))
+    for r in rows.collect():
+        if r.t is None:
+            assert r.k is r.o is r.ids is None
+            continue
+        assert r.k == re.findall("[ACGT]{3}|[ACGTN]", r.t) and r.o == [r.t[i : i + 3] for i in range(len(r.t) - 2)]
+        assert r.ids == [70 + "ATCGN".index(k) if len(k) == 1 else 6 + sum("ATCG".index(c) * 4 ** (2 - i) for i, c in enumerate(k)) for k in r.k]
+    assert "transform" not in plan_of(df.select(T.overlapping_kmers(F.col("t"), 3)))  # no step of an expression for each letter
+    odd = spark.createDataFrame([("AC-",), ("ä",), ("ACG",), (None,)], "t string").select(T.tokenize_kmers(F.col("t"), 3, on_error="null"), T.tokenize_letters(F.col("t"), on_error="null"), T.overlapping_kmers(F.col("t"), 2))
+    assert [tuple(r) for r in odd.collect()] == [(None, None, ["AC", "C-"]), (None, None, []), (["ACG"], [6, 8, 9], ["AC", "CG"]), (None, None, None)]
+    tokens = spark.createDataFrame([(["ACG", "A", "ä", "", None, "x", "AXG"],), (None,), ([],)], "t array<string>").select(T.kmer_ids(F.col("t"), 3, 6))
+    assert [r[0] for r in tokens.collect()] == [[6 + 0 * 16 + 2 * 4 + 3, 70, None, None, None, None, 6], None, []]
+
+
+def test_whole_batches_mask_as_the_expressions_do(spark):
+    rng = random.Random(2)
+    arrays = [None, [], [None, 7, None], *([rng.choice([None, *range(11)]) for _ in range(rng.choice([1, 9, 11, 120, 1200]))] for _ in range(60)), [7] * 40_000]
+    keys = [None, "x" * 60, "é", *range(10**9, 10**9 + 61)]
+    df = spark.createDataFrame([(i, None if k is None else str(k), a) for i, (k, a) in enumerate(zip(keys, arrays))], "i int, k string, ids array<int>").coalesce(1)
+    for rate in (0.0, 0.15, 1.0):
+        both = df.select(T.mlm_ids(F.col("k"), F.col("ids"), 5, 11, 6, rate).alias("x"), T.mlm_arrays(F.col("k"), F.col("ids"), 5, 11, 6, rate).alias("y"))
+        assert both.where("not (x.id <=> y.ids and x.label <=> y.labels)").count() == 0
+        for skip in (None, 1):
+            both = df.select(T.uniform_mask(F.col("k"), F.col("ids"), 5, rate, skip=skip).alias("x"), T.uniform_mask_arrays(F.col("k"), F.col("ids"), 5, rate, skip=skip).alias("y"))
+            assert both.where("not (x.id <=> y.ids and x.truth <=> y.truth and (x is null or size(filter(x, s -> s.masked)) = y.n_masked))").count() == 0
+    long = spark.range(4).select("id", F.array_repeat(F.lit(7), 2_000_000).alias("ids"))
+    began = time.time()
+    assert long.select(T.mlm_arrays(F.col("id"), F.col("ids"), 7, 11, 6).alias("x")).agg(F.sum(F.size("x.ids"))).first()[0] == 8_000_000
+    assert time.time() - began < 12  # four microseconds a place before
+
+
+def test_answers_and_texts_of_whole_batches(spark):
+    df = spark.createDataFrame([([5, 6, 7, 4, 8], 1), ([5, 6], 5), ([4, 4], 0), ([], 0), (None, 0), ([6, 7], 1)], "ids array<int>, start int").coalesce(1)
+    assert [r[0] for r in df.select(P.answer_ids(F.col("ids"), F.col("start"), 4)).collect()] == [[6, 7], [], [], [], None, [7]]
+    names = ["a", "", "cc", "é"]
+    ids = spark.createDataFrame([([0, 2, 3, 1],), ([],), (None,), ([4],), ([-1],), ([0, None],)], "ids array<int>").coalesce(1)
+    assert [r[0] for r in ids.select(T.detokenize(F.col("ids"), names, on_error="null")).collect()] == ["aaccé".replace("aa", "a"), "", None, None, None, None]
+
+
+def test_letters_as_the_patterns_had_them(spark):
+    from strandkit.functions import sequence as S
+    from strandkit.plans import fixtures as X
+
+    texts = ["", "acgtnACGTN -xyz\n", "ß İ é 漢 🧬a", None, "\x00\x7f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.translate(F.regexp_replace(F.translate("t", X.UPPER, X.LOWER), "[^a-z]", ""), X.LOWER, X.BASES), F.regexp_replace(F.translate("t", X.LOWER, X.UPPER), "[^ACGTN]", "N")
+    rows = df.select(X.letters_dna(F.col("t")).alias("a"), old[0].alias("b"), S.sanitize_dna(F.col("t")).alias("c"), old[1].alias("d"), batches.characters(F.col("t")).alias("e"), "t").collect()
+    assert all(r.a == r.b and r.c == r.d and (r.t is None and r.e is None or sorted(r.e) == sorted(set(r.t))) for r in rows)
