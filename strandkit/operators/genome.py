@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.arrays import dense
@@ -23,29 +23,46 @@ def tile_genome(records: DataFrame, tile: int, name: str = "name", seq: str = "s
     return cut.select("chrom", F.col("tile_no").cast("long").alias("tile_no"), "seq")
 
 
+#: Tiles of a block: those of a window are mostly in one.
+BLOCK_TILES = 64
+
+
 def save_tiles(tiles: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
-    """Keep tiles as a table bucketed and sorted by chromosome and tile number, so that fetching windows doesn't shuffle the genome.
+    """Keep tiles as a table bucketed by chromosome and block of BLOCK_TILES tiles, so that fetching windows doesn't shuffle the genome.
 
     One shuffle deals each bucket to one task, which writes one file. path names the table's folder, if it isn't to be in the warehouse.
     """
-    writer = tiles.repartition(buckets, "chrom", "tile_no").write.format("parquet").bucketBy(buckets, "chrom", "tile_no").sortBy("chrom", "tile_no")
+    blocked = tiles.withColumn("block", _block(F.col("tile_no")))
+    writer = blocked.repartition(buckets, "chrom", "block").write.format("parquet").bucketBy(buckets, "chrom", "block").sortBy("chrom", "block")
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def _block(tile_no: Column) -> Column:
+    return F.floor(tile_no / BLOCK_TILES)
+
+
 def fetch_windows(tiles: DataFrame, windows: DataFrame, tile: int, sanitize: bool = True) -> DataFrame:
     """(window_id, chrom, start, end, seq, complete) of windows [start, end); complete if the chromosome covers it all.
 
-    A window is joined to the tiles that it touches by chromosome and tile number, an equi-join, and its pieces are
-    put together in order. A window past the end gets what there is; one that ends where it starts, or before, is empty
-    and complete.
+    A window is joined to the blocks of tiles that it touches by chromosome and block, an equi-join, and cut from the block's tiles there; so a window is a row
+    a block, mostly one, not a row a tile, and its pieces are put together in order. A window past the end gets what there is; one that ends
+    where it starts, or before, is empty and complete.
     """
-    first = F.floor(F.col("start") / tile)
-    touched = windows.withColumn("tile_no", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col("end") - 1) / tile)))))
-    begin = F.greatest(F.col("start"), F.col("tile_no") * tile)
-    stop = F.least(F.col("end"), (F.col("tile_no") + 1) * tile)
-    piece = F.substring("seq", (begin - F.col("tile_no") * tile + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
-    pieces = touched.join(tiles.select("chrom", "tile_no", "seq"), ["chrom", "tile_no"], "left").withColumn("piece", F.coalesce(piece, F.lit("")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tile_no", "piece"))), lambda s: s["piece"]), "")
+    whole = tile * BLOCK_TILES
+    first = F.floor(F.col("start") / whole)
+    last = F.greatest(first, F.floor((F.col("end") - 1) / whole))
+    touched = windows.select("window_id", "chrom", "start", "end", F.explode(F.sequence(first, last)).alias("block"))
+    held = tiles if "block" in tiles.columns else tiles.withColumn("block", _block(F.col("tile_no")))
+    blocks = held.groupBy("chrom", "block").agg(F.sort_array(F.collect_list(F.struct("tile_no", "seq"))).alias("tiles"))
+    own = F.filter("tiles", lambda t: ((t["tile_no"] + 1) * tile > F.col("start")) & (t["tile_no"] * tile < F.col("end")))
+
+    def cut(t):
+        begin, stop = F.greatest(F.col("start"), t["tile_no"] * tile), F.least(F.col("end"), (t["tile_no"] + 1) * tile)
+        return F.substring(t["seq"], (begin - t["tile_no"] * tile + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int"))
+
+    piece = F.array_join(F.transform(own, cut), "")
+    pieces = touched.join(blocks, ["chrom", "block"], "left").withColumn("piece", F.coalesce(piece, F.lit(""))).drop("tiles")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "piece"))), lambda s: s["piece"]), "")
     out = pieces.groupBy("window_id", "chrom", "start", "end").agg(joined.alias("seq"))
     return out.select("window_id", "chrom", "start", "end", (sanitize_dna(F.col("seq")) if sanitize else F.col("seq")).alias("seq"), (F.length("seq") == F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("complete"))
 

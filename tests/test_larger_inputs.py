@@ -425,3 +425,18 @@ def test_letters_as_the_patterns_had_them(spark):
     old = F.translate(F.regexp_replace(F.translate("t", X.UPPER, X.LOWER), "[^a-z]", ""), X.LOWER, X.BASES), F.regexp_replace(F.translate("t", X.LOWER, X.UPPER), "[^ACGTN]", "N")
     rows = df.select(X.letters_dna(F.col("t")).alias("a"), old[0].alias("b"), S.sanitize_dna(F.col("t")).alias("c"), old[1].alias("d"), batches.characters(F.col("t")).alias("e"), "t").collect()
     assert all(r.a == r.b and r.c == r.d and (r.t is None and r.e is None or sorted(r.e) == sorted(set(r.t))) for r in rows)
+
+
+def test_windows_are_a_row_a_block(spark, tmp_path):
+    rng = random.Random(4)
+    records = {c: "".join(rng.choice("ACGT") for _ in range(n)) for c, n in (("a", 70_000), ("b", 300), ("c", 0))}
+    tiles = genome.tile_genome(spark.createDataFrame(list(records.items()), "name string, seq string"), 512)
+    windows = [(i, rng.choice(["a", "a", "b", "c", "none"]), s, s + rng.choice([0, 1, 512, 4096, 40_000])) for i, s in enumerate(rng.choice([0, 511, 32_767, 32_768, rng.randrange(75_000)]) for _ in range(200))]
+    genome.save_tiles(tiles, "tiles_in_blocks", 4, str(tmp_path / "tiles"))
+    asked = spark.createDataFrame(windows, "window_id long, chrom string, start long, end long")
+    for held in (tiles, spark.table("tiles_in_blocks")):
+        got = {r.window_id: (r.seq, r.complete) for r in genome.fetch_windows(held, asked, 512).collect()}
+        assert got == {i: (w := records.get(c, "")[s:e], len(w) == e - s) for i, c, s, e in windows}
+    joined = genome.fetch_windows(spark.table("tiles_in_blocks"), asked, 512)
+    assert "tile_no" not in plan_of(joined).split("Generate")[1].split("\n")[0]  # exploded by block
+    spark.sql("DROP TABLE tiles_in_blocks")
