@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkit.llm.common import checkpoint, left_join_counted, map_batches
+from strandkit.llm.common import checkpoint, freed_shuffles, left_join_counted, map_batches
 
 VERSION = b"WARC/1.1"
 DATE = b"2024-01-01T00:00:00Z"
@@ -62,14 +62,18 @@ def _record(kind: bytes, ident: str, fields: list[tuple[bytes, bytes | None]], b
     return b"\r\n".join([*lines, b"Content-Length: %d" % len(block), b"", block])
 
 
-def mark_revisits(pages: DataFrame, total: int, least_bytes: int = 100) -> DataFrame:
+def mark_revisits(pages: DataFrame, total: int, least_bytes: int = 100, most_broadcast: int = 250_000) -> DataFrame:
     """pages(page_id, url, payload) with digest and refers_to: the smallest page of an equal payload of at least that size, else null.
 
-    Digests are counted before the shuffle; a payload that very many pages share is joined by broadcast.
+    Only digests are shuffled to be counted. Up to most_broadcast digests that several pages share, some 20 MB, are broadcast, so payloads
+    stay where they are; with more of them pages are shuffled with their payloads, and only a payload that very many pages share is joined by broadcast.
     """
     digested = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("long_enough", F.length("payload") >= least_bytes)
     shared = checkpoint(digested.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1"))
-    joined = left_join_counted(digested, shared, "digest", ["first_page"], "n", total, F.coalesce(F.col("page_id").cast("string"), F.col("url")))
+    if shared.count() <= most_broadcast:
+        joined = digested.join(F.broadcast(shared.drop("n")), "digest", "left")
+    else:
+        joined = left_join_counted(digested, shared, "digest", ["first_page"], "n", total, F.coalesce(F.col("page_id").cast("string"), F.col("url")))
     refers = F.when(F.col("long_enough") & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_page"))), F.col("first_page"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -116,7 +120,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = map_batches(mark_revisits(base, size.n, least_bytes), run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    with freed_shuffles(pages.sparkSession):
+        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _inflated(content: bytes) -> tuple[bytes, bool]:

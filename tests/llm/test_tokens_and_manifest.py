@@ -283,3 +283,20 @@ def test_a_language_model_grows_with_its_counts_not_with_features_times_language
         for f in rng.sample(sorted(x for m, x in counts if m == n), 20):
             logs = np.log((np.array([counts[n, f].get(lang, 0) for lang in model.langs]) + 0.5) / (totals + 0.5 * (kinds + 1)))
             assert np.allclose(model._means(n, [model.place[n][f]], np.ones(1, np.int64))[0], logs - logs.mean(), atol=1e-5)
+
+
+def test_pages_are_marked_as_revisits_without_a_shuffle_of_their_payloads(spark):
+    from strandkit.llm import warc
+
+    rows = [(i if i % 9 else None, f"u{i}", (f"p{i % 40 if i % 3 else i}" * 200).encode()) for i in range(200)] + [(500 + i, "u", b"hot" * 99) for i in range(150)] + [(700 + i, "u", b"short") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # whether Spark sees by itself that the join is small depends on which side ends first
+    try:
+        marked = warc.mark_revisits(pages, len(rows))
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        found, shuffled = (sorted(map(str, x.drop("payload").collect())) for x in (marked, warc.mark_revisits(pages, len(rows), most_broadcast=0)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == shuffled and marked.where("refers_to is not null").count() > 149
