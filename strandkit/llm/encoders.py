@@ -8,8 +8,10 @@ import re
 import sys
 import types
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: What a space may not stand before if a text is to be cut there: white space in any version of Unicode, and a little more.
 _UNSURE = re.compile("[\\s\\x00-\\x20\\x7f-\\xa0\\u034f\\u061c\\u115f\\u1160\\u1680\\u17b4\\u17b5\\u180b-\\u180f\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\u3164\\ufeff\\uffa0]")
@@ -21,18 +23,68 @@ def vocabulary_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
-#: A word of old letters, a mark behind it, then perhaps a line feed and the like: these are words of their own to the library.
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
-_PARTS = re.compile(f"({_LETTERS})([.,;:!?])?(?:(\n)({_LETTERS})([.,;:!?])?)?")
+#: Old letters alone, with or without a space before them: one word to the library.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def _bytes_in(low_high: str) -> np.ndarray:
+    """Whether a byte is in the ranges, as a table."""
+    return np.array([re.match(f"[{low_high}]", chr(b)) is not None for b in range(256)])
+
+
+_LETTER, _MARK, _LEAD, _SEEN = _bytes_in("A-Za-z"), _bytes_in(r"!-&(-/:-@\[-`{-~"), _bytes_in("\xc3-\xc8"), _bytes_in("!-~")
+
+
+def _sure_cuts(raw: np.ndarray) -> np.ndarray:
+    """Where to cut texts in UTF-8: before each space, before a mark behind an old letter unless it is an apostrophe, and on both sides of a line feed between what is seen and a letter."""
+    cut = raw == 32
+    old = np.zeros(len(raw), bool)  # where an old letter of two bytes ends, which \xd7 and \xf7 are not
+    old[1:] = _LEAD[raw[:-1]]
+    twice = np.flatnonzero(old & ((raw == 0x97) | (raw == 0xB7)))
+    old[twice[raw[twice - 1] == 0xC3]] = False
+    cut[1:] |= _MARK[raw[1:]] & (_LETTER[raw] | old)[:-1]
+    feeds = np.flatnonzero(raw[1:-1] == 10) + 1
+    feeds = feeds[(_SEEN[raw[feeds - 1]] | old[feeds - 1]) & (_LETTER[raw[feeds + 1]] | _LEAD[raw[feeds + 1]])]
+    cut[feeds] = cut[feeds + 1] = True
+    return np.flatnonzero(cut)
+
+
+_NEW = object()
+
+
+class Kept:
+    """Ids by word, most of them at most: what was not used since half as many came is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.recent, self.older = most, {}, {}
+
+    def of(self, words: list[str]) -> tuple[list, list[int]]:
+        """The ids of words, and the places of those that aren't known."""
+        ids = list(map(self.recent.get, words, repeat(_NEW)))
+        new = [i for i, x in enumerate(ids) if x is _NEW]
+        if new and self.older:
+            for i in new:
+                if (x := self.older.get(words[i], _NEW)) is not _NEW:
+                    ids[i] = self.recent[words[i]] = x
+            new = [i for i in new if ids[i] is _NEW]
+        return ids, new
+
+    def put(self, learned: dict) -> None:
+        self.recent.update(learned)
+        for w in learned:
+            if len(w) > 48:
+                del self.recent[w]
+        if len(self.recent) > self.most // 2:
+            self.recent, self.older = {}, self.recent
 
 
 class ByteBpe:
     """Ids of whole texts as the tokenizers library gives them without begin, end or added special tokens.
 
     The library cuts a text into words before it merges bytes, and a space before what is no white space always begins a
-    word. So each stretch from such a space to the next is encoded by the library once and then kept, max_kept of them at
-    most. A text with another kind of space, or with the string of an added token that counts as such, is given to the
-    library whole; so is every text if the vocabulary file asks for another way of cutting.
+    word, as a mark behind a letter does. So each stretch between such places is encoded by the library once and then kept,
+    max_kept of them at most; Arrow finds the different ones of the texts. A text with another kind of space, or with the string
+    of an added token that counts as such, is given to the library whole; so is every text if the vocabulary file asks for another way of cutting.
     """
 
     def __init__(self, file: str, plain_specials: bool = False, max_kept: int = 1_000_000):
@@ -50,88 +102,80 @@ class ByteBpe:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
         self.shown = {b: chr(b) for b in visible} | {x: chr(256 + i) for i, x in enumerate(x for x in range(256) if x not in visible)}
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.kept: dict[str, bytes | None] = {}  # ids of a space and the word after it; null where the text can't be cut
-        self.first: dict[str, bytes] = {}  # ids of a word at the start of a text
-        self.max_kept = max_kept
+        self.kept = Kept(max_kept)  # ids of a space and the word after it, or of a word at the start of a text; null where the text can't be cut
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as the library gives them, as little-endian unsigned 32-bit integers."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _listed(self, words: list[str], front: str) -> list[bytes]:
-        """Ids of words without white space, each after front: a line each of one text, whose line feeds are words of their own."""
-        ids = np.array(self.tokenizer.encode(front + f"\n{front}".join(words), add_special_tokens=False).ids, "<u4")
+    def _listed(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space but a space before them: a line each of one text, whose line feeds are words of their own."""
+        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(ids == self.line_feed)
         if len(ends) != len(words) - 1:
-            return self.whole([front + w for w in words])
+            return self.whole(words)
         data, cuts = ids.tobytes(), (4 * np.r_[-1, ends, len(ids)]).tolist()
         return [data[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
 
-    def _letters(self, words: list[str], front: str) -> list[bytes]:
-        """Ids of words of letters alone, each after front, from the library's model itself: there is nothing to cut."""
-        merged, shown, mark = self.tokenizer.model.tokenize, self.shown, front and self.shown[32]
-        written = (mark + (w if w.isascii() else w.encode().decode("latin-1").translate(shown)) for w in words)
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone but a space before them, from the library's model itself: there is nothing to cut."""
+        merged, shown, mark = self.tokenizer.model.tokenize, self.shown, self.shown[32]
+        written = (w.replace(" ", mark) if w.isascii() else w.encode().decode("latin-1").translate(shown) for w in words)
         return [array("I", [t.id for t in merged(w)]).tobytes() for w in written]
 
-    def _learn(self, known: dict, words: set[str], front: str) -> list[str]:
-        """Encode the words that are not known, by their parts where that is sure; returns those that are too long to be kept."""
-        new = [w for w in words if w not in known]
-        known.update(dict.fromkeys(new))
-        letters, plain, odd, cut, tails = [], [], [], [], set()
-        for w in new:
-            found = _PARTS.fullmatch(w)
-            if found and found.end(1) < len(w):
-                head, *rest = (x for x in found.groups() if x)
-                cut.append((w, head, rest))
-                tails.update(rest)
-                if head not in known:
-                    known[head] = None
-                    letters.append(head)
-            elif found:
+    def _ids(self, words: list[str]) -> list[bytes | None]:
+        """Ids of different words, with or without a space before them; those that are not known are encoded."""
+        ids, new = self.kept.of(words)
+        letters, plain, odd, unsure = [], [], [], []
+        for w in map(words.__getitem__, new):
+            if _WORD.fullmatch(w):
                 letters.append(w)
-            elif w and not _UNSURE.search(w) and not (self.added and self.added.search(w)):
+                continue
+            bare = w.removeprefix(" ")
+            if bare and not _UNSURE.search(bare) and not (self.added and self.added.search(bare)):
                 plain.append(w)
-            elif not front or w and not _UNSURE.match(w):
+            elif not w.startswith(" ") or bare and not _UNSURE.match(bare):
                 odd.append(w)
-        known.update(zip(letters, self._letters(letters, front)))
+            else:
+                unsure.append(w)
+        learned = dict(zip(letters, self._letters(letters)))
         if plain:
-            known.update(zip(plain, self._listed(plain, front)))
-        known.update(zip(odd, self.whole([front + w for w in odd])))
-        if cut:
-            tails.difference_update(self.first)
-            self.first.update(zip(tails, self.whole(list(tails))))
-            known.update([(w, known[head] + b"".join([self.first[x] for x in rest])) for w, head, rest in cut])
-        return [w for w in new if len(w) > 48]
+            learned.update(zip(plain, self._listed(plain)))
+        if odd:
+            learned.update(zip(odd, self.whole(odd)))
+        learned.update(dict.fromkeys(unsure))
+        for i in new:
+            ids[i] = learned[words[i]]
+        self.kept.put(learned)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
-        if not self.by_words:
+        if not self.by_words or not any(texts):
             return self.whole(texts)
-        rows = [t.split(" ") for t in texts]
-        words: set[str] = set()
-        for row in rows:
-            words.update(row[1:])
-        for known in (self.kept, self.first):
-            if len(known) > self.max_kept:
-                known.clear()
-        long = self._learn(self.kept, words, " ")
-        long_first = self._learn(self.first, {row[0] for row in rows if row[0]}, "")
-        out, left = [], []
-        of, found = self.kept.__getitem__, self.added.search if self.added else lambda t: None
-        for i, (text, row) in enumerate(zip(texts, rows)):
-            try:
-                own = (self.first[row[0]] if row[0] else b"") + b"".join(map(of, row[1:]))
-            except TypeError:  # a null among them
-                own = None
-            if own is None or found(text):
-                left.append(i)
-            out.append(own)
+        given = pa.array(texts, pa.large_string())
+        bounds, content = np.frombuffer(given.buffers()[1], np.int64, len(texts) + 1), given.buffers()[2]
+        inner = _sure_cuts(np.frombuffer(content, np.uint8, bounds[-1]))
+        at = np.searchsorted(inner, bounds[:-1]) + np.arange(len(texts))  # each text's first word, which may be empty
+        cuts = np.empty(len(texts) + len(inner) + 1, np.int64)
+        within = np.ones(len(cuts) - 1, bool)
+        within[at] = False
+        cuts[at], cuts[:-1][within], cuts[-1] = bounds[:-1], inner, bounds[-1]
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), content).dictionary_encode()
+        codes, ids = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        left = np.zeros(len(texts), bool)
+        if None in ids:
+            left |= np.logical_or.reduceat(np.fromiter((x is None for x in ids), bool, len(ids))[codes], at)
+            ids = [x or b"" for x in ids]
+        ends = np.fromiter(map(len, ids), np.int64, len(ids))[codes].cumsum()
+        data = b"".join(map(ids.__getitem__, codes.tolist()))
+        starts = np.r_[0, ends][at].tolist()
+        out = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
+        if self.added:
+            left |= np.fromiter((self.added.search(t) is not None for t in texts), bool, len(texts))
+        left = np.flatnonzero(left).tolist()
         for i, own in zip(left, self.whole([texts[i] for i in left])):
             out[i] = own
-        for w in long:
-            del self.kept[w]
-        for w in long_first:
-            del self.first[w]
         return out
 
     def token_bytes(self) -> list[bytes]:

@@ -300,3 +300,22 @@ def test_pages_are_marked_as_revisits_without_a_shuffle_of_their_payloads(spark)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == shuffled and marked.where("refers_to is not null").count() > 149
+
+
+def test_words_are_learned_once_whatever_marks_follow_them():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeéñßxyzAB") for _ in range(6)) for _ in range(60)]
+    marks = ["", ",", ".", "!?", ",$$$", "%%%", ".\nThe", ",\nund;"]
+    ours = ByteBpe(BYTES)
+    texts = [" ".join(w + m for w in words) for m in marks]
+    assert ours.encode(texts) == ours.whole(texts)
+    assert len(getattr(ours.kept, "recent", ours.kept)) < 2 * len(words) + 20  # not a word for each of its marks
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_texts_are_cut_only_where_the_library_cuts_them(plain):
+    ours, rng = ByteBpe(BYTES, plain, 2000), random.Random(9)
+    pieces = ["a", "Zq", "é", "ÿ", "Ā", "ɏ", "ʼ", "×", "÷", "ª", "×,", "÷.", "日", "1", "½", "'", "'s", "'re", "''", "_", ",", ".", "<", "|", ">", "$$", "~", "`", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\r", "\t", " ", "　", "​", "́", "<|endoftext|>", "🙂", "–", "“"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(12_000)]
+    for at in range(0, len(texts), 200):
+        assert ours.encode(texts[at : at + 200]) == ours.whole(texts[at : at + 200])
