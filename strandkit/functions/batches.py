@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 #: Positions whose hashes are computed at once: their words stay in a core's cache.
 PIECE = 1 << 14
@@ -214,6 +214,27 @@ def between(ids: Column, start: Column, stop: int) -> Column:
     return run(ids, start)
 
 
+def any_in_blocks(ids: Column, size: int, pad: int) -> Column:
+    """For each whole block of an array's entries whether any is no pad, null if that hangs on nulls; a null array has no blocks."""
+
+    @F.arrow_udf(ArrayType(BooleanType()))
+    def run(lists: pa.Array) -> pa.Array:
+        bounds = _bounds(lists)
+        counts = np.diff(bounds) // size
+        ends = np.r_[0, counts.cumsum()]
+        starts = np.arange(ends[-1]) * size + np.repeat(bounds[:-1] - ends[:-1] * size, counts)
+
+        def holds(flags: pa.Array) -> np.ndarray:
+            before = np.r_[0, np.asarray(flags).cumsum()]
+            return before[starts + size] > before[starts]
+
+        real = pc.not_equal(pc.list_flatten(lists), pad)
+        found = holds(pc.fill_null(real, False))
+        return _lists(pa.array(found, mask=~found & holds(real.is_null()) if real.null_count else None), ends)
+
+    return run(ids)
+
+
 def joined_md5(values: Column) -> Column:
     """MD5 of an array's entries as text, comma-joined; nulls are left out."""
 

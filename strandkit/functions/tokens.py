@@ -155,10 +155,8 @@ def seq_length(ids: Column, pad: int = PAD) -> Column:
 
 
 def block_valid(ids: Column, n: int, pad: int = PAD) -> Column:
-    """For each block of 2^n ids: whether any is no pad."""
-    b = 2**n
-    starts = F.when(F.size(ids) >= b, F.sequence(F.lit(0), F.expr("0") + F.floor(F.size(ids) / b).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.exists(F.slice(ids, i * b + 1, F.lit(b)), lambda x: x != pad))
+    """For each block of 2^n ids: whether any is no pad. One pass over whole batches of rows; not for use inside lambdas."""
+    return batches.any_in_blocks(ids, 2**n, pad)
 
 
 def hash_uniform(seed: int, *keys: Column) -> Column:

@@ -69,9 +69,14 @@ def texts_as_dna(spark, d):
 TEXTS = f"s AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, '{LOWER}', '{UPPER}'), '[^ACGTN]', 'N', 'g') AS seq FROM documents)"
 
 
+def pads() -> F.Column:
+    """0 to 31 pads, by the row's id."""
+    return F.array_repeat(F.lit(1), F.col("seq_id").cast("int") % 32)
+
+
 def id_rows(spark, d):
     """(seq_id, ids): letter ids of whole sequences, then 0 to 31 pads."""
-    return seqs(spark, d).select("seq_id", F.concat(tokenize_letters(F.col("seq")), F.array_repeat(F.lit(1), F.col("seq_id").cast("int") % 32)).alias("ids"))
+    return seqs(spark, d).select("seq_id", F.concat(tokenize_letters(F.col("seq")), pads()).alias("ids"))
 
 
 IDS = SEQS + """,

@@ -296,7 +296,8 @@ def msk2(spark, d):
 
 @query("msk3_block_valid", f"WITH {X.IDS} SELECT seq_id, {X.hashed_sql("list_transform(range(0, len(ids) // 8), lambda b: CASE WHEN len(list_filter(ids[b * 8 + 1 : b * 8 + 8], lambda x: x <> 1)) > 0 THEN 'true' ELSE 'false' END)")} AS valid FROM r")
 def msk3(spark, d):
-    return X.id_rows(spark, d).select("seq_id", X.hashed(T.block_valid(F.col("ids"), 3)).alias("valid"))
+    """A null text has pads alone, as in the SQL."""
+    return X.id_rows(spark, d).select("seq_id", X.hashed(T.block_valid(F.coalesce("ids", X.pads()), 3)).alias("valid"))
 
 
 @query("msk4_position_ids", f"""WITH {X.IDS} SELECT seq_id, {X.hashed_sql('ids')} AS ids, {X.hashed_sql('list_concat(list_transform(range(2, len(u) + 2), lambda i: i), list_transform(range(0, seq_id % 32), lambda i: 1))')} AS positions FROM t JOIN r USING (seq_id) WHERE len(ids) > 0""")

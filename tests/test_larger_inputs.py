@@ -408,6 +408,36 @@ def test_whole_batches_mask_as_the_expressions_do(spark):
     assert time.time() - began < 12  # four microseconds a place before
 
 
+def test_blocks_of_whole_batches(spark):
+    rng = random.Random(4)
+    arrays = [None, [], [6], [1] * 8, [1] * 7, [6] + [1] * 15 + [6], [None] + [1] * 15, [None] * 7 + [6], *([rng.choice([1, 1, 1, 1, 1, 1, 6, None]) for _ in range(rng.choice([1, 7, 8, 9, 40, 300]))] for _ in range(80))]
+
+    def plain(ids, size, pad):
+        blocks = [ids[i * size : (i + 1) * size] for i in range(len(ids or []) // size)]
+        return [True if any(x not in (None, pad) for x in b) else None if None in b else False for b in blocks]
+
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, ids array<int>").coalesce(1)
+    for n, pad in ((0, 1), (1, 1), (3, 1), (3, 6)):
+        found = df.select("i", T.block_valid(F.col("ids"), n, pad).alias("v"))
+        assert all(r.v == plain(arrays[r.i], 2**n, pad) for r in found.collect())
+        assert "slice(" not in plan_of(found)  # no array for each block
+    long = spark.range(1).select(T.block_valid(F.array_repeat(F.lit(7), 1_000_003), 3).alias("v"))
+    assert long.select(F.size("v"), F.array_min("v")).first() == (125_000, True)
+
+
+def test_null_texts_have_blocks_of_pads(spark, tmp_path):
+    import duckdb
+
+    from strandkit import plans
+
+    texts = [(0, None), (7, None), (8, None), (31, None), (32, ""), (47, "abcdefgh"), (-9, "abc")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.queries()["msk3_block_valid"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(duck.execute(plans.oracle_sql()["msk3_block_valid"]).fetchall())
+
+
 def test_answers_and_texts_of_whole_batches(spark):
     df = spark.createDataFrame([([5, 6, 7, 4, 8], 1), ([5, 6], 5), ([4, 4], 0), ([], 0), (None, 0), ([6, 7], 1)], "ids array<int>, start int").coalesce(1)
     assert [r[0] for r in df.select(P.answer_ids(F.col("ids"), F.col("start"), 4)).collect()] == [[6, 7], [], [], [], None, [7]]
